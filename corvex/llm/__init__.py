@@ -1,0 +1,11 @@
+"""Operators for preparing training data at scale.
+
+Nothing else in the library imports this subpackage. Python functions that run on executors are
+pickled by value, so workers need not have the library on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
