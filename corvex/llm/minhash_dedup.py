@@ -7,8 +7,9 @@ similarity 0.8 shares one of 24 bands but for 3 in a million.
 Documents with the same shingle set collapse first and go on as one node. In a bucket, the member
 that shares most buckets with others (the hub) is compared with each other member, which makes a
 number of pairs linear in the bucket. Only where a bucket then still spans several components are
-its members compared across components, block against block, and only pairs whose signatures leave
-a similarity of 0.8 possible are confirmed. Every link is confirmed on the full shingle sets.
+its members compared across components, block against block within a task, which hands on confirmed
+links alone; pairs whose signatures rule a similarity of 0.8 out (five standard deviations) are
+passed over. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -82,8 +83,12 @@ def _confirm(percent: int):
     return run
 
 
-def _across(n_values: int, least: int):
-    """Pairs of different components in one bucket, block against block, that may reach the similarity."""
+def _across(n_values: int, least: int, percent: int):
+    """Links between different components of one bucket, block against block.
+
+    Pairs whose signatures rule the similarity out are skipped; the others are confirmed on their
+    full sets right here, each in the first band that both share, so no pair leaves unconfirmed.
+    """
 
     def run(_key, pdf):
         import pandas as pd
@@ -91,13 +96,30 @@ def _across(n_values: int, least: int):
         left, right = (pdf[pdf.side == s] for s in (0, 1))
         if not len(right):
             right = left
+        if not len(left):
+            left = right
+        band = int(pdf.band.iloc[0])
         sig = [np.frombuffer(b"".join(t.sig), np.uint32).reshape(len(t), n_values) for t in (left, right)]
         node, comp = [t.node.to_numpy() for t in (left, right)], [t.comp.to_numpy() for t in (left, right)]
-        pairs = []
+        sets = [[np.frombuffer(x, np.uint64) for x in t.shingles] for t in (left, right)]
+        sizes = [np.array([len(x) for x in s]) for s in sets]
+        known, ids = np.unique(np.concatenate(sets[1]), return_inverse=True)
+        starts, mark = np.concatenate([[0], np.cumsum(sizes[1])])[:-1], np.zeros(len(known), np.int64)
+        pairs = set()
         for i in range(len(left)):
-            hit = np.flatnonzero((comp[1] != comp[0][i]) & ((sig[1] == sig[0][i]).sum(1) >= least))
-            pairs += [(min(node[0][i], y), max(node[0][i], y)) for y in node[1][hit]]
-        return pd.DataFrame(sorted(set(pairs)), columns=["a", "b"]).astype("int64")
+            same = sig[1] == sig[0][i]
+            near = (comp[1] != comp[0][i]) & (same.sum(1) >= least)
+            near &= 100 * np.minimum(sizes[1], sizes[0][i]) >= percent * np.maximum(sizes[1], sizes[0][i])
+            near &= same.reshape(len(same), -1, ROWS).all(2).argmax(1) == band
+            if near.any():
+                at = np.minimum(np.searchsorted(known, sets[0][i]), len(known) - 1)
+                at = at[known[at] == sets[0][i]]
+                mark[at] = 1
+                both = np.add.reduceat(mark[ids], starts)
+                mark[at] = 0
+                near &= 100 * both >= percent * (sizes[1] + sizes[0][i] - both)
+                pairs.update((min(node[0][i], y), max(node[0][i], y)) for y in node[1][near])
+        return pd.DataFrame(sorted(pairs), columns=["a", "b"]).astype("int64")
 
     return run
 
@@ -121,7 +143,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = feats.filter("n > 0").join(nodes.select("node", "s1", "s2"), ["s1", "s2"]).filter("doc_id = node")
     reps = work.save(reps.select("node", "n", "sig", "bands").dropDuplicates(["node"]), "representatives")
 
-    rows = reps.select("node", "n", F.explode("bands").alias("key"))
+    rows = reps.select("node", "n", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     members = work.save(rows.join(shared, "key"), "members")
     score = members.groupBy("node").agg(F.sum("c").alias("score"))
@@ -142,16 +164,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = int(n_values * percent / 100 - 5 * np.sqrt(n_values * percent / 100 * (1 - percent / 100)))
     named = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi and size > 2")
-    rest = named.join(open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").select("key", "node", "comp", "blocks")
+    rest = named.join(open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").select("key", "band", "node", "comp", "blocks")
     rest = work.save(rest, "unresolved")
     if not rest.isEmpty():
+        ends = rest.select("node").distinct()
+        bodies = semi_by_id(texts, "doc_id", ends, "node").mapInArrow(_sets(k), "node long, shingles binary").join(reps.select("node", "sig"), "node")
         mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        rest = rest.join(reps.select("node", "sig"), "node").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rest = rest.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "sig")
-        more = rest.groupBy("key", "i", "j").applyInPandas(_across(n_values, least), "a long, b long").distinct()
-        more = work.save(more.join(first, ["a", "b"], "left_anti"), "pairs")
+        rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(bodies, "node")
+        rest = rest.select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "sig", "shingles")
+        more = work.save(rest.groupBy("key", "i", "j").applyInPandas(_across(n_values, least, percent), "a long, b long").distinct(), "links")
         if not more.isEmpty():
-            links = links.unionByName(confirmed(more))
+            links = links.unionByName(more)
             labels = components(links, work)
     found = nodes.join(labels, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("comp"))
     out = feats.select("doc_id", "n", "s1", "s2").join(found, ["s1", "s2"], "left")
