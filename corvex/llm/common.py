@@ -90,3 +90,20 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
         labels = new.select("node", "comp")
         if new.filter("was <> comp").isEmpty():
             return labels
+
+
+def numbered_texts(docs: DataFrame, id_col: str, text_col: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, uid, text) of every row, and (uid, text) once: uid orders documents by id and names one text.
+
+    It is the id itself unless an id is repeated; then rows of the same id and text share a uid, and
+    texts of the same id are ordered by their SHA-256.
+    """
+    texts = docs.select(known_id(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    if texts.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        texts = texts.select("doc_id", F.col("doc_id").alias("uid"), "text")
+        return texts, texts.select("uid", "text")
+    named = texts.withColumn("sha", F.sha2("text", 256))
+    order = named.select("doc_id", "sha").distinct().orderBy("doc_id", "sha").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
+    order = work.save(docs.sparkSession.createDataFrame(order, "doc_id long, sha string, uid long"), "order")
+    texts = named.join(order, ["doc_id", "sha"]).select("doc_id", "uid", "text")
+    return texts, texts.dropDuplicates(["uid"]).select("uid", "text")

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled by one kernel call; a longer document is a call of its own.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def cached(key, make):
@@ -156,3 +156,31 @@ def fixed_binary(rows: np.ndarray) -> pa.Array:
     width = rows.shape[1] * rows.itemsize
     offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every window of width values: prefix and suffix minima of blocks of that width."""
+    n = len(x) - width + 1
+    padded = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, x.dtype)
+    padded[: len(x)] = x
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row i, the numbers starts[i], starts[i] + 1, ... (counts[i] of them); and the rows they are of."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    before = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    return np.arange(len(row)) - before[row] + starts[row], row
+
+
+def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of intervals as maximal runs; runs that touch become one."""
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.concatenate([[True], starts[1:] > reach[:-1]])
+    return starts[new], reach[np.concatenate([new[1:], [True]])]

@@ -5,21 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .cdc_dedup import repeated_chunks
 from .exact_dedup import exact_duplicates
+from .langid import identify_language
 from .minhash_dedup import near_duplicates
+from .suffix_dedup import repeated_windows
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def removal_digest(cut: DataFrame) -> DataFrame:
+    kept = F.octet_length("kept").cast("long")
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(repeated_windows(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=100))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=80)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(repeated_chunks(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op6_minhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_suffix_dedup, op5_language_id, op6_minhash_dedup, op10_substring_dedup)}
 
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
