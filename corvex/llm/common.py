@@ -71,6 +71,14 @@ def semi_by_id(docs: DataFrame, key: str, ids: DataFrame, name: str) -> DataFram
     return docs.join(ids, docs[key] == ids["__wanted"], "left_semi")
 
 
+def anti_by_id(docs: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
+    """Rows of docs whose key is not among ids; ids are broadcast only if a count proves them few."""
+    ids = ids.select(F.col(name).alias("__dropped"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, known_id(key) == ids["__dropped"], "left_anti")
+
+
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """(node, comp): for every end of an edge (a, b), the smallest node it reaches.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, known_id, shown_id
+from .common import Workspace, anti_by_id, known_id, shown_id
 from .kernels import text_buffers
 
 #: Distinct keys in a bucket before it splits.
@@ -167,3 +167,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeats = rows.groupBy("doc_id", "sha").agg(F.count("*").cast("int").alias("m"))
     out = repeats.join(index.select("sha", "keep_id", "group_size"), "sha").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m"))))
     return out.select(shown_id(F.col("doc_id")).alias("doc_id"), shown_id(F.col("keep_id")).alias("keep_id"), "group_size", ((F.col("doc_id") == F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def without_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs that exact_duplicates() keeps, with all columns."""
+    marked = exact_duplicates(docs).select(known_id("doc_id").alias("doc_id"), "kept", "text_sha256")
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return anti_by_id(docs, "doc_id", marked.filter("not kept"), "doc_id")
+    upper = UPPER.decode()
+    sha = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), upper, upper.lower()), 256)
+    kept = marked.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    rows = docs.withColumn("__id", known_id("doc_id")).withColumn("__sha", sha).dropDuplicates(["__id", "__sha"])
+    return rows.join(kept, ["__id", "__sha"], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

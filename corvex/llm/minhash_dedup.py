@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, known_id, semi_by_id, shown_id
+from .common import Workspace, anti_by_id, components, known_id, semi_by_id, shown_id
 from .kernels import fixed_binary, min_max, mix64, random64, shingles, signed, slices, text_buffers
 
 ROWS = 4
@@ -180,3 +180,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = feats.select("doc_id", "n", "s1", "s2").join(found, ["s1", "s2"], "left")
     comp = F.coalesce("comp", "doc_id")
     return out.select(shown_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown_id(comp).alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near-duplicates, and all others, with all columns of docs."""
+    marked = near_duplicates(docs, k=k, percent=percent).filter("not kept").select(known_id("doc_id").alias("doc_id"))
+    return anti_by_id(docs, "doc_id", marked.distinct(), "doc_id")
