@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .plans import text_queries  # noqa: F401
+from .plans import chunk_queries, retrieval_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict:
