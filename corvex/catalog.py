@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from . import registry
-from .plans import chunk_queries, retrieval_queries, text_queries  # noqa: F401
+from .plans import catalog_queries, chunk_queries, evaluation_queries, retrieval_queries, text_queries  # noqa: F401
+from .streaming import ingest  # noqa: F401
 
 
 def queries() -> dict:
