@@ -26,6 +26,9 @@ REMEMBERED = 300_000
 
 
 def grams(word: str, n: int) -> list[str]:
+    """The word's n-grams with marks at its ends, which single characters do without."""
+    if n == 1:
+        return list(word)
     padded = f"\x02{word}\x03"
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 

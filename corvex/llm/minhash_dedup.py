@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     members = work.save(rows.join(shared, "key"), "members")
     score = members.groupBy("node").agg(F.sum("c").alias("score"))
-    hubs = members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"), "n", "node")).alias("h"))
+    hubs = members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", F.bitwise_not("node").alias("turned"), "n", "node")).alias("h"))
     first = members.join(hubs, "key").filter("node <> h.node").filter(F.lit(100) * F.least("n", "h.n") >= F.lit(percent) * F.greatest("n", "h.n"))
     first = work.save(first.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), "pairs")
 
