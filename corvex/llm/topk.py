@@ -60,7 +60,7 @@ def fagin(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
     out = []
     for row in best:
         row = np.sort(row[row != nothing])[::-1]
-        scores = np.array([-((-x) // factor) for x in row])  # places are below factor, so rounding up gives the score
+        scores = np.array([-((-x) // factor) for x in row], row.dtype)  # places are below factor, so rounding up gives the score
         at = (scores * factor - row).astype(np.int64) if len(row) else np.zeros(0, np.int64)
         out.append((ids[at], scores.astype(np.int64)))
     return out
