@@ -7,6 +7,9 @@ those of one member:
 1. First digit: a fingerprint of the window's anchor, the sub-string of `gram` bytes with the least
    hash in it. Equal windows have the same anchor at the same offset. Neighbouring windows with the
    same anchor go as one row, which makes some 3 rows for 100 bytes.
+   An input task that meets a row a second time, in a later document, knows it for a repeat as a
+   whole; such rows are joined to runs and dealt out at random, so a passage that a third of the
+   documents share reaches its anchors' owners as a row from each task.
 2. Second digit: a fingerprint (64 bits more) of all bytes that a row's windows cover. Within equal
    rows all but the first are repeats as a whole; the first goes on, unless its anchor is unique now.
 3. What is left (rows that agree in part, at the edges of repeats) is sorted by its bytes, eight at
@@ -23,15 +26,35 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, numbered_texts
 from .cutting import cut
-from .kernels import Prefix, signed, sliding_min, slices, spread, text_buffers
+from .kernels import Prefix, mix64, signed, sliding_min, slices, spread, text_buffers
 
 DIGIT = 8
+#: A row's first window and its number of windows are one number; this many bits are the latter's.
+BITS = 24
+COUNT = (1 << BITS) - 1
+#: Rows that an input task remembers to recognise repeats, before it starts afresh.
+REMEMBERED = 200_000
 
 
 def _anchors(length: int, gram: int):
+    def out(whole, h, context, uid, packed):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (whole, h, context, uid, packed)], names=["whole", "h", "context", "uid", "packed"])
+
     width = length - gram + 1
 
+    def known_repeats(known, h, context, uid):
+        """Rows that equal, in both digits, one of an earlier document or place that went before."""
+        out = np.zeros(len(h), bool)
+        for i, (a, c, u) in enumerate(zip(h.tolist(), context.tolist(), uid.tolist())):
+            had = known.get(a)
+            if had is not None and had[0] == c and had[1] <= u:
+                out[i] = True
+            elif had is None or had[0] == c:
+                known[a] = (c, u)
+        return out
+
     def run(batches):
+        known: dict[int, tuple[int, int]] = {}
         for batch in batches:
             all_data, offsets = text_buffers(batch.column("text"))
             uids = batch.column("uid").to_numpy(zero_copy_only=False)
@@ -53,9 +76,20 @@ def _anchors(length: int, gram: int):
                 last[:-1] &= new[1:] | ~inside[1:]
                 first, last = np.flatnonzero(new), np.flatnonzero(last)
                 d = doc[first]
-                packed = (first - off[d]) << 8 | (last - first + 1)
-                context = prefix.hash(first, last + length)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(grams[anchor[first]])), pa.array(signed(context)), pa.array(uids[i:j][d]), pa.array(packed)], names=["h", "context", "uid", "packed"])
+                n, at, uid = last - first + 1, first - off[d], uids[i:j][d]
+                h, context = signed(grams[anchor[first]]), signed(prefix.hash(first, last + length))
+                if len(known) > REMEMBERED:
+                    known = {}
+                whole = known_repeats(known, h, context, uid)
+                yield out(np.zeros((~whole).sum(), bool), h[~whole], context[~whole], uid[~whole], (at << BITS | n)[~whole])
+                if whole.any():
+                    at, n, uid, d = at[whole], n[whole], uid[whole], d[whole]
+                    new = np.concatenate([[True], (d[1:] != d[:-1]) | (at[1:] != at[:-1] + n[:-1])])
+                    start = np.flatnonzero(new)
+                    n = np.add.reduceat(n, start)
+                    uid, at = uid[start], at[start]
+                    h = signed(mix64(uid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)))
+                    yield out(np.ones(len(h), bool), h, np.zeros(len(h), np.int64), uid, at << BITS | n)
 
     return run
 
@@ -71,7 +105,12 @@ def _second_digit():
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, context, uid, packed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "context", "uid", "packed"))
+            done, h, context, uid, packed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("whole", "h", "context", "uid", "packed"))
+            if done.any():
+                yield out(np.ones(done.sum(), bool), h[done], uid[done], packed[done])
+                h, context, uid, packed = (c[~done] for c in (h, context, uid, packed))
+                if not len(h):
+                    continue
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1])
             if last is not None:
@@ -113,7 +152,7 @@ def _contexts(length: int, windows: bool):
             h, packed = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("h", "packed"))
             doc = np.repeat(np.arange(len(rows)), counts)
             uid = batch.column("uid").to_numpy(zero_copy_only=False)[doc]
-            at, n = packed >> 8, packed & 255
+            at, n = packed >> BITS, packed & COUNT
             if not windows:
                 raw = data.tobytes()
                 start = off[doc] + at
@@ -160,7 +199,7 @@ def _radix(length: int, gram: int):
     """Rows come ordered by anchor; the groups of an anchor are sorted by their bytes."""
 
     def solve(h, uid, packed, bodies):
-        at, n = packed >> 8, packed & 255
+        at, n = packed >> BITS, packed & COUNT
         flat = np.frombuffer(b"".join(bodies), np.uint8)
         base = np.concatenate([[0], np.cumsum(n + length - 1)])[:-1]
         repeat_uid, repeat_start = [], []
@@ -222,10 +261,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     work = Workspace(docs.sparkSession, "suffix")
     texts, once = numbered_texts(docs, id_col, text_col, work)
-    anchors = once.mapInArrow(_anchors(length, gram), "h long, context long, uid long, packed long")
-    sorted_rows = anchors.repartition("h").sortWithinPartitions("h", "context", "uid", "packed")
+    anchors = once.mapInArrow(_anchors(length, gram), "whole boolean, h long, context long, uid long, packed long")
+    sorted_rows = anchors.repartition("h").sortWithinPartitions("whole", "h", "context", "uid", "packed")
     rows = work.save(sorted_rows.mapInArrow(_second_digit(), "whole boolean, h long, uid long, packed long"), "second_digit")
-    whole = rows.filter("whole").select("uid", F.shiftright("packed", 8).alias("start"), (F.shiftright("packed", 8) + F.col("packed").bitwiseAND(255) + length - 1).alias("end"))
+    whole = rows.filter("whole").select("uid", F.shiftright("packed", BITS).alias("start"), (F.shiftright("packed", BITS) + F.col("packed").bitwiseAND(COUNT) + length - 1).alias("end"))
 
     rest = rows.filter("not whole").select("h", "uid", "packed")
     large = rest.groupBy("h").count().filter(F.col("count") > hot).select("h", F.lit(True).alias("large"))
