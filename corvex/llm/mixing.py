@@ -21,7 +21,7 @@ from .kernels import mix64, signed, text_buffers, words
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one task orders to give documents their places.
-ORDERED = 20_000
+ORDERED = 1000
 #: Slots of a shard, at least, and cells of the table of shards and sources, at most.
 SHARD_SLOTS, CELLS = 1024, 1_000_000
 
