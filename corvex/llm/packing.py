@@ -28,7 +28,7 @@ CAPACITY = 2048
 #: Groups of large lengths, and the least large length as a part of the capacity, that are tried.
 SHAPES = ((64, 1 / 4), (128, 1 / 4), (128, 1 / 6), (64, 1 / 3))
 #: Rows that one task ranks.
-RANKED = 20_000
+RANKED = 1000
 
 
 def byte_of() -> dict[str, int]:
