@@ -24,7 +24,7 @@ from .kernels import fixed_binary, min_max, mix64, random64, shingles, signed, s
 
 ROWS = 4
 #: Members of a bucket that are compared as one block, when a bucket is compared across components.
-BLOCK = 1024
+BLOCK = 512
 
 
 def _features(k: int, n_hashes: int):
