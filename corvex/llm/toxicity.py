@@ -31,7 +31,7 @@ SHORTEST, LONGEST = 3, 7
 #: left beyond them scales its share.
 DEVIATIONS = 3.0
 #: Counters of the pieces' documents; a collision can only blur a piece's odds.
-COUNTERS = 1 << 22
+COUNTERS = 1 << 20
 DIM = 4
 #: The mean is multiplied by this before the softmax: a toxic word in fifty moves it by a fiftieth only.
 GAIN = 200.0
@@ -40,9 +40,9 @@ DECAY = 0.03
 INIT = 0.01
 EPOCHS, LEAST_STEPS = 10, 700
 #: Labelled documents that the model is fitted on, at most, of each label: those with the least hash of their id.
-MAX_PER_LABEL = 2000
+MAX_PER_LABEL = 1500
 #: Words that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 BIAS, PRIOR = "", " "
 
 
@@ -69,7 +69,7 @@ def train(texts: list[str], labels: list[int], share_toxic: float, epochs: int =
                 known[w] = np.array([zlib.crc32(p.encode()) % COUNTERS for p in pieces_of(w)], np.int32)
         if words:
             seen[label, np.unique(np.concatenate([known[w] for w in words]))] += 1
-    odds = np.log((seen[1] + 1) / (labels.sum() + 2)) - np.log((seen[0] + 1) / ((1 - labels).sum() + 2))
+    odds = np.log((seen[1] + 1) / np.float32(labels.sum() + 2)) - np.log((seen[0] + 1) / np.float32((1 - labels).sum() + 2))
     certain = np.abs(odds) - DEVIATIONS * np.sqrt(1 / (seen[1] + 1) + 1 / (seen[0] + 1))
     scale = np.where(certain > 0, certain, 0).astype(np.float32)
     strength = {p: float(n) for w, at in known.items() for p, n in zip(pieces_of(w), scale[at]) if n}
