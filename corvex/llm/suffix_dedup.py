@@ -33,7 +33,7 @@ DIGIT = 8
 BITS = 24
 COUNT = (1 << BITS) - 1
 #: Rows that an input task remembers to recognise repeats, before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 
 
 def _anchors(length: int, gram: int):
@@ -45,12 +45,13 @@ def _anchors(length: int, gram: int):
     def known_repeats(known, h, context, uid):
         """Rows that equal, in both digits, one of an earlier document or place that went before."""
         out = np.zeros(len(h), bool)
-        for i, (a, c, u) in enumerate(zip(h.tolist(), context.tolist(), uid.tolist())):
-            had = known.get(a)
+        both = (h.view(np.uint64) ^ mix64(context.view(np.uint64))).tolist()  # with the context, this tells the anchor
+        for i, (k, c, u) in enumerate(zip(both, context.tolist(), uid.tolist())):
+            had = known.get(k)
             if had is not None and had[0] == c and had[1] <= u:
                 out[i] = True
-            elif had is None or had[0] == c:
-                known[a] = (c, u)
+            else:
+                known[k] = (c, u)
         return out
 
     def run(batches):
@@ -140,30 +141,30 @@ def _second_digit():
     return run
 
 
-def _contexts(length: int, windows: bool):
-    """Bytes of the rows' windows; or, for hot anchors, a fingerprint of each window."""
+def _contexts(length: int):
+    """Bytes of the rows' windows; for hot anchors, a row and fingerprint of each window."""
+    schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("uid", pa.int64()), ("packed", pa.int64()), ("body", pa.binary())])
 
     def run(batches):
         for batch in batches:
             data, off = text_buffers(batch.column("text"))
             rows = batch.column("rows")
-            parts = rows.values if not rows.offset else rows.flatten()
-            counts = np.diff(rows.offsets.to_numpy())
-            h, packed = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("h", "packed"))
+            parts, counts = rows.flatten(), np.diff(rows.offsets.to_numpy())
+            h, packed, large = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("h", "packed", "large"))
             doc = np.repeat(np.arange(len(rows)), counts)
             uid = batch.column("uid").to_numpy(zero_copy_only=False)[doc]
             at, n = packed >> BITS, packed & COUNT
-            if not windows:
-                raw = data.tobytes()
-                start = off[doc] + at
-                bodies = [raw[s:e] for s, e in zip(start.tolist(), (start + n + length - 1).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(uid), pa.array(packed), pa.array(bodies, pa.binary())], names=["h", "uid", "packed", "body"])
-                continue
-            for d in np.unique(doc):
-                mine = np.flatnonzero(doc == d)
+            few = np.flatnonzero(~large)
+            for lo in range(0, len(few), 20_000):
+                i = few[lo : lo + 20_000]
+                start = off[doc[i]] + at[i]
+                bodies = [data[s:e].tobytes() for s, e in zip(start.tolist(), (start + n[i] + length - 1).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.nulls(len(i), pa.int64()), pa.array(uid[i]), pa.array(packed[i]), pa.array(bodies, pa.binary())], schema=schema)
+            for d in np.unique(doc[large]):
+                mine = np.flatnonzero(large & (doc == d))
                 prefix = Prefix(data[off[d] : off[d + 1]])
                 start, row = spread(at[mine], n[mine])
-                yield pa.RecordBatch.from_arrays([pa.array(h[mine][row]), pa.array(signed(prefix.hash(start, start + length))), pa.array(uid[mine][row]), pa.array(start)], names=["h", "w", "uid", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[mine][row]), pa.array(signed(prefix.hash(start, start + length))), pa.array(uid[mine][row]), pa.array(start << BITS | 1), pa.nulls(len(row), pa.binary())], schema=schema)
 
     return run
 
@@ -268,25 +269,17 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     rest = rows.filter("not whole").select("h", "uid", "packed")
     large = rest.groupBy("h").count().filter(F.col("count") > hot).select("h", F.lit(True).alias("large"))
-    large = work.save(large, "hot_anchors")
-    parts = [(rest, False)]
-    if not large.isEmpty():
-        marked = rest.join(large, "h", "left")
-        parts = [(marked.filter("large is null"), False), (marked.filter("large"), True)]
-    found = [whole]
-    for part, windows in parts:
-        per_text = part.groupBy("uid").agg(F.collect_list(F.struct("h", "packed")).alias("rows"))
-        with_text = once.join(per_text, "uid").select("uid", "text", "rows")
-        if not windows:
-            bodies = with_text.mapInArrow(_contexts(length, False), "h long, uid long, packed long, body binary")
-            found.append(work.save(bodies.repartition("h").sortWithinPartitions("h").mapInArrow(_radix(length, gram), "uid long, start long, end long"), "repeats"))
-        else:
-            each = work.save(with_text.mapInArrow(_contexts(length, True), "h long, w long, uid long, start long"), "hot_windows")
-            lead = each.groupBy("h", "w").agg(F.min("uid").alias("first"), F.count("*").alias("c")).filter("c > 1")
-            start = each.join(lead, ["h", "w"])
-            inner = start.filter("uid = first").groupBy("h", "w", "uid").agg(F.min("start").alias("start0")).select("h", "w", "start0")
-            start = start.join(inner, ["h", "w"]).filter("uid <> first or start <> start0")
-            found.append(start.select("uid", "start", (F.col("start") + length).alias("end")))
+    marked = rest.join(large, "h", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    per_text = marked.groupBy("uid").agg(F.collect_list(F.struct("h", "packed", "large")).alias("rows"))
+    contexts = once.join(per_text, "uid").select("uid", "text", "rows").mapInArrow(_contexts(length), "h long, w long, uid long, packed long, body binary")
+    contexts = work.save(contexts, "contexts")
+    bodies = contexts.filter("body is not null").select("h", "uid", "packed", "body").repartition("h").sortWithinPartitions("h")
+    found = [whole, bodies.mapInArrow(_radix(length, gram), "uid long, start long, end long")]
+    each = contexts.filter("body is null").select("h", "w", "uid", F.shiftright("packed", BITS).alias("start"))
+    lead = each.groupBy("h", "w").agg(F.min("uid").alias("first"), F.count("*").alias("c")).filter("c > 1")
+    lead = each.join(lead, ["h", "w"]).filter("uid = first").groupBy("h", "w", "first").agg(F.min("start").alias("start0"))
+    again = each.join(lead, ["h", "w"]).filter("uid <> first or start <> start0")
+    found.append(again.select("uid", "start", (F.col("start") + length).alias("end")))
     cuts = found[0]
     for more in found[1:]:
         cuts = cuts.unionByName(more)
