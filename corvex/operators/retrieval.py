@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from .. import plugins
 from ..functions.text import preview, strip, tokens, word_count
+from ..sources.storage import shared_folder
 from .relational import keep_first, top
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -27,19 +28,23 @@ MAX_QUESTIONS = 10_000
 
 
 class KeywordIndex:
-    """postings (key, token, tf, dl), terms (token, df, idf) and stats (n, avgdl, one row)."""
+    """corpus (key, token list t, dl), postings (key, token, tf, dl), terms (token, df, idf) and stats (n, avgdl, one row)."""
 
-    def __init__(self, postings: DataFrame, terms: DataFrame, stats: DataFrame):
-        self.postings, self.terms, self.stats = postings, terms, stats
+    def __init__(self, corpus: DataFrame, postings: DataFrame, terms: DataFrame, stats: DataFrame):
+        self.corpus, self.postings, self.terms, self.stats = corpus, postings, terms, stats
 
 
 def build_index(chunks: DataFrame) -> KeywordIndex:
     """An inverted index of chunks (doc_id, page_number, content); blank ones are left out.
 
-    idf = ln(N - df + .5) - ln(df + .5), and EPSILON times the mean idf where that is negative.
+    idf = ln(N - df + .5) - ln(df + .5), and EPSILON times the mean idf where that is negative. Token
+    lists are cut once and stored in the shared folder, as the other tables and every search read them.
     """
     rows = chunks.filter(F.trim("content") != "").select(*KEY, tokens(F.col("content")).alias("t"))
     rows = rows.withColumn("dl", F.size("t").cast("long"))
+    path = shared_folder(chunks.sparkSession, "corpus")
+    rows.write.parquet(path)
+    rows = chunks.sparkSession.read.schema(rows.schema).parquet(path)
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     postings = rows.select(*KEY, "dl", F.explode("t").alias("token")).groupBy(*KEY, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
@@ -47,7 +52,7 @@ def build_index(chunks: DataFrame) -> KeywordIndex:
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw"))
     terms = raw.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf"))  # mean is one row
-    return KeywordIndex(postings, terms, stats)
+    return KeywordIndex(rows, postings, terms, stats)
 
 
 def keyword_search(index: KeywordIndex, questions: DataFrame, k: int = SPARSE_K, min_score: float = 0.0) -> DataFrame:
@@ -63,9 +68,11 @@ def keyword_search(index: KeywordIndex, questions: DataFrame, k: int = SPARSE_K,
     return top(scored, ["qid", "qno"], [F.desc("bm25_score"), *KEY], k)
 
 
-def dense_search(chunks: DataFrame, questions: DataFrame, k: int = DENSE_K, embed: plugins.Embedder | None = None) -> DataFrame:
+def dense_search(corpus: DataFrame, questions: DataFrame, k: int = DENSE_K, embed: plugins.Embedder | None = None) -> DataFrame:
     """The k nearest chunks of each question by cosine, above 0: qid, qno, key, sim, rank.
 
+    corpus: key and token list t, as an index keeps it.
+
     The questions of a batch are few and their number is checked; every task multiplies blocks of
     chunks with all of them and passes on k candidates a question. A last step takes the best.
     """
@@ -89,7 +96,7 @@ def dense_search(chunks: DataFrame, questions: DataFrame, k: int = DENSE_K, embe
                 if len(order):
                     yield pd.DataFrame({"qid": qid[i], "qno": qno[i], "doc_id": doc[order], "page_number": page[order], "sim": row[order]})
 
-    near = chunks.select(*KEY, tokens(F.col("content")).alias("t")).mapInPandas(run, "qid long, qno int, doc_id long, page_number long, sim double")
+    near = corpus.select(*KEY, "t").mapInPandas(run, "qid long, qno int, doc_id long, page_number long, sim double")
     return top(near, ["qid", "qno"], [F.desc("sim"), *KEY], k)
 
 

@@ -26,7 +26,7 @@ def candidates(chunks: DataFrame, queries: DataFrame, index: R.KeywordIndex | No
     keyword records the whole text and none."""
     index = index or R.build_index(chunks)
     url = F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))
-    dense = R.dense_search(chunks, queries).join(chunks, R.KEY).withColumn("content", F.substring("content", 1, 1000)).withColumn("url", url)
+    dense = R.dense_search(index.corpus, queries).join(chunks, R.KEY).withColumn("content", F.substring("content", 1, 1000)).withColumn("url", url)
     sparse = R.keyword_search(index, queries).join(chunks, R.KEY)
     return R.pool(dense), R.concatenated(sparse)
 

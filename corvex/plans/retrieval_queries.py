@@ -182,7 +182,7 @@ def p1(spark, sf):
 def w5(spark, sf):
     """Equal contents once, then the 8 most similar."""
     chunks, queries = corpus(spark, sf), searches(spark, sf)
-    dense = R.dense_search(chunks, queries).join(chunks, R.KEY).withColumn("content", F.substring("content", 1, 1000))
+    dense = R.dense_search(R.build_index(chunks).corpus, queries).join(chunks, R.KEY).withColumn("content", F.substring("content", 1, 1000))
     one = R.keep_first(dense, ["qid", "content"], ["qno", "rank"])
     return R.top(one, ["qid"], [F.desc("sim"), "qno", "rank"], 8, "place").select("qid", "doc_id", "page_number", "sim", "place")
 
@@ -224,7 +224,7 @@ def r7(spark, sf):
         for b in batches:
             yield b[R.KEY].assign(values=list(embed([list(t) for t in b.t]).astype("float32")))
 
-    v = corpus(spark, sf).select(*R.KEY, X.tokens(F.col("content")).alias("t")).mapInPandas(run, "doc_id long, page_number long, values array<float>")
+    v = R.build_index(corpus(spark, sf)).corpus.select(*R.KEY, "t").mapInPandas(run, "doc_id long, page_number long, values array<float>")
     v = v.withColumn("total", F.aggregate("values", F.lit(0.0), lambda s, x: s + x)).filter("total > 0")
     return v.select(*R.KEY, F.size(F.filter("values", lambda x: x > 0)).cast("long").alias("filled"), "total", F.array_max("values").cast("double").alias("largest"))
 
@@ -232,7 +232,7 @@ def r7(spark, sf):
 @query("r14_combined_answers", f"{ALL} SELECT qid, string_agg('Sub-question ' || qno || ': ' || n || ' hits', chr(10) ORDER BY qno) AS combined FROM (SELECT qid, qno, count(*) AS n FROM dense GROUP BY ALL) GROUP BY qid")
 def r14(spark, sf):
     """Answers of the parts of a question put together in order."""
-    d = R.dense_search(corpus(spark, sf), searches(spark, sf)).groupBy("qid", "qno").agg(F.count("*").alias("n"))
+    d = R.dense_search(R.build_index(corpus(spark, sf)).corpus, searches(spark, sf)).groupBy("qid", "qno").agg(F.count("*").alias("n"))
     line = F.concat(F.lit("Sub-question "), F.col("qno").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" hits"))
     parts = F.array_sort(F.collect_list(F.struct("qno", line.alias("t"))))
     return d.groupBy("qid").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("combined"))

@@ -23,5 +23,30 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Bytes of input for each core below which a table is dealt out.
+SMALL = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores if they come from fewer files than half of those, and small ones.
+
+    A small file of one row group is one task, however many splits it is planned as and however much
+    work its texts are. Large inputs have more row groups than cores and are left without a shuffle.
+    """
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if len(files) * 2 > cores:
+        return df
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]
+    total = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(cores) if total < cores * SMALL else df
+
+
+#: Tables whose rows are work enough to be dealt out.
+HEAVY = {"documents", "pages", "embeddings"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
