@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..registry import table
 from .cdc_dedup import repeated_chunks
 from .chat_format import canonical_turns, chat_digest, format_chat, read_chat
 from .exact_dedup import exact_duplicates
@@ -20,7 +21,7 @@ from .toxicity import toxicity_digest
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,35 +37,35 @@ def removal_digest(cut: DataFrame) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal_digest(repeated_windows(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=100))
+    return removal_digest(repeated_windows(table(spark, sf_dir, "documents"), length=100))
 
 
 def op4_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(table(spark, sf_dir, "documents"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_language(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return identify_language(table(spark, sf_dir, "documents"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing_digest(mix(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return mixing_digest(mix(table(spark, sf_dir, "documents")))
 
 
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity_digest(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal_digest(repeated_chunks(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return removal_digest(repeated_chunks(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
