@@ -97,6 +97,27 @@ def oracle_sql() -> dict[str, str]:
                 FROM t GROUP BY conv_id)
             SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
             FROM g""",
+        "op3_suffix_dedup": """
+            WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+            w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS w FROM (SELECT doc_id, h, unnest(range(0, greatest(0, n - 99))) AS s FROM t)),
+            d AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
+            m AS (SELECT doc_id, s, (s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, -1))::INTEGER AS new FROM d),
+            i AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM m) GROUP BY doc_id, g),
+            p AS (
+                SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM i
+                UNION ALL SELECT t.doc_id, coalesce(max(b), 0), any_value(n) FROM t LEFT JOIN i USING (doc_id) GROUP BY t.doc_id),
+            k AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS kept, any_value(n) AS n_bytes FROM p JOIN t USING (doc_id) GROUP BY doc_id)
+            SELECT k.doc_id, n_bytes, n_bytes - length(kept) // 2 AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+            FROM k LEFT JOIN (SELECT doc_id, count(*) AS spans FROM i GROUP BY doc_id) USING (doc_id)""",
+        "op6_minhash_dedup": f"""
+            WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+            s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM t WHERE len(w) > 0)),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+            l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+            r AS (SELECT doc_id, doc_id AS z FROM t UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.z)
+            SELECT doc_id, coalesce(n, 0) AS n_shingles, z AS component_id, doc_id = z AS kept
+            FROM (SELECT doc_id, min(z) AS z FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)""",
         "op8_topk_search": """
             WITH v AS (
                 SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
