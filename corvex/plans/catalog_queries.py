@@ -345,10 +345,10 @@ def a8(spark, sf):
     return d.select("doc_id", "source").join(c, "doc_id", "left").groupBy("source").agg(F.count("*").alias("pages"), F.sum(n).cast("long").alias("chunks"), F.sum(F.coalesce("w", F.lit(0))).cast("long").alias("words"), F.round(F.avg(n), 6).alias("avg_chunks"), F.max(n).alias("max_chunks"), F.min(n).alias("min_chunks"))
 
 
-@query("a16_chunks_by_document", f"WITH {SQL_CHUNKS} SELECT doc_id, list(page_number ORDER BY page_number) AS pages FROM chunks GROUP BY doc_id")
+@query("a16_chunks_by_document", f"WITH {SQL_CHUNKS} SELECT doc_id, string_agg(page_number, ',' ORDER BY page_number) AS pages FROM chunks GROUP BY doc_id")
 def a16(spark, sf):
     c = C.chunk_documents(table(spark, sf, "documents"))
-    return c.groupBy("doc_id").agg(F.array_sort(F.collect_list("page_number")).alias("pages"))
+    return c.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("page_number")), lambda p: p.cast("string")), ",").alias("pages"))
 
 
 @query("w11_longest", "SELECT source, arg_max(doc_id, (length(text), -doc_id)) AS longest FROM documents GROUP BY source")

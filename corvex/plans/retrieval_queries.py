@@ -236,3 +236,15 @@ def r14(spark, sf):
     line = F.concat(F.lit("Sub-question "), F.col("qno").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" hits"))
     parts = F.array_sort(F.collect_list(F.struct("qno", line.alias("t"))))
     return d.groupBy("qid").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("combined"))
+
+
+@query("r20_typed_context", f"""
+    WITH {SQL_CHUNKS} SELECT doc_id, count(*) AS n_chunks, md5(string_agg((CASE WHEN lang = 'fr' THEN '[Image - Page ' ELSE '[Text - Page ' END) || page_number || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY page_number)) AS context_md5
+    FROM chunks JOIN documents USING (doc_id) WHERE trim(content) <> '' GROUP BY doc_id""")
+def r20(spark, sf):
+    """Context of one answer in the older form: blank chunks skipped, labelled by type and page; French chunks as images."""
+    docs = table(spark, sf, "documents")
+    c = C.chunk_documents(docs).filter(F.trim("content") != "").join(docs.select("doc_id", "lang"), "doc_id")
+    label = F.concat(F.when(F.col("lang") == "fr", "[Image - Page ").otherwise("[Text - Page "), F.col("page_number").cast("string"), F.lit("]\n"), "content")
+    parts = F.array_sort(F.collect_list(F.struct("page_number", label.alias("t"))))
+    return c.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.md5(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n")).alias("context_md5"))

@@ -65,7 +65,7 @@ def f4(spark, sf):
     d = d.select("doc_id", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("n") / 512).cast("int")))).alias("page"))
     d = ordinal(d, ["doc_id", "page"], "i")
     ident = X.identifier(F.concat_ws("-", F.concat(F.lit("doc-"), F.col("doc_id")), F.lit("text"), F.concat(F.lit("page"), F.col("page")), F.col("i")))
-    return d.select("doc_id", "page", ident.alias("vector_id"))
+    return d.select("doc_id", F.col("page").cast("long").alias("page"), ident.alias("vector_id"))
 
 
 @query("f5_url_slug", f"""
