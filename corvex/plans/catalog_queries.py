@@ -113,11 +113,11 @@ def k3(spark, sf):
 
 
 @query("k1_k2_vector_upsert", """
-    SELECT label AS tenant, count(*) AS n, round(sum(CASE WHEN vec_id % 5 = 0 THEN -(embedding[1]::DOUBLE) ELSE embedding[1]::DOUBLE END), 6) AS total FROM embeddings WHERE NOT (label = 3 AND vec_id % 7 = 0) GROUP BY label""")
+    SELECT label AS tenant, count(*) AS n, round(sum(CASE WHEN label < 5 THEN -(embedding[1]::DOUBLE) ELSE embedding[1]::DOUBLE END), 6) AS total FROM embeddings WHERE NOT (label = 3 AND embedding[2] > 0) GROUP BY label""")
 def k1(spark, sf):
-    """Every fifth vector written again, negated; then one document's vectors deleted in one tenant."""
-    v = table(spark, sf, "embeddings").select(F.col("label").alias("tenant"), (F.col("vec_id") % 7).alias("document"), "vec_id", "embedding")
-    new = v.filter("vec_id % 5 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    """Half of the tenants' vectors written again, negated; then one document's vectors deleted in one tenant."""
+    v = table(spark, sf, "embeddings").select(F.col("label").alias("tenant"), F.when(F.element_at("embedding", 2) > 0, 0).otherwise(1).alias("document"), "vec_id", "embedding")
+    new = v.filter("tenant < 5").withColumn("embedding", F.transform("embedding", lambda x: -x))
     v = S.delete_vectors(S.upsert_vectors(v, new, ["tenant", "vec_id"]), F.col("document") == 0, F.col("tenant") == 3)
     return v.groupBy("tenant").agg(F.count("*").alias("n"), F.round(F.sum(F.element_at("embedding", 1).cast("double")), 6).alias("total"))
 
@@ -174,12 +174,12 @@ def k12(spark, sf):
     return L.merge_latest(old, new, ["job_id"]).withColumn("ended", F.col("status").isin("purchase", "logout"))
 
 
-@query("k14_upsert", f"WITH {SQL_JOBS} SELECT coalesce(j.job_id, n.job_id) AS job_id, coalesce(j.status, n.status) AS status, CASE WHEN n.job_id IS NULL THEN j.progress ELSE n.progress END AS progress FROM (SELECT * FROM jobs WHERE job_id % 3 <> 0) j FULL JOIN (SELECT job_id, 'new' AS status, progress FROM news WHERE job_id % 2 = 0) n USING (job_id)")
+@query("k14_upsert", f"WITH {SQL_JOBS} SELECT coalesce(j.job_id, n.job_id) AS job_id, coalesce(j.status, n.status) AS status, CASE WHEN n.job_id IS NULL THEN j.progress ELSE n.progress END AS progress FROM (SELECT * FROM jobs WHERE status <> 'click') j FULL JOIN (SELECT job_id, 'new' AS status, progress FROM news WHERE status IS NOT NULL) n USING (job_id)")
 def k14(spark, sf):
     """On a conflict only progress is updated; RETURNING is the result itself."""
     old, new = jobs(spark, sf)
-    old = old.filter("job_id % 3 <> 0").select("job_id", "status", "progress")
-    new = new.filter("job_id % 2 = 0").select("job_id", F.lit("new").alias("status"), "progress")
+    old = old.filter("status <> 'click'").select("job_id", "status", "progress")
+    new = new.filter("status IS NOT NULL").select("job_id", F.lit("new").alias("status"), "progress")
     return L.upsert(old, new, ["job_id"], ["progress"])
 
 
@@ -208,10 +208,11 @@ def conversations(spark, sf):
     return m, m.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"), F.min("turn").alias("first_turn"))
 
 
-@query("k13_cascade_delete", "SELECT 'conversations' AS side, count(DISTINCT conv_id) AS n FROM conversations WHERE conv_id % 4 <> 1 UNION ALL SELECT 'messages', count(*) FROM conversations WHERE conv_id % 4 <> 1")
+@query("k13_cascade_delete", "SELECT 'conversations' AS side, count(DISTINCT conv_id) AS n FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') UNION ALL SELECT 'messages', count(*) FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')")
 def k13(spark, sf):
+    """Conversations with a system message go, with all their messages."""
     m, c = conversations(spark, sf)
-    gone = c.filter("conv_id % 4 = 1")
+    gone = m.filter("role = 'system'")
     left = [(L.delete_keys(x, gone, ["conv_id"]), side) for x, side in ((c, "conversations"), (m, "messages"))]
     out = [x.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n") for x, side in left]
     return out[0].unionByName(out[1])
@@ -274,14 +275,14 @@ def p8(spark, sf):
 
 @query("p10_p22_resolve", """
     WITH newest AS (SELECT doc_id::VARCHAR AS ident, 'doc-' || doc_id AS slug FROM documents ORDER BY doc_id DESC LIMIT 100),
-    asked AS (SELECT 'doc-' || doc_id AS ref FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id::VARCHAR FROM documents)
+    asked AS (SELECT 'doc-' || doc_id AS ref FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id::VARCHAR FROM documents)
     SELECT ref, coalesce(d.slug, n.slug) AS slug, CASE WHEN coalesce(d.slug, n.slug) IS NOT NULL THEN coalesce(d.source_type, 'pdf') ELSE 'pdf' END AS source_type
     FROM asked LEFT JOIN (SELECT 'doc-' || doc_id AS slug, CASE WHEN source = 'src1' THEN 'web' END AS source_type FROM documents) d ON d.slug = ref LEFT JOIN newest n ON n.ident = ref""")
 def p10(spark, sf):
     """By slug, then by id among the newest 100 documents; that limit is the listing's own."""
     d = table(spark, sf, "documents")
     ident, slug = F.col("doc_id").cast("string"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
-    asked = d.filter("doc_id % 2 = 0").select(slug.alias("ref")).unionByName(d.select(ident.alias("ref")))
+    asked = d.filter("lang = 'en'").select(slug.alias("ref")).unionByName(d.select(ident.alias("ref")))
     by_slug = d.select(slug.alias("ref"), slug.alias("s1"), F.when(F.col("source") == "src1", "web").alias("t"))
     newest = d.orderBy(F.desc("doc_id")).limit(100).select(ident.alias("ref"), slug.alias("s2"))
     out = asked.join(by_slug, "ref", "left").join(newest, "ref", "left")
