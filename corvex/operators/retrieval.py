@@ -6,6 +6,7 @@ that the order of additions can't change an order of results; equal scores go by
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,17 +56,66 @@ def build_index(chunks: DataFrame) -> KeywordIndex:
     return KeywordIndex(rows, postings, terms, stats)
 
 
+def asked_by(questions: DataFrame) -> pd.DataFrame:
+    """The questions of a batch with their tokens, on the driver: their number is checked."""
+    asked = questions.select("qid", "qno", tokens(F.col("text")).alias("t")).limit(MAX_QUESTIONS + 1).toPandas()
+    if len(asked) > MAX_QUESTIONS:
+        raise ValueError(f"more than {MAX_QUESTIONS} questions in a batch")
+    return asked
+
+
+def in_blocks(batches: Iterator[pd.DataFrame], width: int, cells: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Rows in blocks that make at most so many cells with width columns."""
+    step = max(1, cells // max(1, width))
+    for b in batches:
+        for at in range(0, len(b), step):
+            yield b.iloc[at : at + step]
+
+
+def best_rows(scores: np.ndarray, doc: np.ndarray, page: np.ndarray, k: int, above: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of scores the places of its k best above a bound, by score, document and page."""
+    for i, row in enumerate(scores):
+        at = np.flatnonzero(row > above)
+        if len(at) > 4 * k:  # ties at the k-th score stay in
+            at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
+        if len(at):
+            yield i, at[np.lexsort((page[at], doc[at], -row[at]))[:k]]
+
+
 def keyword_search(index: KeywordIndex, questions: DataFrame, k: int = SPARSE_K, min_score: float = 0.0) -> DataFrame:
     """The k best chunks of each question (qid, qno, text) above min_score: qid, qno, key, bm25_score, rank.
 
-    Only postings of the questions' tokens are joined; a token repeated in a question counts again.
+    A token repeated in a question counts again. The questions of a batch and the idf of their tokens
+    go to every task, which scores its chunks against all of them and passes on k candidates a
+    question: chunks are not shuffled, nor is a row made for each match.
     """
-    asked = questions.select("qid", "qno", F.explode(tokens(F.col("text"))).alias("token")).groupBy("qid", "qno", "token").agg(F.count("*").alias("m"))
-    asked = asked.join(index.terms.select("token", "idf"), "token")
-    hits = index.postings.join(asked, "token").crossJoin(F.broadcast(index.stats))
-    part = F.col("m") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("qid", "qno", *KEY).agg(F.round(F.sum(part), 6).alias("bm25_score")).filter(F.col("bm25_score") > min_score)
-    return top(scored, ["qid", "qno"], [F.desc("bm25_score"), *KEY], k)
+    asked = asked_by(questions)
+    qid, qno = asked.qid.to_numpy(), asked.qno.to_numpy()
+    pairs: dict[str, list] = {}
+    for i, t in enumerate(asked.t):
+        for token, m in Counter(t).items():
+            pairs.setdefault(token, []).append((i, m))
+    spark = questions.sparkSession
+    wanted = spark.createDataFrame([(t,) for t in pairs], "token string")
+    idf = {r["token"]: r["idf"] for r in index.terms.join(F.broadcast(wanted), "token").select("token", "idf").collect()}  # bounded by the batch
+    weights = {t: (np.array([i for i, _ in p]), np.array([m * idf[t] * (K1 + 1) for _, m in p])) for t, p in pairs.items() if t in idf}
+    avgdl = index.stats.first()["avgdl"] or 1.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in in_blocks(batches, len(qid)):
+            scores = np.zeros((len(b), len(qid)))
+            for row, t, dl in zip(scores, b.t, b.dl):
+                norm = K1 * (1 - B + B * dl / avgdl)
+                for token, tf in Counter(t).items():
+                    if (w := weights.get(token)) is not None:
+                        row[w[0]] += w[1] * (tf / (tf + norm))
+            scores = np.round(scores, 6).T
+            doc, page = b.doc_id.to_numpy(), b.page_number.to_numpy()
+            for i, at in best_rows(scores, doc, page, k, min_score):
+                yield pd.DataFrame({"qid": qid[i], "qno": qno[i], "doc_id": doc[at], "page_number": page[at], "bm25_score": scores[i, at]})
+
+    found = index.corpus.select(*KEY, "t", "dl").mapInPandas(run, "qid long, qno int, doc_id long, page_number long, bm25_score double")
+    return top(found, ["qid", "qno"], [F.desc("bm25_score"), *KEY], k)
 
 
 def dense_search(corpus: DataFrame, questions: DataFrame, k: int = DENSE_K, embed: plugins.Embedder | None = None) -> DataFrame:
@@ -77,24 +127,19 @@ def dense_search(corpus: DataFrame, questions: DataFrame, k: int = DENSE_K, embe
     chunks with all of them and passes on k candidates a question. A last step takes the best.
     """
     embed = embed or plugins.HashingEmbedder()
-    asked = questions.select("qid", "qno", tokens(F.col("text")).alias("t")).limit(MAX_QUESTIONS + 1).toPandas()
-    if len(asked) > MAX_QUESTIONS:
-        raise ValueError(f"more than {MAX_QUESTIONS} questions in a batch")
+    asked = asked_by(questions)
     qid, qno = asked.qid.to_numpy(), asked.qno.to_numpy()
     q = embed([list(t) for t in asked.t])
     norms = np.linalg.norm(q, axis=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in in_blocks(batches, len(qid)):
             v = embed([list(t) for t in b.t])
             both = norms[:, None] * np.linalg.norm(v, axis=1)[None, :]
             sim = np.round(np.divide(q @ v.T, both, out=np.zeros_like(both), where=both > 0), 6)
             doc, page = b.doc_id.to_numpy(), b.page_number.to_numpy()
-            for i, row in enumerate(sim):
-                order = np.lexsort((page, doc, -row))[:k]
-                order = order[row[order] > 0]
-                if len(order):
-                    yield pd.DataFrame({"qid": qid[i], "qno": qno[i], "doc_id": doc[order], "page_number": page[order], "sim": row[order]})
+            for i, at in best_rows(sim, doc, page, k, 0.0):
+                yield pd.DataFrame({"qid": qid[i], "qno": qno[i], "doc_id": doc[at], "page_number": page[at], "sim": sim[i, at]})
 
     near = corpus.select(*KEY, "t").mapInPandas(run, "qid long, qno int, doc_id long, page_number long, sim double")
     return top(near, ["qid", "qno"], [F.desc("sim"), *KEY], k)
