@@ -10,9 +10,11 @@ from pyspark.sql.window import Window
 def ordinal(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Rows numbered from 0 in the order of the columns, without one task that sees them all.
 
-    Rows are range-partitioned, counted by partition, and numbered from their partition's base.
+    Rows are range-partitioned, counted by partition, and numbered from their partition's base. The
+    number of partitions is given, so adaptive execution can't merge them in one of the two uses.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     base = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(base), F.lit(0))).drop("__n")
