@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, numbered_texts
+from .common import BROADCAST_IDS, Workspace, numbered_texts
 from .cutting import cut
 from .kernels import Prefix, mix64, signed, sliding_min, slices, spread, text_buffers
 
@@ -269,7 +269,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     rest = rows.filter("not whole").select("h", "uid", "packed")
     large = rest.groupBy("h").count().filter(F.col("count") > hot).select("h", F.lit(True).alias("large"))
-    marked = rest.join(large, "h", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    few = large.count() <= BROADCAST_IDS  # hot anchors have more than `hot` rows each, so they are few
+    marked = rest.join(F.broadcast(large) if few else large, "h", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     per_text = marked.groupBy("uid").agg(F.collect_list(F.struct("h", "packed", "large")).alias("rows"))
     contexts = once.join(per_text, "uid").select("uid", "text", "rows").mapInArrow(_contexts(length), "h long, w long, uid long, packed long, body binary")
     contexts = work.save(contexts, "contexts")
