@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query, table
 from ..sources import pdf as P
+from ..sources.pdf import write_pdf
 from .text_queries import sql_words
 
 
@@ -20,7 +21,7 @@ def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = (text or "").split()
             side = 8 + int(doc) % 80
             pixels = random.Random(int(doc)).randbytes(side * side * 3)
-            out.append((f"doc-{doc}", P.write_pdf([" ".join(words[i : i + 400]) for i in range(0, max(1, len(words)), 400)], [(side, side, pixels)])))
+            out.append((f"doc-{doc}", write_pdf([" ".join(words[i : i + 400]) for i in range(0, max(1, len(words)), 400)], [(side, side, pixels)])))
         yield pd.DataFrame(out, columns=["path", "content"])
 
 

@@ -218,11 +218,11 @@ def r7(spark, sf):
 
     import pandas as pd
 
-    embed = plugins.HashingEmbedder()
+    embed, key = plugins.HashingEmbedder(), list(R.KEY)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[R.KEY].assign(values=list(embed([list(t) for t in b.t]).astype("float32")))
+            yield b[key].assign(values=list(embed([list(t) for t in b.t]).astype("float32")))
 
     v = R.build_index(corpus(spark, sf)).corpus.select(*R.KEY, "t").mapInPandas(run, "doc_id long, page_number long, values array<float>")
     v = v.withColumn("total", F.aggregate("values", F.lit(0.0), lambda s, x: s + x)).filter("total > 0")
