@@ -33,7 +33,7 @@ def _features(k: int, n_hashes: int):
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            ids = batch.column("doc_id")
+            ids, uids = batch.column("doc_id"), batch.column("uid")
             for i, j in slices(offsets):
                 off = offsets[i : j + 1] - offsets[i]
                 x, places = shingles(data[offsets[i] : offsets[j]], off, k)
@@ -48,8 +48,8 @@ def _features(k: int, n_hashes: int):
                 grouped = signature.reshape(j - i, n_bands, ROWS).astype(np.uint64)
                 bands = mix64((grouped * (random64(ROWS, 11) | np.uint64(1))).sum(2, dtype=np.uint64) + random64(n_bands, 12))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n), pa.array(signed(sums[:, 0].copy())), pa.array(signed(sums[:, 1].copy())), fixed_binary(signature), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * n_bands), pa.array(signed(bands.ravel())))],
-                    names=["doc_id", "n", "s1", "s2", "sig", "bands"],
+                    [ids.slice(i, j - i), uids.slice(i, j - i), pa.array(n), pa.array(signed(sums[:, 0].copy())), pa.array(signed(sums[:, 1].copy())), fixed_binary(signature), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * n_bands), pa.array(signed(bands.ravel())))],
+                    names=["doc_id", "uid", "n", "s1", "s2", "sig", "bands"],
                 )
 
     return run
@@ -59,7 +59,7 @@ def _sets(k: int):
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            ids = batch.column("doc_id")
+            ids = batch.column("uid")
             for i, j in slices(offsets):
                 x, places = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 sets = [np.unique(x[s:e]).tobytes() for s, e in zip(places[:-1], places[1:])]
@@ -124,6 +124,10 @@ def _across(n_values: int, least: int, percent: int):
     return run
 
 
+def _repeated(rows: DataFrame) -> bool:
+    return not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, n_hashes: int = 48) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -136,12 +140,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     work = Workspace(spark, "minhash")
     texts = docs.select(known_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    repeated = _repeated(texts)
+    # Where ids repeat, each row has a number of its own; the table is written once, so the numbers stay.
+    texts = work.save(texts.withColumn("uid", F.monotonically_increasing_id()), "texts") if repeated else texts.withColumn("uid", F.col("doc_id"))
     n_values = 2 * n_hashes
-    feats = work.save(texts.mapInArrow(_features(k, n_hashes), "doc_id long, n long, s1 long, s2 long, sig binary, bands array<long>"), "features")
-    nodes = feats.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"))
+    feats = work.save(texts.mapInArrow(_features(k, n_hashes), "doc_id long, uid long, n long, s1 long, s2 long, sig binary, bands array<long>"), "features")
+    nodes = feats.filter("n > 0").groupBy("s1", "s2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), F.max("n").alias("n"))
     nodes = work.save(nodes, "nodes")
-    reps = feats.filter("n > 0").join(nodes.select("node", "s1", "s2"), ["s1", "s2"]).filter("doc_id = node")
-    reps = work.save(reps.select("node", "n", "sig", "bands").dropDuplicates(["node"]), "representatives")
+    reps = feats.filter("n > 0").join(nodes.select("node", "s1", "s2"), ["s1", "s2"]).filter("uid = node")
+    reps = work.save(reps.select("node", "n", "sig", "bands"), "representatives")
 
     rows = reps.select("node", "n", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
@@ -153,7 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = work.save(semi_by_id(texts, "doc_id", ends, "node").mapInArrow(_sets(k), "node long, shingles binary"), "sets")
+        sets = work.save(semi_by_id(texts, "uid", ends, "node").mapInArrow(_sets(k), "node long, shingles binary"), "sets")
         joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
         out = work.save(joined.mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
         work.drop(sets)
@@ -168,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = work.save(rest, "unresolved")
     if not rest.isEmpty():
         ends = rest.select("node").distinct()
-        bodies = semi_by_id(texts, "doc_id", ends, "node").mapInArrow(_sets(k), "node long, shingles binary").join(reps.select("node", "sig"), "node")
+        bodies = semi_by_id(texts, "uid", ends, "node").mapInArrow(_sets(k), "node long, shingles binary").join(reps.select("node", "sig"), "node")
         mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(bodies, "node")
         rest = rest.select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "sig", "shingles")
@@ -176,13 +183,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links, work)
-    found = nodes.join(labels, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("comp"))
+    found = nodes.join(labels, "node", "left").select("s1", "s2", "least", F.coalesce("comp", "node").alias("comp"))
+    if repeated:
+        found = found.join(found.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("s1", "s2", F.col("first").alias("comp"))
+    else:
+        found = found.select("s1", "s2", "comp")
     out = feats.select("doc_id", "n", "s1", "s2").join(found, ["s1", "s2"], "left")
     comp = F.coalesce("comp", "doc_id")
     return out.select(shown_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown_id(comp).alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near-duplicates, and all others, with all columns of docs."""
-    marked = near_duplicates(docs, k=k, percent=percent).filter("not kept").select(known_id("doc_id").alias("doc_id"))
-    return anti_by_id(docs, "doc_id", marked.distinct(), "doc_id")
+    """One row of each group of near-duplicates, and all others, with all columns of docs.
+
+    It is the row with the least id; of rows that share that id, the one whose text has the least SHA-256.
+    """
+    if not _repeated(docs.select(known_id("doc_id").alias("doc_id"))):
+        marked = near_duplicates(docs, k=k, percent=percent).filter("not kept").select(known_id("doc_id").alias("doc_id"))
+        return anti_by_id(docs, "doc_id", marked, "doc_id")
+    rows = Workspace(docs.sparkSession, "minhash").save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    marked = near_duplicates(rows, "__row", k=k, percent=percent).select(F.col("doc_id").alias("__row"), "component_id")
+    order = rows.select("__row", known_id("doc_id").alias("id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("sha"))
+    first = marked.join(order, "__row").groupBy("component_id").agg(F.min(F.struct("id", "sha", "__row")).alias("first"))
+    marked = marked.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_anti")
+    return anti_by_id(rows, "__row", marked, "__row").drop("__row")

@@ -135,6 +135,34 @@ def test_near_kept_rows(spark, tiny):
     assert kept == {k[0] for k in near_model(rows, 5, 80) if k[3]}
 
 
+@pytest.fixture(scope="session")
+def shared_ids(spark):
+    """Different texts under one id (null, 7), each with a near copy under an id of its own or the same."""
+    rows = []
+    for i in range(12):
+        t = " ".join(f"t{i}w{j}" for j in range(60))
+        rows += [(None if i % 3 else 7, t, i), (100 + i if i % 2 else None, t + " tail", 50 + i)]
+    rows += [(None, "alone in its words", 90), (7, "also alone in these words", 91), (None, "", 92), (None, None, 93)]
+    rows += [rows[0], rows[2], rows[5]]
+    return spark.createDataFrame(rows, "doc_id long, text string, at int").repartition(5), rows
+
+
+def test_near_texts_that_share_an_id(shared_ids):
+    d, rows = shared_ids
+    assert Counter(map(tuple, near_duplicates(d, k=4).collect())) == near_model(rows, 4, 80)
+
+
+def test_near_kept_rows_where_ids_repeat(shared_ids):
+    d, rows = shared_ids
+    kept = without_near_duplicates(d)
+    assert kept.columns == d.columns
+    got = sorted((NONE if r.doc_id is None else r.doc_id, (r.text or "").removesuffix(" tail")) for r in kept.collect())
+    groups = defaultdict(list)
+    for i, t in pairs([r for r in rows if r[1]]):
+        groups[t.removesuffix(" tail")].append(i)
+    assert got == sorted([(min(ids), t) for t, ids in groups.items()] + [(NONE, "")] * 2)
+
+
 def test_min_max_is_unbiased():
     a, b = kernels.random64(1000, 1), kernels.random64(1200, 1)[200:]
     s = kernels.min_max(np.concatenate([a, b]), np.array([0, 1000, 2000]), 400)
