@@ -79,21 +79,32 @@ def first_sitemap(tried: DataFrame) -> DataFrame:
     return tried.filter(F.size("urls") > 0).groupBy("base").agg(F.min_by("urls", "priority").alias("urls"))
 
 
-def crawl(pages: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFrame:
+def crawl(pages: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     """base, url, depth: pages reached from each site's start over links, breadth first.
 
     pages: url, html. A level is a join of the frontier with the links and an anti-join with what was
-    seen; admissible() says which links count. Only stored pages are results.
+    seen; admissible() says which links count. Only stored pages are results. Links are followed
+    max_depth levels down. Each level is written to a shared folder, so plans don't grow by level.
     """
+    spark = pages.sparkSession
+    path = shared_folder(spark, "crawl")
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
     norm = pages.select(U.normalised(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
     links = F.regexp_extract_all("html", F.lit(r"""<a\s[^>]*href="([^"]*)\""""), F.lit(1))
     edges = norm.select("url", F.explode(links).alias("href")).select("url", U.normalised(U.resolved(F.col("url"), F.col("href"))).alias("to")).distinct()
+    edges = save(edges, "links")
     level = starts.select("base", "start", U.normalised(F.col("start")).alias("url")).withColumn("depth", F.lit(0))
-    seen = level
+    seen = level = save(level, "depth-0")
     for depth in range(1, max_depth + 1):
         nxt = level.join(edges, "url").select("base", "start", F.col("to").alias("url")).filter(U.admissible(F.col("url"), F.col("start"))).distinct()
         level = nxt.join(seen.select("base", "url"), ["base", "url"], "left_anti").withColumn("depth", F.lit(depth))
-        level = level.join(norm.select("url"), "url", "left_semi").select("base", "start", "url", "depth")
+        level = save(level.join(norm.select("url"), "url", "left_semi").select("base", "start", "url", "depth"), f"depth-{depth}")
+        if level.isEmpty():
+            break
         seen = seen.unionByName(level)
     return seen.select("base", "url", "depth")
 

@@ -297,6 +297,13 @@ def test_crawl_depths(spark):
     assert {r.url: r.depth for r in S.crawl(pages, starts, 3).collect()} == {"http://h": 0, "http://h/a": 1, "http://h/b": 1, "http://h/c": 2, "http://h/d": 3}
 
 
+def test_crawl_follows_links_to_depth_5(spark):
+    """The depth of the reference's crawler; the page at depth 6 is beyond it."""
+    pages = spark.createDataFrame([("http://h", '<a href="/p1">')] + [(f"http://h/p{i}", f'<a href="/p{i + 1}"><a href="/">') for i in range(1, 8)], "url string, html string")
+    starts = spark.createDataFrame([("http://h", "http://h")], "base string, start string")
+    assert {r.url: r.depth for r in S.crawl(pages, starts).collect()} == {"http://h": 0} | {f"http://h/p{i}": i for i in range(1, 6)}
+
+
 def test_stream_and_batch_chunks_agree(spark, tiny):
     from corvex import catalog
 
