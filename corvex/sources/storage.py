@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +13,19 @@ from ..functions import urls as U
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where spark.checkpoint.dir points, which all executors see; one below /tmp if it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/corvex-{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder where spark.checkpoint.dir points, which all executors see; it goes when the application ends.
+
+    Where that is unset, it lies in the warehouse, which a cluster shares; a session of one machine
+    (master local) has it in that machine's folder for temporary files.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        alone = re.match(r"local(\[|$)", spark.sparkContext.master)
+        base = f"{tempfile.gettempdir() if alone else spark.conf.get('spark.sql.warehouse.dir')}/corvex-{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> bool:
