@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.storage import shared_folder
+
 
 def ordinal(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Rows numbered from 0 in the order of the columns, without one task that sees them all.
 
-    Rows are range-partitioned, counted by partition, and numbered from their partition's base. The
-    number of partitions is given, so adaptive execution can't merge them in one of the two uses.
+    Rows are range-partitioned and stored with their partition and their place in it, so that counts
+    and numbers come from the same ranges (which Spark draws anew each time); then they are numbered
+    from their partition's base.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    base = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(base), F.lit(0))).drop("__n")
-    return ranged.join(F.broadcast(sizes), "__p").withColumn(name, F.col("__base") + F.col("__i")).drop("__p", "__i", "__base")
+    spark, part, place, base = df.sparkSession, "__p", "__i", "__base"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = ranged.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    path = shared_folder(spark, "ordinal")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("__n")).select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(base))
+    return ranged.join(F.broadcast(sizes), part).withColumn(name, F.col(base) + F.col(place)).drop(part, place, base)
 
 
 def keep_first(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
