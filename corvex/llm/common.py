@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources.storage import remove, shared_folder
 
 #: Stands for a null document id inside an operator; it sorts before every id.
 NULL_ID = -(2**63)
@@ -18,17 +21,17 @@ class Workspace:
     """A folder of its own below spark.checkpoint.dir, for tables that cut lineage.
 
     All executors see the folder, so the loss of an executor costs only the tasks it was running.
+    What is left of it goes when the application ends. Arrow batches are held to few rows and few
+    bytes, so that very long texts stay within a worker's memory: a session's larger limits are
+    lowered for good, as results are computed after an operator has returned.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = f"/tmp/corvex-checkpoints-{spark.sparkContext.applicationId}"
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}", 0
-        # One Arrow batch holds few rows and few bytes, so very long texts stay within a worker's memory.
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+        self.spark, self.root, self.n = spark, shared_folder(spark, name), 0
+        for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)):
+            has = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key))
+            if has is None or not 0 < int(has[1]) <= most:
+                spark.conf.set(key, str(most))
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -41,13 +44,43 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
             for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                if path.getParent() is not None and self.root.split("://")[-1].lstrip("/") in folder:
-                    path.getFileSystem(conf).delete(path, True)
+                if self.root.split("://")[-1].lstrip("/") in folder:
+                    remove(self.spark, folder)
+
+
+#: A key is hot if it has more than so many of a side's rows, and more than one in HOT_SHARE of them all.
+HOT_ROWS, HOT_SHARE = 4096, 10_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counted: str | None = None) -> DataFrame:
+    """left joined with right, which has one row for each key, whatever share of left one key has.
+
+    Of hot keys there are HOT_SHARE at most, so their rows of right are broadcast; the others are
+    joined by a shuffle. Both sides should be stored tables, as they are read twice. counted names a
+    column of right with the key's number of left's rows; without it they are counted here.
+    """
+    total = left.count()
+    if total <= HOT_ROWS:
+        return left.join(right, keys, how)
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    if counted is None:
+        many = left.groupBy(*keys).agg(F.count("*").alias("__count")).filter(F.col("__count") > least).select(*keys)
+        hot = right.join(F.broadcast(many), keys, "left_semi")
+    else:
+        hot = right.filter(F.col(counted) > least)
+    both = left.join(F.broadcast(hot), keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right, keys, how)
+    return both.unionByName(rest)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column's name that is not among columns, whatever their case."""
+    there = {c.lower() for c in columns}
+    while name.lower() in there:
+        name += "_"
+    return name
 
 
 def known_id(name: str) -> Column:
@@ -63,20 +96,42 @@ def held_out(name: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def semi_by_id(docs: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
+def few(ids: DataFrame, work: Workspace, name: str) -> tuple[DataFrame, bool]:
+    """A table of ids, stored, and whether a count proves that it may be broadcast."""
+    ids = work.save(ids, name)
+    return ids, ids.count() <= BROADCAST_IDS
+
+
+def semi_by_id(docs: DataFrame, key: str, ids: DataFrame, name: str, work: Workspace) -> DataFrame:
     """Rows of docs whose key is among ids; ids are broadcast only if a count proves them few."""
-    ids = ids.select(F.col(name).alias("__wanted"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs[key] == ids["__wanted"], "left_semi")
+    wanted = unused("wanted", docs.columns)
+    ids, small = few(ids.select(F.col(name).alias(wanted)), work, "wanted")
+    return docs.join(F.broadcast(ids) if small else ids, F.col(key) == F.col(wanted), "left_semi")
 
 
-def anti_by_id(docs: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
+def anti_by_id(docs: DataFrame, key: str, ids: DataFrame, name: str, work: Workspace) -> DataFrame:
     """Rows of docs whose key is not among ids; ids are broadcast only if a count proves them few."""
-    ids = ids.select(F.col(name).alias("__dropped"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, known_id(key) == ids["__dropped"], "left_anti")
+    dropped = unused("dropped", docs.columns)
+    ids, small = few(ids.select(F.col(name).alias(dropped)), work, "dropped")
+    return docs.join(F.broadcast(ids) if small else ids, known_id(key) == F.col(dropped), "left_anti")
+
+
+#: Parts whose sizes one task adds up in order.
+SUMMED = 1000
+
+
+def with_bases(parts: DataFrame, keys: list[str], part: str, size: str) -> DataFrame:
+    """parts, one row for each keys and part (from 0), with base: the sum of size over the earlier parts of its keys.
+
+    Runs of SUMMED parts are added up first, so a key with very many parts is not one task's.
+    """
+    run = F.floor(F.col(part) / SUMMED)
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = parts.groupBy(*keys, run.alias("__run")).agg(F.sum(size).alias("__size"))
+    runs = runs.select(*keys, "__run", F.coalesce(F.sum("__size").over(before(keys, "__run")), F.lit(0)).alias("__base"))
+    within = F.coalesce(F.sum(size).over(before([*keys, "__run"], part)), F.lit(0))
+    out = parts.withColumn("__run", run).withColumn("__within", within).join(runs, [*keys, "__run"])
+    return out.withColumn("base", F.col("__base") + F.col("__within")).drop("__run", "__base", "__within")
 
 
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -88,16 +143,19 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct()
     both = work.save(both, "edges")
-    labels = work.save(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    labels = work.save(labels.select("node", F.least("node", "m").alias("comp"), "degree"), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "comp"), "v").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("near"))
-        new = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("to"))
+        near = join_hot(both, labels.select(F.col("node").alias("v"), "comp", "degree"), ["v"], counted="degree").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("near"))
+        new = work.save(labels.join(near, "node").select("node", "degree", "comp", F.least("comp", "near").alias("to")), "nearer")
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("jump"))
-        new = new.join(jump, "to").select("node", F.col("comp").alias("was"), F.least("to", "jump").alias("comp"))
-        new = work.save(new, "labels")
-        labels = new.select("node", "comp")
-        if new.filter("was <> comp").isEmpty():
-            return labels
+        jumped = join_hot(new, jump, ["to"]).select("node", "degree", F.col("comp").alias("was"), F.least("to", "jump").alias("comp"))
+        jumped = work.save(jumped, "labels")
+        work.drop(new, labels)
+        labels = jumped.select("node", "comp", "degree")
+        if jumped.filter("was <> comp").isEmpty():
+            work.drop(both)
+            return labels.select("node", "comp")
 
 
 def numbered_texts(docs: DataFrame, id_col: str, text_col: str, work: Workspace) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import shown_id
 from .kernels import merged, text_buffers
 
+#: A range of a text's bytes is one number: its start, and in so many bits its length.
+BITS = 24
+COUNT = (1 << BITS) - 1
+
 
 def _cut(least: int, whole_characters: bool):
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])

@@ -1,12 +1,16 @@
 """Numpy kernels over Arrow buffers: byte strings, words, shingles and their hashes.
 
-Hashes of byte ranges come from prefix sums of a polynomial modulo 2**64 over randomised byte
-values, finished by a mixer, so any range costs two look-ups.
+Two kinds of hashes. Those that decide whether things are equal are BLAKE2b digests: of words, of
+chunks, of the bytes around an anchor. Those of Prefix come from sums of a polynomial modulo 2**64
+over randomised byte values, so any range costs two look-ups; such a hash may only group or order
+what is compared afterwards, as texts can be made that collide under it.
 """
 
 from __future__ import annotations
 
+import re
 import sys
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -110,25 +114,58 @@ def words(data: np.ndarray, offsets: np.ndarray):
     return start, end, np.searchsorted(start, offsets)
 
 
+UPPER = bytes(range(65, 91))
+LOWERED = bytes.maketrans(UPPER, UPPER.lower())
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Distinct words that a worker remembers the numbers of, before it starts afresh; bytes of text cut into words at once.
+REMEMBERED, PIECE = 400_000, 4 << 20
+
+
+class WordNumbers(dict):
+    """The first 64 bits of a word's BLAKE2b digest, by word."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        out = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return out
+
+
+def word_numbers(raw: bytes, known: WordNumbers) -> np.ndarray:
+    """Numbers of the words [^\\x20\\x09-\\x0D]+ of a text in order."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(raw):
+        gap = GAP.search(raw, at + PIECE) if len(raw) - at > PIECE else None
+        end = gap.end() if gap else len(raw)
+        found = raw[at:end].split()
+        out.append(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
+        at = end
+    return np.concatenate(out)
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int):
     """Hashes of the k-word shingles in order, and each document's place among them.
 
     ASCII capitals count as small letters. A document of 1 to k-1 words has its whole sequence as
-    its one shingle; one without words has none.
+    its one shingle; one without words has none. Words have strong hashes, which are mixed one after
+    another, so no two sequences collide but by chance.
     """
-    lower, _ = byte_classes()
-    data = lower[data]
-    start, end, place = words(data, offsets)
-    n, counts = len(start), np.diff(place)
+    known = cached("word numbers", WordNumbers)
+    raw = data.tobytes().translate(LOWERED)
+    texts = [word_numbers(raw[s:e], known) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    counts = np.array([len(t) for t in texts], np.int64)
+    place = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    n = int(place[-1])
     h = np.zeros(n + k, np.uint64)
-    h[:n] = Prefix(data).hash(start, end)
+    if n:
+        np.concatenate(texts, out=h[:n])
     left = np.repeat(place[1:], counts) - np.arange(n)
-    x = np.zeros(n, np.uint64)
-    for j, c in enumerate(random64(k, 77) | np.uint64(1)):
-        x += np.where(left > j, h[j : n + j], np.uint64(0)) * c
+    x = np.full(n, k, np.uint64)
+    for j in range(k):
+        x = mix64(x + np.where(left > j, h[j : n + j], np.uint64(j + 1)))
     whole = np.zeros(n, bool)
     whole[place[:-1][counts > 0]] = True
-    x = mix64(x)[(left >= k) | whole]
+    x = x[(left >= k) | whole]
     sizes = np.where(counts > 0, np.maximum(counts - k + 1, 1), 0)
     return x, np.concatenate([[0], np.cumsum(sizes)])
 
@@ -176,6 +213,27 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.arange(len(row)) - before[row] + starts[row], row
 
 
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """BLAKE2b digests, of 128 bits, of ranges of raw."""
+    return [blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist())]
+
+
+def digest_columns(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests as two columns of signed 64-bit numbers."""
+    both = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def joined_runs(doc: np.ndarray, at: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adjoining ranges (in order, n long from at) of one document as one, none longer than most: doc, at, n."""
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + n[:-1])
+    start = np.flatnonzero(new)
+    doc, at, n = doc[start], at[start], np.add.reduceat(n, start) if len(n) else n
+    part, row = spread(np.zeros(len(n), np.int64), -(-n // most))
+    return doc[row], at[row] + part * most, np.minimum(n[row] - part * most, most)
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of intervals as maximal runs; runs that touch become one."""
     if not len(starts):
