@@ -19,6 +19,7 @@ TURNS = "array<struct<role:string,text:string>>"
 
 #: Field paths of a layout, and the turns they give. A turn is a role and the fields whose texts are
 #: joined by an empty line, empty ones left out; "each" names an array with the paths of role and text.
+#: "roles" has a layout's own names of roles; all other layouts' roles stay as they are.
 LAYOUTS = {
     "prompt/response": (("prompt", "response"), [("user", ("prompt",)), ("assistant", ("response",))]),
     "prompt/completion": (("prompt", "completion"), [("user", ("prompt",)), ("assistant", ("completion",))]),
@@ -27,11 +28,9 @@ LAYOUTS = {
     "instruction/input/output": (("input", "instruction", "output"), [("user", ("instruction", "input")), ("assistant", ("output",))]),
     "system/instruction/output": (("instruction", "output", "system"), [("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",))]),
     "messages": (("messages[].content", "messages[].role"), {"each": ("messages", "role", "content")}),
-    "conversations": (("conversations[].from", "conversations[].value"), {"each": ("conversations", "from", "value")}),
+    "conversations": (("conversations[].from", "conversations[].value"), {"each": ("conversations", "from", "value"), "roles": {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant"}}),
     "rows": (("conv_id", "role", "text", "turn"), {"rows": ("conv_id", "turn", "role", "text")}),
 }
-#: Names of roles in other layouts.
-ROLES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant"}
 
 
 def fingerprint(paths) -> str:
@@ -66,10 +65,10 @@ def layout_of(schema: T.StructType) -> str:
     return max(whole, key=lambda name: len(LAYOUTS[name][0]))
 
 
-def _role(c: Column) -> Column:
+def _role(c: Column, names: dict[str, str]) -> Column:
     c = F.coalesce(c.cast("string"), F.lit(""))
     out = c
-    for other, own in ROLES.items():
+    for other, own in names.items():
         out = F.when(c == other, own).otherwise(out)
     return out
 
@@ -77,7 +76,7 @@ def _role(c: Column) -> Column:
 def _turns(mapping, field, array) -> Column:
     """field(name): a text column; array(name, role, text): an array column of role and text."""
     if isinstance(mapping, dict):
-        return F.transform(array(*mapping["each"]), lambda m: F.struct(_role(m["role"]).alias("role"), F.coalesce(m["text"], F.lit("")).alias("text")))
+        return F.transform(array(*mapping["each"]), lambda m: F.struct(_role(m["role"], mapping.get("roles", {})).alias("role"), F.coalesce(m["text"], F.lit("")).alias("text")))
     turns = []
     for role, names in mapping:
         text = F.array_join(F.filter(F.array(*(F.coalesce(field(n), F.lit("")) for n in names)), lambda x: x != ""), "\n\n")
@@ -97,7 +96,7 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     if name == "rows":
         conv, turn, role, text = (F.col(c) for c in mapping["rows"])
         each = F.struct(turn.alias("turn"), F.coalesce(role.cast("string"), F.lit("")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-        turns = F.transform(F.array_sort(F.collect_list(each)), lambda t: F.struct(_role(t["role"]).alias("role"), t["text"].alias("text")))
+        turns = F.transform(F.array_sort(F.collect_list(each)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
         return df.groupBy(conv.alias("conv_id")).agg(turns.alias("turns"))
     array = lambda a, r, t: F.transform(F.coalesce(F.col(a), F.array().cast(df.schema[a].dataType)), lambda m: F.struct(m[r].cast("string").alias("role"), m[t].cast("string").alias("text")))
     return df.select(F.col(id_col).alias("conv_id"), _turns(mapping, lambda n: F.col(n).cast("string"), array).alias("turns"))
