@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, known_id, shown_id
+from .common import Workspace, known_id, shown_id, with_bases
 from .kernels import cached
 
 CAPACITY = 2048
 #: Groups of large lengths, and the least large length as a part of the capacity, that are tried.
 SHAPES = ((64, 1 / 4), (128, 1 / 4), (128, 1 / 6), (64, 1 / 3))
-#: Rows that one task ranks.
-RANKED = 1000
+#: Pieces of one length that are ranked together, some.
+RANKED = 250
 
 
 def byte_of() -> dict[str, int]:
@@ -38,16 +38,48 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+#: What the faster library does, in the terms of a `tokenizers` file: a file that says anything else is left to `tokenizers`.
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+#: Fixed value: the pattern that `use_regex` stands for.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 def load_encoding(path: str):
-    """A byte-level BPE vocabulary file of `tokenizers` for the faster library; the ids are the same."""
+    """A byte-level BPE vocabulary file of `tokenizers` for a faster library; None if its settings are other than that can do."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    plain = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    same = spec["normalizer"] is None and all((spec["pre_tokenizer"] or {}).get(k) == v for k, v in SPLIT.items())
+    same &= all(spec["model"].get(k) == v for k, v in MODEL.items()) and all(t.get(k) == v for t in spec["added_tokens"] for k, v in plain.items())
+    if not same:
+        return None
     letters, added = byte_of(), {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("from-file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    return tiktoken.Encoding("from-file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+
+def encoder(path: str):
+    """Texts to token ids as `tokenizers` gives them, without special tokens added.
+
+    The faster library gives the same ids, but its pattern can't backtrack over a million white
+    spaces or so: what it refuses, and all texts of a file that it can't read, goes to `tokenizers`.
+    """
+    from tokenizers import Tokenizer
+
+    fast, exact = load_encoding(path), Tokenizer.from_file(path)
+
+    def encode(text: str) -> list[int]:
+        if fast is not None:
+            try:
+                return fast.encode(text, allowed_special="all")
+            except ValueError:
+                pass
+        return exact.encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def piece_starts(n: int, capacity: int) -> list[int]:
@@ -58,15 +90,15 @@ def piece_starts(n: int, capacity: int) -> list[int]:
 
 def _tokenise(path: str, capacity: int):
     def run(batches):
-        encoding = cached(("encoding", path), lambda: load_encoding(path))
+        encode = cached(("encoder", path), lambda: encoder(path))
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.array([*encoding.encode(text or "", allowed_special="all"), 0], "<u4")
+            for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
+                ids = np.array([*encode(text or ""), 0], "<u4")
                 starts = piece_starts(len(ids), capacity)
                 for i, (s, e) in enumerate(zip(starts, [*starts[1:], len(ids)])):
-                    rows.append((doc, i, s, e - s, zlib.crc32(ids[s:e].tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc, i, s, e - s, zlib.crc32(ids[s:e].tobytes()), row))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
     return run
 
@@ -217,7 +249,16 @@ def plan(counts: dict[int, int], capacity: int, n_groups: int, least: float) ->
 
 
 def best_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple]]:
-    return min((plan(counts, capacity, *shape) for shape in SHAPES), key=lambda p: sum(n for n, _ in p))
+    """The plan with the fewest bins of those tried; one that fills its bins as far as can be ends the search."""
+    least, best = -(-sum(n * c for n, c in counts.items()) // capacity), None
+    for shape in SHAPES:
+        found = plan(counts, capacity, *shape)
+        bins = sum(n for n, _ in found)
+        if best is None or bins < best[0]:
+            best = bins, found
+        if bins == least:
+            break
+    return best[1]
 
 
 def slots(classes: list[tuple[int, tuple]]) -> list[tuple[int, int, int, int]]:
@@ -242,18 +283,19 @@ def _place(table):
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             at = np.searchsorted(keys, length << 44 | rank, "right") - 1
             sequence = rows[at, 2] + rank - rows[at, 1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(rows[at, 3])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(rows[at, 3]), batch.column("row")], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "row"])
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, row.
 
     A document is its token ids and then id 0. Only one longer than the capacity is cut, into full
     pieces; its first one may be shorter. Null and empty texts are the one token 0. Null ids stay
-    null; repeated rows are documents of their own. Other columns of docs are not read. An empty
-    table gives an empty result.
+    null; repeated rows are documents of their own: row numbers the rows of docs (in no order), so
+    row and piece name a piece where ids repeat. Other columns of docs are not read. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
@@ -261,17 +303,16 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
-    texts = docs.select(known_id("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = work.save(texts.mapInArrow(_tokenise(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    texts = docs.select(known_id("doc_id").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    pieces = work.save(texts.mapInArrow(_tokenise(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, row long"), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     rows = np.array(slots(best_plan(counts, capacity)) if counts else np.zeros((0, 4)), np.int64).reshape(-1, 4)
     chunks = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in counts.items()], "length long, chunks long")
-    turn = F.xxhash64("doc_id", "piece", "ids_crc32")
+    turn = F.xxhash64("row", "piece")
     dealt = pieces.join(F.broadcast(chunks), "length").withColumn("turn", turn).withColumn("chunk", F.pmod("turn", "chunks"))
-    sizes = dealt.groupBy("length", "chunk").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    within = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("turn", "doc_id", "piece", "ids_crc32")) - 1
+    sizes = with_bases(dealt.groupBy("length", "chunk").agg(F.count("*").alias("n")), ["length"], "chunk", "n")
+    within = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("turn", "row", "piece")) - 1
     ranked = dealt.withColumn("within", within).join(sizes.select("length", "chunk", "base"), ["length", "chunk"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("within")).alias("rank"))
-    out = ranked.mapInArrow(_place(spark.sparkContext.broadcast(rows)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "row", (F.col("base") + F.col("within")).alias("rank"))
+    out = ranked.mapInArrow(_place(spark.sparkContext.broadcast(rows)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, row long")
     return out.withColumn("doc_id", shown_id(F.col("doc_id")))
