@@ -14,13 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Workspace, held_out, known_id, shown_id
 
 LETTERS = r"[^\W\d_]+"
 LONGEST = 5
-#: Documents that the model is fitted on, at most: those with the least hash of their id.
-MAX_DOCS = 4000
+#: Documents that the model is fitted on, at most, each language having an equal share: distinct texts with the
+#: least hash, of so many characters at most.
+MAX_DOCS, MAX_CHARS = 4000, 20_000
 #: Words that a worker remembers before it starts afresh.
 REMEMBERED = 300_000
 
@@ -101,8 +103,9 @@ def _predict(model_of):
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score (share of the best language).
 
-    The model learns from at most max_docs rows that are not held out (crc32 of the id as text,
-    modulo 5, is not 0) and have text and a language. Null text, text without letters, and every
+    The model learns from rows that are not held out (crc32 of the id as text, modulo 5, is not 0)
+    and have text and a language: at most max_docs distinct texts, as many of each language, none
+    longer than MAX_CHARS. Of more than max_docs languages the most frequent are learned. Null text, text without letters, and every
     text if there is nothing to learn from: 'und' with score 0. Equal scores: the language that is
     first by code point. Repeated rows are scored alike; null ids stay null. Other columns of docs,
     whatever their names, are not read. An empty table gives an empty result.
@@ -112,12 +115,15 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(known_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     texts = texts.withColumn("held_out", held_out_of("doc_id"))
     usable = texts.filter(~F.col("held_out") & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    last = usable.select(*(c.alias(n) for c, n in zip(order, ("a", "b")))).orderBy("a", "b").limit(max_docs).agg(F.max(F.struct("a", "b")).alias("m")).first()["m"]
-    rows = []
-    if last is not None:
-        chosen = usable.filter(F.struct(order[0].alias("a"), order[1].alias("b")) <= F.struct(F.lit(last["a"]).alias("a"), F.lit(last["b"]).alias("b"))).limit(2 * max_docs)
-        rows = [(r["lang"], r["text"]) for r in chosen.select("lang", "text").toLocalIterator()]
+    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_docs)
+    n_langs, rows = langs.count(), []
+    if n_langs:
+        short = usable.filter(F.length("text") <= MAX_CHARS).withColumn("t", F.xxhash64("text"))
+        each = short.groupBy("lang", "t").agg(F.min("doc_id").alias("doc_id"))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("t", "doc_id"))
+        some = each.withColumn("place", place).filter(F.col("place") <= max(1, max_docs // n_langs)).join(F.broadcast(langs.select("lang")), "lang", "left_semi").drop("place")
+        chosen = short.join(F.broadcast(some), ["lang", "t", "doc_id"], "left_semi").dropDuplicates(["lang", "t"])  # max_docs rows at most
+        rows = [(r["lang"], r["text"]) for r in chosen.select("lang", "text").collect()]
     model = spark.sparkContext.broadcast(Model(rows))
     out = texts.select("doc_id", "held_out", "text").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
     return out.withColumn("doc_id", shown_id(F.col("doc_id")))
