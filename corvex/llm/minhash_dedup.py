@@ -7,9 +7,12 @@ similarity 0.8 shares one of 24 bands but for 3 in a million.
 Documents with the same shingle set collapse first and go on as one node. In a bucket, the member
 that shares most buckets with others (the hub) is compared with each other member, which makes a
 number of pairs linear in the bucket. Only where a bucket then still spans several components are
-its members compared across components, block against block within a task, which hands on confirmed
-links alone; pairs whose signatures rule a similarity of 0.8 out (five standard deviations) are
-passed over. Every link is confirmed on the full shingle sets.
+its members compared across components, block against block: first their signatures alone, which
+tell the members that may have a partner in the other block (pairs whose signatures rule a
+similarity of 0.8 out by five standard deviations are passed over), then the full sets of those
+members, within the task, which hands on confirmed links alone. Blocks are bounded in members and in
+shingles. Every link is confirmed on the full shingle sets, of 64-bit hashes mixed from BLAKE2b
+numbers of words.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, anti_by_id, components, known_id, semi_by_id, shown_id
+from .common import Workspace, anti_by_id, components, join_hot, known_id, semi_by_id, shown_id, unused
 from .kernels import fixed_binary, min_max, mix64, random64, shingles, signed, slices, text_buffers
 
 ROWS = 4
-#: Members of a bucket that are compared as one block, when a bucket is compared across components.
-BLOCK = 512
+#: Members and shingles of a block, some, when a bucket is compared across components.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 
 
 def _features(k: int, n_hashes: int):
@@ -83,41 +86,67 @@ def _confirm(percent: int):
     return run
 
 
-def _across(n_values: int, least: int, percent: int):
-    """Links between different components of one bucket, block against block.
+def _sides(pdf):
+    """The two blocks of a group; both are the same one where a block is compared with itself."""
+    left, right = (pdf[pdf.side == s] for s in (0, 1))
+    return (left, right) if len(left) and len(right) else (left, left) if len(left) else (right, right)
+
+
+def _may_be_near(left, right, n_values: int, least: int, percent: int, band: int):
+    """For each row of left, the rows of right in another component that signatures and sizes don't rule out.
 
-    Pairs whose signatures rule the similarity out are skipped; the others are confirmed on their
-    full sets right here, each in the first band that both share, so no pair leaves unconfirmed.
+    A pair counts in the first band that both share, so that one bucket alone compares its sets.
     """
+    sig = [np.frombuffer(b"".join(t.sig), np.uint32).reshape(len(t), n_values) for t in (left, right)]
+    comp, sizes = [t.comp.to_numpy() for t in (left, right)], [t.n.to_numpy() for t in (left, right)]
+    for i in range(len(left)):
+        same = sig[1] == sig[0][i]
+        near = (comp[1] != comp[0][i]) & (same.sum(1) >= least)
+        near &= 100 * np.minimum(sizes[1], sizes[0][i]) >= percent * np.maximum(sizes[1], sizes[0][i])
+        if near.any():
+            near &= same.reshape(len(same), -1, ROWS).all(2).argmax(1) == band
+        yield near
+
 
-    def run(_key, pdf):
+def _candidates(n_values: int, least: int, percent: int):
+    """The members of two blocks that may have a partner in the other one, by their signatures."""
+
+    def run(pdf):
+        left, right = _sides(pdf)
+        paired = [np.zeros(len(left), bool), np.zeros(len(right), bool)]
+        for i, near in enumerate(_may_be_near(left, right, n_values, least, percent, int(pdf.band.iloc[0]))):
+            paired[0][i] = near.any()
+            paired[1] |= near
+        if left is right:
+            return left[paired[0] | paired[1]]
         import pandas as pd
 
-        left, right = (pdf[pdf.side == s] for s in (0, 1))
-        if not len(right):
-            right = left
-        if not len(left):
-            left = right
-        band = int(pdf.band.iloc[0])
-        sig = [np.frombuffer(b"".join(t.sig), np.uint32).reshape(len(t), n_values) for t in (left, right)]
-        node, comp = [t.node.to_numpy() for t in (left, right)], [t.comp.to_numpy() for t in (left, right)]
+        return pd.concat([left[paired[0]], right[paired[1]]])
+
+    return run
+
+
+def _across(n_values: int, least: int, percent: int):
+    """Links between different components of one bucket, block against block, on full sets."""
+
+    def run(pdf):
+        import pandas as pd
+
+        left, right = _sides(pdf)
+        node = [t.node.to_numpy() for t in (left, right)]
         sets = [[np.frombuffer(x, np.uint64) for x in t.shingles] for t in (left, right)]
-        sizes = [np.array([len(x) for x in s]) for s in sets]
+        sizes = np.array([len(x) for x in sets[1]])
         known, ids = np.unique(np.concatenate(sets[1]), return_inverse=True)
-        starts, mark = np.concatenate([[0], np.cumsum(sizes[1])])[:-1], np.zeros(len(known), np.int64)
+        starts, mark = np.concatenate([[0], np.cumsum(sizes)])[:-1], np.zeros(len(known), np.int64)
         pairs = set()
-        for i in range(len(left)):
-            same = sig[1] == sig[0][i]
-            near = (comp[1] != comp[0][i]) & (same.sum(1) >= least)
-            near &= 100 * np.minimum(sizes[1], sizes[0][i]) >= percent * np.maximum(sizes[1], sizes[0][i])
-            near &= same.reshape(len(same), -1, ROWS).all(2).argmax(1) == band
+        for i, near in enumerate(_may_be_near(left, right, n_values, least, percent, int(pdf.band.iloc[0]))):
             if near.any():
                 at = np.minimum(np.searchsorted(known, sets[0][i]), len(known) - 1)
                 at = at[known[at] == sets[0][i]]
                 mark[at] = 1
                 both = np.add.reduceat(mark[ids], starts)
                 mark[at] = 0
-                near &= 100 * both >= percent * (sizes[1] + sizes[0][i] - both)
+                near &= 100 * both >= percent * (sizes + len(sets[0][i]) - both)
                 pairs.update((min(node[0][i], y), max(node[0][i], y)) for y in node[1][near])
         return pd.DataFrame(sorted(pairs), columns=["a", "b"]).astype("int64")
 
@@ -145,50 +174,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = work.save(texts.withColumn("uid", F.monotonically_increasing_id()), "texts") if repeated else texts.withColumn("uid", F.col("doc_id"))
     n_values = 2 * n_hashes
     feats = work.save(texts.mapInArrow(_features(k, n_hashes), "doc_id long, uid long, n long, s1 long, s2 long, sig binary, bands array<long>"), "features")
-    nodes = feats.filter("n > 0").groupBy("s1", "s2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), F.max("n").alias("n"))
+    nodes = feats.filter("n > 0").groupBy("s1", "s2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = work.save(nodes, "nodes")
-    reps = feats.filter("n > 0").join(nodes.select("node", "s1", "s2"), ["s1", "s2"]).filter("uid = node")
-    reps = work.save(reps.select("node", "n", "sig", "bands"), "representatives")
+    # By uid, which no two rows share, so that the copies of one text don't meet in a task.
+    reps = feats.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "n", "sig", "bands")
+    reps = work.save(reps, "representatives")
 
     rows = reps.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    members = work.save(rows.join(shared, "key"), "members")
+    shared = work.save(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
+    members = work.save(join_hot(rows, shared, ["key"], counted="c"), "members")
     score = members.groupBy("node").agg(F.sum("c").alias("score"))
-    hubs = members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", F.bitwise_not("node").alias("turned"), "n", "node")).alias("h"))
-    first = members.join(hubs, "key").filter("node <> h.node").filter(F.lit(100) * F.least("n", "h.n") >= F.lit(percent) * F.greatest("n", "h.n"))
+    hubs = members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", F.bitwise_not("node").alias("turned"), "n", "node")).alias("h"), F.count("*").alias("size"))
+    hubs = work.save(hubs, "hubs")
+    first = join_hot(members, hubs, ["key"], counted="size").filter("node <> h.node").filter(F.lit(100) * F.least("n", "h.n") >= F.lit(percent) * F.greatest("n", "h.n"))
     first = work.save(first.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), "pairs")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = work.save(semi_by_id(texts, "uid", ends, "node").mapInArrow(_sets(k), "node long, shingles binary"), "sets")
-        joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-        out = work.save(joined.mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
-        work.drop(sets)
-        return out
-
-    links = confirmed(first)
+    ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = work.save(semi_by_id(texts, "uid", ends, "node", work).mapInArrow(_sets(k), "node long, shingles binary"), "sets")
+    joined = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    links = work.save(joined.mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
+    work.drop(sets, first)
     labels = components(links, work)
+
     least = int(n_values * percent / 100 - 5 * np.sqrt(n_values * percent / 100 * (1 - percent / 100)))
-    named = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi and size > 2")
-    rest = named.join(open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").select("key", "band", "node", "comp", "blocks")
-    rest = work.save(rest, "unresolved")
-    if not rest.isEmpty():
-        ends = rest.select("node").distinct()
-        bodies = semi_by_id(texts, "uid", ends, "node").mapInArrow(_sets(k), "node long, shingles binary").join(reps.select("node", "sig"), "node")
-        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        rest = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(bodies, "node")
-        rest = rest.select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "sig", "shingles")
-        more = work.save(rest.groupBy("key", "i", "j").applyInPandas(_across(n_values, least, percent), "a long, b long").distinct(), "links")
+    named = work.save(members.join(labels, "node", "left").select("key", "band", "node", "n", F.coalesce("comp", "node").alias("comp")), "named")
+    work.drop(members)
+    open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("lo <> hi and size > 2")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    open_keys = work.save(open_keys.select("key", "size", blocks.alias("blocks")), "open")
+    if not open_keys.isEmpty():
+        rest = join_hot(named, open_keys, ["key"], counted="size").join(reps.select("node", "sig"), "node")
+        rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("mine") <= F.col("other"), 0).otherwise(1)
+        rest = rest.select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "node", "comp", "n", "sig")
+        may = work.save(rest.groupBy("key", "i", "j").applyInPandas(_candidates(n_values, least, percent), rest.schema), "candidates")
+        ends = may.select("node").distinct()
+        sets = work.save(semi_by_id(texts, "uid", ends, "node", work).mapInArrow(_sets(k), "node long, shingles binary"), "sets")
+        more = may.join(sets, "node").groupBy("key", "i", "j").applyInPandas(_across(n_values, least, percent), "a long, b long").distinct()
+        more = work.save(more, "links")
+        work.drop(sets, may)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links, work)
-    found = nodes.join(labels, "node", "left").select("s1", "s2", "least", F.coalesce("comp", "node").alias("comp"))
+    work.drop(named)
+    found = nodes.join(labels, "node", "left").select("s1", "s2", "least", "copies", F.coalesce("comp", "node").alias("comp"))
     if repeated:
-        found = found.join(found.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("s1", "s2", F.col("first").alias("comp"))
-    else:
-        found = found.select("s1", "s2", "comp")
-    out = feats.select("doc_id", "n", "s1", "s2").join(found, ["s1", "s2"], "left")
+        found = work.save(found, "found")
+        found = join_hot(found, found.groupBy("comp").agg(F.min("least").alias("first")), ["comp"]).select("s1", "s2", "copies", F.col("first").alias("comp"))
+    found = work.save(found.select("s1", "s2", "comp", "copies"), "found")
+    out = join_hot(feats.select("doc_id", "n", "s1", "s2"), found, ["s1", "s2"], "left", counted="copies")
     comp = F.coalesce("comp", "doc_id")
     return out.select(shown_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown_id(comp).alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
 
@@ -198,12 +232,14 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> D
 
     It is the row with the least id; of rows that share that id, the one whose text has the least SHA-256.
     """
+    work = Workspace(docs.sparkSession, "minhash")
     if not _repeated(docs.select(known_id("doc_id").alias("doc_id"))):
         marked = near_duplicates(docs, k=k, percent=percent).filter("not kept").select(known_id("doc_id").alias("doc_id"))
-        return anti_by_id(docs, "doc_id", marked, "doc_id")
-    rows = Workspace(docs.sparkSession, "minhash").save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    marked = near_duplicates(rows, "__row", k=k, percent=percent).select(F.col("doc_id").alias("__row"), "component_id")
-    order = rows.select("__row", known_id("doc_id").alias("id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("sha"))
-    first = marked.join(order, "__row").groupBy("component_id").agg(F.min(F.struct("id", "sha", "__row")).alias("first"))
-    marked = marked.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_anti")
-    return anti_by_id(rows, "__row", marked, "__row").drop("__row")
+        return anti_by_id(docs, "doc_id", marked, "doc_id", work)
+    row = unused("row", docs.columns)
+    rows = work.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    marked = work.save(near_duplicates(rows, row, k=k, percent=percent).select(F.col("doc_id").alias("row"), "component_id"), "marked")
+    order = rows.select(F.col(row).alias("row"), known_id("doc_id").alias("id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("sha"))
+    first = marked.join(order, "row").groupBy("component_id").agg(F.min(F.struct("id", "sha", "row")).alias("first"))
+    marked = marked.join(first.select(F.col("first.row").alias("row")), "row", "left_anti")
+    return anti_by_id(rows, row, marked, "row", work).drop(row)
