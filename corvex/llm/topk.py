@@ -1,54 +1,70 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Candidates are cut into blocks, and so are queries; a task holds one block of each. In its block
-every dimension has a sorted list. The task walks all lists at once, from both ends (a query's sign
-says which end is its best), scores each candidate when it first appears, and keeps each query's k
-best. The values where the lists stand bound every unseen candidate's score; a query is done once
-its k-th score is above that bound. A last step merges the k best of all blocks of candidates.
+Candidates are dealt out in blocks, each once, and every block gets a copy of the queries, in as few
+bytes a component as the largest one needs. In its block every dimension has a sorted list, built
+once. The task walks all lists at once, from both ends (a query's sign says which end is its best),
+scores each candidate when it first appears, and keeps each query's k best. The values where the
+lists stand bound every unseen candidate's score; a query is done once its k-th score is above that
+bound. A last step merges the k best of all blocks.
+
+In many dense dimensions the bound rarely stops a walk before the end; results are exact either way.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Workspace
 
-CANDIDATES = 8192
-QUERIES = 2048
+#: Bytes of a block's candidates as numbers of 8 bytes; the fewest candidates that a block is made for.
+BLOCK_BYTES, LEAST_BLOCK = 32 << 20, 2048
+#: Blocks of a table of any size, if it has rows enough.
+BLOCKS = 48
+#: Queries that walk the lists together, and new candidates that they score at once.
+QUERIES, SCORED = 1024, 4096
 FIRST_DEPTH = 16
 
 
-def fagin(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+class Lists:
+    """Candidates of one block in order of id, with a sorted list of each dimension."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids[order], vectors[order]
+        self.lists = np.argsort(self.vectors, axis=0, kind="stable")
+        self.largest = int(np.abs(self.vectors).max(initial=0))
+
+
+def fagin(block: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query its best candidates of other ids, as (ids, scores), scores falling, then ids rising.
 
-    vectors and queries hold whole numbers. Equal scores go to the smaller id, so a query is done
-    only when its k-th score is strictly above the bound.
+    Vectors hold whole numbers. Equal scores go to the smaller id, so a query is done only when its
+    k-th score is strictly above the bound.
     """
-    order = np.lexsort((np.arange(len(ids)), ids))
-    ids, vectors = ids[order], vectors[order]
+    ids, vectors, lists = block.ids, block.vectors, block.lists
     n, dims = vectors.shape
-    exact = dims * float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * (n + 1) < 2**52
+    exact = dims * float(block.largest) * float(np.abs(queries).max(initial=0)) * (n + 1) < 2**52
     kind = np.float64 if exact else object
     vectors, queries = vectors.astype(kind), queries.astype(kind)
-    lists = np.argsort(vectors, axis=0, kind="stable")
     seen = np.zeros(n, bool)
     factor = n + 1  # a score and a place, in the order wanted, as one number
-    best = np.full((len(queries), k), -np.inf if exact else None, kind)
-    if not exact:
-        best[:] = -(10**60)
-    nothing = best[0, 0] if len(best) else 0
+    nothing = -np.inf if exact else -(10**60)
+    best = np.full((len(queries), k), nothing, kind)
     live, depth = np.arange(len(queries)), 0
     while len(live) and not seen.all():
         deeper = min(n, max(FIRST_DEPTH, 2 * depth))
         new = np.unique(np.concatenate([lists[depth:deeper].ravel(), lists[n - deeper : n - depth].ravel()]))
         new, depth = new[~seen[new]], deeper
         seen[new] = True
-        if len(new):
-            keys = (queries[live] @ vectors[new].T) * factor - new
-            keys[query_ids[live][:, None] == ids[new][None, :]] = nothing
+        for at in range(0, len(new), SCORED):
+            some = new[at : at + SCORED]
+            keys = (queries[live] @ vectors[some].T) * factor - some
+            keys[query_ids[live][:, None] == ids[some][None, :]] = nothing
             keys = np.concatenate([best[live], keys], axis=1)
             best[live] = np.partition(keys, keys.shape[1] - k, axis=1)[:, -k:] if exact else np.sort(keys, axis=1)[:, -k:]
         if depth < n:
@@ -66,20 +82,49 @@ def fagin(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
     return out
 
 
-def _search(k: int):
-    def run(_key, pdf):
-        import pandas as pd
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of whole numbers as rows, padded with zeros."""
+    flat, sizes = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(column.offsets.to_numpy())
+    if (sizes == width).all():
+        return flat.reshape(-1, width)
+    out = np.zeros((len(column), width), np.int64)
+    out[np.arange(width)[None, :] < sizes[:, None]] = flat
+    return out
+
 
-        width = max(len(v) for v in pdf.v)
-        vectors = np.zeros((len(pdf), width), np.int64)
-        for i, v in enumerate(pdf.v):
-            vectors[i, : len(v)] = v
-        asked, ids = pdf.asked.to_numpy(), pdf.vec_id.to_numpy()
-        query_ids = ids[asked]
-        if asked.all() or not asked.any():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        found = fagin(ids[~asked], vectors[~asked], query_ids, vectors[asked], k)
-        return pd.DataFrame({"query_id": np.repeat(query_ids, [len(i) for i, _ in found]), "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found])}).astype("int64")
+def _search(k: int, width: int):
+    """Rows come ordered by block, its candidates before the queries."""
+
+    def found(block, asked):
+        ids = np.concatenate([i for i, _ in asked])
+        hits = fagin(block, ids, np.concatenate([v for _, v in asked]), k)
+        table = pd.DataFrame({"query_id": np.repeat(ids, [len(i) for i, _ in hits]), "vec_id": np.concatenate([i for i, _ in hits]), "score": np.concatenate([s for _, s in hits])})
+        return pa.RecordBatch.from_pandas(table.astype("int64"), preserve_index=False)
+
+    def run(batches):
+        at, parts, lists, asked = None, [], None, []
+        for batch in batches:
+            blocks, is_query = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "asked"))
+            ids, vectors = batch.column("vec_id").to_numpy(zero_copy_only=False), matrix(batch.column("v"), width)
+            for b in np.unique(blocks):
+                if b != at:
+                    if asked:
+                        yield found(lists, asked)
+                    at, parts, lists, asked = b, [], None, []
+                mine = blocks == b
+                if (c := mine & ~is_query).any():
+                    parts.append((ids[c], vectors[c]))
+                q = np.flatnonzero(mine & is_query)
+                if len(q) and parts:
+                    if lists is None:
+                        lists = Lists(np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts]))
+                    for lo in range(0, len(q), QUERIES):
+                        asked.append((ids[q[lo : lo + QUERIES]], vectors[q[lo : lo + QUERIES]]))
+                        if sum(len(i) for i, _ in asked) >= QUERIES:
+                            yield found(lists, asked)
+                            asked = []
+        if asked:
+            yield found(lists, asked)
 
     return run
 
@@ -98,22 +143,27 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 20, scale: int = 64, id_co
     agree in id and vector one takes part; an id with several vectors is a query with each of them,
     ranked together, and never its own candidate. Other columns are not read unless asked does. An
     empty table gives an empty result.
+
+    A block has some BLOCK_BYTES of candidates, so the table is shuffled once, and the queries once
+    for each block.
     """
-    Workspace(vectors.sparkSession, "topk")
+    work = Workspace(vectors.sparkSession, "topk")
     v = F.col(vector_col)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     rows = vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & fine)
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), whole_numbers(v, scale).alias("v"), F.coalesce(asked, F.lit(False)).alias("asked")).distinct()
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if("asked").alias("q")).first()
-    blocks, query_blocks = max(1, -(-sizes["n"] // CANDIDATES)), max(1, -(-sizes["q"] // QUERIES))
-
-    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        df = df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
-    candidates = dealt(rows.withColumn("asked", F.lit(False)), "block", blocks, "query_block", query_blocks)
-    queries = dealt(rows.filter("asked"), "query_block", query_blocks, "block", blocks)
-    pairs = candidates.unionByName(queries).groupBy("block", "query_block").applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    rows = work.save(rows, "vectors")
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(F.array_max("v")).alias("high"), F.min(F.array_min("v")).alias("low")).first()
+    n, width = size["n"], max(1, size["width"] or 0)
+    bits = max(int(size["high"] or 0), -int(size["low"] or 0) - 1).bit_length() + 1
+    kind = next(name for name, most in (("tinyint", 8), ("smallint", 16), ("int", 32), ("bigint", 64)) if bits <= most)
+    blocks = max(-(-8 * width * n // BLOCK_BYTES), min(BLOCKS, n // LEAST_BLOCK), 1)
+
+    rows = rows.withColumn("v", F.col("v").cast(f"array<{kind}>"))
+    candidates = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asked"), "vec_id", "v")
+    queries = rows.filter("asked").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "asked", "vec_id", "v")
+    dealt = candidates.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "asked")
+    pairs = dealt.mapInArrow(_search(k, width), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
