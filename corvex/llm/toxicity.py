@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, known_id, shown_id
+from .common import Workspace, known_id, shown_id, unused
 from .langid import held_out_of
 
 WORD = r"[^\W_]+"
 SHORTEST, LONGEST = 3, 7
 #: A piece has a vector if its log odds between the labels are so many standard deviations from 0; what is
 #: left beyond them scales its share.
-DEVIATIONS = 3.0
+DEVIATIONS = 2.5
 #: Counters of the pieces' documents; a collision can only blur a piece's odds.
 COUNTERS = 1 << 20
 DIM = 4
@@ -55,13 +55,16 @@ def pieces_of(word: str) -> list[str]:
     return out
 
 
-def train(texts: list[str], labels: list[int], share_toxic: float, epochs: int = EPOCHS, seed: int = 7) -> dict[str, float]:
-    """Weights of pieces, with BIAS, and PRIOR for texts without words."""
+def words_of(text: str) -> Counter:
+    return Counter(re.findall(WORD, text.lower()))
+
+
+def train(docs: list[Counter], labels: list[int], share_toxic: float, epochs: int = EPOCHS, seed: int = 7) -> dict[str, float]:
+    """Weights of pieces, with BIAS, and PRIOR for texts without words. docs: words of the texts."""
     labels = np.array(labels, np.int64)
     if not labels.any() or labels.all():
         return {BIAS: 20.0 if len(labels) and labels.all() else -20.0, PRIOR: float(labels.mean()) if len(labels) else 0.0}
     rng = np.random.default_rng(seed)
-    docs = [Counter(re.findall(WORD, t.lower())) for t in texts]
     seen, known = np.zeros((2, COUNTERS), np.float32), {}
     for words, label in zip(docs, labels):
         for w in words:
@@ -133,9 +136,9 @@ def train(texts: list[str], labels: list[int], share_toxic: float, epochs: int =
 
 def _train(share_toxic: float):
     def run(batches):
-        parts = list(batches)
-        rows = pd.concat(parts).sort_values(["doc_id", "text"]) if parts else pd.DataFrame({"text": [], "toxic": []})
-        model = train(rows.text.tolist(), rows.toxic.astype(int).tolist(), share_toxic)
+        rows = [(doc, zlib.crc32(text.encode()), int(toxic), words_of(text)) for part in batches for doc, text, toxic in zip(part.doc_id, part.text, part.toxic)]
+        rows.sort(key=lambda r: r[:3])
+        model = train([r[3] for r in rows], [r[2] for r in rows], share_toxic)
         yield pd.DataFrame({"piece": list(model), "weight": list(model.values())})
 
     return run
@@ -170,7 +173,7 @@ def text_score(model: dict[str, float], weights: list[float]) -> float:
     return 1 / (1 + math.exp(-min(30.0, max(-30.0, mean + model[BIAS]))))
 
 
-def _score(model_of):
+def _score(model_of, score_col: str):
     def run(batches):
         model, find = model_of.value, re.compile(WORD).findall
         known: dict[str, float] = {}
@@ -187,26 +190,28 @@ def _score(model_of):
                     known[w] = word_weight(model, w)
                 scores.append(text_score(model, [known[w] for w in words]))
             names = [*(c for c in batch.schema.names if c != "text"), "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, pa.float64())], names=[*names, score_col])
 
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL) -> DataFrame:
-    """The rows and columns of docs with `score`: 0 to 1, higher where label 1 is likelier.
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL, score_col: str = "score") -> DataFrame:
+    """The rows and columns of docs with a score: 0 to 1, higher where label 1 is likelier.
 
     Null text and text without words get the share of toxic documents among those with a label (0 if
     none). A document is never its own evidence: labels and other columns are not read in scoring.
-    A column of docs that is called score is replaced. Repeated rows are scored alike. An empty
-    table gives an empty result.
+    score_col must be no column of docs. Repeated rows are scored alike. An empty table gives an
+    empty result.
     """
+    if score_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {score_col} already")
     spark = docs.sparkSession
     Workspace(spark, "toxicity")
     model = spark.sparkContext.broadcast(fit(docs, labels, max_per_label))
-    rows = docs.drop("score")
-    order = [c for c in rows.columns if c != "text"]
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*order, "text"])
-    return rows.withColumn("text", F.col("text").cast("string")).select(*(F.col(f"`{c}`") for c in [*order, "text"])).mapInArrow(_score(model), f"{fields}, score double")
+    order = [c for c in docs.columns if c != "text"]
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*order, "text"])
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(*(F.col(f"`{c}`") for c in [*order, "text"]))
+    return rows.mapInArrow(_score(model, score_col), f"{fields}, `{score_col}` double")
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -218,4 +223,5 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score below 0.5, with all columns of docs."""
-    return score_toxicity(docs, labels).filter("score < 0.5").select(*(F.col(f"`{c}`") for c in docs.columns))
+    score = unused("score", docs.columns)
+    return score_toxicity(docs, labels, score_col=score).filter(F.col(score) < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
