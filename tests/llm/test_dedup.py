@@ -47,6 +47,25 @@ def test_exact_small_table(spark, small):
     assert Counter(map(tuple, exact_duplicates(d, capacity=50).collect())) == exact_model(rows)
 
 
+def test_exact_below_the_driver_directory(docs, rows):
+    """Buckets that are overfull at the directory's last bit are split further on."""
+    assert Counter(map(tuple, exact_duplicates(docs, capacity=2, max_depth=2).collect())) == exact_model(rows)
+    d = Directory.over(np.array([1000, 3, 0, 5]), 10)
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 4000)
+    lead = (keys.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(62)
+    parts = d.bucket(keys)
+    assert len(set(parts[lead == 0])) > 100 and all(len(set(parts[lead == i])) == 1 for i in (1, 2, 3))
+    order = np.lexsort((keys,))
+    in_order = parts[order][lead[order] == 0] >> 32
+    assert (np.diff(in_order) >= 0).all()
+
+
+def test_exact_kept_rows_keep_clashing_columns(spark):
+    rows = [(7, "a", "id1", "sha1"), (7, "b", "id2", "sha2"), (8, "A", "id3", "sha3"), (None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, id string, __sha string")
+    assert {tuple(r) for r in without_exact_duplicates(d).collect()} == set(rows[1:])
+
+
 def test_exact_empty(empty):
     assert exact_duplicates(empty).count() == 0
 
@@ -125,6 +144,42 @@ def test_near_chain_across_components(spark):
     assert Counter(map(tuple, near_duplicates(d, k=4).collect())) == near_model(rows, 4, 80)
 
 
+def thue_morse(a, b, n=1024):
+    """A text and its complement, which collide under any polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+@pytest.fixture(scope="session")
+def colliding(spark):
+    one, two = thue_morse("b", "w")
+    rows = [(1, one), (2, two), (3, "before " + one + " after it"), (4, "before " + two + " after it"), (5, one)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), rows
+
+
+def test_colliding_texts_are_told_apart(colliding):
+    d, rows = colliding
+    assert Counter(map(tuple, near_duplicates(d, k=4).collect())) == near_model(rows, 4, 80)
+    spans = lambda df: Counter((r.doc_id, r.n_bytes, tuple(map(tuple, r.spans)), bytes(r.kept)) for r in df.collect())
+    assert spans(repeated_chunks(d)) == chunks_model(rows)
+    for hot in (1000, 1):
+        assert spans(repeated_windows(d, hot=hot)) == windows_model(rows, 100)
+    assert {r.doc_id: r.keep_id for r in exact_duplicates(d).collect()} == {1: 5, 2: 2, 3: 3, 4: 4, 5: 5}
+
+
+def test_near_hot_bucket_of_many_versions(spark, monkeypatch):
+    """Buckets and exact copies beyond what a plain join takes; versions that don't all link, so blocks are compared."""
+    from corvex.llm import common, minhash_dedup
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(words[i * 5 : i * 5 + 60])) for i in range(120)] + [(200 + i, " ".join(words[:60])) for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, near_duplicates(d, k=4).collect())) == near_model(rows, 4, 80)
+    assert Counter(map(tuple, exact_duplicates(d, capacity=4).collect())) == exact_model(rows)
+
+
 def test_near_empty(empty):
     assert near_duplicates(empty).count() == 0
 
@@ -191,7 +246,7 @@ def windows_model(rows, length):
     return Counter((None if i == NONE else i, *out[(i, t)]) for i, t in pairs(rows))
 
 
-@pytest.mark.parametrize("hot", [5000, 2])
+@pytest.mark.parametrize("hot", [1000, 2])
 def test_windows_edges(docs, rows, hot):
     got = Counter((r.doc_id, r.n_bytes, tuple(map(tuple, r.spans)), bytes(r.kept)) for r in repeated_windows(docs, length=100, hot=hot).collect())
     assert got == windows_model(rows, 100)
@@ -202,6 +257,29 @@ def test_windows_short_length(docs, rows):
     assert got == windows_model(rows, 40)
 
 
+def test_windows_of_a_common_line(spark, monkeypatch):
+    """A line in every document amid texts of its own, met often enough by tasks to be dealt out by its surroundings."""
+    import random
+
+    from corvex.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "SUSPECT", 3)
+    monkeypatch.setattr(suffix_dedup, "REMEMBERED", 50)
+    rng = random.Random(8)
+    line = " ".join(rng.choice(["lorem", "ipsum", "dolor"]) + str(rng.randrange(99)) for _ in range(30))
+    own = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    rows = [(i, own(150) + (line if i % 3 else "") + own(120) + rng.choice(["", line[:130]])) for i in range(150)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (1000, 10):
+        got = Counter((r.doc_id, r.n_bytes, tuple(map(tuple, r.spans)), bytes(r.kept)) for r in repeated_windows(d, hot=hot).collect())
+        assert got == windows_model(rows, 100)
+
+
+def test_runs_are_no_longer_than_a_row_can_say():
+    doc, at, n = kernels.joined_runs(np.array([0, 0, 0, 1]), np.array([5, 8, 20, 21]), np.array([3, 4, 1, 9]), 5)
+    assert list(zip(doc.tolist(), at.tolist(), n.tolist())) == [(0, 5, 5), (0, 10, 2), (0, 20, 1), (1, 21, 5), (1, 26, 4)]
+
+
 def test_windows_empty(empty):
     assert repeated_windows(empty).count() == 0
 
@@ -220,7 +298,7 @@ def test_radix_groups_are_equal_windows():
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
-def chunks_model(rows, bits=4, least=16, longest=1024, least_run=64):
+def chunks_model(rows, bits=4, least=16, longest=1024, least_run=128):
     texts = sorted(set(pairs(rows)), key=lambda x: (x[0], hashlib.sha256(x[1].encode()).hexdigest()))
     table = [int(x) for x in (kernels.random64(256, 21) >> np.uint64(32)).astype(np.uint32)]
     seen, out = set(), {}
@@ -270,6 +348,16 @@ def test_chunks_small_table(spark, small):
     assert got == chunks_model(rows)
 
 
+def test_chunks_find_passages_and_leave_clean_texts(spark):
+    """Passages of 50 words and more against the repeats that the exact operator finds; texts without a long repeat stay whole."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    exact = {r.doc_id: max((s.end - s.start for s in r.spans), default=0) for r in repeated_windows(d).select("doc_id", "spans").collect()}
+    cut = {r.doc_id: len(r.spans) for r in repeated_chunks(d).select("doc_id", "spans").collect()}
+    planted, clean = [i for i, n in exact.items() if n >= 300], [i for i, n in exact.items() if n < 200]
+    assert sum(cut[i] > 0 for i in planted) >= 0.97 * len(planted)
+    assert sum(cut[i] == 0 for i in clean) >= 0.99 * len(clean)
+
+
 def test_chunks_resist_insertions():
     rng = np.random.default_rng(5)
     text = rng.integers(97, 123, 4000).astype(np.uint8)

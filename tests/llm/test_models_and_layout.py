@@ -43,6 +43,15 @@ def test_chat_nulls_ties_repeats_and_extra_columns(spark):
     assert chat.chat_digest(chat.read_chat(chat.format_chat(chat.canonical_turns(d.limit(0))))).count() == 0
 
 
+def test_chat_rows_keep_their_roles(spark):
+    """Names of roles that other layouts use are roles like any other in rows; only `assistant` is under the mask."""
+    rows = [(1, 0, "human", "q"), (1, 1, "bot", "b"), (1, 2, "assistant", "a"), (1, 3, "gpt", "g"), (1, 4, "model", None)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    r = chat.read_chat(chat.format_chat(chat.canonical_turns(d))).first()
+    assert [(t.role, t.text) for t in r.turns] == [("human", "q"), ("bot", "b"), ("assistant", "a"), ("gpt", "g"), ("model", "")]
+    assert r.loss_texts == ["a"]
+
+
 def test_chat_layouts_by_fingerprint(spark):
     turns = lambda d: [[(t.role, t.text) for t in r.turns] for r in chat.canonical_turns(d, "id").collect()]
     assert turns(spark.createDataFrame([(1, "p", None, "zz")], "id int, prompt string, response string, other string")) == [[("user", "p"), ("assistant", "")]]
@@ -135,11 +144,36 @@ def first_fit(lengths):
 def test_encoding_equals_the_tokenizers_library():
     import public_tokenizers
 
-    t, e = tokenizer(), packing.load_encoding(public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e, both = tokenizer(), packing.load_encoding(path), packing.encoder(path)
+    for s in [" " * 1_000_000, "a" + "\n" * 5_000_000 + "b", " " * 5_000_000, "x" * 1_000_000, "é" * 600_000 + "  ", "\t \n" * 700_000]:
+        assert both(s) == t.encode(s, add_special_tokens=False).ids, s[:3]
     for s in ["", " ", "  a  b ", "<|endoftext|>x", "it's we'LL", "\x00\x01é\r\n", "🎉🏳️‍🌈", "x" * 500, "１２３ ½ ²", "  y", "日本語テキスト", "á"]:
         assert t.encode(s, add_special_tokens=False).ids == e.encode(s, allowed_special="all"), s
 
 
+def test_settings_that_the_faster_library_lacks_go_to_tokenizers(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    assert packing.load_encoding(path) is None
+    assert packing.encoder(path)("word") == packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))(" word")
+
+
+def test_pieces_of_repeated_ids_are_told_apart(spark):
+    d = spark.createDataFrame([(1, "a " * 3000), (1, "b"), (None, "c"), (None, "c"), (1, None)], "doc_id long, text string")
+    rows = packing.pack(d).collect()
+    assert len({(r.row, r.piece) for r in rows}) == len(rows) == 6
+    assert packing.pack(spark.createDataFrame([(1, " " * 1_000_000)], "doc_id long, text string")).count() > 100
+
+
 # ---- language ------------------------------------------------------------------------------------
 
 
@@ -216,6 +250,10 @@ def test_mixing_edges(docs, rows, empty):
     texts = mixing.mixed_documents(docs, m)
     assert texts.columns == docs.columns
     assert sum(len(WORD.findall(r.text)) for r in texts.select("text").collect()) == sum(r.taken for r in got)
+    placed = mixing.mixed_documents(docs, m, places=True)
+    assert placed.columns == [*docs.columns, "shard", "place", "first_word"]
+    part = placed.groupBy("doc_id", "text", "shard", "place", "first_word").count().filter("doc_id is not null and count > 1")
+    assert part.count() == 0
     assert mixing.mixing_digest(mixing.mix(empty)).count() == 0
     assert mixing.mixed_documents(empty, mixing.mix(empty)).count() == 0
 
@@ -226,15 +264,37 @@ def test_mixing_small_table(spark, small):
     check_mixture(rows, mixing.mixing_digest(mixing.mix(d)).collect(), 128)
 
 
+def test_mixing_leaves_clashing_columns(spark):
+    rows = [(i, f"word{i} and more", "s", [i], f"t{i}", i * 2) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, parts array<int>, tie string, shard long")
+    out = mixing.mixed_documents(d, mixing.mix(d, block_words=1), places=True)
+    assert out.columns == [*d.columns, "shard_", "place", "first_word"]
+    got = out.collect()
+    assert got and all((r.parts, r.tie, r.shard, r.source) == ([r.doc_id], f"t{r.doc_id}", r.doc_id * 2, "s") and r.text.strip() == rows[r.doc_id][1].split()[r.first_word] for r in got)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 4097])
 def test_permutation(n):
     assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
     assert n < 10 or (mixing.permuted(np.arange(n), n, 5) != mixing.permuted(np.arange(n), n, 6)).any()
 
 
-def test_draws_meet_the_totals():
-    slots = np.array([5000, 0, 17, 3000])
-    assert (mixing.draw(slots, 3).sum(0) == slots).all()
+def test_draws_are_multinomial():
+    shards = mixing.draw(40_000, 40, (17, 3, 0))
+    counts = np.bincount(shards, minlength=40)
+    assert counts.sum() == 40_000 and (np.diff(shards) >= 0).all() and abs(counts - 1000).max() < 6 * 1000**0.5
+    assert (shards == mixing.draw(40_000, 40, (17, 3, 0))).all() and (shards != mixing.draw(40_000, 40, (17, 4, 0))).any()
+
+
+def test_mixing_many_small_sources(spark):
+    """More sources than a driver's table would be for: each of them near its target, in many tasks."""
+    d = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 6000).cast("string")).alias("source"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("id") % 40), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ").alias("text"))
+    m = mixing.mix(d)
+    assert m.sources.count() == 6000
+    rows = mixing.mixing_digest(m).collect()
+    assert len(rows) == 30_000 and all(r.taken <= 2 * r.size for r in rows)
+    each = m.taken.groupBy("src").agg(F.sum("n_words").alias("taken")).join(m.sources, "src").select("taken", "target", "block_words").collect()
+    assert len(each) == 6000 and all(abs(r.taken - r.target) <= 2 * r.block_words for r in each)
 
 
 # ---- search --------------------------------------------------------------------------------------
@@ -269,11 +329,11 @@ def test_threshold_algorithm_stops_early_and_is_exact():
     v = np.round(rng.standard_t(2, (3000, 3)) * 20).astype(np.int64)
     q = np.round(rng.normal(0, 20, (20, 3))).astype(np.int64)
     ids = rng.permutation(3000)
-    for (i, s), w in zip(topk.fagin(ids, v, np.full(20, -1), q, 7), q):
+    for (i, s), w in zip(topk.fagin(topk.Lists(ids, v), np.full(20, -1), q, 7), q):
         scores = v @ w
         order = np.lexsort((ids, -scores))[:7]
         assert (ids[order] == i).all() and (scores[order] == s).all()
-    huge = topk.fagin(np.arange(5), np.full((5, 2), 2**32), np.array([9]), np.full((1, 2), 2**29), 2)
+    huge = topk.fagin(topk.Lists(np.arange(5), np.full((5, 2), 2**32)), np.array([9]), np.full((1, 2), 2**29), 2)
     assert huge[0][0].tolist() == [0, 1]
 
 
@@ -292,7 +352,9 @@ def test_toxicity_edges(spark, docs, rows, empty):
     for few in (labels.limit(0), labels.filter("toxic = 0")):
         assert {r.predicted for r in toxicity.toxicity_digest(docs, few).collect()} == {0}
     kept = toxicity.without_toxic(docs, labels.limit(0))
-    assert kept.columns == docs.columns and kept.count() == len(rows)
+    assert kept.columns == docs.columns and Counter(map(tuple, kept.collect())) == Counter(rows)
+    with pytest.raises(ValueError):
+        toxicity.score_toxicity(docs, labels)
 
 
 def test_toxicity_held_out(spark):
@@ -310,7 +372,7 @@ def test_misspellings_share_vectors():
     texts = [" ".join(rng.choice(plain, 30)) for _ in range(300)]
     labels = [i % 3 == 0 for i in range(300)]
     texts = [t + " wretchhead wretchhead" if y else t for t, y in zip(texts, labels)]
-    m = toxicity.train(texts, [int(y) for y in labels], 1 / 3)
+    m = toxicity.train([toxicity.words_of(t) for t in texts], [int(y) for y in labels], 1 / 3)
     score = lambda t: toxicity.text_score(m, [toxicity.word_weight(m, w) for w in t.split()])
     base = " ".join(plain[:20])
     assert score(base) < 0.5 < score(base + " wretchheads wretch3head wretchhead")
