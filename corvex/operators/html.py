@@ -111,43 +111,60 @@ def content_of(root: Node) -> Node:
     return next((n for n in nodes if n.tag == "body"), root)
 
 
-def _markdown(node: Node, depth: int = 0) -> str:
-    out = []
-    for c in node.children:
-        if isinstance(c, str):
+def _rendered(c: Node, inner: str, cells: list[str], depth: int) -> str:
+    """A node as markdown, from that of its content, and of its cells if it is a row; depth: lists around its content."""
+    t = c.tag
+    if re.fullmatch("h[1-6]", t):
+        return f"\n\n{'#' * int(t[1])} {inner.strip()}\n\n"
+    if t == "a" and c.attrs.get("href") and inner.strip():
+        return f"[{inner.strip()}]({c.attrs['href']})"
+    if t in ("strong", "b") and inner.strip():
+        return f"**{inner.strip()}**"
+    if t in ("em", "i") and inner.strip():
+        return f"*{inner.strip()}*"
+    if t == "code" and c.parent.tag != "pre":
+        return f"`{inner.strip()}`"
+    if t == "pre":
+        return f"\n\n```\n{c.text().strip()}\n```\n\n"
+    if t == "br":
+        return "  \n"
+    if t == "hr":
+        return "\n\n---\n\n"
+    if t == "li":
+        return f"{'  ' * max(0, depth - 1)}- {inner.strip()}\n"
+    if t == "tr":
+        return "| " + " | ".join(cells) + " |\n"
+    if t == "blockquote":
+        return "\n\n> " + inner.strip().replace("\n", "\n> ") + "\n\n"
+    return f"\n\n{inner.strip()}\n\n" if t in BLOCKS else inner
+
+
+def _markdown(root: Node) -> str:
+    """The content of a node as markdown, without recursion: pages nest as deep as they like."""
+    frames = [(root, 0, iter(root.children), [], [])]  # node, lists around its content, children to come, parts, cells
+    while True:
+        node, depth, children, out, cells = frames[-1]
+        c = next(children, None)
+        if c is None:
+            frames.pop()
+            inner = "".join(out)
+            if not frames:
+                return inner
+            parent = frames[-1]
+            if node.tag in ("td", "th") and parent[0].tag == "tr":
+                parent[4].append(inner.strip())
+            parent[3].append(_rendered(node, inner, cells, parent[1]))
+        elif isinstance(c, str):
             out.append(re.sub(r"\s+", " ", c))
-            continue
-        inner, t = _markdown(c, depth + (c.tag in ("ul", "ol"))), c.tag
-        if t in DROPPED or t == "img":
-            continue
-        if re.fullmatch("h[1-6]", t):
-            out.append(f"\n\n{'#' * int(t[1])} {inner.strip()}\n\n")
-        elif t == "a" and c.attrs.get("href") and inner.strip():
-            out.append(f"[{inner.strip()}]({c.attrs['href']})")
-        elif t in ("strong", "b") and inner.strip():
-            out.append(f"**{inner.strip()}**")
-        elif t in ("em", "i") and inner.strip():
-            out.append(f"*{inner.strip()}*")
-        elif t == "code" and c.parent.tag != "pre":
-            out.append(f"`{inner.strip()}`")
-        elif t == "pre":
-            out.append(f"\n\n```\n{c.text().strip()}\n```\n\n")
-        elif t == "br":
-            out.append("  \n")
-        elif t == "hr":
-            out.append("\n\n---\n\n")
-        elif t == "li":
-            out.append(f"{'  ' * max(0, depth - 1)}- {inner.strip()}\n")
-        elif t == "tr":
-            cells = [x for x in c.children if isinstance(x, Node) and x.tag in ("td", "th")]
-            out.append("| " + " | ".join(_markdown(x).strip() for x in cells) + " |\n")
-        elif t == "blockquote":
-            out.append("\n\n> " + inner.strip().replace("\n", "\n> ") + "\n\n")
-        elif t in BLOCKS:
-            out.append(f"\n\n{inner.strip()}\n\n")
-        else:
-            out.append(inner)
-    return "".join(out)
+        elif c.tag not in DROPPED and c.tag != "img":
+            in_row = c.tag in ("td", "th") and node.tag == "tr"  # lists in a cell count from there
+            frames.append((c, 0 if in_row else depth + (c.tag in ("ul", "ol")), iter(c.children), [], []))
+
+
+# A line that is a link alone; a heading of a table of contents; a line that is a link, in the fallback.
+LINK_LINE = r"^\s*\[([^\]]{1,80})\]\([^)]+\)\s*$"
+CONTENTS_HEADING = r"(?i)^#+[\x09-\x0d\x1c-\x20\x{85}\p{Z}]*(on this page|table of contents|contents)"
+SHORT_LINK_LINE = r"^\[.{1,40}\]\(.*\)$"
 
 
 def clean_markdown_of(html: str) -> str:
@@ -156,7 +173,7 @@ def clean_markdown_of(html: str) -> str:
     main = content_of(root)
     _prune(main, lambda n: n.tag in DROPPED)
     lines = [line.strip() if not line.strip() else line.rstrip() for line in _markdown(main).split("\n")]
-    lines = [line for line in lines if not re.match(r"^\s*\[([^\]]{1,80})\]\([^)]+\)\s*$", line.strip())]
+    lines = [line for line in lines if not re.match(LINK_LINE, line.strip())]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
@@ -179,11 +196,11 @@ def page_title(title: Column, path: Column, url: Column) -> Column:
 def clean_fallback(md: Column) -> Column:
     """Markdown without link-only lines and without sections headed as a table of contents."""
     head = r"^#+[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
-    lines = F.filter(F.split(md, "\n"), lambda s: ~F.trim(s).rlike(r"^\[.{1,40}\]\(.*\)$"))
+    lines = F.filter(F.split(md, "\n"), lambda s: ~F.trim(s).rlike(SHORT_LINK_LINE))
     zero = F.struct(F.array().cast("array<string>").alias("o"), F.lit(False).alias("skip"))
 
     def step(a, s):
-        toc = s.rlike(r"(?i)^#+[\x09-\x0d\x1c-\x20\x{85}\p{Z}]*(on this page|table of contents|contents)")
+        toc = s.rlike(CONTENTS_HEADING)
         skip = F.when(toc, True).when(s.rlike(head), False).otherwise(a["skip"])
         return F.struct(F.when(skip, a["o"]).otherwise(F.array_append(a["o"], s)).alias("o"), skip.alias("skip"))
 

@@ -6,8 +6,8 @@ that the order of additions can't change an order of results; equal scores go by
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,57 +17,101 @@ from pyspark.sql.window import Window
 
 from .. import plugins
 from ..functions.text import preview, strip, tokens, word_count
-from ..sources.storage import shared_folder
-from .relational import keep_first, top
+from ..sources.storage import bucketed, shared_folder, stored
+from .relational import keep_first, ordinal, top
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DENSE_K, SPARSE_K, RRF_K, CANDIDATES, TOP_N, MERGED_WORDS = 25, 20, 60, 40, 6, 600
 MIN_SIMILARITY = 0.70
 KEY = ["doc_id", "page_number"]
-#: Questions in one batch: their vectors are held by every task of a dense search.
+#: Questions in one batch, as every task of a search holds them; more are searched in several batches.
 MAX_QUESTIONS = 10_000
+#: Tokens of a batch's questions that may go to every task: at some 60 bytes each, 60 MB.
+MAX_TOKENS = 1_000_000
+#: Chunks of one part of the index, some, and parts at most, as Spark's limit for buckets is.
+PART, MAX_PARTS = 20_000, 100_000
 
 
 class KeywordIndex:
-    """corpus (key, token list t, dl), postings (key, token, tf, dl), terms (token, df, idf) and stats (n, avgdl, one row)."""
+    """Stored tables. corpus: key, content, token list t, dl. postings: key, token, tf, dl, in parts by document,
+    each in order of token. terms: token, df, idf. stats: n, avgdl, one row."""
 
-    def __init__(self, corpus: DataFrame, postings: DataFrame, terms: DataFrame, stats: DataFrame):
-        self.corpus, self.postings, self.terms, self.stats = corpus, postings, terms, stats
+    def __init__(self, corpus: DataFrame, postings: DataFrame, terms: DataFrame, stats: DataFrame, avgdl: float):
+        self.corpus, self.postings, self.terms, self.stats, self.avgdl = corpus, postings, terms, stats, avgdl
 
 
 def build_index(chunks: DataFrame) -> KeywordIndex:
     """An inverted index of chunks (doc_id, page_number, content); blank ones are left out.
 
-    idf = ln(N - df + .5) - ln(df + .5), and EPSILON times the mean idf where that is negative. Token
-    lists are cut once and stored in the shared folder, as the other tables and every search read them.
+    idf = ln(N - df + .5) - ln(df + .5), and EPSILON times the mean idf where that is negative.
+    Postings lie in parts by document, so a common token is spread over all of them and a search
+    adds up a chunk's score within one task; in a part they are in order of token, so a search
+    reads the row groups of its tokens.
     """
-    rows = chunks.filter(F.trim("content") != "").select(*KEY, tokens(F.col("content")).alias("t"))
-    rows = rows.withColumn("dl", F.size("t").cast("long"))
-    path = shared_folder(chunks.sparkSession, "corpus")
-    rows.write.parquet(path)
-    rows = chunks.sparkSession.read.schema(rows.schema).parquet(path)
+    spark = chunks.sparkSession
+    rows = chunks.filter(F.trim("content") != "").select(*KEY, "content", tokens(F.col("content")).alias("t"))
+    rows = stored(rows.withColumn("dl", F.size("t").cast("long")), shared_folder(spark, "corpus"))
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = rows.select(*KEY, "dl", F.explode("t").alias("token")).groupBy(*KEY, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf"))  # mean is one row
-    return KeywordIndex(rows, postings, terms, stats)
+    n, avgdl = stats.first()
+    parts = min(MAX_PARTS, max(spark.sparkContext.defaultParallelism, -(-n // PART)))
+    each = rows.select(*KEY, "t", "dl").repartition(parts, "doc_id").select(*KEY, "dl", F.explode("t").alias("token"))
+    postings = bucketed(each.groupBy(*KEY, "token", "dl").agg(F.count("*").alias("tf")), parts, "doc_id", "token", "postings")
+    df = postings.groupBy("token").agg(F.count("*").alias("df"))
+    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = stored(raw, shared_folder(spark, "terms"))
+    mean = raw.agg(F.avg("raw")).first()[0]
+    idf = F.when(F.col("raw") < 0, F.lit(EPSILON) * F.lit(mean)).otherwise(F.col("raw"))
+    return KeywordIndex(rows, postings, raw.select("token", "df", idf.alias("idf")), stats, avgdl or 1.0)
 
 
-def asked_by(questions: DataFrame) -> pd.DataFrame:
-    """The questions of a batch with their tokens, on the driver: their number is checked."""
-    asked = questions.select("qid", "qno", tokens(F.col("text")).alias("t")).limit(MAX_QUESTIONS + 1).toPandas()
-    if len(asked) > MAX_QUESTIONS:
-        raise ValueError(f"more than {MAX_QUESTIONS} questions in a batch")
-    return asked
+def batches(questions: DataFrame) -> list[DataFrame]:
+    """Questions (qid, qno, text) in batches of at most MAX_QUESTIONS, whose results are independent."""
+    n = questions.count()
+    if n <= MAX_QUESTIONS:
+        return [questions]
+    numbered = ordinal(questions, ["qid", "qno"], "__at")
+    return [numbered.filter(F.floor(F.col("__at") / MAX_QUESTIONS) == i).drop("__at") for i in range(-(-n // MAX_QUESTIONS))]
 
 
-def in_blocks(batches: Iterator[pd.DataFrame], width: int, cells: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def in_batches(search, questions: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, map(search, batches(questions)))
+
+
+def keyword_search(index: KeywordIndex, questions: DataFrame, k: int = SPARSE_K, min_score: float = 0.0) -> DataFrame:
+    """The k best chunks of each question (qid, qno, text) above min_score: qid, qno, key, bm25_score, rank.
+
+    A token repeated in a question counts again. A batch's tokens, weighted by their idf, are joined
+    with the postings and added up by chunk; only each part's k best go on.
+    """
+
+    def search(batch: DataFrame) -> DataFrame:
+        asked = batch.select("qid", "qno", F.explode(tokens(F.col("text"))).alias("token")).groupBy("qid", "qno", "token").agg(F.count("*").alias("m"))
+        small = F.broadcast if asked.count() <= MAX_TOKENS else lambda df: df
+        weights = index.terms.join(small(asked), "token").select("qid", "qno", "token", (F.col("m") * F.col("idf") * (K1 + 1)).alias("w"))
+        norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(index.avgdl))
+        hits = index.postings.join(small(weights), "token").select("qid", "qno", *KEY, (F.col("w") * (F.col("tf") / (F.col("tf") + norm))).alias("s"))
+        scores = hits.groupBy("qid", "qno", *KEY).agg(F.round(F.sum("s"), 6).alias("bm25_score"))
+        return top(scores.filter(F.col("bm25_score") > min_score), ["qid", "qno"], [F.desc("bm25_score"), *KEY], k)
+
+    return in_batches(search, questions)
+
+
+def store_vectors(corpus: DataFrame, embed: plugins.Embedder | None = None) -> DataFrame:
+    """key, vector: the embeddings of a corpus (key, token list t), computed once and stored."""
+    embed = embed or plugins.HashingEmbedder()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in parts:
+            yield b[KEY].assign(vector=list(embed([list(t) for t in b.t]).astype("float32")))
+
+    rows = corpus.select(*KEY, "t").mapInPandas(run, "doc_id long, page_number long, vector array<float>")
+    return stored(rows, shared_folder(corpus.sparkSession, "vectors"))
+
+
+def in_blocks(parts: Iterator[pd.DataFrame], width: int, cells: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """Rows in blocks that make at most so many cells with width columns."""
     step = max(1, cells // max(1, width))
-    for b in batches:
+    for b in parts:
         for at in range(0, len(b), step):
             yield b.iloc[at : at + step]
 
@@ -82,67 +126,34 @@ def best_rows(scores: np.ndarray, doc: np.ndarray, page: np.ndarray, k: int, abo
             yield i, at[np.lexsort((page[at], doc[at], -row[at]))[:k]]
 
 
-def keyword_search(index: KeywordIndex, questions: DataFrame, k: int = SPARSE_K, min_score: float = 0.0) -> DataFrame:
-    """The k best chunks of each question (qid, qno, text) above min_score: qid, qno, key, bm25_score, rank.
+def dense_search(vectors: DataFrame, questions: DataFrame, k: int = DENSE_K, embed: plugins.Embedder | None = None) -> DataFrame:
+    """The k nearest stored vectors (key, vector) of each question by cosine, above 0: qid, qno, key, sim, rank.
 
-    A token repeated in a question counts again. The questions of a batch and the idf of their tokens
-    go to every task, which scores its chunks against all of them and passes on k candidates a
-    question: chunks are not shuffled, nor is a row made for each match.
-    """
-    asked = asked_by(questions)
-    qid, qno = asked.qid.to_numpy(), asked.qno.to_numpy()
-    pairs: dict[str, list] = {}
-    for i, t in enumerate(asked.t):
-        for token, m in Counter(t).items():
-            pairs.setdefault(token, []).append((i, m))
-    spark = questions.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in pairs], "token string")
-    idf = {r["token"]: r["idf"] for r in index.terms.join(F.broadcast(wanted), "token").select("token", "idf").collect()}  # bounded by the batch
-    weights = {t: (np.array([i for i, _ in p]), np.array([m * idf[t] * (K1 + 1) for _, m in p])) for t, p in pairs.items() if t in idf}
-    avgdl = index.stats.first()["avgdl"] or 1.0
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in in_blocks(batches, len(qid)):
-            scores = np.zeros((len(b), len(qid)))
-            for row, t, dl in zip(scores, b.t, b.dl):
-                norm = K1 * (1 - B + B * dl / avgdl)
-                for token, tf in Counter(t).items():
-                    if (w := weights.get(token)) is not None:
-                        row[w[0]] += w[1] * (tf / (tf + norm))
-            scores = np.round(scores, 6).T
-            doc, page = b.doc_id.to_numpy(), b.page_number.to_numpy()
-            for i, at in best_rows(scores, doc, page, k, min_score):
-                yield pd.DataFrame({"qid": qid[i], "qno": qno[i], "doc_id": doc[at], "page_number": page[at], "bm25_score": scores[i, at]})
-
-    found = index.corpus.select(*KEY, "t", "dl").mapInPandas(run, "qid long, qno int, doc_id long, page_number long, bm25_score double")
-    return top(found, ["qid", "qno"], [F.desc("bm25_score"), *KEY], k)
-
-
-def dense_search(corpus: DataFrame, questions: DataFrame, k: int = DENSE_K, embed: plugins.Embedder | None = None) -> DataFrame:
-    """The k nearest chunks of each question by cosine, above 0: qid, qno, key, sim, rank.
-
-    corpus: key and token list t, as an index keeps it.
-
-    The questions of a batch are few and their number is checked; every task multiplies blocks of
-    chunks with all of them and passes on k candidates a question. A last step takes the best.
+    Every task multiplies blocks of its vectors with those of all questions of a batch, and passes
+    on k candidates a question. A last step takes the best.
     """
     embed = embed or plugins.HashingEmbedder()
-    asked = asked_by(questions)
-    qid, qno = asked.qid.to_numpy(), asked.qno.to_numpy()
-    q = embed([list(t) for t in asked.t])
-    norms = np.linalg.norm(q, axis=1)
+    spark = vectors.sparkSession
+
+    def search(batch: DataFrame) -> DataFrame:
+        asked = batch.select("qid", "qno", tokens(F.col("text")).alias("t")).toPandas()  # MAX_QUESTIONS rows at most
+        q = embed([list(t) for t in asked.t])
+        held = spark.sparkContext.broadcast((asked.qid.to_numpy(), asked.qno.to_numpy(), q, np.linalg.norm(q, axis=1)))
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qid, qno, q, norms = held.value
+            for b in in_blocks(parts, len(qid)):
+                v = np.stack(b.vector.to_numpy()).astype(np.float64)
+                both = norms[:, None] * np.linalg.norm(v, axis=1)[None, :]
+                sim = np.round(np.divide(q @ v.T, both, out=np.zeros_like(both), where=both > 0), 6)
+                doc, page = b.doc_id.to_numpy(), b.page_number.to_numpy()
+                for i, at in best_rows(sim, doc, page, k, 0.0):
+                    yield pd.DataFrame({"qid": qid[i], "qno": qno[i], "doc_id": doc[at], "page_number": page[at], "sim": sim[i, at]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in in_blocks(batches, len(qid)):
-            v = embed([list(t) for t in b.t])
-            both = norms[:, None] * np.linalg.norm(v, axis=1)[None, :]
-            sim = np.round(np.divide(q @ v.T, both, out=np.zeros_like(both), where=both > 0), 6)
-            doc, page = b.doc_id.to_numpy(), b.page_number.to_numpy()
-            for i, at in best_rows(sim, doc, page, k, 0.0):
-                yield pd.DataFrame({"qid": qid[i], "qno": qno[i], "doc_id": doc[at], "page_number": page[at], "sim": sim[i, at]})
+        near = vectors.select(*KEY, "vector").mapInPandas(run, "qid long, qno int, doc_id long, page_number long, sim double")
+        return top(near, ["qid", "qno"], [F.desc("sim"), *KEY], k)
 
-    near = corpus.select(*KEY, "t").mapInPandas(run, "qid long, qno int, doc_id long, page_number long, sim double")
-    return top(near, ["qid", "qno"], [F.desc("sim"), *KEY], k)
+    return in_batches(search, questions)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -183,10 +194,22 @@ def above_threshold(fused: DataFrame, least: float = MIN_SIMILARITY) -> DataFram
     return fused.filter((F.col("sim") >= least) | ((F.col("sim") == 0) & (F.col("rrf") > 0)))
 
 
-def rerank(kept: DataFrame, cap: int = CANDIDATES, n: int = TOP_N, score: Column | None = None) -> DataFrame:
-    """Of the first cap candidates the n best by score (a model's column, else similarity): adds final_rank."""
+def rerank(kept: DataFrame, cap: int = CANDIDATES, n: int = TOP_N, scorer: plugins.Scorer | None = None) -> DataFrame:
+    """Of the first cap candidates of each question the n best by similarity, or by a scorer's scores: adds final_rank.
+
+    With a scorer, kept holds the question as `question`. Of each question's candidates the
+    max(n + 4, 10) best by score are asked for, whose score replaces sim and is rerank_score too; the
+    n best of them stay. A question for which the scorer fails is ranked by similarity.
+    """
     first = top(kept, ["qid"], ["fused_rank"], cap, "pos")
-    return top(first, ["qid"], [F.desc(score if score is not None else F.col("sim")), "pos"], n, "final_rank")
+    if scorer is None:
+        return top(first, ["qid"], [F.desc("sim"), "pos"], n, "final_rank")
+    scored = first.withColumn("rerank_score", plugins.scores(scorer)(F.col("question"), F.col("content")))
+    failed = F.count_if(F.col("rerank_score").isNull()).over(Window.partitionBy("qid")) > 0  # cap rows at most
+    scored = scored.withColumn("rerank_score", F.when(failed, F.lit(None)).otherwise(F.col("rerank_score")))
+    scored = scored.withColumn("sim", F.coalesce("rerank_score", "sim"))
+    requested = top(scored, ["qid"], [F.desc("sim"), "pos"], max(n + 4, 10), "final_rank")
+    return requested.filter(F.col("final_rank") <= n)
 
 
 def merge_adjacent(hits: DataFrame, largest: int = MERGED_WORDS) -> DataFrame:

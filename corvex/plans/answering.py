@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import plugins
-from ..functions.text import ANSWER_DECLINES, says_any, word_count
+from ..functions.text import ANSWER_DECLINES, says_any, strip, word_count
 from ..operators import retrieval as R
+from ..operators.relational import ordinal
+from ..sources.storage import shared_folder, stored
 
 NOTHING = "I couldn't find relevant information in the documentation."
 
@@ -21,13 +25,16 @@ def search_queries(questions: DataFrame) -> DataFrame:
     return q.select("qid", "query_type", F.posexplode(texts).alias("qno", "text"))
 
 
-def candidates(chunks: DataFrame, queries: DataFrame, index: R.KeywordIndex | None = None) -> tuple[DataFrame, DataFrame]:
+def candidates(chunks: DataFrame, queries: DataFrame, index: R.KeywordIndex | None = None, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The dense pool and the concatenated keyword lists. Dense records hold 1000 characters and a URL,
-    keyword records the whole text and none."""
+    keyword records the whole text and none. The texts of hits come from the index's corpus."""
     index = index or R.build_index(chunks)
+    vectors = vectors if vectors is not None else R.store_vectors(index.corpus)
+    few = F.broadcast if queries.count() <= R.MAX_QUESTIONS else lambda df: df  # a list has DENSE_K hits at most
     url = F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))
-    dense = R.dense_search(index.corpus, queries).join(chunks, R.KEY).withColumn("content", F.substring("content", 1, 1000)).withColumn("url", url)
-    sparse = R.keyword_search(index, queries).join(chunks, R.KEY)
+    texts = index.corpus.select(*R.KEY, "content")
+    dense = texts.join(few(R.dense_search(vectors, queries)), R.KEY).withColumn("content", F.substring("content", 1, 1000)).withColumn("url", url)
+    sparse = texts.join(few(R.keyword_search(index, queries)), R.KEY)
     return R.pool(dense), R.concatenated(sparse)
 
 
@@ -48,3 +55,32 @@ def ask(questions: DataFrame, chunks: DataFrame, least: float = R.MIN_SIMILARITY
     answer = F.when(F.col("context").isNull(), NOTHING).otherwise(plugins.answer(F.col("first_chunk")))
     abstained = F.col("context").isNull() | (says_any(answer, ANSWER_DECLINES) & (word_count(answer) < 60))
     return out.select("qid", "query_type", "n_queries", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), F.coalesce("context", F.lit("")).alias("context"), answer.alias("answer"), abstained.alias("abstained"))
+
+
+def run_batch(questions: DataFrame, chunks: DataFrame, least: float = R.MIN_SIMILARITY, ask=ask) -> DataFrame:
+    """One row a question (qid, text): answer, n_sources, latency, error. A question that fails has an error and no answer.
+
+    Null and blank questions are errors. If a batch fails, its halves are asked on their own, so that
+    an error is that of its question alone. latency: seconds of the batch that the question was in.
+    """
+    spark = questions.sparkSession
+    blank = F.coalesce(strip(F.col("text")), F.lit("")) == ""
+    shape = lambda answer, n, seconds, error: (F.coalesce(answer, F.lit("")).alias("answer"), n.cast("long").alias("n_sources"), F.lit(seconds).cast("double").alias("latency"), F.lit(error).cast("string").alias("error"))
+    out = questions.filter(blank).select("qid", *shape(F.lit(""), F.lit(0), 0.0, "no question"))
+    todo = [ordinal(questions.filter(~blank), ["qid"], "__at")]
+    sizes = [todo[0].count()]
+    while todo:
+        part, n, start = todo.pop(), sizes.pop(), time.time()
+        if not n:
+            continue
+        try:
+            answers = stored(ask(part.drop("__at"), chunks, least).select("qid", "answer", "n_chunks"), shared_folder(spark, "answers"))
+            out = out.unionByName(answers.select("qid", *shape(F.col("answer"), F.col("n_chunks"), round(time.time() - start, 3), None)))
+        except Exception as e:  # noqa: BLE001  any failure of a plan or a model is the question's
+            if n == 1:
+                out = out.unionByName(part.select("qid", *shape(F.lit(""), F.lit(0), round(time.time() - start, 3), str(e)[:200])))
+                continue
+            low = part.agg(F.min("__at")).first()[0]
+            halves = part.filter(F.col("__at") < low + n // 2), part.filter(F.col("__at") >= low + n // 2)
+            todo, sizes = [*todo, *halves], [*sizes, n // 2, n - n // 2]
+    return out

@@ -81,9 +81,8 @@ def s10(spark, sf):
     """One column exported as CSV; answers are aligned with it by position, and a zip ends with the shorter list."""
     q = L.ordinal(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question")), ["item_id"], "i")
     path = S.shared_folder(spark, "csv")
-    q.orderBy("i").coalesce(1).select("question").write.csv(path, header=True, escape='"')
-    answers = spark.read.schema("answer string").csv(path, header=True, multiLine=True, escape='"').coalesce(1)  # one exported file keeps its order
-    answers = answers.withColumn("i", F.monotonically_increasing_id())
+    q.orderBy("i").select("question").write.csv(path, header=True, escape='"')
+    answers = S.csv_by_position(spark, path, "answer", "i")
     return q.join(answers, "i").select("item_id", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 

@@ -73,9 +73,48 @@ def document_pages(spark, sf):
     return d.select(F.concat(F.lit("https://Docs.example.org/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("markdown"))
 
 
-@query("c2_c3_c6_c8_page_chunks")
+def sql_join(c: str) -> str:
+    return f"array_to_string(list_transform({c}, lambda q: q.t), chr(10) || chr(10))"
+
+
+SQL_TAIL = "a.c[len(a.c) - len(list_filter(range(1, len(a.c) + 1), lambda j: list_sum(list_transform(a.c[len(a.c) - j + 1:], lambda q: q.n)) <= 50)) + 1:]"
+SQL_FLUSHED = f"CASE WHEN len(a.c) > 0 THEN list_append(a.o, {sql_join('a.c')}) ELSE a.o END"
+# The pages of document_pages() with lines as paragraphs: short ones whole, others through both folds; paragraphs of more
+# than 300 words are packed by sentences on the way, as in c7_sentence_packing.
+SQL_PAGES = f"""
+    md AS (SELECT doc_id, 'https://Docs.example.org/' || source || '/' || doc_id AS u, {sql_strip('text')} AS t FROM documents WHERE text IS NOT NULL),
+    open AS (SELECT * FROM (SELECT *, string_split(t, chr(10)) AS lines FROM md)
+        WHERE t <> '' AND len(list_filter(lines, lambda s: regexp_matches(s, '^[\\x09-\\x0d\\x1c-\\x20\\x{{85}}\\p{{Z}}]*\\*?[\\x09-\\x0d\\x1c-\\x20\\x{{85}}\\p{{Z}}]*\\[.+\\]\\(.+\\)'))) / len(lines) <= 0.6),
+    paras AS (SELECT doc_id, {sql_paragraphs('t', chr(92) + 'n+')} AS p FROM open WHERE {sql_wc('t')} > 250),
+    short AS (SELECT doc_id, list_reduce(list_transform(p, lambda x: {{'o': []::VARCHAR[], 'b': x}}),
+        lambda a, x: CASE WHEN {sql_wc('a.b')} < 20 THEN {{'o': a.o, 'b': a.b || chr(10) || chr(10) || x.b}} ELSE {{'o': list_append(a.o, a.b), 'b': x.b}} END) AS s FROM paras WHERE len(p) > 0),
+    merged AS (SELECT doc_id, unnest(generate_series(1, len(s.o) + 1)) AS i, unnest(list_append(s.o, s.b)) AS t FROM short),
+    counted AS (SELECT doc_id, i, t, {sql_wc('t')}::BIGINT AS n FROM merged),
+    sent AS (SELECT doc_id, i, string_split(regexp_replace(t, '([.!?]){WS}', '\\1' || chr(1), 'g'), chr(1)) AS s FROM counted WHERE n > 300),
+    pack AS (SELECT doc_id, i, list_reduce(list_transform(s, lambda x: CASE WHEN {sql_wc('x')} > 300
+            THEN {{'o': {SQL_HARD}, 'c': '', 'w': 0::BIGINT, 'n': 0::BIGINT, 'big': true}}
+            ELSE {{'o': []::VARCHAR[], 'c': x, 'w': {sql_wc('x')}::BIGINT, 'n': 1::BIGINT, 'big': false}} END),
+        lambda a, x: CASE
+            WHEN x.big THEN {{'o': list_concat(CASE WHEN a.n > 0 THEN list_append(a.o, a.c) ELSE a.o END, x.o), 'c': '', 'w': 0::BIGINT, 'n': 0::BIGINT, 'big': false}}
+            WHEN a.w + x.w > 300 AND a.n > 0 THEN {{'o': list_append(a.o, a.c), 'c': x.c, 'w': x.w, 'n': 1::BIGINT, 'big': false}}
+            ELSE {{'o': a.o, 'c': CASE WHEN a.n > 0 THEN a.c || ' ' || x.c ELSE x.c END, 'w': a.w + x.w, 'n': a.n + 1, 'big': false}} END) AS s FROM sent),
+    packed AS (SELECT doc_id, i, list_filter(CASE WHEN s.n > 0 THEN list_append(s.o, s.c) ELSE s.o END, lambda c: {sql_strip('c')} <> '') AS big FROM pack),
+    items AS (SELECT doc_id, list(CASE WHEN n > 300 THEN {{'o': big, 'c': []::STRUCT(t VARCHAR, n BIGINT)[], 'w': 0::BIGINT, 'big': true}}
+        ELSE {{'o': []::VARCHAR[], 'c': [{{'t': t, 'n': n}}], 'w': n, 'big': false}} END ORDER BY i) AS l FROM counted LEFT JOIN packed USING (doc_id, i) GROUP BY doc_id),
+    slid AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE
+        WHEN x.big THEN {{'o': list_concat({SQL_FLUSHED}, x.o), 'c': []::STRUCT(t VARCHAR, n BIGINT)[], 'w': 0::BIGINT, 'big': false}}
+        WHEN a.w + x.w > 300 AND len(a.c) > 0 THEN {{'o': {SQL_FLUSHED}, 'c': list_concat({SQL_TAIL}, x.c), 'w': (coalesce(list_sum(list_transform({SQL_TAIL}, lambda q: q.n)), 0) + x.w)::BIGINT, 'big': false}}
+        ELSE {{'o': a.o, 'c': list_concat(a.c, x.c), 'w': a.w + x.w, 'big': false}} END) AS a FROM items),
+    windows AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS k, unnest(w) AS body FROM (SELECT doc_id, {SQL_FLUSHED} AS w FROM slid)
+        UNION ALL SELECT doc_id, 1, t FROM open WHERE {sql_wc('t')} <= 250)"""
+
+
+@query("c2_c3_c6_c8_page_chunks", f"""
+    WITH {SQL_PAGES} SELECT '[Document ' || doc_id || ']' || chr(10) || 'Source: ' || u || chr(10) || chr(10) || body AS content, k::BIGINT AS page_number, {sql_wc('body')} AS word_count,
+        {sql_slug(sql_host('u') + ' || ' + sql_path('u'))} || '-c' || k AS chunk_id, u AS source_url, 'Document ' || doc_id AS page_title
+    FROM windows JOIN open USING (doc_id) WHERE {sql_wc('body')} >= 60""")
 def c6(spark, sf):
-    """Sliding paragraph windows nest a fold in a fold; tests hold them against plain Python."""
+    """Sliding paragraph windows, a fold in a fold."""
     return C.chunk_pages(document_pages(spark, sf), r"\n+")
 
 
@@ -109,6 +148,21 @@ def c9(spark, sf):
     return extracted(spark, sf)
 
 
+SQL_ARTICLE = "regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1)"
+
+
+@query("c9_letters", f"""
+    SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace({SQL_ARTICLE}, '(?s)<(script|style|button|svg|noscript)[^>]*>.*?</(script|style|button|svg|noscript)>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]+>', ' ', 'g'),
+        '&(amp|lt|gt|quot|nbsp);?|&[a-zA-Z0-9#]+;', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS letters_md5, len(regexp_extract_all({SQL_ARTICLE}, '<h[1-6][^>]*>')) AS headings, len(regexp_extract_all({SQL_ARTICLE}, '<li[^>]*>')) AS items
+    FROM pages""")
+def c9_letters(spark, sf):
+    """Every letter and digit of the article and no other, and as many headings and items, stand in the markdown."""
+    letters = F.regexp_replace(F.regexp_replace("markdown", r"\]\([^)]*\)", "]"), r"[^\p{L}\p{N}]+", "")
+    lines = F.split("markdown", "\n")
+    count = lambda pattern: F.size(F.filter(lines, lambda s: s.rlike(pattern))).cast("long")
+    return extracted(spark, sf).select("page_id", F.md5(letters).alias("letters_md5"), count("^#{1,6} ").alias("headings"), count("^ *- ").alias("items"))
+
+
 @query("c9_crawl_chunks")
 def crawl_chunks(spark, sf):
     return C.chunk_pages(extracted(spark, sf))

@@ -26,13 +26,14 @@ SQL_QUERIES = f"""
         ELSE list_prepend(text, list_filter(list_filter(sents, lambda s: s <> '')[1:3], lambda s: s <> text))[1:4] END AS qs FROM typed),
     queries AS (SELECT qid, query_type, unnest(generate_series(0, len(qs) - 1))::INTEGER AS qno, unnest(qs) AS text FROM lists)"""
 SQL_INDEX = f"""
-    toks AS (SELECT doc_id, page_number, {sql_tokens('content')} AS t FROM chunks WHERE trim(content) <> ''),
+    toks AS MATERIALIZED (SELECT doc_id, page_number, {sql_tokens('content')} AS t FROM chunks WHERE trim(content) <> ''),
     dl AS (SELECT doc_id, page_number, len(t) AS dl FROM toks),
     st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-    postings AS (SELECT doc_id, page_number, tok, count(*) AS tf FROM (SELECT doc_id, page_number, unnest(t) AS tok FROM toks) GROUP BY ALL),
+    postings AS MATERIALIZED (SELECT doc_id, page_number, tok, count(*) AS tf FROM (SELECT doc_id, page_number, unnest(t) AS tok FROM toks) GROUP BY ALL),
     df AS (SELECT tok, count(*) AS df FROM postings GROUP BY tok),
-    raw AS (SELECT tok, df, ln(n - df + 0.5) - ln(df + 0.5) AS i FROM df, st),
-    idf AS (SELECT tok, df, CASE WHEN i < 0 THEN 0.25 * (SELECT avg(i) FROM raw) ELSE i END AS idf FROM raw)"""
+    raw AS MATERIALIZED (SELECT tok, df, ln(n - df + 0.5) - ln(df + 0.5) AS i FROM df, st),
+    mean AS MATERIALIZED (SELECT avg(i) AS mean FROM raw),
+    idf AS MATERIALIZED (SELECT tok, df, CASE WHEN i < 0 THEN 0.25 * mean ELSE i END AS idf FROM raw, mean)"""
 
 
 def sql_bm25(queries: str) -> str:
@@ -178,11 +179,27 @@ def p1(spark, sf):
     return hits.select("qid", "final_rank", "doc_id", "page_number", "sim", "rrf")
 
 
+@query("r6_scored_rerank", f"""{ALL},
+    judged AS (SELECT kept.*, CASE WHEN length(text) % 5 <> 0 THEN (length(content) % 1000) / 1000.0::DOUBLE END AS rerank_score FROM kept JOIN benchmark ON item_id = qid)
+    SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY coalesce(rerank_score, sim) DESC, pos)::INTEGER AS final_rank, doc_id, page_number, coalesce(rerank_score, sim) AS sim, rerank_score FROM judged) WHERE final_rank <= 6""")
+def r6(spark, sf):
+    """A scorer by length, which fails on every fifth length of a question."""
+
+    def by_length(questions, texts):
+        if len(questions[0]) % 5 == 0:
+            raise ValueError("no score")
+        return [len(t) % 1000 / 1000 for t in texts]
+
+    kept = R.above_threshold(A.fused(corpus(spark, sf), searches(spark, sf)), LEAST).join(questions(spark, sf).withColumnRenamed("text", "question"), "qid")
+    return R.rerank(kept, scorer=by_length).select("qid", "final_rank", "doc_id", "page_number", "sim", "rerank_score")
+
+
 @query("w5_legacy_rerank", f"{ALL} SELECT * FROM (SELECT qid, doc_id, page_number, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, qno, rank)::INTEGER AS place FROM (SELECT * FROM dense_c QUALIFY row_number() OVER (PARTITION BY qid, content ORDER BY qno, rank) = 1)) WHERE place <= 8")
 def w5(spark, sf):
     """Equal contents once, then the 8 most similar."""
     chunks, queries = corpus(spark, sf), searches(spark, sf)
-    dense = R.dense_search(R.build_index(chunks).corpus, queries).join(chunks, R.KEY).withColumn("content", F.substring("content", 1, 1000))
+    index = R.build_index(chunks)
+    dense = index.corpus.select(*R.KEY, "content").join(R.dense_search(R.store_vectors(index.corpus), queries), R.KEY).withColumn("content", F.substring("content", 1, 1000))
     one = R.keep_first(dense, ["qid", "content"], ["qno", "rank"])
     return R.top(one, ["qid"], [F.desc("sim"), "qno", "rank"], 8, "place").select("qid", "doc_id", "page_number", "sim", "place")
 
@@ -199,32 +216,33 @@ def p11(spark, sf):
     return R.citations(R.merge_adjacent(hits))
 
 
-@query("r18_ask", f"""{ALL}, {SQL_MERGED}, {SQL_CONTEXT}
-    SELECT l.qid, query_type, len(qs) AS n_queries, coalesce(n_chunks, 0) AS n_chunks, md5(coalesce(context, '')) AS context_md5,
+SQL_ANSWERS = f"""{ALL}, {SQL_MERGED}, {SQL_CONTEXT},
+    answers AS (SELECT l.qid, query_type, len(qs) AS n_queries, coalesce(n_chunks, 0) AS n_chunks, md5(coalesce(context, '')) AS context_md5,
         CASE WHEN context IS NULL THEN '{A.NOTHING.replace("'", "''")}' ELSE '[1] ' || substring(first_chunk, 1, 100) END AS answer, context IS NULL AS abstained
-    FROM lists l LEFT JOIN ctx USING (qid)""")
+        FROM lists l LEFT JOIN ctx USING (qid))"""
+
+
+@query("r18_ask", f"{SQL_ANSWERS} SELECT * FROM answers")
 def r18(spark, sf):
-    """R12, R13, R20 and the batch runner's answers (R21)."""
+    """R12, R13 and R20, too."""
     out = A.ask(questions(spark, sf), corpus(spark, sf), LEAST)
     return out.select("qid", "query_type", "n_queries", "n_chunks", F.md5("context").alias("context_md5"), "answer", "abstained")
 
 
+@query("r21_batch_runner", f"{SQL_ANSWERS} SELECT qid, answer, n_chunks AS n_sources, true AS timed, NULL::VARCHAR AS error FROM answers UNION ALL SELECT -1, '', 0, true, 'no question'")
+def r21(spark, sf):
+    """Questions with a blank one among them, which gets a row with its error."""
+    asked = questions(spark, sf).unionByName(spark.createDataFrame([(-1, " ")], "qid long, text string"))
+    out = A.run_batch(asked, corpus(spark, sf), LEAST)
+    return out.select("qid", "answer", "n_sources", (F.col("latency") >= 0).alias("timed"), "error")
+
+
 @query("r7_embeddings", f"""
     WITH {SQL_CHUNKS}, {SQL_INDEX}, cv AS (SELECT doc_id, page_number, ('0x' || substr(md5(tok), 1, 4))::INTEGER % 256 AS b, sum(tf) AS c FROM postings GROUP BY ALL)
     SELECT doc_id, page_number, count(*) AS filled, sum(c)::DOUBLE AS total, max(c)::DOUBLE AS largest FROM cv GROUP BY ALL""")
 def r7(spark, sf):
     """A14: zero vectors are failed embeddings and are left out here."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    embed, key = plugins.HashingEmbedder(), list(R.KEY)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[key].assign(values=list(embed([list(t) for t in b.t]).astype("float32")))
-
-    v = R.build_index(corpus(spark, sf)).corpus.select(*R.KEY, "t").mapInPandas(run, "doc_id long, page_number long, values array<float>")
+    v = R.store_vectors(R.build_index(corpus(spark, sf)).corpus).withColumnRenamed("vector", "values")
     v = v.withColumn("total", F.aggregate("values", F.lit(0.0), lambda s, x: s + x)).filter("total > 0")
     return v.select(*R.KEY, F.size(F.filter("values", lambda x: x > 0)).cast("long").alias("filled"), "total", F.array_max("values").cast("double").alias("largest"))
 
@@ -232,7 +250,8 @@ def r7(spark, sf):
 @query("r14_combined_answers", f"{ALL} SELECT qid, string_agg('Sub-question ' || qno || ': ' || n || ' hits', chr(10) ORDER BY qno) AS combined FROM (SELECT qid, qno, count(*) AS n FROM dense GROUP BY ALL) GROUP BY qid")
 def r14(spark, sf):
     """Answers of the parts of a question put together in order."""
-    d = R.dense_search(R.build_index(corpus(spark, sf)).corpus, searches(spark, sf)).groupBy("qid", "qno").agg(F.count("*").alias("n"))
+    vectors = R.store_vectors(R.build_index(corpus(spark, sf)).corpus)
+    d = R.dense_search(vectors, searches(spark, sf)).groupBy("qid", "qno").agg(F.count("*").alias("n"))
     line = F.concat(F.lit("Sub-question "), F.col("qno").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" hits"))
     parts = F.array_sort(F.collect_list(F.struct("qno", line.alias("t"))))
     return d.groupBy("qid").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("combined"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +42,27 @@ class HashingEmbedder:
         return out
 
 
+class Scorer(Protocol):
+    """Questions and candidate texts, row by row, to relevance scores; it may fail."""
+
+    def __call__(self, questions: list[str], texts: list[str]) -> np.ndarray: ...
+
+
+def scores(scorer: Scorer):
+    """A scorer as a function on two columns: null for the rows of a batch that it failed on."""
+
+    def run(question: pd.Series, text: pd.Series) -> pd.Series:
+        out = np.full(len(question), np.nan)
+        for _, at in question.reset_index(drop=True).groupby(question.reset_index(drop=True)).groups.items():  # a request is one question's
+            try:
+                out[at] = scorer(question.iloc[at].tolist(), text.iloc[at].tolist())
+            except Exception:  # noqa: BLE001  whatever the model raises, the question falls back
+                out[at] = np.nan
+        return pd.Series(out).where(~np.isnan(out), None).astype("Float64")
+
+    return F.pandas_udf(run, "double")
+
+
 def classify(question: Column) -> Column:
     """One of the four labels, by rule; a model's reply is read by label_in()."""
     return (

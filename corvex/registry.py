@@ -28,19 +28,15 @@ SMALL = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores if they come from fewer files than half of those, and small ones.
+    """Rows of a small table dealt to all cores.
 
     A small file of one row group is one task, however many splits it is planned as and however much
     work its texts are. Large inputs have more row groups than cores and are left without a shuffle.
+    The size is the planner's estimate, so nothing is listed or read for it.
     """
-    spark = df.sparkSession
-    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
-    if len(files) * 2 > cores:
-        return df
-    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]
-    total = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
-    return df.repartition(cores) if total < cores * SMALL else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL else df
 
 
 #: Tables whose rows are work enough to be dealt out.

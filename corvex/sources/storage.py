@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import urls as U
 
@@ -34,6 +35,30 @@ def remove(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df, written and read again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, parts: int, key: str, order: str, name: str) -> DataFrame:
+    """df as a stored table in parts by key, each in order of a column: what is grouped by the key needs no shuffle."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    table = f"{name}_{path[-12:]}"
+    df.write.bucketBy(parts, key).sortBy(order).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+def csv_by_position(spark: SparkSession, path: str, column: str, name: str) -> DataFrame:
+    """The one column of a folder of CSV files (with headers) with each row's number, from 0, through the files in order."""
+    rows = spark.read.schema(f"{column} string").csv(path, header=True, multiLine=True, escape='"').select(column, F.col("_metadata.file_name").alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    within = F.row_number().over(Window.partitionBy("__file").orderBy("__at")) - 1  # a file's rows are read in order
+    sizes = rows.groupBy("__file").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    sizes = sizes.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return rows.withColumn("__within", within).join(sizes, "__file").select(column, (F.col("__base") + F.col("__within")).alias(name))
+
+
 class IndexStore:
     """Keyword indexes by tenant and site: partitions of a table, so a search reads only its own."""
 
@@ -121,4 +146,4 @@ def crawl(pages: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     return seen.select("base", "url", "depth")
 
 
-__all__ = ["IndexStore", "crawl", "delete_vectors", "first_sitemap", "remove", "shared_folder", "sitemap_pages", "upsert_vectors"]
+__all__ = ["IndexStore", "bucketed", "crawl", "csv_by_position", "delete_vectors", "first_sitemap", "remove", "shared_folder", "sitemap_pages", "stored", "upsert_vectors"]

@@ -145,6 +145,13 @@ def test_html_details():
     assert H.clean_markdown_of("") == "" and H.title_of("<title> T </title>") == "T"
 
 
+def test_deep_nesting_is_no_recursion():
+    deep = "<div>" * 20_000 + "<ul><li>x" * 50 + "</li></ul>" * 50 + "</div>" * 20_000
+    assert H.clean_markdown_of(deep).startswith("- ")
+    table = "<table><tr><th>a</th><td><ul><li>x<ul><li>y</li></ul></li></ul></td></tr></table>"
+    assert H.clean_markdown_of(table) == "| a | - x\n\n- y |"
+
+
 def test_fallback_cleaner(spark):
     md = "# A\n[only](x)\n## On this page\n- a\n## B\ntext\n\n\n\nend"
     assert values(spark, [md], H.clean_fallback) == ["# A\n## B\ntext\n\nend"]
@@ -169,6 +176,52 @@ def test_bm25_by_hand(spark):
     assert got[(1, 2)] == round(part(0.25 * mean, 2), 6)
 
 
+def test_questions_beyond_a_batch(spark, monkeypatch):
+    d = spark.createDataFrame([(i, 1, " ".join(f"w{(i * k) % 17}" for k in range(1, 9))) for i in range(60)], "doc_id long, page_number long, content string")
+    q = spark.createDataFrame([(i, j, f"w{i} w{j + 3} w{i}") for i in range(9) for j in range(2)], "qid long, qno int, text string")
+    index = R.build_index(d)
+    vectors = R.store_vectors(index.corpus)
+    searches = (lambda: R.keyword_search(index, q), lambda: R.dense_search(vectors, q))
+    whole = [sorted(map(tuple, f().collect())) for f in searches]
+    monkeypatch.setattr(R, "MAX_QUESTIONS", 4)
+    monkeypatch.setattr(R, "MAX_TOKENS", 1)
+    assert whole == [sorted(map(tuple, f().collect())) for f in searches] and all(whole)
+
+
+def test_search_reads_stored_parts_without_a_shuffle_of_matches(spark):
+    d = spark.createDataFrame([(i, 1, f"common w{i % 7}") for i in range(50)], "doc_id long, page_number long, content string")
+    q = spark.createDataFrame([(1, 0, "common w3")], "qid long, qno int, text string")
+    plan = R.keyword_search(R.build_index(d), q)._jdf.queryExecution().executedPlan().toString()
+    scores = plan[plan.index("WindowGroupLimit") :] if "WindowGroupLimit" in plan else plan
+    assert "hashpartitioning(qid, qno, doc_id, page_number" not in scores.replace("#", "")
+
+
+def test_scorer_and_its_failure(spark):
+    rows = [(q, i, f"text {i}", 0.9 - i / 100, i, f"question {q}") for q in (1, 2) for i in range(1, 51)]
+    kept = spark.createDataFrame(rows, "qid long, doc_id long, content string, sim double, fused_rank int, question string")
+
+    def scorer(questions, texts):
+        if questions[0] == "question 2":
+            raise RuntimeError("down")
+        return [int(t.split()[1]) / 100 for t in texts]
+
+    got = {(r.qid, r.final_rank): (r.doc_id, r.sim, r.rerank_score) for r in R.rerank(kept, scorer=scorer).collect()}
+    assert [got[(1, k)] for k in range(1, 7)] == [(41 - k, (41 - k) / 100, (41 - k) / 100) for k in range(1, 7)]
+    assert [got[(2, k)][0] for k in range(1, 7)] == [1, 2, 3, 4, 5, 6] and got[(2, 1)][2] is None and len(got) == 12
+
+
+def test_batch_runner_gives_each_failure_its_own_row(spark):
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", None, "bad", "c", "  ", "d"])], "qid long, text string")
+
+    def ask(part, chunks, least):
+        if part.filter("text = 'bad'").count():
+            raise RuntimeError("no answer to this one")
+        return part.select("qid", F.upper("text").alias("answer"), F.lit(2).alias("n_chunks"))
+
+    got = {r.qid: (r.answer, r.n_sources, r.error) for r in A.run_batch(q, None, ask=ask).collect()}
+    assert got == {0: ("A", 2, None), 1: ("B", 2, None), 2: ("", 0, "no question"), 3: ("", 0, "no answer to this one"), 4: ("C", 2, None), 5: ("", 0, "no question"), 6: ("D", 2, None)}
+
+
 def fused_of(spark, dense, sparse):
     d = spark.createDataFrame(dense, "qid long, doc_id long, page_number long, content string, url string, sim double, pool_rank int")
     s = spark.createDataFrame(sparse, "qid long, doc_id long, page_number long, content string, list_rank int")
@@ -240,6 +293,21 @@ def test_ordinal_is_gapless(spark):
     assert [(r.k, r.i) for r in L.ordinal(d, ["k"], "i").orderBy("k").collect()] == [(k, k) for k in range(1000)]
 
 
+def test_ordinal_of_many_partitions(spark):
+    """More rows than the ranges are drawn from: counts and numbers must come from the same ranges."""
+    d = spark.range(60_000).select(F.concat(F.lit("k"), (F.col("id") * 7919 % 60_000).cast("string")).alias("k"))
+    got = [(r.k, r.i) for r in L.ordinal(d, ["k"], "i").orderBy("k").collect()]
+    assert [i for _, i in got] == list(range(60_000))
+
+
+def test_csv_by_position_of_many_files(spark):
+    d = L.ordinal(spark.range(500).select("id", F.concat(F.lit("line "), F.col("id").cast("string"), F.lit(' "quoted",\nnext')).alias("text")), ["id"], "i")
+    path = S.shared_folder(spark, "csv")
+    d.repartitionByRange(7, "i").sortWithinPartitions("i").select("text").write.csv(path, header=True, escape='"')
+    back = S.csv_by_position(spark, path, "text", "i")
+    assert {(r.i, r.text) for r in back.collect()} == {(r.i, r.text) for r in d.select("i", "text").collect()}
+
+
 def test_merge_and_upsert(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, s string, n int")
     new = spark.createDataFrame([(2, None, 5), (3, "c", 3)], "k int, s string, n int")
