@@ -27,7 +27,9 @@ from .kernels import fixed_binary, min_max, mix64, random64, shingles, signed, s
 
 ROWS = 4
 #: Members and shingles of a block, some, when a bucket is compared across components.
-BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Rows of such blocks that one task compares, some.
+COMPARED = 4000
 
 
 def _features(k: int, n_hashes: int):
@@ -202,15 +204,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("lo <> hi and size > 2")
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     open_keys = work.save(open_keys.select("key", "size", blocks.alias("blocks")), "open")
-    if not open_keys.isEmpty():
+    to_compare = open_keys.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0]
+    if to_compare:
+        # Comparisons cost more than bytes tell, so the number of tasks is given by rows.
+        tasks = -(-to_compare // COMPARED)
         rest = join_hot(named, open_keys, ["key"], counted="size").join(reps.select("node", "sig"), "node")
         rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("mine") <= F.col("other"), 0).otherwise(1)
         rest = rest.select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "node", "comp", "n", "sig")
+        rest = rest.repartition(tasks, "key", "i", "j")
         may = work.save(rest.groupBy("key", "i", "j").applyInPandas(_candidates(n_values, least, percent), rest.schema), "candidates")
         ends = may.select("node").distinct()
         sets = work.save(semi_by_id(texts, "uid", ends, "node", work).mapInArrow(_sets(k), "node long, shingles binary"), "sets")
-        more = may.join(sets, "node").groupBy("key", "i", "j").applyInPandas(_across(n_values, least, percent), "a long, b long").distinct()
+        more = may.join(sets, "node").repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(_across(n_values, least, percent), "a long, b long").distinct()
         more = work.save(more, "links")
         work.drop(sets, may)
         if not more.isEmpty():
