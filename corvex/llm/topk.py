@@ -5,7 +5,9 @@ bytes a component as the largest one needs. In its block every dimension has a s
 once. The task walks all lists at once, from both ends (a query's sign says which end is its best),
 scores each candidate when it first appears, and keeps each query's k best. The values where the
 lists stand bound every unseen candidate's score; a query is done once its k-th score is above that
-bound. A last step merges the k best of all blocks.
+bound. Blocks are searched in rounds, each of four times as many as all before, and a query carries
+its k-th score into the next one: that ends walks, and a round passes on only what may enter the k
+best, some 60 rows a query however many candidates there are.
 
 In many dense dimensions the bound rarely stops a walk before the end; results are exact either way.
 """
@@ -22,9 +24,13 @@ from pyspark.sql.window import Window
 from .common import Workspace
 
 #: Bytes of a block's candidates as numbers of 8 bytes; the fewest candidates that a block is made for.
-BLOCK_BYTES, LEAST_BLOCK = 32 << 20, 2048
+BLOCK_BYTES, LEAST_BLOCK = 32 << 20, 512
 #: Blocks of a table of any size, if it has rows enough.
 BLOCKS = 48
+#: Blocks of the first round, and how many times as many are searched after each next one.
+FIRST_ROUND, GROWTH = 4, 4
+#: Stands for the k-th score of a query that has fewer.
+NO_SCORE = -(2**63)
 #: Queries that walk the lists together, and new candidates that they score at once.
 QUERIES, SCORED = 1024, 4096
 FIRST_DEPTH = 16
@@ -40,11 +46,11 @@ class Lists:
         self.largest = int(np.abs(self.vectors).max(initial=0))
 
 
-def fagin(block: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def fagin(block: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query its best candidates of other ids, as (ids, scores), scores falling, then ids rising.
 
     Vectors hold whole numbers. Equal scores go to the smaller id, so a query is done only when its
-    k-th score is strictly above the bound.
+    k-th score is strictly above the bound. least: scores that a query's candidates must reach.
     """
     ids, vectors, lists = block.ids, block.vectors, block.lists
     n, dims = vectors.shape
@@ -72,13 +78,17 @@ def fagin(block: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int) -> l
             q = queries[live]
             bound = np.maximum(q * high, q * low).sum(axis=1)
             kth = best[live].min(axis=1)
-            live = live[~((kth > bound * factor) & (kth != nothing))]
+            done = (kth > bound * factor) & (kth != nothing)
+            if least is not None:
+                done |= bound < least[live]
+            live = live[~done]
     out = []
-    for row in best:
+    for i, row in enumerate(best):
         row = np.sort(row[row != nothing])[::-1]
         scores = np.array([-((-x) // factor) for x in row], row.dtype)  # places are below factor, so rounding up gives the score
         at = (scores * factor - row).astype(np.int64) if len(row) else np.zeros(0, np.int64)
-        out.append((ids[at], scores.astype(np.int64)))
+        good = slice(None) if least is None else scores >= least[i]
+        out.append((ids[at][good], scores.astype(np.int64)[good]))
     return out
 
 
@@ -96,8 +106,8 @@ def _search(k: int, width: int):
     """Rows come ordered by block, its candidates before the queries."""
 
     def found(block, asked):
-        ids = np.concatenate([i for i, _ in asked])
-        hits = fagin(block, ids, np.concatenate([v for _, v in asked]), k)
+        ids, vectors, least = (np.concatenate([a[c] for a in asked]) for c in range(3))
+        hits = fagin(block, ids, vectors, k, least)
         table = pd.DataFrame({"query_id": np.repeat(ids, [len(i) for i, _ in hits]), "vec_id": np.concatenate([i for i, _ in hits]), "score": np.concatenate([s for _, s in hits])})
         return pa.RecordBatch.from_pandas(table.astype("int64"), preserve_index=False)
 
@@ -105,7 +115,8 @@ def _search(k: int, width: int):
         at, parts, lists, asked = None, [], None, []
         for batch in batches:
             blocks, is_query = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "asked"))
-            ids, vectors = batch.column("vec_id").to_numpy(zero_copy_only=False), matrix(batch.column("v"), width)
+            ids, least = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "least"))
+            vectors = matrix(batch.column("v"), width)
             for b in np.unique(blocks):
                 if b != at:
                     if asked:
@@ -119,8 +130,9 @@ def _search(k: int, width: int):
                     if lists is None:
                         lists = Lists(np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts]))
                     for lo in range(0, len(q), QUERIES):
-                        asked.append((ids[q[lo : lo + QUERIES]], vectors[q[lo : lo + QUERIES]]))
-                        if sum(len(i) for i, _ in asked) >= QUERIES:
+                        some = q[lo : lo + QUERIES]
+                        asked.append((ids[some], vectors[some], least[some]))
+                        if sum(len(a[0]) for a in asked) >= QUERIES:
                             yield found(lists, asked)
                             asked = []
         if asked:
@@ -160,10 +172,24 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 20, scale: int = 64, id_co
     blocks = max(-(-8 * width * n // BLOCK_BYTES), min(BLOCKS, n // LEAST_BLOCK), 1)
 
     rows = rows.withColumn("v", F.col("v").cast(f"array<{kind}>"))
-    candidates = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asked"), "vec_id", "v")
-    queries = rows.filter("asked").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "asked", "vec_id", "v")
-    dealt = candidates.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "asked")
-    pairs = dealt.mapInArrow(_search(k, width), "query_id long, vec_id long, score long")
+    candidates = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asked"), "vec_id", "v", F.lit(NO_SCORE).alias("least"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, lo, hi = None, 0, FIRST_ROUND
+    while True:
+        hi = min(blocks, hi)
+        queries = rows.filter("asked").withColumn("block", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
+        if best is not None:
+            reached = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+            queries = queries.join(reached, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(NO_SCORE)))
+        else:
+            queries = queries.withColumn("least", F.lit(NO_SCORE))
+        dealt = candidates.filter((F.col("block") >= lo) & (F.col("block") < hi)).unionByName(queries.select("block", "asked", "vec_id", "v", "least"))
+        dealt = dealt.repartitionByRange(4 * (hi - lo), "block").sortWithinPartitions("block", "asked")
+        found = dealt.mapInArrow(_search(k, width), "query_id long, vec_id long, score long")
+        if best is not None:
+            found = found.unionByName(best.select("query_id", "vec_id", "score"))
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if hi == blocks:
+            return found
+        best, lo, hi = work.save(found, "best"), hi, hi * GROWTH

@@ -324,6 +324,16 @@ def test_search_edges(spark):
     assert topk.top_k(d.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_in_rounds(spark, monkeypatch):
+    """Many blocks, so later rounds start from the scores of earlier ones; ties at the k-th score."""
+    monkeypatch.setattr(topk, "LEAST_BLOCK", 4)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4) / 4]) for i in range(160)] + [(20, [1.0] * 4), (7, [-1.0] * 4)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for k in (1, 9, 200):
+        assert {tuple(r) for r in topk.top_k(d, F.col("vec_id") % 20 == 0, k=k).collect()} == search_model(rows, k, lambda i: i % 20 == 0)
+
+
 def test_threshold_algorithm_stops_early_and_is_exact():
     rng = np.random.default_rng(4)
     v = np.round(rng.standard_t(2, (3000, 3)) * 20).astype(np.int64)
