@@ -144,7 +144,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     low, end = F.col("block") * block, F.col("start") + F.col("size")
     parts = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     parts = parts.withColumn("first_word", F.greatest(low, "start") - F.col("start")).withColumn("n_words", F.least(low + block, end) - F.greatest(low, "start"))
-    taken = drawn.join(parts.select("src", "block", "doc_id", "tie", "start", "first_word", "n_words"), ["src", "block"])
+    # The planner takes slots for as few as the sources that they come from, and would broadcast them.
+    taken = drawn.hint("merge").join(parts.select("src", "block", "doc_id", "tie", "start", "first_word", "n_words"), ["src", "block"])
     return Mixture(placed, sources, taken)
 
 
