@@ -108,6 +108,12 @@ def store_vectors(corpus: DataFrame, embed: plugins.Embedder | None = None) -> D
     return stored(rows, shared_folder(corpus.sparkSession, "vectors"))
 
 
+def build_both(chunks: DataFrame) -> tuple[KeywordIndex, DataFrame]:
+    """The keyword index of chunks and their vectors."""
+    index = build_index(chunks)
+    return index, store_vectors(index.corpus)
+
+
 def in_blocks(parts: Iterator[pd.DataFrame], width: int, cells: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """Rows in blocks that make at most so many cells with width columns."""
     step = max(1, cells // max(1, width))

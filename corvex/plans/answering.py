@@ -25,11 +25,9 @@ def search_queries(questions: DataFrame) -> DataFrame:
     return q.select("qid", "query_type", F.posexplode(texts).alias("qno", "text"))
 
 
-def candidates(chunks: DataFrame, queries: DataFrame, index: R.KeywordIndex | None = None, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def candidates(queries: DataFrame, index: R.KeywordIndex, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The dense pool and the concatenated keyword lists. Dense records hold 1000 characters and a URL,
     keyword records the whole text and none. The texts of hits come from the index's corpus."""
-    index = index or R.build_index(chunks)
-    vectors = vectors if vectors is not None else R.store_vectors(index.corpus)
     few = F.broadcast if queries.count() <= R.MAX_QUESTIONS else lambda df: df  # a list has DENSE_K hits at most
     url = F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))
     texts = index.corpus.select(*R.KEY, "content")
@@ -38,17 +36,17 @@ def candidates(chunks: DataFrame, queries: DataFrame, index: R.KeywordIndex | No
     return R.pool(dense), R.concatenated(sparse)
 
 
-def fused(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    return R.fuse(*candidates(chunks, queries))
-
-
-def ask(questions: DataFrame, chunks: DataFrame, least: float = R.MIN_SIMILARITY) -> DataFrame:
+def ask(questions: DataFrame, index: R.KeywordIndex, vectors: DataFrame, least: float = R.MIN_SIMILARITY, scorer: plugins.Scorer | None = None) -> DataFrame:
     """One row a question (qid, text): type, queries, chunks, context, answer, abstained.
 
-    A question for which nothing passes the threshold gets the standard answer and abstains.
+    A question for which nothing passes the threshold gets the standard answer and abstains. scorer
+    reranks what passes; without one, similarity does.
     """
     queries = search_queries(questions)
-    hits = R.rerank(R.above_threshold(fused(chunks, queries), least))
+    kept = R.above_threshold(R.fuse(*candidates(queries, index, vectors)), least)
+    if scorer is not None:
+        kept = kept.join(questions.select("qid", F.col("text").alias("question")), "qid")
+    hits = R.rerank(kept, scorer=scorer)
     text = R.context(R.merge_adjacent(hits))
     asked = queries.groupBy("qid").agg(F.first("query_type").alias("query_type"), F.count("*").alias("n_queries"))
     out = asked.join(text, "qid", "left")
@@ -57,7 +55,7 @@ def ask(questions: DataFrame, chunks: DataFrame, least: float = R.MIN_SIMILARITY
     return out.select("qid", "query_type", "n_queries", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), F.coalesce("context", F.lit("")).alias("context"), answer.alias("answer"), abstained.alias("abstained"))
 
 
-def run_batch(questions: DataFrame, chunks: DataFrame, least: float = R.MIN_SIMILARITY, ask=ask) -> DataFrame:
+def run_batch(questions: DataFrame, index: R.KeywordIndex, vectors: DataFrame, least: float = R.MIN_SIMILARITY, ask=ask) -> DataFrame:
     """One row a question (qid, text): answer, n_sources, latency, error. A question that fails has an error and no answer.
 
     Null and blank questions are errors. If a batch fails, its halves are asked on their own, so that
@@ -74,7 +72,7 @@ def run_batch(questions: DataFrame, chunks: DataFrame, least: float = R.MIN_SIMI
         if not n:
             continue
         try:
-            answers = stored(ask(part.drop("__at"), chunks, least).select("qid", "answer", "n_chunks"), shared_folder(spark, "answers"))
+            answers = stored(ask(part.drop("__at"), index, vectors, least).select("qid", "answer", "n_chunks"), shared_folder(spark, "answers"))
             out = out.unionByName(answers.select("qid", *shape(F.col("answer"), F.col("n_chunks"), round(time.time() - start, 3), None)))
         except Exception as e:  # noqa: BLE001  any failure of a plan or a model is the question's
             if n == 1:

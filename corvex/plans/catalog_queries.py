@@ -9,10 +9,10 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import chunking as C
 from ..operators import relational as L
-from ..operators import retrieval as R
 from ..registry import query, table
 from ..sources import storage as S
 from .chunk_queries import SQL_BASE, SQL_CHUNKS, sql_strip
+from .retrieval_queries import stored_index
 from .text_queries import sql_path, sql_tokens
 
 SQL_NORM = "regexp_replace(regexp_replace({}, '#.*$', ''), '/+$', '')"
@@ -104,7 +104,7 @@ def s11(spark, sf):
 def k3(spark, sf):
     """Indexes of all tenants saved, one site's deleted, one tenant's loaded."""
     docs = table(spark, sf, "documents")
-    postings = R.build_index(C.chunk_documents(docs)).postings.join(docs.select("doc_id", F.col("lang").alias("user_id"), F.col("source").alias("site_slug")), "doc_id")
+    postings = stored_index(spark, sf)[0].postings.join(docs.select("doc_id", F.col("lang").alias("user_id"), F.col("source").alias("site_slug")), "doc_id")
     store = S.IndexStore(spark, S.shared_folder(spark, "index"))
     store.save(postings)
     store.delete("en", "src0")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import plugins
 from ..functions import text as X
@@ -11,6 +11,7 @@ from ..operators import chunking as C
 from ..operators import retrieval as R
 from ..operators.relational import tenant_rows
 from ..registry import query, table
+from ..sources.storage import state_of
 from . import answering as A
 from .chunk_queries import SQL_CHUNKS, sql_strip, sql_wc
 from .text_queries import WS, sql_tokens
@@ -86,6 +87,26 @@ def corpus(spark, sf):
     return C.chunk_documents(table(spark, sf, "documents"))
 
 
+#: Stored indexes and vectors of this session by their corpus; a corpus whose files change is another one.
+STORED: dict[tuple, tuple[R.KeywordIndex, DataFrame]] = {}
+
+
+def stored_index(spark, sf) -> tuple[R.KeywordIndex, DataFrame]:
+    """The keyword index and the vectors of the documents: built and stored once a session, searched by every query."""
+    key = (spark.sparkContext.applicationId, *state_of(spark, f"{sf}/documents.parquet"))
+    if key not in STORED:
+        STORED[key] = R.build_both(corpus(spark, sf))
+    return STORED[key]
+
+
+def candidates(spark, sf):
+    return A.candidates(searches(spark, sf), *stored_index(spark, sf))
+
+
+def fused(spark, sf):
+    return R.fuse(*candidates(spark, sf))
+
+
 def questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
@@ -97,19 +118,19 @@ def searches(spark, sf):
 @query("a12_bm25_terms", f"WITH {SQL_CHUNKS}, {SQL_INDEX} SELECT tok AS token, df, round(idf, 6) AS idf FROM idf")
 def a12(spark, sf):
     """S7, K3: the index is built from, and equals, its stored tables; see index_store."""
-    return R.build_index(corpus(spark, sf)).terms.select("token", "df", F.round("idf", 6).alias("idf"))
+    return stored_index(spark, sf)[0].terms.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("a12_bm25_stats", f"WITH {SQL_CHUNKS}, {SQL_INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM st")
 def a12_stats(spark, sf):
-    return R.build_index(corpus(spark, sf)).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+    return stored_index(spark, sf)[0].stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("r1_bm25_topk", f"WITH {SQL_CHUNKS}, {SQL_INDEX}, one AS (SELECT item_id AS qid, 0 AS qno, text FROM benchmark), {sql_bm25('one')} SELECT qid, rank, doc_id, page_number, bm25_score FROM bm")
 def r1(spark, sf):
     """W3, J6, P6, P7, too."""
     one = questions(spark, sf).withColumn("qno", F.lit(0))
-    return R.keyword_search(R.build_index(corpus(spark, sf)), one).select("qid", "rank", "doc_id", "page_number", "bm25_score")
+    return R.keyword_search(stored_index(spark, sf)[0], one).select("qid", "rank", "doc_id", "page_number", "bm25_score")
 
 
 @query("r2_cosine_topk", """
@@ -155,27 +176,27 @@ def r8_replies(spark, sf):
 
 @query("r4_w7_dense_pool", f"{ALL} SELECT qid, pool_rank, doc_id, page_number, qno, sim FROM pooled")
 def r4(spark, sf):
-    dense, _ = A.candidates(corpus(spark, sf), searches(spark, sf))
+    dense, _ = candidates(spark, sf)
     return dense.select("qid", "pool_rank", "doc_id", "page_number", "qno", "sim")
 
 
 @query("u2_keyword_lists", f"{ALL} SELECT qid, list_rank, doc_id, page_number, bm25_score FROM listed")
 def u2(spark, sf):
-    _, sparse = A.candidates(corpus(spark, sf), searches(spark, sf))
+    _, sparse = candidates(spark, sf)
     return sparse.select("qid", "list_rank", "doc_id", "page_number", "bm25_score")
 
 
 @query("r3_r5_hybrid_rrf", f"{ALL} SELECT qid, fused_rank, doc_id, page_number, url, sim, rrf, length(content) AS n FROM fused")
 def r3(spark, sf):
     """J4, W1, too."""
-    f = A.fused(corpus(spark, sf), searches(spark, sf))
+    f = fused(spark, sf)
     return f.select("qid", "fused_rank", "doc_id", "page_number", "url", "sim", "rrf", F.length("content").cast("long").alias("n"))
 
 
 @query("p1_w4_reranked", f"{ALL} SELECT qid, final_rank, doc_id, page_number, sim, rrf FROM final")
 def p1(spark, sf):
     """R6's fallback, too."""
-    hits = R.rerank(R.above_threshold(A.fused(corpus(spark, sf), searches(spark, sf)), LEAST))
+    hits = R.rerank(R.above_threshold(fused(spark, sf), LEAST))
     return hits.select("qid", "final_rank", "doc_id", "page_number", "sim", "rrf")
 
 
@@ -190,29 +211,28 @@ def r6(spark, sf):
             raise ValueError("no score")
         return [len(t) % 1000 / 1000 for t in texts]
 
-    kept = R.above_threshold(A.fused(corpus(spark, sf), searches(spark, sf)), LEAST).join(questions(spark, sf).withColumnRenamed("text", "question"), "qid")
+    kept = R.above_threshold(fused(spark, sf), LEAST).join(questions(spark, sf).withColumnRenamed("text", "question"), "qid")
     return R.rerank(kept, scorer=by_length).select("qid", "final_rank", "doc_id", "page_number", "sim", "rerank_score")
 
 
 @query("w5_legacy_rerank", f"{ALL} SELECT * FROM (SELECT qid, doc_id, page_number, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, qno, rank)::INTEGER AS place FROM (SELECT * FROM dense_c QUALIFY row_number() OVER (PARTITION BY qid, content ORDER BY qno, rank) = 1)) WHERE place <= 8")
 def w5(spark, sf):
     """Equal contents once, then the 8 most similar."""
-    chunks, queries = corpus(spark, sf), searches(spark, sf)
-    index = R.build_index(chunks)
-    dense = index.corpus.select(*R.KEY, "content").join(R.dense_search(R.store_vectors(index.corpus), queries), R.KEY).withColumn("content", F.substring("content", 1, 1000))
+    index, vectors = stored_index(spark, sf)
+    dense = index.corpus.select(*R.KEY, "content").join(R.dense_search(vectors, searches(spark, sf)), R.KEY).withColumn("content", F.substring("content", 1, 1000))
     one = R.keep_first(dense, ["qid", "content"], ["qno", "rank"])
     return R.top(one, ["qid"], [F.desc("sim"), "qno", "rank"], 8, "place").select("qid", "doc_id", "page_number", "sim", "place")
 
 
 @query("w6_merge_adjacent", f"{ALL}, {SQL_MERGED} SELECT qid, place, url, page_number, sim, rrf, md5(content) AS content_md5 FROM merged")
 def w6(spark, sf):
-    hits = R.rerank(R.above_threshold(A.fused(corpus(spark, sf), searches(spark, sf)), LEAST))
+    hits = R.rerank(R.above_threshold(fused(spark, sf), LEAST))
     return R.merge_adjacent(hits).select("qid", "place", "url", "page_number", "sim", "rrf", F.md5("content").alias("content_md5"))
 
 
 @query("r11_p11_citations", f"{ALL}, {SQL_MERGED} SELECT qid, place, 'text' AS type, page_number AS page, CASE WHEN length(content) > 100 THEN substring(content, 1, 100) || '...' ELSE content END AS content_preview, url AS source_url, round(sim, 3) AS score FROM merged")
 def p11(spark, sf):
-    hits = R.rerank(R.above_threshold(A.fused(corpus(spark, sf), searches(spark, sf)), LEAST))
+    hits = R.rerank(R.above_threshold(fused(spark, sf), LEAST))
     return R.citations(R.merge_adjacent(hits))
 
 
@@ -225,7 +245,7 @@ SQL_ANSWERS = f"""{ALL}, {SQL_MERGED}, {SQL_CONTEXT},
 @query("r18_ask", f"{SQL_ANSWERS} SELECT * FROM answers")
 def r18(spark, sf):
     """R12, R13 and R20, too."""
-    out = A.ask(questions(spark, sf), corpus(spark, sf), LEAST)
+    out = A.ask(questions(spark, sf), *stored_index(spark, sf), LEAST)
     return out.select("qid", "query_type", "n_queries", "n_chunks", F.md5("context").alias("context_md5"), "answer", "abstained")
 
 
@@ -233,7 +253,7 @@ def r18(spark, sf):
 def r21(spark, sf):
     """Questions with a blank one among them, which gets a row with its error."""
     asked = questions(spark, sf).unionByName(spark.createDataFrame([(-1, " ")], "qid long, text string"))
-    out = A.run_batch(asked, corpus(spark, sf), LEAST)
+    out = A.run_batch(asked, *stored_index(spark, sf), LEAST)
     return out.select("qid", "answer", "n_sources", (F.col("latency") >= 0).alias("timed"), "error")
 
 
@@ -242,7 +262,7 @@ def r21(spark, sf):
     SELECT doc_id, page_number, count(*) AS filled, sum(c)::DOUBLE AS total, max(c)::DOUBLE AS largest FROM cv GROUP BY ALL""")
 def r7(spark, sf):
     """A14: zero vectors are failed embeddings and are left out here."""
-    v = R.store_vectors(R.build_index(corpus(spark, sf)).corpus).withColumnRenamed("vector", "values")
+    v = stored_index(spark, sf)[1].withColumnRenamed("vector", "values")
     v = v.withColumn("total", F.aggregate("values", F.lit(0.0), lambda s, x: s + x)).filter("total > 0")
     return v.select(*R.KEY, F.size(F.filter("values", lambda x: x > 0)).cast("long").alias("filled"), "total", F.array_max("values").cast("double").alias("largest"))
 
@@ -250,8 +270,7 @@ def r7(spark, sf):
 @query("r14_combined_answers", f"{ALL} SELECT qid, string_agg('Sub-question ' || qno || ': ' || n || ' hits', chr(10) ORDER BY qno) AS combined FROM (SELECT qid, qno, count(*) AS n FROM dense GROUP BY ALL) GROUP BY qid")
 def r14(spark, sf):
     """Answers of the parts of a question put together in order."""
-    vectors = R.store_vectors(R.build_index(corpus(spark, sf)).corpus)
-    d = R.dense_search(vectors, searches(spark, sf)).groupBy("qid", "qno").agg(F.count("*").alias("n"))
+    d = R.dense_search(stored_index(spark, sf)[1], searches(spark, sf)).groupBy("qid", "qno").agg(F.count("*").alias("n"))
     line = F.concat(F.lit("Sub-question "), F.col("qno").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" hits"))
     parts = F.array_sort(F.collect_list(F.struct("qno", line.alias("t"))))
     return d.groupBy("qid").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("combined"))

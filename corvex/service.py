@@ -89,7 +89,7 @@ class Service:
         chunks = L.tenant_rows(self.table("chunks"), user_id)
         if pdf_name is not None:
             chunks = chunks.filter(F.col("pdf_name") == pdf_name)
-        out = A.ask(questions, chunks.select("doc_id", "page_number", "content"), least).join(questions, "qid")
+        out = A.ask(questions, *R.build_both(chunks.select("doc_id", "page_number", "content")), least).join(questions, "qid")
         path = f"{self.root}/answers/{uuid.uuid4().hex[:8]}"
         out.write.parquet(path)
         out = self.spark.read.parquet(path)

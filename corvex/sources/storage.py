@@ -35,6 +35,14 @@ def remove(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def state_of(spark: SparkSession, path: str) -> tuple[str, int, int, int]:
+    """A path with its number of files, their bytes and when it was changed: other contents, another state."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    sums = fs.getContentSummary(p)
+    return path, sums.getFileCount(), sums.getLength(), fs.getFileStatus(p).getModificationTime()
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """df, written and read again."""
     df.write.parquet(path)
@@ -146,4 +154,4 @@ def crawl(pages: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     return seen.select("base", "url", "depth")
 
 
-__all__ = ["IndexStore", "bucketed", "crawl", "csv_by_position", "delete_vectors", "first_sitemap", "remove", "shared_folder", "sitemap_pages", "stored", "upsert_vectors"]
+__all__ = ["IndexStore", "bucketed", "crawl", "csv_by_position", "delete_vectors", "first_sitemap", "remove", "shared_folder", "sitemap_pages", "state_of", "stored", "upsert_vectors"]

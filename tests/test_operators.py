@@ -213,12 +213,12 @@ def test_scorer_and_its_failure(spark):
 def test_batch_runner_gives_each_failure_its_own_row(spark):
     q = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", None, "bad", "c", "  ", "d"])], "qid long, text string")
 
-    def ask(part, chunks, least):
+    def ask(part, index, vectors, least):
         if part.filter("text = 'bad'").count():
             raise RuntimeError("no answer to this one")
         return part.select("qid", F.upper("text").alias("answer"), F.lit(2).alias("n_chunks"))
 
-    got = {r.qid: (r.answer, r.n_sources, r.error) for r in A.run_batch(q, None, ask=ask).collect()}
+    got = {r.qid: (r.answer, r.n_sources, r.error) for r in A.run_batch(q, None, None, ask=ask).collect()}
     assert got == {0: ("A", 2, None), 1: ("B", 2, None), 2: ("", 0, "no question"), 3: ("", 0, "no answer to this one"), 4: ("C", 2, None), 5: ("", 0, "no question"), 6: ("D", 2, None)}
 
 
@@ -266,7 +266,7 @@ def X_words(t):
 def test_no_hits_abstain(spark):
     q = spark.createDataFrame([(1, "zzz qqq"), (2, "red fox")], "qid long, text string")
     d = spark.createDataFrame(CHUNKS, "doc_id long, page_number long, content string")
-    out = {r.qid: r for r in A.ask(q, d).collect()}
+    out = {r.qid: r for r in A.ask(q, *R.build_both(d)).collect()}
     assert out[1].abstained and out[1].n_chunks == 0 and out[1].answer == A.NOTHING
     assert not out[2].abstained and out[2].context.startswith("[1] ")
 
