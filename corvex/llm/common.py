@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,23 @@ NULL_ID = -(2**63)
 BROADCAST_IDS = 400_000
 
 
+#: Lists of the workspaces made since; see discarded_workspaces().
+_NOTED: list[list["Workspace"]] = []
+
+
+@contextmanager
+def discarded_workspaces():
+    """Workspaces made within are deleted at its end: for steps whose result has been stored elsewhere by then."""
+    made: list[Workspace] = []
+    _NOTED.append(made)
+    try:
+        yield
+    finally:
+        _NOTED.remove(made)
+        for work in made:
+            remove(work.spark, work.root)
+
+
 class Workspace:
     """A folder of its own below spark.checkpoint.dir, for tables that cut lineage.
 
@@ -28,6 +46,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, shared_folder(spark, name), 0
+        for noted in _NOTED:
+            noted.append(self)
         for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)):
             has = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key))
             if has is None or not 0 < int(has[1]) <= most:

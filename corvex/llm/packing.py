@@ -25,8 +25,8 @@ from .common import Workspace, known_id, shown_id, with_bases
 from .kernels import cached
 
 CAPACITY = 2048
-#: Groups of large lengths, and the least large length as a part of the capacity, that are tried.
-SHAPES = ((64, 1 / 4), (128, 1 / 4), (128, 1 / 6), (64, 1 / 3))
+#: Groups of large lengths, and the least large length as a part of the capacity, that are tried in turn.
+SHAPES = ((64, 1 / 2), (64, 1 / 4), (128, 1 / 4), (128, 1 / 6))
 #: Pieces of one length that are ranked together, some.
 RANKED = 250
 
@@ -67,9 +67,12 @@ def encoder(path: str):
     The faster library gives the same ids, but its pattern can't backtrack over a million white
     spaces or so: what it refuses, and all texts of a file that it can't read, goes to `tokenizers`.
     """
-    from tokenizers import Tokenizer
+    fast = load_encoding(path)
 
-    fast, exact = load_encoding(path), Tokenizer.from_file(path)
+    def exact():
+        from tokenizers import Tokenizer
+
+        return cached(("tokenizer", path), lambda: Tokenizer.from_file(path))
 
     def encode(text: str) -> list[int]:
         if fast is not None:
@@ -77,7 +80,7 @@ def encoder(path: str):
                 return fast.encode(text, allowed_special="all")
             except ValueError:
                 pass
-        return exact.encode(text, add_special_tokens=False).ids
+        return exact().encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -109,6 +112,8 @@ def best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> t
     while len(choice) < capacity // int(sizes.min()):
         new, pick = value.copy(), np.full(capacity + 1, -1)
         for i, s in enumerate(sizes):
+            if worth[i] <= 0:
+                continue
             better = value[: capacity + 1 - s] + worth[i] > new[s:] + 1e-12
             new[s:][better] = (value[: capacity + 1 - s] + worth[i])[better]
             pick[s:][better] = i

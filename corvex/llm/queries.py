@@ -68,9 +68,30 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(repeated_chunks(table(spark, sf_dir, "documents")))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7's mixture what SQL can say: sizes, targets, that no document is taken too often, and that sources meet their targets."""
+    mixture = mix(table(spark, sf_dir, "documents"))
+    rows = mixing_digest(mixture)
+    took = mixture.taken.groupBy("src").agg(F.sum("n_words").alias("words"))
+    near = mixture.sources.join(took, "src", "left").agg(F.max(F.abs(F.coalesce("words", F.lit(0)) - F.col("target")) / F.col("block_words")).alias("off"))
+    rows = rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("taken") <= 2 * F.col("size")).alias("within"))
+    return rows.crossJoin(F.broadcast(near.select((F.col("off") <= 2).alias("near_target"))))  # near is one row
+
+
+def pack_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4's sequences what SQL can say: every document once, gapless offsets, none over the capacity, few sequences."""
+    pieces = pack(table(spark, sf_dir, "documents"))
+    docs = pieces.groupBy("row").agg(F.sum("length").alias("n"), F.max(F.col("start") + F.col("length")).alias("end"), F.count("*").alias("pieces"), F.count_if(F.col("piece") == 0).alias("first"))
+    docs = docs.agg(F.count("*").alias("documents"), F.count_if((F.col("n") != F.col("end")) | (F.col("first") != 1) | (F.col("pieces") != F.ceil(F.col("n") / 2048))).alias("wrong_documents"))
+    held = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("offsets"), F.count("*").alias("pieces"))
+    held = held.agg(F.count_if((F.col("n") != F.col("end")) | (F.col("offsets") != F.col("pieces"))).alias("gaps"), F.count_if(F.col("n") > 2048).alias("overfull"), (F.count("*") <= F.ceil(F.sum("n") / 2048) * 1.01 + 1).alias("few"))
+    return docs.crossJoin(F.broadcast(held))  # one row each
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_exact_dedup, op2_chat_format, op3_suffix_dedup, op4_bestfit_packing, op5_language_id)
     found += (op6_minhash_dedup, op7_mixing, op8_topk_search, op9_toxicity, op10_substring_dedup)
+    found += (mix_targets, pack_layout)
     return {f.__name__: f for f in found}
 
 
@@ -79,6 +100,16 @@ ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "mix_targets": """
+            WITH t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+            s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM t GROUP BY source),
+            c AS (SELECT *, 2.0::DOUBLE * source_size / w AS most,
+                (1.5::DOUBLE * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(w) OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM s WHERE source_size > 0),
+            u AS (SELECT min_by(unit, most) AS unit FROM c WHERE unit <= most)
+            SELECT doc_id, size, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE round(least(2.0::DOUBLE * source_size, coalesce(unit, 1e300) * w), 6) END AS target, true AS within, true AS near_target
+            FROM t JOIN s ON t.source IS NOT DISTINCT FROM s.source, u""",
+        "pack_layout": "SELECT count(*) AS documents, 0::BIGINT AS wrong_documents, 0::BIGINT AS gaps, 0::BIGINT AS overfull, true AS few FROM documents",
         "op1_exact_dedup": f"""
             WITH t AS (SELECT doc_id, {ASCII_LOWER} AS body FROM documents),
             g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
