@@ -185,6 +185,18 @@ def test_language_held_out_accuracy(spark, small):
     assert sum(r.lang == r.lang_pred for r in aside) >= 0.97 * len(aside)
 
 
+def test_rare_languages_are_learned(spark):
+    """A language with one in a thousand documents, and one text that half of the rows repeat."""
+    rng = np.random.default_rng(3)
+    word = lambda letters: "".join(rng.choice(list(letters), 4))
+    text = lambda letters: " ".join(word(letters) for _ in range(20))
+    rows = [(i, text("abcdef"), "common") for i in range(2000)] + [(5000 + i, text("uvwxyz"), "rare") for i in range(6)]
+    rows += [(10_000 + i, "same words every time", "common") for i in range(2000)] + [(20_000 + i, text("uvwxyz"), None) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify_language(d, max_docs=40).filter("doc_id >= 20000").collect()}
+    assert set(got.values()) == {"rare"}
+
+
 def test_language_edges(docs, rows, empty):
     got = langid.identify_language(docs).collect()
     assert len(got) == len(rows)
@@ -418,10 +430,53 @@ def test_pipeline_stages(spark, small):
     assert all(r.text in text[r.doc_id] and r.n_chars == len(r.text) for r in after)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
     assert check_layout(packed, 2048) <= -(-sum(r.length for r in packed) // 2048) + 5
+    assert len({(r.row, r.piece) for r in packed}) == len(packed)
     ids = tokenizer()
     assert sum(r.length for r in packed) == sum(len(e.ids) + 1 for e in ids.encode_batch([r.text for r in after], add_special_tokens=False))
 
 
+def test_mixture_keeps_its_order(spark, small):
+    """Rows of a shard lie in one partition, in the order of its slots."""
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    out = mixing.mixed_documents(d, mixing.mix(d, block_words=32), places=True).withColumn("p", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    rows = out.select("shard", "place", "p", "at").collect()
+    assert len({r.shard for r in rows}) > 3
+    assert len({(r.shard, r.p) for r in rows}) == len({r.shard for r in rows})
+    order = [(r.shard, r.place) for r in sorted(rows, key=lambda r: r.at)]
+    for shard in {r.shard for r in rows}:
+        mine = [place for s, place in order if s == shard]
+        assert mine == sorted(mine)
+
+
+def test_workspaces_are_discarded(spark, small):
+    import corpus_pipeline
+    from corvex.llm import common
+
+    with common.discarded_workspaces():
+        work = common.Workspace(spark, "short-lived")
+        kept = work.save(spark.range(3), "rows")
+        assert kept.count() == 3
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work.root)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    rows = corpus_pipeline.run(spark, small.replace("sf0.01", "sf0.001")).collect()
+    assert rows and len({(r.row, r.piece) for r in rows}) == len(rows)
+
+
+def test_queries_that_sql_checks(spark, tiny):
+    import duckdb
+
+    from corvex.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tiny}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, tiny)
+        want = con.sql(sql)
+        at = [want.columns.index(c) for c in df.columns]
+        assert Counter(map(tuple, df.collect())) == Counter(tuple(r[i] for i in at) for r in want.fetchall()), name
+
+
 def test_digests(spark, small):
     """sha256 of the read-back turns of the forged conversation."""
     from corvex.llm.queries import op2_chat_format
