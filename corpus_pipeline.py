@@ -1,5 +1,8 @@
 """The corpus pipeline: toxicity, exact and near duplicates, mixture of sources, packed sequences.
 
+The order is given by the pipeline's contract. (Exact duplicates before toxicity would score fewer
+texts; the rows that stay are the same, as equal texts score alike but for capitals, which don't count.)
+
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents.
 """
@@ -8,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvex.llm.common import Workspace
+from corvex.llm.common import Workspace, discarded_workspaces
 from corvex.llm.exact_dedup import without_exact_duplicates
 from corvex.llm.minhash_dedup import without_near_duplicates
 from corvex.llm.mixing import mix, mixed_documents
@@ -32,12 +35,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of 1024 words at the sources' target weights; a row for each document's part of a block."""
+    """Blocks of 1024 words at the sources' target weights; a row for each document's part of a block, shard after shard."""
     return mixed_documents(docs, mix(docs, block_words=1024))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens: a row for each piece."""
+    """Sequences of 2048 tokens: a row for each piece; row and piece name it, as parts of one document share its id."""
     return pack(docs)
 
 
@@ -48,9 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; what it worked with goes then."""
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = work.save(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with discarded_workspaces():
+            kept = work.save(stage(spark, docs, sf_dir), name)
+        if i:
+            work.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
