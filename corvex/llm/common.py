@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.relational import ordinal
 from ..sources.storage import remove, shared_folder
 
 #: Stands for a null document id inside an operator; it sorts before every id.
@@ -189,7 +190,6 @@ def numbered_texts(docs: DataFrame, id_col: str, text_col: str, work: Workspace)
         texts = texts.select("doc_id", F.col("doc_id").alias("uid"), "text")
         return texts, texts.select("uid", "text")
     named = texts.withColumn("sha", F.sha2("text", 256))
-    order = named.select("doc_id", "sha").distinct().orderBy("doc_id", "sha").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    order = work.save(docs.sparkSession.createDataFrame(order, "doc_id long, sha string, uid long"), "order")
+    order = work.save(ordinal(named.select("doc_id", "sha").distinct(), ["doc_id", "sha"], "uid"), "order")
     texts = named.join(order, ["doc_id", "sha"]).select("doc_id", "uid", "text")
     return texts, texts.dropDuplicates(["uid"]).select("uid", "text")

@@ -118,7 +118,7 @@ UPPER = bytes(range(65, 91))
 LOWERED = bytes.maketrans(UPPER, UPPER.lower())
 GAP = re.compile(rb"[\x20\x09-\x0D]")
 #: Distinct words that a worker remembers the numbers of, before it starts afresh; bytes of text cut into words at once.
-REMEMBERED, PIECE = 400_000, 4 << 20
+REMEMBERED, PIECE = 150_000, 4 << 20
 
 
 class WordNumbers(dict):
