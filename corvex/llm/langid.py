@@ -35,41 +35,50 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+class Table:
+    """Log frequencies by key: a row of one value a language, all of them in one matrix."""
+
+    def __init__(self, counts: list[Counter]):
+        keys = sorted(set().union(*counts))
+        self.row = {k: i for i, k in enumerate(keys)}
+        found = np.array([[c[k] for c in counts] for k in keys], np.float64).reshape(len(keys), len(counts)) + 0.5
+        self.logs = np.log(found / found.sum(0)).astype(np.float32) if len(keys) else found.astype(np.float32)
+
+    def mean(self, keys: list[str]) -> np.ndarray | None:
+        """The mean row of the keys that there are."""
+        rows = [i for i in map(self.row.get, keys) if i is not None]
+        return self.logs[rows].mean(axis=0) if rows else None
+
+
 class Model:
-    """Log frequencies of words and n-grams, a row of one value a language each."""
+    """Tables of words and of n-grams."""
 
     def __init__(self, rows: list[tuple[str, str]]):
         self.langs = sorted({lang for lang, _ in rows})
+        number = {lang: i for i, lang in enumerate(self.langs)}
         counts = [Counter() for _ in self.langs]
         for lang, text in rows:
-            counts[self.langs.index(lang)].update(re.findall(LETTERS, text.lower()))
-        self.words = self._table(counts)
+            counts[number[lang]].update(re.findall(LETTERS, text.lower()))
+        self.words = Table(counts)
         self.grams = []
         for n in range(1, LONGEST + 1):
             by_lang = []
             for words in counts:
-                c = Counter()
+                c: dict[str, int] = {}
                 for word, times in words.items():
                     for g in grams(word, n):
-                        c[g] += times
-                by_lang.append(c)
-            self.grams.append(self._table(by_lang))
-
-    @staticmethod
-    def _table(counts: list[Counter]) -> dict[str, np.ndarray]:
-        keys = sorted(set().union(*counts))
-        table = np.array([[c[k] for c in counts] for k in keys], np.float64).reshape(len(keys), len(counts)) + 0.5
-        table = np.log(table / table.sum(0)) if len(keys) else table
-        return dict(zip(keys, table.astype(np.float32)))
+                        c[g] = c.get(g, 0) + times
+                by_lang.append(Counter(c))
+            self.grams.append(Table(by_lang))
 
     def score(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
+        known = self.words.row.get(word)
         if known is not None:
-            return known
+            return self.words.logs[known]
         for n in range(LONGEST, 0, -1):
-            found = [s for g in grams(word, n) if (s := self.grams[n - 1].get(g)) is not None]
-            if found:
-                return np.mean(found, axis=0)
+            found = self.grams[n - 1].mean(grams(word, n))
+            if found is not None:
+                return found
         return np.zeros(len(self.langs), np.float32)
 
 
