@@ -75,14 +75,15 @@ class Workspace:
 HOT_ROWS, HOT_SHARE = 4096, 10_000
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counted: str | None = None) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counted: str | None = None, total: int | None = None) -> DataFrame:
     """left joined with right, which has one row for each key, whatever share of left one key has.
 
     Of hot keys there are HOT_SHARE at most, so their rows of right are broadcast; the others are
     joined by a shuffle. Both sides should be stored tables, as they are read twice. counted names a
-    column of right with the key's number of left's rows; without it they are counted here.
+    column of right with the key's number of left's rows; without it they are counted here. total is
+    the number of left's rows, if it is known.
     """
-    total = left.count()
+    total = left.count() if total is None else total
     if total <= HOT_ROWS:
         return left.join(right, keys, how)
     least = max(HOT_ROWS, total // HOT_SHARE)
@@ -166,11 +167,12 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     both = work.save(both, "edges")
     labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"), F.count("*").alias("degree"))
     labels = work.save(labels.select("node", F.least("node", "m").alias("comp"), "degree"), "labels")
+    n_both, n_nodes = both.count(), labels.count()
     while True:
-        near = join_hot(both, labels.select(F.col("node").alias("v"), "comp", "degree"), ["v"], counted="degree").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("near"))
+        near = join_hot(both, labels.select(F.col("node").alias("v"), "comp", "degree"), ["v"], counted="degree", total=n_both).groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("near"))
         new = work.save(labels.join(near, "node").select("node", "degree", "comp", F.least("comp", "near").alias("to")), "nearer")
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("jump"))
-        jumped = join_hot(new, jump, ["to"]).select("node", "degree", F.col("comp").alias("was"), F.least("to", "jump").alias("comp"))
+        jumped = join_hot(new, jump, ["to"], total=n_nodes).select("node", "degree", F.col("comp").alias("was"), F.least("to", "jump").alias("comp"))
         jumped = work.save(jumped, "labels")
         work.drop(new, labels)
         labels = jumped.select("node", "comp", "degree")

@@ -167,7 +167,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     work = Workspace(spark, "exact")
     texts = docs.select(known_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = work.save(texts.mapInArrow(_keys(), "doc_id long, sha binary"), "keys")
-    bits = min(max_depth, max(0, int(np.ceil(np.log2(max(1, rows.count()) / capacity))) + 2))  # of all rows, which no fewer keys can have
+    total = rows.count()
+    bits = min(max_depth, max(0, int(np.ceil(np.log2(max(1, total) / capacity))) + 2))  # of all rows, which no fewer keys can have
     counts = np.zeros(1 << bits, np.int64)
     lead = F.shiftright(F.conv(F.hex(F.substring("sha", 1, 3)), 16, 10).cast("int"), 24 - bits)
     for r in rows.select("sha").distinct().groupBy(lead.alias("lead")).count().collect():  # an entry of the directory each
@@ -179,7 +180,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     owned = entries.repartition("bucket").sortWithinPartitions("bucket", "h")
     index = work.save(owned.mapInArrow(_own(), "bucket long, h long, chain int, sha binary, keep_id long, group_size long"), "index")
     repeats = rows.groupBy("doc_id", "sha").agg(F.count("*").cast("int").alias("m"))
-    out = join_hot(repeats, index.select("sha", "keep_id", "group_size"), ["sha"], counted="group_size").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    out = join_hot(repeats, index.select("sha", "keep_id", "group_size"), ["sha"], counted="group_size", total=total).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m"))))
     return out.select(shown_id(F.col("doc_id")).alias("doc_id"), shown_id(F.col("keep_id")).alias("keep_id"), "group_size", ((F.col("doc_id") == F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 

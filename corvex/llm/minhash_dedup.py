@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = reps.select("node", "n", F.posexplode("bands").alias("band", "key"))
     shared = work.save(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
-    members = work.save(join_hot(rows, shared, ["key"], counted="c"), "members")
+    members = work.save(join_hot(rows, shared, ["key"], counted="c", total=reps.count() * n_values // ROWS), "members")
     score = members.groupBy("node").agg(F.sum("c").alias("score"))
     hubs = members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", F.bitwise_not("node").alias("turned"), "n", "node")).alias("h"), F.count("*").alias("size"))
     hubs = work.save(hubs, "hubs")
