@@ -1,9 +1,10 @@
 """Text and images of PDF files with the standard library alone.
 
 Read are classic objects and object streams, Flate-coded or plain, and the page tree in order; text
-comes from the operators Tj, TJ, ' and " of fonts with one-byte encodings (Latin-1 stands for all).
-Not read: encrypted files, composite fonts, text inside form objects. Images keep their pixels: JPEG
-data as it is, other ones as PNG, as there is no WebP encoder here.
+comes from the operators Tj, TJ, ' and " on pages and in the form objects they draw. A font's ToUnicode
+map says what its codes, of one or two bytes, stand for; without one, codes are Latin-1. Not read:
+encrypted files, composite fonts without such a map. Images keep their pixels: JPEG data as it is,
+other ones as PNG, as there is no WebP encoder here.
 """
 
 from __future__ import annotations
@@ -72,18 +73,54 @@ class Pdf:
                 out.append(head)
         return out
 
+    def resources(self, head: bytes) -> bytes:
+        """The resources of a page or form, its own or of the tree above it."""
+        for _ in range(50):
+            if r := self.refs(head, b"Resources"):
+                return self.objects.get(r[0], (b"", None))[0]
+            if b"/Resources" in head:
+                return head
+            if not (r := self.refs(head, b"Parent")):
+                break
+            head = self.objects.get(r[0], (b"", None))[0]
+        return b""
+
+    def named(self, resources: bytes, kind: bytes) -> dict[bytes, int]:
+        """Objects that the resources name: fonts or XObjects."""
+        if r := re.search(rb"/%s\s+(\d+)\s+\d+\s+R" % kind, resources):
+            inside = self.objects.get(int(r[1]), (b"", None))[0]
+        else:
+            r = re.search(rb"/%s\s*<<(.*?)>>" % kind, resources, re.S)
+            inside = r[1] if r else b""
+        return {name: int(n) for name, n in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", inside)}
+
+    def fonts(self, resources: bytes) -> dict[bytes, "CodeMap"]:
+        """Code maps of the fonts that have one."""
+        out = {}
+        for name, n in self.named(resources, b"Font").items():
+            for m in self.refs(self.objects.get(n, (b"", None))[0], b"ToUnicode"):
+                if m in self.objects:
+                    out[name] = CodeMap(self.stream_of(*self.objects[m]))
+        return out
+
     def text(self, page: bytes) -> str:
         parts = [self.stream_of(*self.objects[n]) for n in self.refs(page, b"Contents") if n in self.objects]
-        return show_text(b"\n".join(parts))
+        return self._drawn(b"\n".join(parts), self.resources(page), ())
+
+    def _drawn(self, content: bytes, resources: bytes, within: tuple[int, ...]) -> str:
+        def form(name: bytes) -> str:
+            n = self.named(resources, b"XObject").get(name)
+            head, body = self.objects.get(n, (b"", None))
+            if body is None or n in within or len(within) > 20 or not re.search(rb"/Subtype\s*/Form\b", head):
+                return ""
+            return self._drawn(self.stream_of(head, body), self.resources(head) or resources, (*within, n))
+
+        return show_text(content, self.fonts(resources), form)
 
     def images(self, page: bytes) -> list[tuple[int, int, str, bytes]]:
         """width, height, format and data of grey and RGB images, CMYK ones left out."""
-        owner = page
-        if (r := self.refs(page, b"Resources")) and r[0] in self.objects:
-            owner = self.objects[r[0]][0]
-        named = re.search(rb"/XObject\s*<<(.*?)>>", owner, re.S)
         out = []
-        for n in [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", named[1])] if named else []:
+        for n in self.named(self.resources(page), b"XObject").values():
             head, body = self.objects.get(n, (b"", None))
             if body is None or not re.search(rb"/Subtype\s*/Image", head) or b"/DeviceCMYK" in head:
                 continue
@@ -109,10 +146,39 @@ STRING = rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>"
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-def _string(token: bytes) -> str:
+class CodeMap:
+    """What the codes of a font stand for, by its ToUnicode map."""
+
+    def __init__(self, cmap: bytes):
+        span = re.search(rb"begincodespacerange\s*<([0-9A-Fa-f]+)>", cmap)
+        self.width = len(span[1]) // 2 if span else 2
+        self.texts: dict[int, str] = {}
+        for part in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+            for code, text in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f\s]*)>", part):
+                self.texts[int(code, 16)] = self._utf16(text)
+        for part in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+            for low, high, start, each in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f\s]+)>|\[(.*?)\])", part, re.S):
+                codes = range(int(low, 16), min(int(high, 16), int(low, 16) + 0xFFFF) + 1)
+                if start:
+                    first = self._utf16(start)
+                    self.texts |= {c: first[:-1] + chr(ord(first[-1]) + i) for i, c in enumerate(codes)} if first else {}
+                else:
+                    self.texts |= {c: self._utf16(t) for c, t in zip(codes, re.findall(rb"<([0-9A-Fa-f\s]*)>", each))}
+
+    @staticmethod
+    def _utf16(digits: bytes) -> str:
+        return bytes.fromhex(re.sub(rb"\s", b"", digits).decode()).decode("utf-16-be", "replace")
+
+    def read(self, codes: bytes) -> str:
+        w = self.width
+        return "".join(self.texts.get(int.from_bytes(codes[i : i + w], "big"), "") for i in range(0, len(codes), w))
+
+
+def _codes(token: bytes) -> bytes:
+    """The bytes of a string in parentheses or of hexadecimal digits."""
     if token[:1] == b"<":
         digits = re.sub(rb"\s", b"", token[1:-1])
-        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1")
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
 
     def plain(m: re.Match) -> bytes:
         c = m[1]
@@ -120,20 +186,29 @@ def _string(token: bytes) -> str:
             return bytes([int(c, 8) & 255])
         return b"" if c in (b"\n", b"\r\n") else ESCAPES.get(c, c)
 
-    return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", plain, token[1:-1], flags=re.S).decode("latin-1")
+    return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", plain, token[1:-1], flags=re.S)
+
+
+DRAWING = re.compile(rb"(%s)\s*(Tj|'|\")|\[((?:%s|[^\]()<>])*)\]\s*TJ|(T\*|\bTd\b|\bTD\b|\bTm\b|\bET\b)|/([^\s/<>\[\]()]+)\s+(?:(Do)\b|-?[\d.]+\s+Tf\b)" % (STRING, STRING), re.S)
 
 
-def show_text(content: bytes) -> str:
-    """Text in drawing order; a move to another line is a newline."""
-    out = []
-    for m in re.finditer(rb"(%s)\s*(Tj|'|\")|\[((?:%s|[^\]()<>])*)\]\s*TJ|(T\*|\bTd\b|\bTD\b|\bTm\b|\bET\b)" % (STRING, STRING), content, re.S):
-        if m[4]:
+def show_text(content: bytes, fonts: dict[bytes, CodeMap] | None = None, form=None) -> str:
+    """Text in drawing order; a move to another line is a newline. form: the text of a form object by its name."""
+    out, font = [], None
+    read = lambda token: font.read(_codes(token)) if font is not None else _codes(token).decode("latin-1")
+    for m in DRAWING.finditer(content):
+        if m[5]:
+            if not m[6]:
+                font = (fonts or {}).get(m[5])
+            elif form is not None:
+                out.append(form(m[5]))
+        elif m[4]:
             out.append("\n")
         elif m[1]:
-            out.append(("" if m[2] == b"Tj" else "\n") + _string(m[1]))
+            out.append(("" if m[2] == b"Tj" else "\n") + read(m[1]))
         else:
             for piece in re.findall(rb"(%s)|(-?\d+\.?\d*)" % STRING, m[3]):
-                out.append(_string(piece[0]) if piece[0] else " " if float(piece[1]) < -200 else "")
+                out.append(read(piece[0]) if piece[0] else " " if float(piece[1]) < -200 else "")
     return "".join(out)
 
 

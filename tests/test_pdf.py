@@ -31,3 +31,23 @@ def test_pdf_operators():
 def test_cmyk_and_jpeg():
     data = b"1 0 obj << /Subtype /Image /Width 1 /Height 1 /ColorSpace /DeviceCMYK >> stream\nabcd\nendstream endobj 2 0 obj << /Subtype /Image /Width 3 /Height 2 /ColorSpace /DeviceRGB /Filter /DCTDecode >> stream\nJPEG\nendstream endobj"
     assert P.Pdf(data).images(b"<< /Resources << /XObject << /A 1 0 R /B 2 0 R >> >> >>") == [(3, 2, "jpeg", b"JPEG")]
+
+
+CMAP = b"""1 begincodespacerange <0000> <FFFF> endcodespacerange
+2 beginbfchar <0001> <0041> <0002> <D83DDE00> endbfchar
+2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<00660066> <4E2D>] endbfrange"""
+
+
+def stream(head: bytes, body: bytes) -> bytes:
+    return b"<< %s /Length %d >> stream\n" % (head, len(body)) + body + b"\nendstream"
+
+
+def test_composite_fonts_and_forms():
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Resources 5 0 R >>", b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>",
+        stream(b"", b"BT /F1 12 Tf <00010010001100120020> Tj T* [<0021> -300 <0002>] TJ /F2 9.5 Tf (plain \xe9) Tj ET /X1 Do"),
+        b"<< /Font << /F1 6 0 R /F2 8 0 R >> /XObject << /X1 9 0 R >> >>", b"<< /Subtype /Type0 /Encoding /Identity-H /ToUnicode 7 0 R >>", stream(b"", CMAP), b"<< /Subtype /Type1 >>",
+        stream(b"/Subtype /Form /Resources << /Font << /G 6 0 R >> /XObject << /X1 9 0 R >> >>", b"BT /G 8 Tf <0001> Tj ET /X1 Do"),
+    ]
+    pdf = P.Pdf(b"".join(b"%d 0 obj " % (i + 1) + o + b" endobj\n" for i, o in enumerate(objects)))
+    assert [pdf.text(p) for p in pdf.pages()] == ["Aabcff\n中 😀plain é\nA\n"]
