@@ -33,7 +33,7 @@ def sites(spark, sf):
     s AS (SELECT base, arg_min(url, (length(url), url)) AS start FROM (SELECT {SQL_BASE} AS base, url FROM pages) GROUP BY base),
     r AS (SELECT base, start, {SQL_NORM.format('start')} AS url, 0 AS depth FROM s
         UNION SELECT r.base, r.start, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url JOIN n ON n.url = e.dst
-        WHERE r.depth < 3 AND starts_with(e.dst, r.base) AND starts_with({sql_path('e.dst')}, regexp_replace({sql_path('r.start')}, '/+$', '')) AND NOT regexp_matches({sql_path('e.dst')}, '(?i)({"|".join(x.replace(".", chr(92) + ".") for x in U.STATIC)})$'))
+        WHERE r.depth < 5 AND starts_with(e.dst, r.base) AND starts_with({sql_path('e.dst')}, regexp_replace({sql_path('r.start')}, '/+$', '')) AND NOT regexp_matches({sql_path('e.dst')}, '(?i)({"|".join(x.replace(".", chr(92) + ".") for x in U.STATIC)})$'))
     SELECT base, url, min(depth)::INTEGER AS depth FROM r GROUP BY base, url""")
 def s3(spark, sf):
     return S.crawl(table(spark, sf, "pages"), sites(spark, sf))
@@ -104,7 +104,7 @@ def s11(spark, sf):
 def k3(spark, sf):
     """Indexes of all tenants saved, one site's deleted, one tenant's loaded."""
     docs = table(spark, sf, "documents")
-    postings = stored_index(spark, sf)[0].postings.join(docs.select("doc_id", F.col("lang").alias("user_id"), F.col("source").alias("site_slug")), "doc_id")
+    postings = stored_index(spark, sf).postings.join(docs.select("doc_id", F.col("lang").alias("user_id"), F.col("source").alias("site_slug")), "doc_id")
     store = S.IndexStore(spark, S.shared_folder(spark, "index"))
     store.save(postings)
     store.delete("en", "src0")

@@ -87,20 +87,33 @@ def corpus(spark, sf):
     return C.chunk_documents(table(spark, sf, "documents"))
 
 
-#: Stored indexes and vectors of this session by their corpus; a corpus whose files change is another one.
-STORED: dict[tuple, tuple[R.KeywordIndex, DataFrame]] = {}
+#: Stored indexes and tables of vectors of this session by their corpus; a corpus whose files change is another one.
+INDEXES: dict[tuple, R.KeywordIndex] = {}
+VECTORS: dict[tuple, DataFrame] = {}
 
 
-def stored_index(spark, sf) -> tuple[R.KeywordIndex, DataFrame]:
-    """The keyword index and the vectors of the documents: built and stored once a session, searched by every query."""
-    key = (spark.sparkContext.applicationId, *state_of(spark, f"{sf}/documents.parquet"))
-    if key not in STORED:
-        STORED[key] = R.build_both(corpus(spark, sf))
-    return STORED[key]
+def corpus_key(spark, sf) -> tuple:
+    return (spark.sparkContext.applicationId, *state_of(spark, f"{sf}/documents.parquet"))
+
+
+def stored_index(spark, sf) -> R.KeywordIndex:
+    """The keyword index of the documents: built and stored once a session, searched by every query."""
+    key = corpus_key(spark, sf)
+    if key not in INDEXES:
+        INDEXES[key] = R.build_index(corpus(spark, sf))
+    return INDEXES[key]
+
+
+def stored_vectors(spark, sf) -> DataFrame:
+    """The vectors of the same chunks, likewise."""
+    key = corpus_key(spark, sf)
+    if key not in VECTORS:
+        VECTORS[key] = R.store_vectors(stored_index(spark, sf).corpus)
+    return VECTORS[key]
 
 
 def candidates(spark, sf):
-    return A.candidates(searches(spark, sf), *stored_index(spark, sf))
+    return A.candidates(searches(spark, sf), stored_index(spark, sf), stored_vectors(spark, sf))
 
 
 def fused(spark, sf):
@@ -118,19 +131,19 @@ def searches(spark, sf):
 @query("a12_bm25_terms", f"WITH {SQL_CHUNKS}, {SQL_INDEX} SELECT tok AS token, df, round(idf, 6) AS idf FROM idf")
 def a12(spark, sf):
     """S7, K3: the index is built from, and equals, its stored tables; see index_store."""
-    return stored_index(spark, sf)[0].terms.select("token", "df", F.round("idf", 6).alias("idf"))
+    return stored_index(spark, sf).terms.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("a12_bm25_stats", f"WITH {SQL_CHUNKS}, {SQL_INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM st")
 def a12_stats(spark, sf):
-    return stored_index(spark, sf)[0].stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+    return stored_index(spark, sf).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("r1_bm25_topk", f"WITH {SQL_CHUNKS}, {SQL_INDEX}, one AS (SELECT item_id AS qid, 0 AS qno, text FROM benchmark), {sql_bm25('one')} SELECT qid, rank, doc_id, page_number, bm25_score FROM bm")
 def r1(spark, sf):
     """W3, J6, P6, P7, too."""
     one = questions(spark, sf).withColumn("qno", F.lit(0))
-    return R.keyword_search(stored_index(spark, sf)[0], one).select("qid", "rank", "doc_id", "page_number", "bm25_score")
+    return R.keyword_search(stored_index(spark, sf), one).select("qid", "rank", "doc_id", "page_number", "bm25_score")
 
 
 @query("r2_cosine_topk", """
@@ -218,7 +231,7 @@ def r6(spark, sf):
 @query("w5_legacy_rerank", f"{ALL} SELECT * FROM (SELECT qid, doc_id, page_number, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, qno, rank)::INTEGER AS place FROM (SELECT * FROM dense_c QUALIFY row_number() OVER (PARTITION BY qid, content ORDER BY qno, rank) = 1)) WHERE place <= 8")
 def w5(spark, sf):
     """Equal contents once, then the 8 most similar."""
-    index, vectors = stored_index(spark, sf)
+    index, vectors = stored_index(spark, sf), stored_vectors(spark, sf)
     dense = index.corpus.select(*R.KEY, "content").join(R.dense_search(vectors, searches(spark, sf)), R.KEY).withColumn("content", F.substring("content", 1, 1000))
     one = R.keep_first(dense, ["qid", "content"], ["qno", "rank"])
     return R.top(one, ["qid"], [F.desc("sim"), "qno", "rank"], 8, "place").select("qid", "doc_id", "page_number", "sim", "place")
@@ -245,7 +258,7 @@ SQL_ANSWERS = f"""{ALL}, {SQL_MERGED}, {SQL_CONTEXT},
 @query("r18_ask", f"{SQL_ANSWERS} SELECT * FROM answers")
 def r18(spark, sf):
     """R12, R13 and R20, too."""
-    out = A.ask(questions(spark, sf), *stored_index(spark, sf), LEAST)
+    out = A.ask(questions(spark, sf), stored_index(spark, sf), stored_vectors(spark, sf), LEAST)
     return out.select("qid", "query_type", "n_queries", "n_chunks", F.md5("context").alias("context_md5"), "answer", "abstained")
 
 
@@ -253,7 +266,7 @@ def r18(spark, sf):
 def r21(spark, sf):
     """Questions with a blank one among them, which gets a row with its error."""
     asked = questions(spark, sf).unionByName(spark.createDataFrame([(-1, " ")], "qid long, text string"))
-    out = A.run_batch(asked, *stored_index(spark, sf), LEAST)
+    out = A.run_batch(asked, stored_index(spark, sf), stored_vectors(spark, sf), LEAST)
     return out.select("qid", "answer", "n_sources", (F.col("latency") >= 0).alias("timed"), "error")
 
 
@@ -262,7 +275,7 @@ def r21(spark, sf):
     SELECT doc_id, page_number, count(*) AS filled, sum(c)::DOUBLE AS total, max(c)::DOUBLE AS largest FROM cv GROUP BY ALL""")
 def r7(spark, sf):
     """A14: zero vectors are failed embeddings and are left out here."""
-    v = stored_index(spark, sf)[1].withColumnRenamed("vector", "values")
+    v = stored_vectors(spark, sf).withColumnRenamed("vector", "values")
     v = v.withColumn("total", F.aggregate("values", F.lit(0.0), lambda s, x: s + x)).filter("total > 0")
     return v.select(*R.KEY, F.size(F.filter("values", lambda x: x > 0)).cast("long").alias("filled"), "total", F.array_max("values").cast("double").alias("largest"))
 
@@ -270,7 +283,7 @@ def r7(spark, sf):
 @query("r14_combined_answers", f"{ALL} SELECT qid, string_agg('Sub-question ' || qno || ': ' || n || ' hits', chr(10) ORDER BY qno) AS combined FROM (SELECT qid, qno, count(*) AS n FROM dense GROUP BY ALL) GROUP BY qid")
 def r14(spark, sf):
     """Answers of the parts of a question put together in order."""
-    d = R.dense_search(stored_index(spark, sf)[1], searches(spark, sf)).groupBy("qid", "qno").agg(F.count("*").alias("n"))
+    d = R.dense_search(stored_vectors(spark, sf), searches(spark, sf)).groupBy("qid", "qno").agg(F.count("*").alias("n"))
     line = F.concat(F.lit("Sub-question "), F.col("qno").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" hits"))
     parts = F.array_sort(F.collect_list(F.struct("qno", line.alias("t"))))
     return d.groupBy("qid").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("combined"))
