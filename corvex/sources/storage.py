@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +44,27 @@ def state_of(spark: SparkSession, path: str) -> tuple[str, int, int, int]:
     return path, sums.getFileCount(), sums.getLength(), fs.getFileStatus(p).getModificationTime()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of the queries that run within go when they end, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """df, written and read again."""
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -53,7 +72,8 @@ def bucketed(df: DataFrame, parts: int, key: str, order: str, name: str) -> Data
     """df as a stored table in parts by key, each in order of a column: what is grouped by the key needs no shuffle."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
     table = f"{name}_{path[-12:]}"
-    df.write.bucketBy(parts, key).sortBy(order).option("path", path).format("parquet").saveAsTable(table)
+    with tidy(spark):
+        df.write.bucketBy(parts, key).sortBy(order).option("path", path).format("parquet").saveAsTable(table)
     return spark.table(table)
 
 
@@ -154,4 +174,4 @@ def crawl(pages: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     return seen.select("base", "url", "depth")
 
 
-__all__ = ["IndexStore", "bucketed", "crawl", "csv_by_position", "delete_vectors", "first_sitemap", "remove", "shared_folder", "sitemap_pages", "state_of", "stored", "upsert_vectors"]
+__all__ = ["IndexStore", "bucketed", "crawl", "csv_by_position", "delete_vectors", "first_sitemap", "remove", "shared_folder", "sitemap_pages", "state_of", "stored", "tidy", "upsert_vectors"]
