@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.relational import ordinal
-from ..sources.storage import remove, shared_folder
+from ..sources.storage import remove, shared_folder, stored
 
 #: Stands for a null document id inside an operator; it sorts before every id.
 NULL_ID = -(2**63)
@@ -59,9 +59,7 @@ class Workspace:
         return f"{self.root}/{self.n:02d}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return stored(df, self.path(name))
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
