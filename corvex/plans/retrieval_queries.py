@@ -11,7 +11,7 @@ from ..operators import chunking as C
 from ..operators import retrieval as R
 from ..operators.relational import tenant_rows
 from ..registry import query, table
-from ..sources.storage import state_of
+from ..sources.storage import state_of, still_there
 from . import answering as A
 from .chunk_queries import SQL_CHUNKS, sql_strip, sql_wc
 from .text_queries import WS, sql_tokens
@@ -99,7 +99,7 @@ def corpus_key(spark, sf) -> tuple:
 def stored_index(spark, sf) -> R.KeywordIndex:
     """The keyword index of the documents: built and stored once a session, searched by every query."""
     key = corpus_key(spark, sf)
-    if key not in INDEXES:
+    if key not in INDEXES or not still_there(INDEXES[key].corpus):
         INDEXES[key] = R.build_index(corpus(spark, sf))
     return INDEXES[key]
 
@@ -107,7 +107,7 @@ def stored_index(spark, sf) -> R.KeywordIndex:
 def stored_vectors(spark, sf) -> DataFrame:
     """The vectors of the same chunks, likewise."""
     key = corpus_key(spark, sf)
-    if key not in VECTORS:
+    if key not in VECTORS or not still_there(VECTORS[key]):
         VECTORS[key] = R.store_vectors(stored_index(spark, sf).corpus)
     return VECTORS[key]
 

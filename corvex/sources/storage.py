@@ -44,6 +44,13 @@ def state_of(spark: SparkSession, path: str) -> tuple[str, int, int, int]:
     return path, sums.getFileCount(), sums.getLength(), fs.getFileStatus(p).getModificationTime()
 
 
+def still_there(table: DataFrame) -> bool:
+    """Whether the files of a stored table, which may lie in a folder that others clear, are there."""
+    files = table.inputFiles()
+    p = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0] if files else "/")
+    return p.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -174,4 +181,4 @@ def crawl(pages: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     return seen.select("base", "url", "depth")
 
 
-__all__ = ["IndexStore", "bucketed", "crawl", "csv_by_position", "delete_vectors", "first_sitemap", "remove", "shared_folder", "sitemap_pages", "state_of", "stored", "tidy", "upsert_vectors"]
+__all__ = ["IndexStore", "bucketed", "crawl", "csv_by_position", "delete_vectors", "first_sitemap", "remove", "shared_folder", "sitemap_pages", "state_of", "still_there", "stored", "tidy", "upsert_vectors"]

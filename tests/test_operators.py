@@ -188,6 +188,16 @@ def test_questions_beyond_a_batch(spark, monkeypatch):
     assert whole == [sorted(map(tuple, f().collect())) for f in searches] and all(whole)
 
 
+def test_stored_index_is_built_once_and_again_when_it_is_gone(spark, tiny):
+    from corvex.plans import retrieval_queries as Q
+
+    first, vectors = Q.stored_index(spark, tiny), Q.stored_vectors(spark, tiny)
+    assert Q.stored_index(spark, tiny) is first and Q.stored_vectors(spark, tiny) is vectors
+    S.remove(spark, first.corpus.inputFiles()[0].rpartition("/")[0])
+    assert Q.stored_index(spark, tiny) is not first
+    assert Q.stored_index(spark, tiny).corpus.count() == vectors.count()
+
+
 def test_search_reads_stored_parts_without_a_shuffle_of_matches(spark):
     d = spark.createDataFrame([(i, 1, f"common w{i % 7}") for i in range(50)], "doc_id long, page_number long, content string")
     q = spark.createDataFrame([(1, 0, "common w3")], "qid long, qno int, text string")
