@@ -120,7 +120,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whatever their names, are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    Workspace(spark, "langid")
+    work = Workspace(spark, "langid")
     texts = docs.select(known_id(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     texts = texts.withColumn("held_out", held_out_of("doc_id"))
     usable = texts.filter(~F.col("held_out") & F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -128,9 +128,13 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n_langs, rows = langs.count(), []
     if n_langs:
         short = usable.filter(F.length("text") <= MAX_CHARS).withColumn("t", F.xxhash64("text"))
-        each = short.groupBy("lang", "t").agg(F.min("doc_id").alias("doc_id"))
+        each = work.save(short.groupBy("lang", "t").agg(F.min("doc_id").alias("doc_id")), "distinct")
+        share = max(1, max_docs // n_langs)
+        known = each.groupBy("lang").agg(F.count("*").alias("texts")).join(F.broadcast(langs.select("lang")), "lang", "left_semi")
+        # Hashes are uniform: those low enough for four times the share, so that a language's rank is over few rows.
+        low = each.join(F.broadcast(known), "lang").filter(F.col("t") / 2.0**64 + 0.5 < F.lit(4.0 * share) / F.col("texts"))
         place = F.row_number().over(Window.partitionBy("lang").orderBy("t", "doc_id"))
-        some = each.withColumn("place", place).filter(F.col("place") <= max(1, max_docs // n_langs)).join(F.broadcast(langs.select("lang")), "lang", "left_semi").drop("place")
+        some = low.withColumn("place", place).filter(F.col("place") <= share).select("lang", "t", "doc_id")
         chosen = short.join(F.broadcast(some), ["lang", "t", "doc_id"], "left_semi").dropDuplicates(["lang", "t"])  # max_docs rows at most
         rows = [(r["lang"], r["text"]) for r in chosen.select("lang", "text").collect()]
     model = spark.sparkContext.broadcast(Model(rows))
