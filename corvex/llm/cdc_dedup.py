@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, numbered_texts
 from .cutting import BITS, COUNT, cut
-from .kernels import digest_columns, digests, joined_runs, mix64, random64, signed, slices, text_buffers
+from .kernels import digest_columns, digests, joined_runs, mix64, random64, released, signed, slices, text_buffers
 
 #: Digests that an input task remembers to recognise repeats, before it starts afresh.
 REMEMBERED = 250_000
@@ -99,7 +99,7 @@ def _chunks(bits: int, least: int, longest: int):
                     dealt = signed(mix64(uid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)))
                     yield out(True, dealt, np.zeros(len(at), np.int64), uid, at << BITS | n)
 
-    return run
+    return released(run)
 
 
 def _again():
@@ -120,7 +120,7 @@ def _again():
             start = packed[pick] >> BITS
             yield pa.RecordBatch.from_arrays([pa.array(uid[pick]), pa.array(start), pa.array(start + (packed[pick] & COUNT))], names=["uid", "start", "end"])
 
-    return run
+    return released(run)
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, least_chunk: int = 16, longest_chunk: int = 1024, least_run: int = 128) -> DataFrame:

@@ -49,7 +49,7 @@ class Workspace:
         self.spark, self.root, self.n = spark, shared_folder(spark, name), 0
         for noted in _NOTED:
             noted.append(self)
-        for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)):
+        for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
             has = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key))
             if has is None or not 0 < int(has[1]) <= most:
                 spark.conf.set(key, str(most))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shown_id
-from .kernels import merged, text_buffers
+from .kernels import merged, released, text_buffers
 
 #: A range of a text's bytes is one number: its start, and in so many bits its length.
 BITS = 24
@@ -45,7 +45,7 @@ def _cut(least: int, whole_characters: bool):
                 kept.append(text[keep].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off)), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return run
+    return released(run)
 
 
 def cut(texts: DataFrame, cuts: DataFrame, least: int = 1, whole_characters: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, anti_by_id, join_hot, known_id, shown_id, unused
-from .kernels import LOWERED, UPPER, text_buffers
+from .kernels import LOWERED, UPPER, released, text_buffers
 
 #: Distinct keys in a bucket before it splits.
 CAPACITY = 4096
@@ -38,7 +38,7 @@ def _keys():
             digests = [hashlib.sha256(raw[s:e]).digest() for s, e in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary())], names=["doc_id", "sha"])
 
-    return run
+    return released(run)
 
 
 def key_of(digest: bytes) -> int:
@@ -122,7 +122,7 @@ def _entries(directory: Directory):
                 seen, size = {}, 0
         yield from flush(seen)
 
-    return run
+    return released(run)
 
 
 def _own():
@@ -152,7 +152,7 @@ def _own():
         if ready:
             yield out(ready)
 
-    return run
+    return released(run)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:

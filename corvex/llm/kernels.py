@@ -8,6 +8,7 @@ what is compared afterwards, as texts can be made that collide under it.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 from hashlib import blake2b
@@ -28,6 +29,22 @@ def cached(key, make):
     return store[key]
 
 
+def released(run):
+    """A function of Arrow batches that gives freed memory back at its end, as workers live on for other stages."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+
+    return whole
+
+
 def mix64(x):
     x = x ^ (x >> np.uint64(30))
     x *= np.uint64(0xBF58476D1CE4E5B9)

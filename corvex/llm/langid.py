@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Workspace, held_out, known_id, shown_id
+from .kernels import released
 
 LETTERS = r"[^\W\d_]+"
 LONGEST = 5
@@ -106,7 +107,7 @@ def _predict(model_of):
                 scores.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return run
+    return released(run)
 
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, anti_by_id, components, join_hot, known_id, semi_by_id, shown_id, unused
-from .kernels import fixed_binary, min_max, mix64, random64, shingles, signed, slices, text_buffers
+from .kernels import fixed_binary, min_max, mix64, random64, released, shingles, signed, slices, text_buffers
 
 ROWS = 4
 #: Members and shingles of a block, some, when a bucket is compared across components.
@@ -57,7 +57,7 @@ def _features(k: int, n_hashes: int):
                     names=["doc_id", "uid", "n", "s1", "s2", "sig", "bands"],
                 )
 
-    return run
+    return released(run)
 
 
 def _sets(k: int):
@@ -70,7 +70,7 @@ def _sets(k: int):
                 sets = [np.unique(x[s:e]).tobytes() for s, e in zip(places[:-1], places[1:])]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return run
+    return released(run)
 
 
 def _confirm(percent: int):
@@ -85,7 +85,7 @@ def _confirm(percent: int):
             if out.num_rows:
                 yield out
 
-    return run
+    return released(run)
 
 
 def _sides(pdf):

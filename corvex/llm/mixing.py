@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from ..operators.relational import ordinal
 from .common import Workspace, join_hot, known_id, shown_id, unused, with_bases
-from .kernels import mix64, signed, text_buffers, words
+from .kernels import mix64, released, signed, text_buffers, words
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that are ordered together, some, to give documents their places.
@@ -89,7 +89,7 @@ def _slots(n_shards: int, seed: int):
                 order = mix64(slot.astype(np.uint64) + np.uint64((src + 1) * 0x9E3779B97F4A7C15 % 2**64))
                 yield pa.RecordBatch.from_arrays([pa.array(draw(n, n_shards, (seed, src, run_no))), pa.array(signed(order)), pa.array(np.full(n, src, np.int64)), pa.array(block)], names=["shard", "slot_order", "src", "block"])
 
-    return run
+    return released(run)
 
 
 class Mixture:
@@ -179,7 +179,7 @@ def _texts(parts_name: str):
                 own = [pa.array(c, pa.int64()) for c in zip(*places)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(pick)) for c in names), pa.array(out, pa.string()), *own], names=[*names, "text", *("shard", "slot_order", "start", "first_word")])
 
-    return run
+    return released(run)
 
 
 def mixed_documents(docs: DataFrame, mixture: Mixture, places: bool = False) -> DataFrame:

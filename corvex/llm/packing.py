@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Workspace, known_id, shown_id, with_bases
-from .kernels import cached
+from .kernels import cached, released
 
 CAPACITY = 2048
 #: Groups of large lengths, and the least large length as a part of the capacity, that are tried in turn.
@@ -103,7 +103,7 @@ def _tokenise(path: str, capacity: int):
                     rows.append((doc, i, s, e - s, zlib.crc32(ids[s:e].tobytes()), row))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
-    return run
+    return released(run)
 
 
 def best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -290,7 +290,7 @@ def _place(table):
             sequence = rows[at, 2] + rank - rows[at, 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(rows[at, 3]), batch.column("row")], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "row"])
 
-    return run
+    return released(run)
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

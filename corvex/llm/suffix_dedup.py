@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, join_hot, numbered_texts
 from .cutting import BITS, COUNT, cut
-from .kernels import Prefix, digest_columns, digests, joined_runs, mix64, signed, sliding_min, slices, spread, text_buffers
+from .kernels import Prefix, digest_columns, digests, joined_runs, mix64, released, signed, slices, sliding_min, spread, text_buffers
 
 DIGIT = 8
 #: Rows that an input task remembers to recognise repeats, before it starts afresh.
@@ -131,7 +131,7 @@ def _anchors(length: int, gram: int):
                     uid, zero = uids[i:j][d], np.zeros(len(d), np.int64)
                     yield out(np.full(len(d), REPEAT, np.int8), zero, dealt_at_random(uid, at), zero, uid, at << BITS | n)
 
-    return run
+    return released(run)
 
 
 def _second_digit():
@@ -180,7 +180,7 @@ def _second_digit():
         if held is not None and held[3]:
             yield out(False, *(np.array([x], np.int64) for x in held[:3]))
 
-    return run
+    return released(run)
 
 
 def _contexts(length: int):
@@ -225,7 +225,7 @@ def _contexts(length: int):
                     d, place, run_of = joined_runs(d[again], place[again], np.ones(again.sum(), np.int64), COUNT)
                     yield out(True, np.zeros(len(d), np.int64), uids[d], place << BITS | run_of, pa.nulls(len(d), pa.binary()))
 
-    return run
+    return released(run)
 
 
 def radix_groups(windows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +306,7 @@ def _radix(length: int, gram: int):
         if held is not None:
             yield solve(*held)
 
-    return run
+    return released(run)
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, hot: int = 1000) -> DataFrame:

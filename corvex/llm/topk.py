@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Workspace
+from .kernels import released
 
 #: Bytes of a block's candidates as numbers of 8 bytes; the fewest candidates that a block is made for.
 BLOCK_BYTES, LEAST_BLOCK = 32 << 20, 512
@@ -138,7 +139,7 @@ def _search(k: int, width: int):
         if asked:
             yield found(lists, asked)
 
-    return run
+    return released(run)
 
 
 def whole_numbers(vector: Column, scale: int) -> Column:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, known_id, shown_id, unused
+from .kernels import released
 from .langid import held_out_of
 
 WORD = r"[^\W_]+"
@@ -141,7 +142,7 @@ def _train(share_toxic: float):
         model = train([r[3] for r in rows], [r[2] for r in rows], share_toxic)
         yield pd.DataFrame({"piece": list(model), "weight": list(model.values())})
 
-    return run
+    return released(run)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL) -> dict[str, float]:
@@ -192,7 +193,7 @@ def _score(model_of, score_col: str):
             names = [*(c for c in batch.schema.names if c != "text"), "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, pa.float64())], names=[*names, score_col])
 
-    return run
+    return released(run)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL, score_col: str = "score") -> DataFrame:
