@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..registry import table
 from .cdc_dedup import repeated_chunks
 from .chat_format import canonical_turns, chat_digest, format_chat, read_chat
+from .decontaminate import contamination, contamination_digest
 from .exact_dedup import exact_duplicates
 from .langid import identify_language
 from .minhash_dedup import near_duplicates
@@ -68,6 +69,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(repeated_chunks(table(spark, sf_dir, "documents")))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(contamination(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op7's mixture what SQL can say: sizes, targets, that no document is taken too often, and that sources meet their targets."""
     mixture = mix(table(spark, sf_dir, "documents"))
@@ -91,6 +96,7 @@ def pack_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_exact_dedup, op2_chat_format, op3_suffix_dedup, op4_bestfit_packing, op5_language_id)
     found += (op6_minhash_dedup, op7_mixing, op8_topk_search, op9_toxicity, op10_substring_dedup)
+    found += (op13_decontamination,)
     found += (mix_targets, pack_layout)
     return {f.__name__: f for f in found}
 
@@ -159,4 +165,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, rank, vec_id, score
             FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
             WHERE rank <= 20""",
+        "op13_decontamination": f"""
+            WITH d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+            b AS (SELECT item_id, regexp_extract_all({ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+            bw AS (SELECT DISTINCT item_id::VARCHAR AS item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS t
+                FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+            ns AS (SELECT DISTINCT n FROM bw),
+            dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)),
+            h AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, t)),
+            hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM h)) GROUP BY doc_id),
+            it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+            SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+            FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
     }
