@@ -12,6 +12,7 @@ from .cdc_dedup import repeated_chunks
 from .chat_format import canonical_turns, chat_digest, format_chat, read_chat
 from .decontaminate import contamination, contamination_digest
 from .exact_dedup import exact_duplicates
+from .hard_negatives import hard_negatives
 from .langid import identify_language
 from .minhash_dedup import near_duplicates
 from .mixing import mix, mixing_digest
@@ -69,6 +70,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(repeated_chunks(table(spark, sf_dir, "documents")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(contamination(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
@@ -96,7 +103,7 @@ def pack_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_exact_dedup, op2_chat_format, op3_suffix_dedup, op4_bestfit_packing, op5_language_id)
     found += (op6_minhash_dedup, op7_mixing, op8_topk_search, op9_toxicity, op10_substring_dedup)
-    found += (op13_decontamination,)
+    found += (op12_hard_negatives, op13_decontamination)
     found += (mix_targets, pack_layout)
     return {f.__name__: f for f in found}
 
@@ -165,6 +172,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, rank, vec_id, score
             FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
             WHERE rank <= 20""",
+        "op12_hard_negatives": """
+            WITH v AS (
+                SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (
+                SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+                FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+            p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+            SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5""",
         "op13_decontamination": f"""
             WITH d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
             b AS (SELECT item_id, regexp_extract_all({ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
