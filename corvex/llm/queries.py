@@ -17,6 +17,7 @@ from .langid import identify_language
 from .minhash_dedup import near_duplicates
 from .mixing import mix, mixing_digest
 from .packing import pack
+from .phrases import phrases
 from .suffix_dedup import repeated_windows
 from .topk import top_k
 from .toxicity import toxicity_digest
@@ -70,6 +71,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(repeated_chunks(table(spark, sf_dir, "documents")))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -103,7 +108,7 @@ def pack_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_exact_dedup, op2_chat_format, op3_suffix_dedup, op4_bestfit_packing, op5_language_id)
     found += (op6_minhash_dedup, op7_mixing, op8_topk_search, op9_toxicity, op10_substring_dedup)
-    found += (op12_hard_negatives, op13_decontamination)
+    found += (op11_phrases, op12_hard_negatives, op13_decontamination)
     found += (mix_targets, pack_layout)
     return {f.__name__: f for f in found}
 
@@ -172,6 +177,20 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, rank, vec_id, score
             FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
             WHERE rank <= 20""",
+        "op11_phrases": f"""
+            WITH p AS (SELECT doc_id, lang, j, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (
+                SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(s) AS piece, unnest(range(len(s))) AS j FROM (SELECT doc_id, lang, regexp_split_to_array({ASCII_LOWER}, '[.,;:!?\\x0A-\\x0D]') AS s FROM documents))),
+            u AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) > 0),
+            g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM u, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+            n AS (SELECT lang, count(*) AS n FROM u GROUP BY lang),
+            c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m > 1),
+            k AS (SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+            s AS (SELECT k.lang, k.m, k.phrase, a, p.f AS l, q.f AS r, ((2000000::HUGEINT * a) // (p.f + q.f))::BIGINT AS score, k FROM k
+                JOIN g p ON p.lang = k.lang AND p.phrase = x JOIN g q ON q.lang = k.lang AND q.phrase = y
+                QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, k) = 1),
+            i AS (SELECT lang, array_to_string(w[b:b + z - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, m - z + 2)) AS b FROM (SELECT *, unnest(range(2, m)) AS z FROM c)) GROUP BY ALL)
+            SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+            FROM s LEFT JOIN i USING (lang, phrase) JOIN n USING (lang) WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000""",
         "op12_hard_negatives": """
             WITH v AS (
                 SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
