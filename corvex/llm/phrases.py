@@ -30,7 +30,7 @@ MAX_WORDS = 300_000
 #: Distinct words that a task counts before it passes on their counts.
 COUNTED = 200_000
 #: Places whose n-grams are counted together, and keys of a range, some.
-PLACES, RANGE = 1 << 21, 1 << 20
+PLACES, RANGE = 1 << 20, 1 << 19
 #: Ranges at most.
 MOST_RANGES = 20_000
 #: Rows of ids that split points are drawn from, at most, and n-grams of each.
