@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL)
     """A model from documents (doc_id, text) and labels (doc_id, toxic) that are not held out.
 
     It learns from at most max_per_label documents of each label, in one task. A document with
-    several labels counts as toxic if one of them says so; null labels and ids are left out.
+    several labels counts as toxic if one of them says so; null labels and ids are left out. Of an
+    id with several texts the one with the least SHA-256 is learned from, once.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).filter(~held_out_of("doc_id"))
@@ -158,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL)
     if share is None:
         return train([], [], 0.0)
     some = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_label) for t in (0, 1)]
-    chosen = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").limit(4 * max_per_label)  # bounded by max_per_label
+    chosen = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
     rows = chosen.select("doc_id", "text", "toxic").repartition(1).mapInPandas(_train(share), "piece string, weight double").toPandas()
     return dict(zip(rows.piece, rows.weight))
 

@@ -1,7 +1,11 @@
 """Chat formatting, packing, language, mixing, search, toxicity and the pipeline, on edge cases and small tables."""
 
 import hashlib
+import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 from corvex.llm import chat_format as chat
 from corvex.llm import langid, mixing, packing, topk, toxicity
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -210,9 +215,88 @@ def test_language_edges(docs, rows, empty):
 
 
 def test_language_backs_off_to_shorter_grams():
-    m = langid.Model([("a", "zebra zebra"), ("b", "otter")])
-    assert np.argmax(m.score("zebra")) == 0 and np.argmax(m.score("zebras")) == 0 and np.argmax(m.score("otters")) == 1
-    assert np.argmax(m.score("xxtt")) == 1 and not m.score("qqqq").any()
+    m = langid.model_of({"a": {"zebra": 2}, "b": {"otter": 1}})
+    score = lambda w: langid.word_scores(m, w)
+    assert np.argmax(score("zebra")) == 0 and np.argmax(score("zebras")) == 0 and np.argmax(score("otters")) == 1
+    assert np.argmax(score("xxtt")) == 1 and not score("qqqq").any()
+
+
+def language_model(learned, texts):
+    """Predictions by plain dictionaries, one word after another. learned: (lang, text) rows; ties go to the first language."""
+    langs = sorted({lang for lang, _ in learned})
+    counts = {lang: Counter(w for other, t in learned if other == lang for w in re.findall(r"[^\W\d_]+", t.lower())) for lang in langs}
+    padded = lambda w, n: list(w) if n == 1 else [("\x02" + w + "\x03")[i : i + n] for i in range(len(w) + 3 - n)]
+    of = {n: {lang: Counter() for lang in langs} for n in range(1, 6)}
+    for n in of:
+        for lang in langs:
+            for w, times in counts[lang].items():
+                for g in padded(w, n):
+                    of[n][lang][g] += times
+
+    def logs(table, key):
+        size = len(set().union(*table.values()))
+        return np.array([math.log((table[lang][key] + 0.5) / (sum(table[lang].values()) + 0.5 * size)) for lang in langs])
+
+    def word(w):
+        if any(counts[lang][w] for lang in langs):
+            return logs(counts, w)
+        for n in range(5, 0, -1):
+            found = [logs(of[n], g) for g in padded(w, n) if any(of[n][lang][g] for lang in langs)]
+            if found:
+                return np.mean(found, axis=0)
+        return np.zeros(len(langs))
+
+    out = []
+    for t in texts:
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        total = sum(map(word, words), np.zeros(len(langs)))
+        out.append((langs[int(np.argmax(total))], 1 / np.exp(total - total.max()).sum()) if words and langs else ("und", 0.0))
+    return out
+
+
+def test_language_against_plain_python(spark):
+    rng = np.random.default_rng(8)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(1, 8)))
+    letters = {"aa": "abcdeé", "bb": "cdefgh", "cc": "efghxyzÅ"}
+    rows = [(i, " ".join(word(letters[lang]) for _ in range(rng.integers(0, 12))) + rng.choice(["", " 12 _", " Ünk"]), lang) for i, lang in enumerate(np.tile(list(letters), 60).tolist())]
+    rows += [(1000, None, "aa"), (1001, "12", "bb"), (1002, "cde fgh", None), (None, "dcd", "bb")]
+    got = langid.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
+    learned = {(lang, t) for i, t, lang in rows if not held(i) and t is not None and lang is not None}
+    want = dict(zip([r[0] for r in rows], language_model(sorted(learned), [r[1] for r in rows])))
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-4 and r.held_out == held(r.doc_id)
+
+
+def test_language_of_very_long_texts(spark):
+    """Texts are learned from whole, whatever their length: languages that have only long ones are known."""
+    rng = np.random.default_rng(5)
+    text = lambda letters, n: " ".join("".join(rng.choice(list(letters), 4)) for _ in range(n))
+    rows = [(i, text("abcdef" if i % 2 else "uvwxyz", 5000), "en" if i % 2 else "fr") for i in range(24)]
+    short = [(100 + i, text("uvwxyz", 9), "fr") for i in range(20)] + [(200 + i, text("abcdef", 9), None) for i in range(20)]
+    for given in (rows, [r for r in rows if r[2] == "en"] + short):
+        d = spark.createDataFrame(given, "doc_id long, text string, lang string")
+        got = {r.doc_id: r.lang_pred for r in langid.identify_language(d).collect()}
+        assert got == {i: "en" if set(t) & set("abcdef") else "fr" for i, t, _ in given}
+
+
+def test_models_on_workers_without_the_library(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config(map={{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": "file://{tmp_path}"}}).getOrCreate()
+from corvex.llm import decontaminate, hard_negatives, langid, phrases, toxicity
+d = spark.createDataFrame([(i, "alpha beta" if i % 2 else "gamma delta", "en" if i % 2 else "fr") for i in range(40)], "doc_id long, text string, lang string")
+assert {{r.lang_pred for r in langid.identify_language(d).collect()}} == {{"en", "fr"}}
+assert toxicity.toxicity_digest(d, d.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))).count() == 40
+assert phrases.phrases(d, least=5).count() == 2
+v = d.select(F.col("doc_id").alias("vec_id"), (F.col("doc_id") % 2).alias("label"), F.array(F.lit(1.0), F.rand(1)).alias("embedding"))
+assert hard_negatives.hard_negatives(v, F.col("vec_id") % 10 == 0).count() >= 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
 
 
 # ---- mixing --------------------------------------------------------------------------------------
@@ -388,6 +472,29 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted for r in toxic) >= 0.88 * len(toxic) and sum(r.predicted for r in clean) <= 0.02 * len(clean)
 
 
+def test_toxicity_against_plain_python(spark, docs, rows):
+    """Scores are means over words of means over pieces, whatever the partitioning and however often one labelled id is there."""
+    labels = labels_of(spark, [(i, None, int(i % 3 == 0), "x", None) for i in range(60)])
+    many = docs.unionByName(spark.range(700).select(*(F.lit({"doc_id": 3, "text": "alpha1 beta2 again"}.get(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns)))
+    runs = [{(r.doc_id, r.held_out): r.score for r in toxicity.toxicity_digest(many.repartition(n), labels).filter("doc_id not in (3, 7)").collect()} for n in (3, 8)]
+    assert runs[0] == runs[1]
+    model = toxicity.fit(many.select("doc_id", "text"), labels)
+
+    def score(text):
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        if not words:
+            return model[" "]
+        total = 0.0
+        for w in words:
+            w = f"<{w}>"
+            pieces = [w[i : i + n] for n in range(3, 8) if n < len(w) for i in range(len(w) - n + 1)] + [w]
+            total += sum(model.get(p, 0.0) for p in pieces) / len(pieces)
+        return 1 / (1 + math.exp(-min(30, max(-30, total / len(words) + model[""]))))
+
+    texts = {r[0]: r[1] for r in rows if r[0] not in (3, 7, None)}
+    assert all(abs(runs[0][i, zlib.crc32(str(i).encode()) % 5 == 0] - score(t)) < 1e-9 for i, t in texts.items())
+
+
 def test_misspellings_share_vectors():
     rng = np.random.default_rng(0)
     plain = ["".join(rng.choice(list("abcdefg"), 5)) for _ in range(300)]
