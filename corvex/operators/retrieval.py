@@ -7,7 +7,6 @@ that the order of additions can't change an order of results; equal scores go by
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,87 +16,16 @@ from pyspark.sql.window import Window
 
 from .. import plugins
 from ..functions.text import preview, strip, tokens, word_count
-from ..sources.storage import bucketed, shared_folder, stored
-from .relational import keep_first, ordinal, top
+from ..sources.storage import shared_folder, stored
+from .keyword_index import KEY, MAX_QUESTIONS, KeywordIndex, build_index, in_batches, keyword_search, load_index  # noqa: F401
+from .relational import keep_first, top
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
-DENSE_K, SPARSE_K, RRF_K, CANDIDATES, TOP_N, MERGED_WORDS = 25, 20, 60, 40, 6, 600
+DENSE_K, RRF_K, CANDIDATES, TOP_N, MERGED_WORDS = 25, 60, 40, 6, 600
 MIN_SIMILARITY = 0.70
-KEY = ["doc_id", "page_number"]
-#: Questions in one batch, as every task of a search holds them; more are searched in several batches.
-MAX_QUESTIONS = 10_000
-#: Tokens of a batch's questions that may go to every task: at some 60 bytes each, 60 MB.
-MAX_TOKENS = 1_000_000
-#: Chunks of one part of the index, some, and parts at most, as Spark's limit for buckets is.
-PART, MAX_PARTS = 20_000, 100_000
 
 
-class KeywordIndex:
-    """Stored tables. corpus: key, content, token list t, dl. postings: key, token, tf, dl, in parts by document,
-    each in order of token. terms: token, df, idf. stats: n, avgdl, one row."""
-
-    def __init__(self, corpus: DataFrame, postings: DataFrame, terms: DataFrame, stats: DataFrame, avgdl: float):
-        self.corpus, self.postings, self.terms, self.stats, self.avgdl = corpus, postings, terms, stats, avgdl
-
-
-def build_index(chunks: DataFrame) -> KeywordIndex:
-    """An inverted index of chunks (doc_id, page_number, content); blank ones are left out.
-
-    idf = ln(N - df + .5) - ln(df + .5), and EPSILON times the mean idf where that is negative.
-    Postings lie in parts by document, so a common token is spread over all of them and a search
-    adds up a chunk's score within one task; in a part they are in order of token, so a search
-    reads the row groups of its tokens.
-    """
-    spark = chunks.sparkSession
-    rows = chunks.filter(F.trim("content") != "").select(*KEY, "content", tokens(F.col("content")).alias("t"))
-    rows = stored(rows.withColumn("dl", F.size("t").cast("long")), shared_folder(spark, "corpus"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    n, avgdl = stats.first()
-    parts = min(MAX_PARTS, max(spark.sparkContext.defaultParallelism, -(-n // PART)))
-    each = rows.select(*KEY, "t", "dl").repartition(parts, "doc_id").select(*KEY, "dl", F.explode("t").alias("token"))
-    postings = bucketed(each.groupBy(*KEY, "token", "dl").agg(F.count("*").alias("tf")), parts, "doc_id", "token", "postings")
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    raw = stored(raw, shared_folder(spark, "terms"))
-    mean = raw.agg(F.avg("raw")).first()[0]
-    idf = F.when(F.col("raw") < 0, F.lit(EPSILON) * F.lit(mean)).otherwise(F.col("raw"))
-    return KeywordIndex(rows, postings, raw.select("token", "df", idf.alias("idf")), stats, avgdl or 1.0)
-
-
-def batches(questions: DataFrame) -> list[DataFrame]:
-    """Questions (qid, qno, text) in batches of at most MAX_QUESTIONS, whose results are independent."""
-    n = questions.count()
-    if n <= MAX_QUESTIONS:
-        return [questions]
-    numbered = ordinal(questions, ["qid", "qno"], "__at")
-    return [numbered.filter(F.floor(F.col("__at") / MAX_QUESTIONS) == i).drop("__at") for i in range(-(-n // MAX_QUESTIONS))]
-
-
-def in_batches(search, questions: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, map(search, batches(questions)))
-
-
-def keyword_search(index: KeywordIndex, questions: DataFrame, k: int = SPARSE_K, min_score: float = 0.0) -> DataFrame:
-    """The k best chunks of each question (qid, qno, text) above min_score: qid, qno, key, bm25_score, rank.
-
-    A token repeated in a question counts again. A batch's tokens, weighted by their idf, are joined
-    with the postings and added up by chunk; only each part's k best go on.
-    """
-
-    def search(batch: DataFrame) -> DataFrame:
-        asked = batch.select("qid", "qno", F.explode(tokens(F.col("text"))).alias("token")).groupBy("qid", "qno", "token").agg(F.count("*").alias("m"))
-        small = F.broadcast if asked.count() <= MAX_TOKENS else lambda df: df
-        weights = index.terms.join(small(asked), "token").select("qid", "qno", "token", (F.col("m") * F.col("idf") * (K1 + 1)).alias("w"))
-        norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(index.avgdl))
-        hits = index.postings.join(small(weights), "token").select("qid", "qno", *KEY, (F.col("w") * (F.col("tf") / (F.col("tf") + norm))).alias("s"))
-        scores = hits.groupBy("qid", "qno", *KEY).agg(F.round(F.sum("s"), 6).alias("bm25_score"))
-        return top(scores.filter(F.col("bm25_score") > min_score), ["qid", "qno"], [F.desc("bm25_score"), *KEY], k)
-
-    return in_batches(search, questions)
-
-
-def store_vectors(corpus: DataFrame, embed: plugins.Embedder | None = None) -> DataFrame:
-    """key, vector: the embeddings of a corpus (key, token list t), computed once and stored."""
+def store_vectors(corpus: DataFrame, embed: plugins.Embedder | None = None, path: str | None = None) -> DataFrame:
+    """key, vector: the embeddings of a corpus (key, token list t), computed once and stored at path or in a shared folder."""
     embed = embed or plugins.HashingEmbedder()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +33,7 @@ def store_vectors(corpus: DataFrame, embed: plugins.Embedder | None = None) -> D
             yield b[KEY].assign(vector=list(embed([list(t) for t in b.t]).astype("float32")))
 
     rows = corpus.select(*KEY, "t").mapInPandas(run, "doc_id long, page_number long, vector array<float>")
-    return stored(rows, shared_folder(corpus.sparkSession, "vectors"))
+    return stored(rows, path or shared_folder(corpus.sparkSession, "vectors"))
 
 
 def build_both(chunks: DataFrame) -> tuple[KeywordIndex, DataFrame]:

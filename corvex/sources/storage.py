@@ -75,15 +75,6 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, parts: int, key: str, order: str, name: str) -> DataFrame:
-    """df as a stored table in parts by key, each in order of a column: what is grouped by the key needs no shuffle."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
-    table = f"{name}_{path[-12:]}"
-    with tidy(spark):
-        df.write.bucketBy(parts, key).sortBy(order).option("path", path).format("parquet").saveAsTable(table)
-    return spark.table(table)
-
-
 def csv_by_position(spark: SparkSession, path: str, column: str, name: str) -> DataFrame:
     """The one column of a folder of CSV files (with headers) with each row's number, from 0, through the files in order."""
     rows = spark.read.schema(f"{column} string").csv(path, header=True, multiLine=True, escape='"').select(column, F.col("_metadata.file_name").alias("__file"), F.monotonically_increasing_id().alias("__at"))
@@ -181,4 +172,4 @@ def crawl(pages: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     return seen.select("base", "url", "depth")
 
 
-__all__ = ["IndexStore", "bucketed", "crawl", "csv_by_position", "delete_vectors", "first_sitemap", "remove", "shared_folder", "sitemap_pages", "state_of", "still_there", "stored", "tidy", "upsert_vectors"]
+__all__ = ["IndexStore", "crawl", "csv_by_position", "delete_vectors", "first_sitemap", "remove", "shared_folder", "sitemap_pages", "state_of", "still_there", "stored", "tidy", "upsert_vectors"]

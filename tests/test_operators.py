@@ -1,5 +1,6 @@
 """Hand-made cases and plain-Python models of the operators."""
 
+import random
 import re
 
 import pytest
@@ -198,12 +199,63 @@ def test_stored_index_is_built_once_and_again_when_it_is_gone(spark, tiny):
     assert Q.stored_index(spark, tiny).corpus.count() == vectors.count()
 
 
-def test_search_reads_stored_parts_without_a_shuffle_of_matches(spark):
-    d = spark.createDataFrame([(i, 1, f"common w{i % 7}") for i in range(50)], "doc_id long, page_number long, content string")
-    q = spark.createDataFrame([(1, 0, "common w3")], "qid long, qno int, text string")
-    plan = R.keyword_search(R.build_index(d), q)._jdf.queryExecution().executedPlan().toString()
-    assert "Bucketed: true" in plan and "WindowGroupLimit" in plan
-    assert not re.search(r"hashpartitioning\(qid#\d+L?, qno#\d+, doc_id", plan)
+def scanned(df):
+    """Rows that each scan of df's blocks gave, and rows that came out of the filter that follows."""
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif name == "FileSourceScanExec" and "items" in node.toString():
+            out.append((node.metrics().apply("numOutputRows").value(), node.toString()))
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_search_reads_the_asked_tokens_alone(spark, monkeypatch):
+    from corvex.operators import keyword_index as K
+
+    monkeypatch.setattr(K, "PAGE", 1)
+    d = spark.createDataFrame([(i, 1, f"common{i % 3} w{i} x{i} y{i % 900}") for i in range(2700)], "doc_id long, page_number long, content string").repartition(3)
+    index = R.build_index(d)
+    q = spark.createDataFrame([(1, 0, "w37 y37"), (2, 0, "x5 unknown")], "qid long, qno int, text string")
+    found = scanned(R.keyword_search(index, q))
+    asked = index.blocks.filter(F.col("token").isin("w37", "y37", "x5")).count()
+    assert found and all("EqualTo(token" in plan or "In(token" in plan for _, plan in found)
+    assert all(n <= 4 * asked for n, _ in found) and index.blocks.count() > 2000
+
+
+def test_blocks_that_cannot_matter_are_left_out(spark, monkeypatch):
+    """One rare word decides; the common word's blocks of long chunks are below the k-th score."""
+    from corvex.operators import keyword_index as K
+
+    monkeypatch.setattr(K, "BLOCK", 16)
+    rng = random.Random(4)
+    rows = [(i, 1, " ".join(["common", *(["rare"] * (3 if i % 40 == 0 else 0)), *(f"f{rng.randrange(50)}" for _ in range(3 if i < 200 else 60))])) for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, page_number long, content string")
+    index = R.build_index(d)
+    q = spark.createDataFrame([(1, 0, "common rare"), (2, 0, "f3 f4 common"), (3, 1, "rare rare"), (4, 0, "")], "qid long, qno int, text string")
+    got = [tuple(r) for r in R.keyword_search(index, q, k=5).select("qid", "qno", *R.KEY, "bm25_score", "rank").collect()]
+    # Plainly: all postings, added up.
+    n, avgdl = index.stats.first()[:2]
+    terms = {r.token: r.idf for r in index.terms.collect()}
+    dl = {r[0]: len(r[2].split()) for r in rows}
+    want = []
+    for qid, qno, text in q.collect():
+        score = {}
+        for t in text.split():
+            for i, _, content in rows:
+                if tf := content.split().count(t):
+                    score[i] = score.get(i, 0) + terms[t] * 2.5 * tf / (tf + 1.5 * (0.25 + 0.75 * dl[i] / avgdl))
+        best = sorted((-round(s, 6), i) for i, s in score.items() if round(s, 6) > 0)[:5]
+        want += [(qid, qno, i, 1, -s, rank) for rank, (s, i) in enumerate(best, 1)]
+    assert n == 2000 and sorted(r[:4] + r[5:] for r in got) == sorted(r[:4] + r[5:] for r in want)
+    assert all(abs(a[4] - b[4]) < 1e-5 for a, b in zip(sorted(got), sorted(want)))
 
 
 def test_scorer_and_its_failure(spark):
