@@ -1,7 +1,8 @@
 """The service's operations as functions over stored tables: intake, questions, listings, deletion, history.
 
-Every operation takes a tenant. Tables are folders of Parquet below one root; appends add files, and
-a deletion writes a new version of a table before it drops the old one.
+Every operation takes a tenant. A table is a folder of versions below one root, and a pointer that
+says which one holds; appends add files to it, a deletion writes a new version, and then the pointer
+moves. Pointers are numbered and the highest complete one holds, so a crash leaves the old version or the new.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from .operators import html as H
 from .operators import relational as L
 from .operators import retrieval as R
 from .plans import answering as A
-from .sources.storage import remove
+from .plans.handles import IndexHandles
+from .sources.storage import remove, state_of
 
 TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "messages": schemas.MESSAGES, "jobs": schemas.JOBS}
 
@@ -28,27 +30,51 @@ class Service:
     def __init__(self, spark: SparkSession, root: str, now: Column | None = None):
         """now: the clock, a column; the current time if it is left out."""
         self.spark, self.root, self.now = spark, root.rstrip("/"), now if now is not None else F.current_timestamp()
+        self.handles = IndexHandles(spark, f"{self.root}/indexes")
 
     # tables
 
+    def _versions(self, name: str) -> list[tuple[int, str]]:
+        """Pointers of a table in order: their numbers and the folders that they name."""
+        base = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        fs = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(base)] if fs.exists(base) else []
+        return sorted((int(number), folder) for number, _, folder in (n.removeprefix("holds-").partition("-") for n in names if n.startswith("holds-")))
+
+    def _point(self, name: str, number: int, folder: str) -> None:
+        """A pointer is an empty folder whose name says all, which a file system makes at once or not at all."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/holds-{number:08d}-{folder}")
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
     def table(self, name: str) -> DataFrame:
         schema = self.spark.createDataFrame([], TABLES[name]).schema
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        versions = self._versions(name)
+        if not versions:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{versions[-1][1]}")
 
     def append(self, name: str, rows: DataFrame) -> None:
         schema = self.spark.createDataFrame([], TABLES[name]).schema
         full = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
-        full.write.mode("append").parquet(f"{self.root}/{name}")
+        versions = self._versions(name)
+        folder = versions[-1][1] if versions else f"v-{uuid.uuid4().hex[:8]}"
+        full.write.mode("append").parquet(f"{self.root}/{name}/{folder}")
+        if not versions:
+            self._point(name, 1, folder)
 
     def _replace(self, name: str, rows: DataFrame) -> None:
-        fresh = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(fresh)
-        remove(self.spark, f"{self.root}/{name}")
-        paths = [self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, f"{self.root}/{name}")]
-        paths[0].getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(*paths)
+        """rows as the table's next version; older ones go once the pointer has moved."""
+        versions, folder = self._versions(name), f"v-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(f"{self.root}/{name}/{folder}")
+        self._point(name, versions[-1][0] + 1 if versions else 1, folder)
+        for number, old in versions:
+            remove(self.spark, f"{self.root}/{name}/holds-{number:08d}-{old}")
+            remove(self.spark, f"{self.root}/{name}/{old}")
+
+    def _version(self, name: str) -> tuple:
+        """What names a table's contents: its version's folder with its files' number, bytes and time."""
+        versions = self._versions(name)
+        return state_of(self.spark, f"{self.root}/{name}/{versions[-1][1]}") if versions else ()
 
     # intake
 
@@ -85,11 +111,15 @@ class Service:
     # questions
 
     def ask(self, user_id: str, questions: DataFrame, pdf_name: str | None = None, least: float = R.MIN_SIMILARITY) -> DataFrame:
-        """Answers to a batch of questions (qid, text) from one tenant's chunks, of one document or all; logged as messages."""
+        """Answers to a batch of questions (qid, text) from one tenant's chunks, of one document or all; logged as messages.
+
+        The index of those chunks is kept for later questions, until chunks change.
+        """
         chunks = L.tenant_rows(self.table("chunks"), user_id)
         if pdf_name is not None:
             chunks = chunks.filter(F.col("pdf_name") == pdf_name)
-        out = A.ask(questions, *R.build_both(chunks.select("doc_id", "page_number", "content")), least).join(questions, "qid")
+        index, vectors = self.handles.get(user_id, pdf_name, self._version("chunks"), lambda: chunks.select("doc_id", "page_number", "content"))
+        out = A.ask(questions, index, vectors, least).join(questions, "qid")
         path = f"{self.root}/answers/{uuid.uuid4().hex[:8]}"
         out.write.parquet(path)
         out = self.spark.read.parquet(path)
@@ -130,6 +160,7 @@ class Service:
         key = self.spark.createDataFrame([(user_id, pdf_name)], "user_id string, pdf_name string")
         for name in ("documents", "chunks", "jobs"):
             self._replace(name, L.delete_keys(self.table(name), key, ["user_id", "pdf_name"]))
+        self.handles.invalidate(user_id, pdf_name)
         return True
 
     def delete_conversation(self, user_id: str, conversation_id: int) -> bool:
