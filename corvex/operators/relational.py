@@ -40,9 +40,12 @@ def top(df: DataFrame, keys: list[str], order: list[Column | str], k: int, name:
 
 
 def merge_latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """UPDATE by key: each non-null value of new replaces old's; keys that old lacks change nothing."""
+    """UPDATE by key: each non-null value of new replaces old's; keys that old lacks change nothing.
+
+    Of several values of new for one key the greatest holds; where they have an order, see changes.apply_changes().
+    """
     fields = [c for c in old.columns if c not in keys]
-    renamed = new.select(*keys, *(F.col(c).alias(f"__new_{c}") for c in fields if c in new.columns))
+    renamed = new.groupBy(*keys).agg(*(F.max(c).alias(f"__new_{c}") for c in fields if c in new.columns))
     out = old.join(renamed, keys, "left")
     return out.select(*keys, *(F.coalesce(f"__new_{c}", c).alias(c) if c in new.columns else F.col(c) for c in fields))
 
