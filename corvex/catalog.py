@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import registry
 from .plans import catalog_queries, change_queries, chunk_queries, crawl_queries, evaluation_queries, pdf_queries, retrieval_queries, text_queries  # noqa: F401
-from .streaming import ingest  # noqa: F401
+from .streaming import ingest, jobs  # noqa: F401
 
 
 def queries() -> dict:

@@ -9,9 +9,8 @@ from ..functions import urls as U
 from ..operators import chunking as C
 from ..operators import html as H
 from ..operators import retrieval as R
-from ..operators.relational import keep_first
 from ..registry import query, table
-from ..sources.storage import shared_folder
+from ..sources.storage import remove, shared_folder
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,21 +18,33 @@ def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf, name).schema).option("recursiveFileLookup", "true").option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def index_pages(pages: DataFrame, path: str, checkpoint: str):
+def first_landed(pages: DataFrame, within: str = "7 days", time_col: str | None = None) -> DataFrame:
+    """Pages with their normalised address as `norm`, each address once: the state holds addresses for as long as `within`.
+
+    time_col: the pages' event time; without one it is the time at which a page is read. Of pages of
+    one batch with one address any may be the one that stays.
+    """
+    at = F.col(time_col) if time_col else F.current_timestamp()
+    return pages.withColumn("norm", U.normalised(F.col("url"))).withColumn("__landed", at).withWatermark("__landed", within).dropDuplicatesWithinWatermark(["norm"]).drop("__landed")
+
+
+def index_pages(pages: DataFrame, path: str, checkpoint: str, within: str = "7 days"):
     """Extract, chunk and tokenise pages as they land; each batch is appended to chunks and postings.
 
-    A batch's folder is named by its number, so a batch that runs again replaces its own output.
+    A page that landed before, in whichever batch, is not indexed again. A batch's folder is named by
+    its number, so a batch that runs again replaces its own output.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        one = keep_first(batch.withColumn("norm", U.normalised(F.col("url"))), ["norm"], ["page_id"])
-        x = one.select("url", H.extract_page("html").alias("x"))
+        x = batch.select("url", H.extract_page("html").alias("x"))
         rows = C.chunk_pages(x.select("url", H.page_title(F.col("x.title"), U.path(F.col("url")), F.col("url")).alias("title"), F.col("x.markdown").alias("markdown")))
         rows.write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
         keyed = rows.select(F.xxhash64("source_url").alias("doc_id"), "page_number", "content")
-        R.build_index(keyed).postings.write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        index = R.build_index(keyed)
+        index.postings.write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        remove(batch.sparkSession, index.path)
 
-    return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return first_landed(pages, within).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_status(events: DataFrame) -> DataFrame:
