@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import changes as G
 from ..registry import query, table
+from ..sources.sink import read_vectors, write_vectors
+from ..sources.storage import shared_folder
 from .chunk_queries import SQL_CHUNKS
 from .retrieval_queries import SQL_INDEX, stored_index
 
@@ -83,3 +85,15 @@ def p21(spark, sf):
     m = table(spark, sf, "conversations").withColumn("owner", F.concat(F.lit("u"), (F.col("conv_id") % 3).cast("string")))
     read = POLICIES.readable("messages", m, "u1").select(F.lit("read").alias("side"), "conv_id", "turn", F.lit(None).cast("string").alias("refused"))
     return read.unionByName(POLICIES.judged("messages", m, "u1").select(F.lit("write").alias("side"), "conv_id", "turn", "refused"))
+
+
+@query("k1_batched_sink", """
+    WITH v AS (SELECT label, vec_id, list_sum(list_transform(embedding, lambda x: CASE WHEN vec_id % 9 = 0 THEN 0 ELSE x::DOUBLE END)) AS s FROM embeddings)
+    SELECT label::VARCHAR AS tenant, count(*) FILTER (s <> 0) AS stored, (SELECT count(*) FROM v WHERE s = 0) AS empty_rows, 0 AS failed_rows FROM v GROUP BY label HAVING count(*) FILTER (s <> 0) > 0""")
+def k1_sink(spark, sf):
+    """All embeddings, every ninth one failed (A14), sent in batches of 50; the counts are those of the commit messages."""
+    path = shared_folder(spark, "sink")
+    v = table(spark, sf, "embeddings").select(F.col("label").alias("tenant"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.when(F.col("vec_id") % 9 == 0, 0.0).otherwise(x.cast("double"))).alias("vector"))
+    report = write_vectors(v, path)
+    stored = read_vectors(spark, path).groupBy("tenant").agg(F.count("*").alias("stored"))
+    return stored.select("tenant", "stored", F.lit(report["empty_rows"]).cast("long").alias("empty_rows"), F.lit(report["failed_rows"]).cast("int").alias("failed_rows"))
