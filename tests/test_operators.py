@@ -184,8 +184,11 @@ def test_questions_beyond_a_batch(spark, monkeypatch):
     vectors = R.store_vectors(index.corpus)
     searches = (lambda: R.keyword_search(index, q), lambda: R.dense_search(vectors, q))
     whole = [sorted(map(tuple, f().collect())) for f in searches]
-    monkeypatch.setattr(R, "MAX_QUESTIONS", 4)
-    monkeypatch.setattr(R, "MAX_TOKENS", 1)
+    from corvex.operators import keyword_index as K
+
+    monkeypatch.setattr(K, "MAX_QUESTIONS", 4)
+    monkeypatch.setattr(K, "MAX_TOKENS", 1)
+    monkeypatch.setattr(K, "NAMED_TOKENS", 3)
     assert whole == [sorted(map(tuple, f().collect())) for f in searches] and all(whole)
 
 
