@@ -575,7 +575,7 @@ def test_queries_that_sql_checks(spark, tiny):
     from corvex.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tiny}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, tiny)
