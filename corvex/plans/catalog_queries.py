@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import urls as U
@@ -358,7 +357,10 @@ def w11(spark, sf):
 
 @query("w14_ordinals", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS in_source FROM documents")
 def w14(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("in_source"))
+    """Numbers of the whole order less a source's first one, so that no task ranks a whole source."""
+    rows = L.ordinal(table(spark, sf, "documents").select("source", "doc_id"), ["source", "doc_id"], "at")
+    first = rows.groupBy(F.col("source").alias("of")).agg(F.min("at").alias("first"))
+    return rows.join(first, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", (F.col("at") - F.col("first") + 1).cast("int").alias("in_source"))
 
 
 @query("u3_distinct_first", "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text")
