@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..registry import query, table
 from ..sources import frontier as R
+from ..sources import sitemaps as M
+from ..sources import storage as S
 from .catalog_queries import SQL_NORM, sites
 from .chunk_queries import SQL_BASE, sql_wc
 from .text_queries import sql_path
@@ -57,3 +59,35 @@ def s3(spark, sf):
     SELECT base, depth, count(*) AS visited, count(*) FILTER (crawled) AS crawled, count(*) FILTER (NOT crawled) AS failed, coalesce(sum(w), 0)::BIGINT AS words, coalesce(sum(i), 0)::BIGINT AS images FROM visited LEFT JOIN x USING (url) GROUP BY ALL""")
 def a7(spark, sf):
     return R.crawl_summary(visited(spark, sf), table(spark, sf, "pages"))
+
+
+def sitemap_files(pages):
+    """host, sitemap, xml: for each site an index of indexes of sitemaps of up to 1000 pages, with a foreign address in each."""
+    p = pages.filter("url IS NOT NULL").select("page_id", "url", U.base(F.col("url")).alias("base"), U.host(F.col("url")).alias("host"))
+    name = lambda prefix, size: F.concat("base", F.lit(f"/{prefix}-"), F.floor(F.col("page_id") / size).cast("string"), F.lit(".xml"))
+    p = p.withColumn("leaf", name("map", 1000)).withColumn("middle", name("index", 1000000))
+    escaped = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    day = F.concat(F.lit("2024-01-"), F.lpad((1 + F.col("page_id") % 28).cast("string"), 2, "0"))
+    url = F.concat(F.lit("<url><loc> "), escaped, F.lit(" </loc><lastmod>"), day, F.lit("</lastmod></url>"))
+
+    def tagged(rows, by, kind, entry):
+        open_, close = f'<?xml version="1.0"?><{kind} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', f"</{kind}>"
+        return rows.groupBy("host", "base", *by).agg(F.concat(F.lit(open_), F.array_join(F.collect_list(entry), ""), F.lit(close)).alias("xml"))
+
+    below = lambda c: F.concat(F.lit("<sitemap><loc>"), F.col(c), F.lit("</loc></sitemap>"))
+    leaves = tagged(p, ["leaf", "middle"], "urlset", url)
+    leaves = leaves.withColumn("xml", F.replace("xml", F.lit("</urlset>"), F.lit("<url><loc>http://elsewhere.example/x</loc></url></urlset>")))
+    middles = tagged(leaves.select("host", "base", "leaf", "middle"), ["middle"], "sitemapindex", below("leaf"))
+    tops = tagged(middles.select("host", "base", "middle"), [], "sitemapindex", below("middle")).withColumn("sitemap", F.concat("base", F.lit("/sitemap.xml")))
+    files = tops.select("host", "sitemap", "xml").unionByName(middles.select("host", F.col("middle").alias("sitemap"), "xml"))
+    return files.unionByName(leaves.select("host", F.col("leaf").alias("sitemap"), "xml"))
+
+
+@query("s6_sitemap_source", f"SELECT {SQL_BASE} AS base, url, max('2024-01-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0')) AS lastmod FROM pages WHERE url IS NOT NULL GROUP BY ALL")
+def s6_source(spark, sf):
+    """Sitemaps of all pages (S5's /sitemap.xml at the top), stored by host and read as a data source."""
+    p = table(spark, sf, "pages")
+    path = S.shared_folder(spark, "sitemap-files")
+    M.store_sitemaps(sitemap_files(p), path, 2 * spark.sparkContext.defaultParallelism)
+    roots = p.filter("url IS NOT NULL").select(U.base(F.col("url")).alias("base")).distinct().withColumn("sitemap", F.concat("base", F.lit("/sitemap.xml")))
+    return M.pages_of_sitemaps(M.sitemap_entries(spark, path), roots)
