@@ -11,8 +11,11 @@ its members compared across components, block against block: first their signatu
 tell the members that may have a partner in the other block (pairs whose signatures rule a
 similarity of 0.8 out by five standard deviations are passed over), then the full sets of those
 members, within the task, which hands on confirmed links alone. Blocks are bounded in members and in
-shingles. Every link is confirmed on the full shingle sets, of 64-bit hashes mixed from BLAKE2b
-numbers of words.
+shingles. A bucket of very many blocks is not compared so, as the rows sent would grow with its square:
+its members are grouped anew by each of their rarest shingles. Sets of that similarity share one of
+them whatever the order (prefix filter), so no link of the bucket is lost, and what many members
+have in common puts none of them into a group. Every link is confirmed on the full shingle sets, of
+64-bit hashes mixed from BLAKE2b numbers of words.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .kernels import fixed_binary, min_max, mix64, random64, released, shingles,
 ROWS = 4
 #: Members and shingles of a block, some, when a bucket is compared across components.
 BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Buckets of more blocks are grouped anew by rare shingles; counters, by the first bits of a shingle, that tell what is rare.
+WIDE, COUNTERS_BITS = 16, 20
 #: Rows of such blocks that one task compares, some.
 COMPARED = 4000
 
@@ -73,6 +78,30 @@ def _sets(k: int):
     return released(run)
 
 
+def _counted(batches):
+    """How often each counter's shingles occur in the task's sets."""
+    counts = np.zeros(1 << COUNTERS_BITS, np.int64)
+    for batch in batches:
+        for v in batch.column("shingles"):
+            np.add.at(counts, np.frombuffer(v.as_buffer(), np.uint64) >> np.uint64(64 - COUNTERS_BITS), 1)
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "c"])
+
+
+def _rarest(counts, percent: int):
+    """Of a set of n its n - ceil(percent * n / 100) + 1 rarest shingles; equal counts go by value, so all sets have one order."""
+
+    def run(batches):
+        for batch in batches:
+            for node, v in zip(batch.column("node").to_pylist(), batch.column("shingles")):
+                x = np.frombuffer(v.as_buffer(), np.uint64)
+                order = np.lexsort((x, counts.value[x >> np.uint64(64 - COUNTERS_BITS)]))
+                x = signed(x[order[: len(x) + (-percent * len(x)) // 100 + 1]])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), node))], names=["key", "node"])
+
+    return released(run)
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
@@ -97,7 +126,8 @@ def _sides(pdf):
 def _may_be_near(left, right, n_values: int, least: int, percent: int, band: int):
     """For each row of left, the rows of right in another component that signatures and sizes don't rule out.
 
-    A pair counts in the first band that both share, so that one bucket alone compares its sets.
+    A pair counts in the first band that both share, so that one bucket alone compares its sets; groups
+    by shingle have no band (-1) and take every pair.
     """
     sig = [np.frombuffer(b"".join(t.sig), np.uint32).reshape(len(t), n_values) for t in (left, right)]
     comp, sizes = [t.comp.to_numpy() for t in (left, right)], [t.n.to_numpy() for t in (left, right)]
@@ -105,7 +135,7 @@ def _may_be_near(left, right, n_values: int, least: int, percent: int, band: int
         same = sig[1] == sig[0][i]
         near = (comp[1] != comp[0][i]) & (same.sum(1) >= least)
         near &= 100 * np.minimum(sizes[1], sizes[0][i]) >= percent * np.maximum(sizes[1], sizes[0][i])
-        if near.any():
+        if band >= 0 and near.any():
             near &= same.reshape(len(same), -1, ROWS).all(2).argmax(1) == band
         yield near
 
@@ -155,6 +185,49 @@ def _across(n_values: int, least: int, percent: int):
     return run
 
 
+def _open_groups(named: DataFrame) -> DataFrame:
+    """Keys of more than one component: key, size, blocks."""
+    keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("lo <> hi")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return keys.select("key", "size", blocks.alias("blocks"))
+
+
+def _by_rare_shingles(named: DataFrame, wide: DataFrame, texts: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
+    """The members of wide buckets as rows (key, band, node, n, comp) with a key for each of their rarest shingles."""
+    spark = named.sparkSession
+    members = work.save(join_hot(named, wide, ["key"], counted="size").select("node", "n", "comp").distinct(), "wide-members")
+    sets = work.save(semi_by_id(texts, "uid", members, "node", work).mapInArrow(_sets(k), "node long, shingles binary"), "wide-sets")
+    found = sets.mapInArrow(released(_counted), "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()  # 2^20 rows at most
+    counts = np.zeros(1 << COUNTERS_BITS, np.int64)
+    counts[found.slot.to_numpy()] = found.c.to_numpy()
+    rare = sets.mapInArrow(_rarest(spark.sparkContext.broadcast(counts), percent), "key long, node long")
+    rows = work.save(rare.join(members, "node").select("key", F.lit(-1).alias("band"), "node", "n", "comp"), "wide")
+    work.drop(sets, members)
+    return rows
+
+
+def _links_across(named: DataFrame, keys: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, n_values: int, work: Workspace) -> DataFrame | None:
+    """Confirmed links (a, b) between components within the groups of named that keys lists, compared block against block."""
+    to_compare = keys.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0]
+    if not to_compare:
+        return None
+    least = int(n_values * percent / 100 - 5 * np.sqrt(n_values * percent / 100 * (1 - percent / 100)))
+    # Comparisons cost more than bytes tell, so the number of tasks is given by rows.
+    tasks = -(-to_compare // COMPARED)
+    rest = join_hot(named, keys, ["key"], counted="size").join(reps.select("node", "sig"), "node")
+    rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") <= F.col("other"), 0).otherwise(1)
+    rest = rest.select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "node", "comp", "n", "sig")
+    rest = rest.repartition(tasks, "key", "i", "j")
+    may = work.save(rest.groupBy("key", "i", "j").applyInPandas(_candidates(n_values, least, percent), rest.schema), "candidates")
+    ends = may.select("node").distinct()
+    sets = work.save(semi_by_id(texts, "uid", ends, "node", work).mapInArrow(_sets(k), "node long, shingles binary"), "sets")
+    more = may.join(sets, "node").repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(_across(n_values, least, percent), "a long, b long").distinct()
+    more = work.save(more, "links")
+    work.drop(sets, may)
+    return more
+
+
 def _repeated(rows: DataFrame) -> bool:
     return not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
 
@@ -198,30 +271,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work.drop(sets, first)
     labels = components(links, work)
 
-    least = int(n_values * percent / 100 - 5 * np.sqrt(n_values * percent / 100 * (1 - percent / 100)))
     named = work.save(members.join(labels, "node", "left").select("key", "band", "node", "n", F.coalesce("comp", "node").alias("comp")), "named")
     work.drop(members)
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("lo <> hi and size > 2")
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    open_keys = work.save(open_keys.select("key", "size", blocks.alias("blocks")), "open")
-    to_compare = open_keys.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0]
-    if to_compare:
-        # Comparisons cost more than bytes tell, so the number of tasks is given by rows.
-        tasks = -(-to_compare // COMPARED)
-        rest = join_hot(named, open_keys, ["key"], counted="size").join(reps.select("node", "sig"), "node")
-        rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        side = F.when(F.col("mine") <= F.col("other"), 0).otherwise(1)
-        rest = rest.select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "node", "comp", "n", "sig")
-        rest = rest.repartition(tasks, "key", "i", "j")
-        may = work.save(rest.groupBy("key", "i", "j").applyInPandas(_candidates(n_values, least, percent), rest.schema), "candidates")
-        ends = may.select("node").distinct()
-        sets = work.save(semi_by_id(texts, "uid", ends, "node", work).mapInArrow(_sets(k), "node long, shingles binary"), "sets")
-        more = may.join(sets, "node").repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(_across(n_values, least, percent), "a long, b long").distinct()
-        more = work.save(more, "links")
-        work.drop(sets, may)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links, work)
+    open_keys = work.save(_open_groups(named).filter("size > 2"), "open")
+    compared = [(named, open_keys.filter(F.col("blocks") <= WIDE))]
+    wide = open_keys.filter(F.col("blocks") > WIDE)
+    if not wide.isEmpty():
+        rare = _by_rare_shingles(named, wide, texts, k, percent, work)
+        compared.append((rare, work.save(_open_groups(rare), "open")))
+    more = [x for rows, keys in compared if (x := _links_across(rows, keys, reps, texts, k, percent, n_values, work)) is not None]
+    more = [x for x in more if not x.isEmpty()]
+    if more:
+        for x in more:
+            links = links.unionByName(x)
+        labels = components(links, work)
     work.drop(named)
     found = nodes.join(labels, "node", "left").select("s1", "s2", "least", "copies", F.coalesce("comp", "node").alias("comp"))
     if repeated:

@@ -180,6 +180,31 @@ def test_near_hot_bucket_of_many_versions(spark, monkeypatch):
     assert Counter(map(tuple, exact_duplicates(d, capacity=4).collect())) == exact_model(rows)
 
 
+def test_near_wide_bucket_is_grouped_by_rare_shingles(spark, monkeypatch):
+    """Texts with most of their words in common share buckets without being near; what is sent stays in proportion to them."""
+    from corvex.llm import common, minhash_dedup
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    monkeypatch.setattr(minhash_dedup, "WIDE", 2)
+    shared = " ".join(f"s{i}" for i in range(120))
+    own = lambda i, n: " ".join(f"o{i}x{j}" for j in range(n))
+    rows = [(i, f"{shared} {own(i, 45)}") for i in range(240)]
+    # Drifting versions within the same buckets: only neighbours are near.
+    rows += [(1000 + i, f"{shared} " + " ".join(f"d{j}" for j in range(i * 9, i * 9 + 45))) for i in range(40)]
+    sent, links = [], minhash_dedup._links_across
+
+    def noted(named, keys, *rest):
+        sent.append((named.filter("band < 0").count(), keys.selectExpr("coalesce(sum(size * blocks), 0)").first()[0]))
+        return links(named, keys, *rest)
+
+    monkeypatch.setattr(minhash_dedup, "_links_across", noted)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, near_duplicates(d, k=4).collect())) == near_model(rows, 4, 80)
+    rare, compared = sent[1]
+    assert 0 < rare <= 280 * 40 and compared <= 40 * 40 * 4  # the 240 others are in no group
+
+
 def test_near_empty(empty):
     assert near_duplicates(empty).count() == 0
 
