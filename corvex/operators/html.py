@@ -6,10 +6,13 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import urls as U
+from ..functions.text import word_count
+
 # Elements that are no content.
 NOISE_TAGS = {"nav", "header", "footer", "aside", "starlight-menu-button"}
 NOISE_CLASSES = {"sidebar", "navbar", "nav", "toc", "breadcrumb", "on-this-page", "pagination", "prev-next", "edit-page", "sl-sidebar", "sl-nav"}
@@ -165,6 +168,8 @@ def _markdown(root: Node) -> str:
 LINK_LINE = r"^\s*\[([^\]]{1,80})\]\([^)]+\)\s*$"
 CONTENTS_HEADING = r"(?i)^#+[\x09-\x0d\x1c-\x20\x{85}\p{Z}]*(on this page|table of contents|contents)"
 SHORT_LINK_LINE = r"^\[.{1,40}\]\(.*\)$"
+#: Words below which the content is taken to have been missed.
+LEAST_WORDS = 30
 
 
 def clean_markdown_of(html: str) -> str:
@@ -208,6 +213,45 @@ def clean_fallback(md: Column) -> Column:
     return F.regexp_replace(F.btrim(kept, F.lit(" \n\t")), r"\n{3,}", "\n\n")
 
 
+# Elements without text of the page; elements that end a line; entities, the ampersand last.
+SILENT = ("script", "style", "noscript", "svg", "title", "head")
+LINE_TAGS = ("p", "div", "section", "article", "main", "nav", "header", "footer", "aside", "ul", "ol", "table", "tr", "blockquote", "pre", "h[1-6]", "br")
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+
+
+def raw_markdown(html: Column) -> Column:
+    """All text of a page, its navigation included, by built-in functions: headings, items, links and line
+    ends are marked, other tags go. A page without tags is its text; null stays null."""
+    md = html
+    for tag in SILENT:
+        md = F.regexp_replace(md, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    md = F.regexp_replace(F.regexp_replace(md, r"(?s)<!--.*?-->", " "), r"[\x09-\x0d\x20]+", " ")
+    md = F.regexp_replace(md, r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', "[$2]($1)")
+    for n in range(1, 7):
+        md = F.regexp_replace(md, rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ")
+    md = F.regexp_replace(md, r"(?i)<li\b[^>]*>", "\n- ")
+    md = F.regexp_replace(md, rf"(?i)</?({'|'.join(LINE_TAGS)})\b[^>]*>", "\n")
+    md = F.regexp_replace(md, "<[^>]*>", "")
+    for name, char in ENTITIES.items():
+        md = F.replace(md, F.lit(name), F.lit(char))
+    return F.btrim(F.regexp_replace(F.regexp_replace(md, " *\n *", "\n"), "\n{3,}", "\n\n"), F.lit(" \n"))
+
+
+def page_markdown(markdown: Column, html: Column) -> Column:
+    """The markdown of a page's content; of fewer than LEAST_WORDS words, or null, all text of the page, cleaned, if there is any."""
+    raw = F.coalesce(raw_markdown(html), F.lit(""))
+    few = F.coalesce(word_count(markdown), F.lit(0)) < LEAST_WORDS
+    return F.when(few & (raw != ""), clean_fallback(raw)).otherwise(F.coalesce(markdown, F.lit("")))
+
+
+def extracted(pages: DataFrame, fallback: bool = True) -> DataFrame:
+    """pages (url, html, others) with title and markdown in place of html; without fallback, of the page's content alone."""
+    x = pages.withColumn("__x", extract_page("html"))
+    markdown = page_markdown(F.col("__x.markdown"), F.col("html")) if fallback else F.col("__x.markdown")
+    title = page_title(F.col("__x.title"), U.path(F.col("url")), F.col("url"))
+    return x.withColumn("title", title).withColumn("markdown", markdown).drop("__x", "html")
+
+
 def table_markdown(caption: Column, headers: Column, rows: Column) -> Column:
     """Caption as a heading, header row, separator, rows; what is missing is left out."""
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))

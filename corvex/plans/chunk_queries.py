@@ -9,6 +9,8 @@ from ..functions import urls as U
 from ..operators import chunking as C
 from ..operators import html as H
 from ..registry import query, table
+from ..sources import dumps as D
+from ..sources.storage import shared_folder
 from .text_queries import WS, sql_path, sql_slug, sql_host, sql_words
 
 SQL_CHUNKS = f"""
@@ -137,10 +139,8 @@ def p4(spark, sf):
     return table(spark, sf, "pages").select("page_id", (C.link_share(F.btrim(md, F.lit("\n \t"))) > 0.6).alias("link_heavy"))
 
 
-def extracted(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", "url", H.extract_page("html").alias("x"))
-    title = H.page_title(F.col("x.title"), U.path(F.col("url")), F.col("url"))
-    return p.select("page_id", "url", title.alias("title"), F.col("x.markdown").alias("markdown"))
+def extracted(spark, sf, fallback: bool = True):
+    return H.extracted(table(spark, sf, "pages").select("page_id", "url", "html"), fallback)
 
 
 @query("s4_c9_html_to_markdown")
@@ -160,7 +160,7 @@ def c9_letters(spark, sf):
     letters = F.regexp_replace(F.regexp_replace("markdown", r"\]\([^)]*\)", "]"), r"[^\p{L}\p{N}]+", "")
     lines = F.split("markdown", "\n")
     count = lambda pattern: F.size(F.filter(lines, lambda s: s.rlike(pattern))).cast("long")
-    return extracted(spark, sf).select("page_id", F.md5(letters).alias("letters_md5"), count("^#{1,6} ").alias("headings"), count("^ *- ").alias("items"))
+    return extracted(spark, sf, fallback=False).select("page_id", F.md5(letters).alias("letters_md5"), count("^#{1,6} ").alias("headings"), count("^ *- ").alias("items"))
 
 
 @query("c9_crawl_chunks")
@@ -175,6 +175,60 @@ def s4(spark, sf):
     return t.select("page_id", X.word_count(F.col("t")).cast("long").alias("words"), F.length("t").cast("long").alias("chars"), (X.word_count(F.col("t")) < 30).alias("fallback"))
 
 
+def sql_raw_markdown(x: str) -> str:
+    put = lambda pattern, new: f"regexp_replace({x}, '{pattern}', {new}, 'g')"
+    for tag in H.SILENT:
+        x = put(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "' '")
+    x = put("(?s)<!--.*?-->", "' '")
+    x = put(r"[\x09-\x0d\x20]+", "' '")
+    x = put(r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', r"'[\2](\1)'")
+    for n in range(1, 7):
+        x = put(rf"(?i)<h{n}\b[^>]*>", f"chr(10) || chr(10) || '{'#' * n} '")
+    x = put(r"(?i)<li\b[^>]*>", "chr(10) || '- '")
+    x = put(rf"(?i)</?({'|'.join(H.LINE_TAGS)})\b[^>]*>", "chr(10)")
+    x = put("<[^>]*>", "''")
+    for name, char in H.ENTITIES.items():
+        x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    x = put(" *\\n *", "chr(10)")
+    x = put("\\n{3,}", "chr(10) || chr(10)")
+    return f"trim({x}, ' ' || chr(10))"
+
+
+SQL_CLEANED = r"""
+    raw AS MATERIALIZED (SELECT page_id, url, html, RAW AS md FROM pages),
+    kept AS (SELECT page_id, list_filter(string_split(md, chr(10)), lambda s: NOT regexp_matches(trim(s), '^\[.{1,40}\]\(.*\)$')) AS l FROM raw),
+    folded AS (SELECT page_id, list_reduce(list_prepend({'o': []::VARCHAR[], 's': '', 'k': false}, list_transform(l, lambda s: {'o': []::VARCHAR[], 's': s, 'k': false})), lambda a, x:
+        CASE WHEN (CASE WHEN regexp_matches(x.s, '(?i)^#+\s*(on this page|table of contents|contents)') THEN true WHEN regexp_matches(x.s, '^#+\s') THEN false ELSE a.k END)
+        THEN {'o': a.o, 's': '', 'k': true} ELSE {'o': list_append(a.o, x.s), 's': '', 'k': false} END) AS s FROM kept),
+    fit AS (SELECT page_id, regexp_replace(trim(array_to_string(s.o, chr(10)), ' ' || chr(10) || chr(9)), '\n{3,}', chr(10) || chr(10), 'g') AS fit FROM folded)""".replace("RAW", sql_raw_markdown("html"))
+
+
+@query("s4_fallback_markdown", f"""
+    WITH {SQL_CLEANED} SELECT page_id, md5(md) AS raw_md5, md5(CASE WHEN page_id % 2 = 0 AND md <> '' THEN fit ELSE repeat('word ', 30) END) AS markdown_md5 FROM raw JOIN fit USING (page_id)""")
+def s4_fallback(spark, sf):
+    """All text of every page, and what a page gets whose content has 29 words (even ids) or 30."""
+    p = table(spark, sf, "pages")
+    content = F.repeat(F.lit("word "), F.when(F.col("page_id") % 2 == 0, 29).otherwise(30).cast("int"))
+    return p.select("page_id", F.md5(H.raw_markdown(F.col("html"))).alias("raw_md5"), F.md5(H.page_markdown(content, F.col("html"))).alias("markdown_md5"))
+
+
+@query("k10_page_dumps", f"""
+    WITH {SQL_CLEANED},
+    named AS (SELECT page_id, url, html, md, fit, coalesce(nullif({sql_slug(sql_host('url') + ' || ' + sql_path('url'))}, ''), 'page') AS slug,
+        coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), nullif({sql_path('url')}, ''), url) AS title FROM raw JOIN fit USING (page_id)),
+    kinds AS (SELECT *, unnest(['fit', 'raw', 'html']) AS kind, unnest([fit, md, html]) AS text FROM named)
+    SELECT url, slug || '__' || kind || CASE WHEN kind = 'html' THEN '.html' ELSE '.md' END AS name, kind, {sql_wc('text')} AS words, length(text) AS chars,
+        md5(CASE WHEN kind = 'html' THEN text ELSE '# ' || title || chr(10) || 'Source: ' || url || chr(10) || 'Method: ' || kind || chr(10) || 'Words: ' || {sql_wc('text')} || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text END) AS body_md5
+    FROM kinds""")
+def k10(spark, sf):
+    """Every page written out as HTML, as all its text and as that text cleaned, and read back."""
+    title = H.page_title(F.regexp_extract("html", "<title>([^<]*)</title>", 1), U.path(F.col("url")), F.col("url"))
+    pages = table(spark, sf, "pages").select("url", "html", title.alias("title"), H.raw_markdown(F.col("html")).alias("raw"))
+    path = shared_folder(spark, "dumps")
+    D.write_dumps(pages, {"fit": H.clean_fallback(F.col("raw")), "raw": F.col("raw"), "html": F.col("html")}, path)
+    return D.read_dumps(spark, path).select("url", "name", "kind", "words", "chars", F.md5("body").alias("body_md5"))
+
+
 @query("c10_clean_fallback", r"""
     WITH l AS (SELECT doc_id, list_filter(string_split('# Contents' || chr(10) || '[a](b)' || chr(10) || '## ' || text || chr(10) || '[x](y)', chr(10)), lambda s: NOT regexp_matches(trim(s), '^\[.{1,40}\]\(.*\)$')) AS l FROM documents),
     r AS (SELECT doc_id, list_reduce(list_prepend({'o': []::VARCHAR[], 's': '', 'k': false}, list_transform(l, lambda s: {'o': []::VARCHAR[], 's': s, 'k': false})), lambda a, x:

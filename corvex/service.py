@@ -90,8 +90,7 @@ class Service:
         site = U.url_slug(U.base(F.col("url")), "web-site")
         known = self.documents(user_id).select(F.col("pdf_name"))
         new = pages.withColumn("pdf_name", site).join(known, "pdf_name", "left_anti")
-        x = new.select("pdf_name", "url", H.extract_page("html").alias("x"))
-        rows = C.chunk_pages(x.select("url", H.page_title(F.col("x.title"), U.path(F.col("url")), F.col("url")).alias("title"), F.col("x.markdown").alias("markdown")))
+        rows = C.chunk_pages(H.extracted(new.select("url", "html")))
         rows = rows.withColumn("pdf_name", U.url_slug(U.base(F.col("source_url")), "web-site"))
         self._index(user_id, new.withColumn("name", U.base(F.col("url"))), rows, "web", F.col("name"))
 

@@ -36,8 +36,7 @@ def index_pages(pages: DataFrame, path: str, checkpoint: str, within: str = "7 d
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        x = batch.select("url", H.extract_page("html").alias("x"))
-        rows = C.chunk_pages(x.select("url", H.page_title(F.col("x.title"), U.path(F.col("url")), F.col("url")).alias("title"), F.col("x.markdown").alias("markdown")))
+        rows = C.chunk_pages(H.extracted(batch.select("url", "html")))
         rows.write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
         keyed = rows.select(F.xxhash64("source_url").alias("doc_id"), "page_number", "content")
         index = R.build_index(keyed)
