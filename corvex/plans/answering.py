@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,13 @@ from .. import plugins
 from ..functions.text import ANSWER_DECLINES, says_any, strip, word_count
 from ..operators import retrieval as R
 from ..operators.relational import ordinal
-from ..sources.storage import shared_folder, stored
+from ..sources.storage import remove, shared_folder, tidy
 
 NOTHING = "I couldn't find relevant information in the documentation."
+NO_PARTS = "No relevant information found to answer the question."
+NOT_COMBINED = "Unable to generate a final answer."
+#: Into so many a failed batch is cut; so many are asked at a time.
+PIECES = 8
 
 
 def search_queries(questions: DataFrame) -> DataFrame:
@@ -55,30 +60,72 @@ def ask(questions: DataFrame, index: R.KeywordIndex, vectors: DataFrame, least:
     return out.select("qid", "query_type", "n_queries", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), F.coalesce("context", F.lit("")).alias("context"), answer.alias("answer"), abstained.alias("abstained"))
 
 
-def run_batch(questions: DataFrame, index: R.KeywordIndex, vectors: DataFrame, least: float = R.MIN_SIMILARITY, ask=ask) -> DataFrame:
+def combine_answers(questions: DataFrame, parts: DataFrame, chunks: DataFrame, combine=plugins.combine) -> DataFrame:
+    """One row a question (qid, text): answer, made of its parts' answers, and images, those of the parts' contexts.
+
+    parts: qid, qno, text, answer. chunks: qid, qno, place, type, page_number, content, image_path. Of
+    chunks of type image those whose path holds data/ are served, below /static/, with their page and
+    caption (the content), by part and place; one that stands in two contexts is listed twice. Without
+    parts there is a standard answer, and another if combine gives null. Nulls in texts and answers are
+    empty. A question has four parts of TOP_N chunks at most, so what is gathered for it is small.
+    """
+    known = lambda c: F.coalesce(F.col(c), F.lit(""))
+    line = F.concat(F.lit("Sub-question: "), known("text"), F.lit("\nAnswer: "), known("answer"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("qno", line.alias("t")))), lambda x: x["t"])
+    said = parts.groupBy("qid").agg(F.array_join(lines, "\n\n").alias("__parts"))
+    served = F.translate(F.replace("image_path", F.lit("data/"), F.lit("/static/")), "\\", "/")
+    image = F.struct(served.alias("url"), F.col("page_number").cast("long").alias("page"), F.col("content").alias("caption"))
+    shown = chunks.filter((F.col("type") == "image") & F.contains("image_path", F.lit("data/")))
+    shown = shown.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("qno", "place", image.alias("image")))).alias("__images"))
+    out = questions.select("qid", "text").join(said, "qid", "left").join(shown, "qid", "left")
+    answer = F.when(F.col("__parts").isNull(), NO_PARTS).otherwise(F.coalesce(combine(F.col("text"), F.col("__parts")), F.lit(NOT_COMBINED)))
+    images = F.when(F.col("__parts").isNotNull(), F.transform("__images", lambda x: x["image"]))
+    return out.select("qid", answer.alias("answer"), F.coalesce(images, F.array().cast("array<struct<url:string,page:bigint,caption:string>>")).alias("images"))
+
+
+def run_batch(questions: DataFrame, index: R.KeywordIndex, vectors: DataFrame, least: float = R.MIN_SIMILARITY, ask=ask, pieces: int = PIECES) -> DataFrame:
     """One row a question (qid, text): answer, n_sources, latency, error. A question that fails has an error and no answer.
 
-    Null and blank questions are errors. If a batch fails, its halves are asked on their own, so that
-    an error is that of its question alone. latency: seconds of the batch that the question was in.
+    Null and blank questions are errors. If a batch fails, so many pieces of it are asked on their own,
+    all failed batches' pieces together and as many at a time, until an error is that of its question
+    alone. latency: seconds of the batch that the question was in.
     """
     spark = questions.sparkSession
     blank = F.coalesce(strip(F.col("text")), F.lit("")) == ""
-    shape = lambda answer, n, seconds, error: (F.coalesce(answer, F.lit("")).alias("answer"), n.cast("long").alias("n_sources"), F.lit(seconds).cast("double").alias("latency"), F.lit(error).cast("string").alias("error"))
-    out = questions.filter(blank).select("qid", *shape(F.lit(""), F.lit(0), 0.0, "no question"))
-    todo = [ordinal(questions.filter(~blank), ["qid"], "__at")]
-    sizes = [todo[0].count()]
-    while todo:
-        part, n, start = todo.pop(), sizes.pop(), time.time()
-        if not n:
-            continue
+    shape = lambda answer, n, seconds, error: (F.coalesce(answer, F.lit("")).alias("answer"), n.cast("long").alias("n_sources"), seconds.cast("double").alias("latency"), error.cast("string").alias("error"))
+    nothing, none = F.lit(""), F.lit(None)
+    out = questions.filter(blank).select("qid", *shape(nothing, F.lit(0), F.lit(0.0), F.lit("no question")))
+    asked = ordinal(questions.filter(~blank), ["qid"], "__at")
+    path, total = shared_folder(spark, "answers"), asked.count()
+
+    def attempt(span: tuple[int, int]) -> tuple[float, str | None]:
+        start, error = time.time(), None
+        part = asked.filter(F.col("__at").between(span[0], span[1] - 1)).drop("__at")
         try:
-            answers = stored(ask(part.drop("__at"), index, vectors, least).select("qid", "answer", "n_chunks"), shared_folder(spark, "answers"))
-            out = out.unionByName(answers.select("qid", *shape(F.col("answer"), F.col("n_chunks"), round(time.time() - start, 3), None)))
+            ask(part, index, vectors, least).select("qid", "answer", F.col("n_chunks").cast("long").alias("n_chunks")).write.parquet(f"{path}/batch={span[0]}")
         except Exception as e:  # noqa: BLE001  any failure of a plan or a model is the question's
-            if n == 1:
-                out = out.unionByName(part.select("qid", *shape(F.lit(""), F.lit(0), round(time.time() - start, 3), str(e)[:200])))
-                continue
-            low = part.agg(F.min("__at")).first()[0]
-            halves = part.filter(F.col("__at") < low + n // 2), part.filter(F.col("__at") >= low + n // 2)
-            todo, sizes = [*todo, *halves], [*sizes, n // 2, n - n // 2]
+            error = str(e)[:200]
+            remove(spark, f"{path}/batch={span[0]}")
+        return round(time.time() - start, 3), error
+
+    spans, done, failed = [(0, total)] if total else [], [], []
+    with tidy(spark), ThreadPoolExecutor(pieces) as pool:
+        while spans:
+            again = []
+            for (low, high), (seconds, error) in zip(spans, list(pool.map(attempt, spans))):
+                if error is None:
+                    done.append((low, seconds))
+                elif high - low == 1:
+                    failed.append((low, seconds, error))
+                else:
+                    step = -(-(high - low) // pieces)
+                    again += [(at, min(at + step, high)) for at in range(low, high, step)]
+            spans = again
+    if done:
+        answers = spark.read.schema(f"qid {questions.schema['qid'].dataType.simpleString()}, answer string, n_chunks long, batch long").parquet(path)
+        times = spark.createDataFrame(done, "batch long, seconds double")  # a row for each batch that ran
+        out = out.unionByName(answers.join(F.broadcast(times), "batch").select("qid", *shape(F.col("answer"), F.col("n_chunks"), F.col("seconds"), none)))
+    if failed:
+        errors = spark.createDataFrame(failed, "__at long, seconds double, message string")  # a row for each batch of one question that failed
+        out = out.unionByName(asked.join(errors, "__at").select("qid", *shape(nothing, F.lit(0), F.col("seconds"), F.col("message"))))
     return out

@@ -298,6 +298,26 @@ def r14(spark, sf):
     return d.groupBy("qid").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("combined"))
 
 
+@query("r14_answers_with_images", f"""{ALL},
+    held AS (SELECT qid, qno, rank, doc_id, page_number, content, lang FROM dense JOIN chunks USING (doc_id, page_number) JOIN documents USING (doc_id) WHERE rank <= 6),
+    said AS (SELECT q.qid, q.qno, 'Sub-question: ' || q.text || chr(10) || 'Answer: ' || coalesce('[1] ' || substring(h.content, 1, 100), '{A.NOTHING.replace("'", "''")}') AS t
+        FROM queries q LEFT JOIN held h ON h.qid = q.qid AND h.qno = q.qno AND h.rank = 1),
+    shown AS (SELECT qid, count(*) AS n, string_agg('/static/img/' || doc_id || '.png ' || page_number || ' ' || content, chr(10) ORDER BY qno, rank) AS images FROM held WHERE lang = 'fr' AND doc_id % 2 = 0 GROUP BY qid),
+    whole AS (SELECT qid, count(*) AS n_parts, string_agg(t, chr(10) || chr(10) ORDER BY qno) AS answer FROM said GROUP BY qid)
+    SELECT qid, n_parts, md5(answer) AS answer_md5, coalesce(n, 0) AS n_images, md5(coalesce(images, '')) AS images_md5 FROM whole LEFT JOIN shown USING (qid)""")
+def r14_images(spark, sf):
+    """Parts answered from their nearest chunks, put together with the images among those: French documents, of which those of even ids lie below data/."""
+    asked, docs = searches(spark, sf), table(spark, sf, "documents").select("doc_id", "lang")
+    near = R.dense_search(stored_vectors(spark, sf), asked, R.TOP_N).join(stored_index(spark, sf).corpus.select(*R.KEY, "content"), R.KEY).join(docs, "doc_id")
+    folder = F.when(F.col("doc_id") % 2 == 0, "data/img\\").otherwise("img\\")
+    chunks = near.select("qid", "qno", F.col("rank").alias("place"), F.when(F.col("lang") == "fr", "image").otherwise("text").alias("type"), "page_number", "content", F.concat(folder, F.col("doc_id").cast("string"), F.lit(".png")).alias("image_path"))
+    said = chunks.filter("place = 1").select("qid", "qno", plugins.answer(F.col("content")).alias("answer"))
+    parts = asked.select("qid", "qno", "text").join(said, ["qid", "qno"], "left").withColumn("answer", F.coalesce("answer", F.lit(A.NOTHING)))
+    out = A.combine_answers(questions(spark, sf), parts, chunks).join(parts.groupBy("qid").agg(F.count("*").alias("n_parts")), "qid")
+    texts = F.transform("images", lambda x: F.concat(x["url"], F.lit(" "), x["page"].cast("string"), F.lit(" "), x["caption"]))
+    return out.select("qid", "n_parts", F.md5("answer").alias("answer_md5"), F.size("images").cast("long").alias("n_images"), F.md5(F.array_join(texts, "\n")).alias("images_md5"))
+
+
 @query("r20_typed_context", f"""
     WITH {SQL_CHUNKS} SELECT doc_id, count(*) AS n_chunks, md5(string_agg((CASE WHEN lang = 'fr' THEN '[Image - Page ' ELSE '[Text - Page ' END) || page_number || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY page_number)) AS context_md5
     FROM chunks JOIN documents USING (doc_id) WHERE trim(content) <> '' GROUP BY doc_id""")
