@@ -41,6 +41,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def state_of(spark: SparkSession, path: str) -> tuple[str, int, int, int]:
     """A path with its number of files, their bytes and when it was changed: other contents, another state."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -177,4 +182,4 @@ def crawl(pages: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     return seen.select("base", "url", "depth")
 
 
-__all__ = ["IndexStore", "crawl", "csv_by_position", "delete_vectors", "exists", "first_sitemap", "remove", "shared_folder", "sitemap_pages", "state_of", "still_there", "stored", "tidy", "upsert_vectors"]
+__all__ = ["IndexStore", "crawl", "csv_by_position", "delete_vectors", "exists", "first_sitemap", "is_folder", "remove", "shared_folder", "sitemap_pages", "state_of", "still_there", "stored", "tidy", "upsert_vectors"]

@@ -10,12 +10,16 @@ from ..operators import chunking as C
 from ..operators import html as H
 from ..operators import retrieval as R
 from ..registry import query, table
-from ..sources.storage import remove, shared_folder
+from ..sources.storage import is_folder, remove, shared_folder
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table's files as a stream."""
-    return spark.readStream.schema(table(spark, sf, name).schema).option("recursiveFileLookup", "true").option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table's files as a stream, whether the table is a folder of files or one file: a stream's path must be a folder."""
+    path = f"{sf}/{name}.parquet"
+    reader = spark.readStream.schema(table(spark, sf, name).schema)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def first_landed(pages: DataFrame, within: str = "7 days", time_col: str | None = None) -> DataFrame:
@@ -32,12 +36,14 @@ def index_pages(pages: DataFrame, path: str, checkpoint: str, within: str = "7 d
     """Extract, chunk and tokenise pages as they land; each batch is appended to chunks and postings.
 
     A page that landed before, in whichever batch, is not indexed again. A batch's folder is named by
-    its number, so a batch that runs again replaces its own output.
+    its number, so a batch that runs again replaces its own output. The index is made of the stored
+    chunks, so pages are extracted once and both tables hold the same ones.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         rows = C.chunk_pages(H.extracted(batch.select("url", "html")))
         rows.write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+        rows = batch.sparkSession.read.schema(rows.schema).parquet(f"{path}/chunks/batch={number}")
         keyed = rows.select(F.xxhash64("source_url").alias("doc_id"), "page_number", "content")
         index = R.build_index(keyed)
         index.postings.write.mode("overwrite").parquet(f"{path}/postings/batch={number}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvex.operators import chunking as C
 from corvex.operators import html as H
 from corvex.functions import urls as U
-from corvex.streaming.ingest import first_landed, index_pages
+from corvex.streaming.ingest import first_landed, index_pages, stream_index
 from corvex.streaming.jobs import current_jobs, follow_jobs
 
 
@@ -40,6 +40,12 @@ def test_pages_that_land_again_are_indexed_once(spark, tmp_path):
     assert postings.select("doc_id").distinct().count() == 7 and postings.groupBy("doc_id", "page_number", "token").count().filter("count > 1").isEmpty()
 
 
+def test_a_table_may_be_a_folder_of_files_or_one_file(spark, tiny, tmp_path):
+    whole = spark.read.parquet(f"{tiny}/pages.parquet")
+    whole.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    assert stream_index(spark, str(tmp_path)).count() == stream_index(spark, tiny).count() > 0
+
+
 def test_first_landed_keeps_all_columns(spark):
     assert first_landed(spark.createDataFrame([page(1, "http://a/b#c")], "page_id long, url string, html string")).columns == ["page_id", "url", "html", "norm"]
 
