@@ -128,8 +128,9 @@ def f14(spark, sf):
 
 @query("f15_sizes", "SELECT doc_id, printf('%.1f MB', n_chars * 64 / 1048576.0) AS mb, round(n_chars / 1024.0, 2) AS kb FROM documents")
 def f15(spark, sf):
+    """format_string rounds halves up, printf to even: so do bround and the format of what it gives."""
     n = F.col("n_chars")
-    return table(spark, sf, "documents").select("doc_id", F.format_string("%.1f MB", n * 64 / F.lit(1048576.0)).alias("mb"), F.round(n / F.lit(1024.0), 2).alias("kb"))
+    return table(spark, sf, "documents").select("doc_id", F.when(n.isNotNull(), F.format_string("%.1f MB", F.bround(n * 64 / F.lit(1048576.0), 1))).alias("mb"), F.round(n / F.lit(1024.0), 2).alias("kb"))
 
 
 @query("f16_question", rf"""

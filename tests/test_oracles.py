@@ -53,3 +53,13 @@ def test_query(spark, duck, tiny, name):
 
 def test_names():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_sizes_round_halves_as_sql_does(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = [4096 * i for i in range(40)] + [1638, 1639, None]
+    pq.write_table(pa.table({"doc_id": list(range(len(n))), "text": [""] * len(n), "n_chars": pa.array(n, pa.int64())}), tmp_path / "documents.parquet")
+    documents = duckdb.connect().sql(SQL["f15_sizes"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet'")).fetchall()
+    assert sorted(map(tuple, QUERIES["f15_sizes"](spark, str(tmp_path)).collect())) == sorted(documents)
