@@ -19,6 +19,11 @@ ANSWER_DECLINES = ["couldn't find that", "not in the documentation", "not covere
 SCORED_DECLINES = ["couldn't find", "not in the documentation", "not covered", "cannot find", "no response", "fin_not_configured", "don't have information"]
 
 
+def let(c: Column, f) -> Column:
+    """f of c, which is computed once: what a lambda function names from outside is computed anew for each element."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def split_words(c: Column) -> Column:
     return F.filter(F.split(c, WS), lambda x: x != "")
 

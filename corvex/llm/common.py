@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.relational import ordinal
-from ..sources.storage import remove, shared_folder, stored
+from ..sources.storage import remove, shared_folder, small_batches, stored
 
 #: Stands for a null document id inside an operator; it sorts before every id.
 NULL_ID = -(2**63)
@@ -49,10 +48,7 @@ class Workspace:
         self.spark, self.root, self.n = spark, shared_folder(spark, name), 0
         for noted in _NOTED:
             noted.append(self)
-        for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-            has = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key))
-            if has is None or not 0 < int(has[1]) <= most:
-                spark.conf.set(key, str(most))
+        small_batches(spark)
 
     def path(self, name: str) -> str:
         self.n += 1

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.text import split_words, strip, word_count
+from ..functions.text import let, split_words, strip, word_count
 
 STRINGS = "array<string>"
 WINDOW, STRIDE = 512, 462
@@ -15,9 +15,12 @@ SMALL_PAGE, LARGEST, OVERLAP, LEAST, SHORT = 250, 300, 50, 60, 20
 
 def fixed_windows(text: Column, size: int = WINDOW, stride: int = STRIDE) -> Column:
     """Windows of size words every stride words, joined by single spaces; the last may lie within its predecessor."""
-    words = split_words(text)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(stride)), lambda s: s < F.size(words))
-    return F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
+
+    def windows(words):
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(stride)), lambda s: s < F.size(words))
+        return F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
+
+    return let(split_words(text), windows)
 
 
 def paragraphs(text: Column, at: str = r"\n{2,}") -> Column:

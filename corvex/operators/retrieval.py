@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 
 from .. import plugins
 from ..functions.text import preview, strip, tokens, word_count
-from ..sources.storage import shared_folder, stored
-from .keyword_index import KEY, MAX_QUESTIONS, KeywordIndex, build_index, in_batches, keyword_search, load_index  # noqa: F401
+from ..sources.storage import shared_folder, small_batches, stored
+from .keyword_index import KEY, MAX_QUESTIONS, KeywordIndex, build_index, in_batches, keyword_search, load_index, postings_of  # noqa: F401
 from .relational import keep_first, top
 
 DENSE_K, RRF_K, CANDIDATES, TOP_N, MERGED_WORDS = 25, 60, 40, 6, 600
@@ -27,6 +27,7 @@ MIN_SIMILARITY = 0.70
 def store_vectors(corpus: DataFrame, embed: plugins.Embedder | None = None, path: str | None = None) -> DataFrame:
     """key, vector: the embeddings of a corpus (key, token list t), computed once and stored at path or in a shared folder."""
     embed = embed or plugins.HashingEmbedder()
+    small_batches(corpus.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in parts:
@@ -68,6 +69,7 @@ def dense_search(vectors: DataFrame, questions: DataFrame, k: int = DENSE_K, emb
     """
     embed = embed or plugins.HashingEmbedder()
     spark = vectors.sparkSession
+    small_batches(spark)
 
     def search(batch: DataFrame) -> DataFrame:
         asked = batch.select("qid", "qno", tokens(F.col("text")).alias("t")).toPandas()  # MAX_QUESTIONS rows at most

@@ -30,15 +30,26 @@ def search_queries(questions: DataFrame) -> DataFrame:
     return q.select("qid", "query_type", F.posexplode(texts).alias("qno", "text"))
 
 
-def candidates(queries: DataFrame, index: R.KeywordIndex, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The dense pool and the concatenated keyword lists. Dense records hold 1000 characters and a URL,
-    keyword records the whole text and none. The texts of hits come from the index's corpus."""
-    few = F.broadcast if queries.count() <= R.MAX_QUESTIONS else lambda df: df  # a list has DENSE_K hits at most
+def _few(queries: DataFrame):
+    return F.broadcast if queries.count() <= R.MAX_QUESTIONS else lambda df: df  # a list has DENSE_K hits at most
+
+
+def dense_candidates(queries: DataFrame, index: R.KeywordIndex, vectors: DataFrame) -> DataFrame:
+    """The dense pool: records hold 1000 characters and a URL. The index's blocks are not needed."""
     url = F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))
-    texts = index.corpus.select(*R.KEY, "content")
-    dense = texts.join(few(R.dense_search(vectors, queries)), R.KEY).withColumn("content", F.substring("content", 1, 1000)).withColumn("url", url)
-    sparse = texts.join(few(R.keyword_search(index, queries)), R.KEY)
-    return R.pool(dense), R.concatenated(sparse)
+    hits = _few(queries)(R.dense_search(vectors, queries))
+    return R.pool(index.corpus.select(*R.KEY, "content").join(hits, R.KEY).withColumn("content", F.substring("content", 1, 1000)).withColumn("url", url))
+
+
+def keyword_candidates(queries: DataFrame, index: R.KeywordIndex) -> DataFrame:
+    """The concatenated keyword lists: records hold the whole text and no URL."""
+    hits = _few(queries)(R.keyword_search(index, queries))
+    return R.concatenated(index.corpus.select(*R.KEY, "content").join(hits, R.KEY))
+
+
+def candidates(queries: DataFrame, index: R.KeywordIndex, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The dense pool and the keyword lists. The texts of hits come from the index's corpus."""
+    return dense_candidates(queries, index, vectors), keyword_candidates(queries, index)
 
 
 def ask(questions: DataFrame, index: R.KeywordIndex, vectors: DataFrame, least: float = R.MIN_SIMILARITY, scorer: plugins.Scorer | None = None) -> DataFrame:

@@ -64,18 +64,39 @@ def still_there(table: DataFrame) -> bool:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Partitions that a task writes side by side; only with more of them are its rows sorted.
+OPEN_FILES = 32
+
+
 @contextmanager
-def tidy(spark: SparkSession):
-    """Shuffle files of the queries that run within go when they end, not when the driver happens to collect its garbage."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session for the queries that run within."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(CLEANUP)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(CLEANUP, before)
+            spark.conf.set(key, before)
+
+
+def tidy(spark: SparkSession):
+    """Shuffle files of the queries that run within go when they end, not when the driver happens to collect its garbage."""
+    return setting(spark, CLEANUP, "true")
+
+
+#: Rows and bytes of an Arrow batch at most.
+BATCH = (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower a session's Arrow batches, if they are larger; for good, as results are computed after their plan was made."""
+    for key, most in BATCH:
+        has = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key))
+        if has is None or not 0 < int(has[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -103,7 +124,8 @@ class IndexStore:
 
     def save(self, postings: DataFrame) -> None:
         """postings with user_id and site_slug; the partitions it holds replace stored ones."""
-        postings.write.partitionBy("user_id", "site_slug").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
+        with setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES)):
+            postings.write.partitionBy("user_id", "site_slug").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
 
     def load(self, user_id: str, site_slug: str | None = None) -> DataFrame:
         if not user_id:
@@ -182,4 +204,4 @@ def crawl(pages: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     return seen.select("base", "url", "depth")
 
 
-__all__ = ["IndexStore", "crawl", "csv_by_position", "delete_vectors", "exists", "first_sitemap", "is_folder", "remove", "shared_folder", "sitemap_pages", "state_of", "still_there", "stored", "tidy", "upsert_vectors"]
+__all__ = ["IndexStore", "crawl", "csv_by_position", "delete_vectors", "exists", "first_sitemap", "is_folder", "remove", "shared_folder", "sitemap_pages", "small_batches", "state_of", "still_there", "stored", "tidy", "upsert_vectors"]
