@@ -66,35 +66,40 @@ def delete_closure(tables: dict[str, DataFrame], references: Sequence[Reference]
     """Tables without the doomed rows and all that refer to them, directly or not; and the rows that go, by table.
 
     doomed: a condition for rows of a table that are to go. Each step finds the children of the rows
-    that the step before found; references may form cycles, or join a table with itself, as a row is found once. A row
-    is known by all its columns, so equal rows go together. Children whose reference is null stay.
+    that the step before found; references may form cycles, or join a table with itself, as a key is found once. What is
+    stored are the keys that references lose, so a table to which none refers is read but for its
+    result, by joins on its keys alone. Children whose reference is null stay.
     """
     spark = next(iter(tables.values())).sparkSession
     path, step = shared_folder(spark, "closure"), 0
-    save = lambda df, name: stored(df, f"{path}/{step:03d}-{name}")
-    unkeyed = {name: df.withColumn("__row", F.xxhash64(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))) for name, df in tables.items()}
-    found = {name: save(unkeyed[name].filter(F.coalesce(c, F.lit(False))), name) for name, c in doomed.items()}
-    new = dict(found)
+    lost: dict[Reference, DataFrame] = {}
+    new = {name: tables[name].filter(c) for name, c in doomed.items()}
     while new:
         step += 1
-        nxt: dict[str, DataFrame] = {}
-        for ref in references:
+        here: dict[Reference, DataFrame] = {}
+        for i, ref in enumerate(references):
             if ref.parent not in new:
                 continue
-            rows = unkeyed[ref.child].join(_pointed(new[ref.parent], ref), list(ref.child_keys), "left_semi").select(*unkeyed[ref.child].columns)
-            nxt[ref.child] = nxt[ref.child].unionByName(rows) if ref.child in nxt else rows
+            keys = _pointed(new[ref.parent], ref).dropna()
+            keys = keys.join(lost[ref], list(ref.child_keys), "left_anti") if ref in lost else keys
+            keys = stored(keys, f"{path}/{step:03d}-{i}")
+            if not keys.isEmpty():
+                here[ref] = keys
+        lost |= {ref: lost[ref].unionByName(keys) if ref in lost else keys for ref, keys in here.items()}
         new = {}
-        for name, rows in nxt.items():
-            rows = rows.dropDuplicates()  # found by several references
-            if name in found:
-                rows = rows.join(found[name].select("__row").distinct(), "__row", "left_anti").select(*unkeyed[name].columns)
-            rows = save(rows, name)
-            if not rows.isEmpty():
-                new[name] = rows
-                found[name] = found[name].unionByName(rows) if name in found else rows
-    gone = {name: df.select("__row").distinct() for name, df in found.items()}
-    kept = {name: (unkeyed[name].join(gone[name], "__row", "left_anti").select(*tables[name].columns) if name in gone else tables[name]) for name in tables}
-    removed = {name: (unkeyed[name].join(gone[name], "__row", "left_semi").select(*tables[name].columns) if name in gone else tables[name].limit(0)) for name in tables}
+        for ref, keys in here.items():
+            if any(r.parent == ref.child for r in references):
+                rows = tables[ref.child].join(keys, list(ref.child_keys), "left_semi").select(*tables[ref.child].columns)
+                new[ref.child] = new[ref.child].unionByName(rows) if ref.child in new else rows
+    kept, removed = {}, {}
+    for name, rows in tables.items():
+        condition = F.coalesce(doomed[name], F.lit(False)) if name in doomed else F.lit(False)
+        left, gone = rows.filter(~condition), [rows.filter(condition)] if name in doomed else []
+        for ref, keys in lost.items():
+            if ref.child == name:  # what one reference takes, the next doesn't see
+                gone.append(left.join(keys, list(ref.child_keys), "left_semi").select(*rows.columns))
+                left = left.join(keys, list(ref.child_keys), "left_anti").select(*rows.columns)
+        kept[name], removed[name] = left, reduce(DataFrame.unionByName, gone) if gone else rows.limit(0)
     return kept, removed
 
 
