@@ -14,15 +14,17 @@ from ..sources.pdf import write_pdf
 from .text_queries import sql_words
 
 
-def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _made(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, bytes]]:
     for b in batches:
-        out = []
         for doc, text in zip(b.doc_id, b.text):
             words = (text or "").split()
             side = 8 + int(doc) % 80
             pixels = random.Random(int(doc)).randbytes(side * side * 3)
-            out.append((f"doc-{doc}", write_pdf([" ".join(words[i : i + 400]) for i in range(0, max(1, len(words)), 400)], [(side, side, pixels)])))
-        yield pd.DataFrame(out, columns=["path", "content"])
+            yield f"doc-{doc}", write_pdf([" ".join(words[i : i + 400]) for i in range(0, max(1, len(words)), 400)], [(side, side, pixels)])
+
+
+def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return P.tables_of(_made(batches), ["path", "content"])
 
 
 def files(spark, sf):
