@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import urls as U
 from ..functions.text import word_count
+from ..sources.storage import small_batches
 
 # Elements that are no content.
 NOISE_TAGS = {"nav", "header", "footer", "aside", "starlight-menu-button"}
@@ -246,6 +247,7 @@ def page_markdown(markdown: Column, html: Column) -> Column:
 
 def extracted(pages: DataFrame, fallback: bool = True) -> DataFrame:
     """pages (url, html, others) with title and markdown in place of html; without fallback, of the page's content alone."""
+    small_batches(pages.sparkSession)
     x = pages.withColumn("__x", extract_page("html"))
     markdown = page_markdown(F.col("__x.markdown"), F.col("html")) if fallback else F.col("__x.markdown")
     title = page_title(F.col("__x.title"), U.path(F.col("url")), F.col("url"))
