@@ -9,14 +9,15 @@ vectors without structure read most of them, but none loses more than was asked
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import shared_folder, stored, tidy
-from .relational import top
+from ..sources.storage import shared_folder, small_batches, stored, tidy
+from .relational import ordinal, top
 
 #: Rows that centroids are fitted on, at most, and whose neighbours tell how many cells to read: those with the least hash of their id.
 SAMPLE, TRIED = 8192, 64
@@ -24,6 +25,8 @@ SAMPLE, TRIED = 8192, 64
 MAX_CELLS, CELL_ROWS = 4096, 256
 #: Queries of one batch, which every task of a search holds; scores that a task makes at once.
 MAX_QUERIES, SCORES = 10_000, 4_000_000
+#: Pairs of a query and a row that a task holds before it leaves out all but the best.
+PAIRS = 2_000_000
 
 
 class VectorIndex:
@@ -79,8 +82,8 @@ def build_vector_index(vectors: DataFrame, id_col: str, vector_col: str, tenant_
             yield b.assign(cell=np.argmax(v @ held.value.T, axis=1).astype("int32"))
 
     dealt = rows.mapInPandas(assign, "id long, tenant string, vector array<double>, cell int")
-    with tidy(spark):  # rows of one cell in several tasks, as a cell may hold any share of them
-        dealt.repartition(F.col("cell"), F.pmod(F.col("id"), F.lit(8))).sortWithinPartitions("cell", "tenant", "id").write.partitionBy("cell").parquet(f"{path}/rows")
+    with tidy(spark):  # a cell that holds a large share of the rows is split, as Spark finds
+        dealt.hint("rebalance", F.col("cell")).sortWithinPartitions("cell", "tenant", "id").write.partitionBy("cell").parquet(f"{path}/rows")
     out = load_rows(spark, path)
     index = VectorIndex(path, out, centroids, len(centroids))
     tried = sample.head(TRIED)
@@ -113,53 +116,110 @@ def enough_cells(true: pd.DataFrame, tried: pd.DataFrame, centroids: np.ndarray,
     return int(ranks[max(0, int(np.ceil(recall * len(ranks))) - 1)]) + 1
 
 
+class Best:
+    """The k best rows of each query of a task so far, by similarity and id; found pairs are put in order PAIRS at a time."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least, self.size = k, np.full(n, -np.inf), 0
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, mine: np.ndarray, q: np.ndarray, v: np.ndarray, ids: np.ndarray, cell: np.ndarray, own: np.ndarray | None) -> None:
+        """Queries `mine` against rows: what may be among the k best is kept, ties included. own: the queries' ids, whose rows are left out."""
+        step = max(1, SCORES // max(1, len(v)))
+        for lo in range(0, len(mine), step):
+            some = mine[lo : lo + step]
+            sims = q[some] @ v.T
+            for j in np.flatnonzero(np.isin(ids, own[some])) if own is not None else ():
+                sims[own[some] == ids[j], j] = -np.inf
+            least = self.least[some]
+            if len(v) > self.k and np.isinf(least).any():
+                least = np.fmax(least, -np.partition(-sims, self.k - 1, axis=1)[:, self.k - 1])
+            i, j = np.nonzero(~(sims < (least - 1e-6)[:, None]))  # similarities are rounded after this
+            self.parts.append((some[i], np.round(sims[i, j], 6), ids[j], cell[j]))
+            self.size += len(i)
+            if self.size >= PAIRS:
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        """Queries, similarities, ids and cells of the best."""
+        if not self.parts:
+            return ()
+        query, sim, ids, cell = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ids, -sim, query))
+        start = np.flatnonzero(np.diff(query[order], prepend=-1))
+        place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+        last = order[place == self.k - 1]
+        self.least[query[last]] = sim[last]
+        kept = order[place < self.k]
+        self.parts, self.size = [(query[kept], sim[kept], ids[kept], cell[kept])], len(kept)
+        return self.parts[0]
+
+
+def _cells_read(q: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray | None:
+    """Bits, by cell, of the queries that read it; none if all do."""
+    if probes >= len(centroids):
+        return None
+    reads = np.zeros((len(centroids), len(q)), bool)
+    for lo in range(0, len(q), 500):
+        order = np.argsort(-(q[lo : lo + 500] @ centroids.T), axis=1, kind="stable")[:, :probes]
+        reads[order, np.arange(lo, lo + len(order))[:, None]] = True
+    return np.packbits(reads, axis=1)
+
+
 def search_cells(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None, own_tenant: bool = True, others_only: bool = True) -> DataFrame:
     """query_id, rank, id, cell, sim: the k rows of the highest cosine (rounded to 6 places) in the cells that each query (id, tenant, vector) reads.
 
     Equal ones go by id. own_tenant: rows of the query's tenant alone, which the scan is told. others_only:
     a row is not its own neighbour. probes: cells a query reads; the index's, by default; with all of them the search is
-    exact. At most MAX_QUERIES queries.
+    exact. A task multiplies blocks of rows with all queries that read them and passes on k rows a query.
+    At most MAX_QUERIES queries; search_batches() takes more.
     """
     spark = queries.sparkSession
     asked = queries.select("id", "tenant", "vector").limit(MAX_QUERIES + 1).toPandas()
     if len(asked) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
     q = unit(matrix_of(asked.vector, index.centroids.shape[1]))
-    probes = min(probes or index.probes, len(index.centroids))
-    order = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")[:, :probes]
-    by_cell: dict[int, list[int]] = {}
-    for i, cells in enumerate(order):
-        for c in cells.tolist():
-            by_cell.setdefault(c, []).append(i)
-    held = spark.sparkContext.broadcast((asked.id.to_numpy(), asked.tenant.to_numpy(), q, {c: np.array(i) for c, i in by_cell.items()}))
+    reads = _cells_read(q, index.centroids, min(probes or index.probes, len(index.centroids)))
+    held = spark.sparkContext.broadcast((asked.id.to_numpy(), asked.tenant.to_numpy(), q, reads))
+    small_batches(spark)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, tenants, q, by_cell = held.value
+        asked, tenants, q, reads = held.value
+        mine = {t: np.flatnonzero(tenants == t) for t in set(tenants)} if own_tenant else {None: np.arange(len(asked))}
+        best = Best(len(asked), k)
         for b in parts:
-            for cell, some in b.groupby("cell", sort=False):
-                v, other, own = unit(matrix_of(some.vector)), some.id.to_numpy(), some.tenant.to_numpy()
-                step = max(1, SCORES // len(some))
-                for at in range(0, len(by_cell[cell]), step):
-                    mine = by_cell[cell][at : at + step]
-                    sims = np.round(q[mine] @ v.T, 6)
-                    for i, sim in zip(mine, sims):
-                        fits = np.ones(len(sim), bool)
-                        if own_tenant:
-                            fits &= own == tenants[i]
-                        if others_only:
-                            fits &= other != ids[i]
-                        found = np.flatnonzero(fits)
-                        found = found[np.lexsort((other[found], -sim[found]))[:k]]
-                        if len(found):
-                            yield pd.DataFrame({"query_id": ids[i], "id": other[found], "cell": np.int32(cell), "sim": sim[found]})
-
-    rows = index.rows.filter(F.col("cell").isin(sorted(by_cell)))  # partitions: other cells are not listed
+            by = ([] if reads is None else ["cell"]) + (["tenant"] if own_tenant else [])
+            for key, some in b.groupby(by, sort=False, dropna=False) if by else [((), b)]:
+                want = mine.get(key[-1] if own_tenant and not pd.isna(key[-1]) else None, np.zeros(0, int))
+                if reads is not None:
+                    want = want[np.unpackbits(reads[key[0]], count=len(asked))[want] == 1]
+                if len(want):
+                    best.add(want, q, unit(matrix_of(some.vector)), some.id.to_numpy(), some.cell.to_numpy(), asked if others_only else None)
+        if found := best.settle():
+            query, sim, ids, cell = found
+            for lo in range(0, len(ids), 100_000):
+                at = np.flatnonzero(sim[lo : lo + 100_000] != -np.inf) + lo
+                yield pd.DataFrame({"query_id": asked[query[at]], "id": ids[at], "cell": cell[at], "sim": sim[at]})
+
+    rows = index.rows
+    if reads is not None:  # partitions: other cells are not listed
+        rows = rows.filter(F.col("cell").isin(np.flatnonzero(reads.any(axis=1)).tolist()))
     if own_tenant and 0 < asked.tenant.nunique() <= 10:
         rows = rows.filter(F.col("tenant").isin(sorted(set(asked.tenant))))
     near = rows.mapInPandas(run, "query_id long, id long, cell int, sim double")
     return top(near, ["query_id"], [F.desc("sim"), "id"], k)
 
 
+def search_batches(index: VectorIndex, queries: DataFrame, k: int, **options) -> DataFrame:
+    """search_cells() for any number of queries of distinct ids, MAX_QUERIES at a time."""
+    n = queries.count()
+    if n <= MAX_QUERIES:
+        return search_cells(index, queries, k, **options)
+    numbered = ordinal(queries, ["id"], "__at")
+    parts = [numbered.filter(F.floor(F.col("__at") / MAX_QUERIES) == i).drop("__at") for i in range(-(-n // MAX_QUERIES))]
+    return reduce(DataFrame.unionByName, (search_cells(index, part, k, **options) for part in parts))
+
+
 def recall_of(found: DataFrame, true: DataFrame) -> DataFrame:
     """queries, wanted, hit: true neighbours (query_id, id) and how many of them were found; one row."""
     both = true.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")

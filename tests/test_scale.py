@@ -54,3 +54,30 @@ def test_closure_joins_a_leaf_below_its_explode_and_stores_keys_alone(spark):
     assert kept["parts"].count() == 45 and removed["parts"].count() == 15
     plan = kept["parts"]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("LeftAnti")
+
+
+def test_more_queries_than_a_batch_and_copies_of_a_query(spark, monkeypatch):
+    import numpy as np
+
+    from corvex.operators import vector_index as V
+
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(300, 4)), 1)
+    v[200:] = v[:100]
+    rows = spark.createDataFrame([(i, str(i % 3), v[i].tolist()) for i in range(300)], "id long, tenant string, vector array<double>").repartition(7)
+    index = V.build_vector_index(rows, "id", "vector", "tenant", cells=9)
+    for name, value in (("MAX_QUERIES", 20), ("SCORES", 500), ("PAIRS", 300)):
+        monkeypatch.setattr(V, name, value)
+    asked = rows.filter("id % 5 = 0")
+    got = {}
+    for r in V.search_batches(index, asked, 7, probes=9).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    u = V.unit(v)
+    want = {i: sorted((j for j in range(300) if j != i and j % 3 == i % 3), key=lambda j: (-round(float(u[i] @ u[j]), 6), j))[:7] for i in range(0, 300, 5)}
+    assert got == want
+
+
+def test_tables_of_rows_are_small(spark):
+    from corvex.sources.pdf import tables_of
+
+    assert [len(t) for t in tables_of((("a", b"x" * 1000) for _ in range(25)), ["path", "content"], 10_000)] == [10, 10, 5]
