@@ -31,6 +31,10 @@ MAX_WORDS = 300_000
 COUNTED = 200_000
 #: Places whose n-grams are counted together, and keys of a range, some.
 PLACES, RANGE = 1 << 20, 1 << 19
+#: Ids of a stored row: a Parquet page is measured after 100 rows at the earliest, and its reader holds 4096 rows at once.
+ROW_IDS = 1 << 12
+#: Rows of a batch that a task passes on: the JVM holds a batch as a whole, outside its heap.
+PASSED = 1 << 16
 #: Ranges at most.
 MOST_RANGES = 20_000
 #: Rows of ids that split points are drawn from, at most, and n-grams of each.
@@ -107,7 +111,11 @@ def _unknown(held):
 
 
 def _encode(held):
-    """Ids of the words of the texts, a row for each slice of texts, with 0 for a word without id, a piece's end and a text's end."""
+    """Ids of the words of the texts, with 0 for a word without id, a piece's end and a text's end.
+
+    A slice of texts is cut into rows of ROW_IDS ids, n of them a row's own; the first ones of the
+    row behind follow, so that each n-gram lies within the row in which it starts. at and part name a row.
+    """
 
     def run(batches):
         by_lang, none = _by_lang(held), Ids()
@@ -125,11 +133,29 @@ def _encode(held):
                         ids = np.maximum(ids, np.fromiter(map(rare.__getitem__, found), np.uint32, len(found)))
                     parts += [ids, np.zeros(1, np.uint32)]
                 ids = np.concatenate(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([at[i]], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary())], names=["at", "n", "ids"])
+                cut = range(0, len(ids), ROW_IDS)
+                rows = [ids[lo : lo + ROW_IDS + LONGEST - 1].tobytes() for lo in cut]
+                own = [min(ROW_IDS, len(ids) - lo) for lo in cut]
+                yield pa.RecordBatch.from_arrays([pa.array([at[i]] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array(own, pa.int64()), pa.array(rows, pa.binary())], names=["at", "part", "n", "ids"])
 
     return released(run)
 
 
+def joined(batch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of rows one after another, and whether each is its row's own.
+
+    No n-gram of a row's own place runs into the next row: what follows is in the row, or a 0 ends its texts.
+    """
+    rows = batch.column("ids").cast(pa.large_binary())
+    if not len(rows):
+        return np.zeros(0, np.uint32), np.zeros(0, bool)
+    _, offsets, data = rows.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    ids = np.frombuffer(data, np.uint32, (offsets[-1] - offsets[0]) // 4, offsets[0])
+    first, own = (offsets[:-1] - offsets[0]) // 4, batch.column("n").to_numpy()
+    return ids, np.arange(len(ids)) - np.repeat(first, np.diff(offsets) // 4) < np.repeat(own, np.diff(offsets) // 4)
+
+
 def radix_order(key: np.ndarray) -> np.ndarray:
     """Order of rows of two unsigned 64-bit numbers: least significant digit first, 16 bits at a time, digits that never differ left out."""
     order = None
@@ -181,11 +207,11 @@ def bit_of(key: np.ndarray, bits: int) -> np.ndarray:
     return (mix64(mix64(key[:, 0]) + key[:, 1]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def starts(ids: np.ndarray, n: int, bitmap: tuple[int, bytes] | None) -> np.ndarray:
-    """Places of ids where an n-gram starts that has no zero and, with a bitmap of (n - 1)-grams, whose two are in it."""
+def starts(ids: np.ndarray, own: np.ndarray, n: int, bitmap: tuple[int, bytes] | None) -> np.ndarray:
+    """Own places of ids where an n-gram starts that has no zero and, with a bitmap of (n - 1)-grams, whose two are in it."""
     if len(ids) < n:
         return np.zeros(0, np.int64)
-    fine = np.ones(len(ids) - n + 1, bool)
+    fine = own[: len(ids) - n + 1].copy()
     for k in range(n):
         fine &= ids[k : len(ids) - n + 1 + k] != 0
     at = np.flatnonzero(fine)
@@ -202,26 +228,29 @@ def _count(n: int, held, cuts: bytes):
     """Distinct n-grams of every PLACES places or so with their counts and the range they belong to. cuts: the ranges' ends, packed."""
 
     def out(parts):
-        key, count = run_lengths(np.concatenate(parts))
+        key = np.concatenate(parts)
+        parts.clear()
+        key, count = run_lengths(key)
         as_bytes = np.ascontiguousarray(key.astype(">u8")).view("S16").ravel()
         ends = np.searchsorted(as_bytes, np.frombuffer(cuts, "S16"))
         part = np.repeat(np.arange(len(ends) + 1), np.diff(np.concatenate([[0], ends, [len(key)]])))
-        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), packed(key), pa.array(count)], names=["part", "key", "f"])
+        part = part.astype(np.int32)
+        for lo in range(0, len(key), PASSED):
+            yield pa.RecordBatch.from_arrays([pa.array(part[lo : lo + PASSED]), packed(key[lo : lo + PASSED]), pa.array(count[lo : lo + PASSED])], names=["part", "key", "f"])
 
     def run(batches):
         bitmap, parts, size = held.value, [], 0
         for batch in batches:
-            for raw in batch.column("ids"):
-                ids = np.frombuffer(raw.as_buffer(), np.uint32)
-                for lo in range(0, len(ids), PLACES // 4):
-                    some = ids[lo : lo + PLACES // 4 + n - 1]
-                    key = key_of(some, starts(some, n, bitmap), n)
-                    parts, size = [*parts, key], size + len(key)
-                    if size >= PLACES:
-                        yield out(parts)
-                        parts, size = [], 0
+            ids, own = joined(batch)
+            for lo in range(0, len(ids), PLACES // 4):
+                hi = lo + PLACES // 4
+                at = starts(ids[lo : hi + n - 1], own[lo:hi], n, bitmap)
+                parts, size = [*parts, key_of(ids[lo : hi + n - 1], at, n)], size + len(at)
+                if size >= PLACES:
+                    yield from out(parts)
+                    parts, size = [], 0
         if size:
-            yield out(parts)
+            yield from out(parts)
 
     return released(run)
 
@@ -231,11 +260,11 @@ def _sample(n: int, held):
 
     def run(batches):
         for batch in batches:
-            for raw in batch.column("ids"):
-                ids = np.frombuffer(raw.as_buffer(), np.uint32)
-                at = starts(ids, n, held.value)
+            for i in range(batch.num_rows):
+                ids, own = joined(batch.slice(i, 1))
+                at = starts(ids, own, n, held.value)
                 key = key_of(ids, at[np.linspace(0, len(at) - 1, min(len(at), SAMPLED_KEYS)).astype(int)] if len(at) else at, n)
-                yield pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([len(at)]), pa.array([key.astype(">u8").tobytes()], pa.binary())], names=["places", "found", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(own.sum())]), pa.array([len(at)]), pa.array([key.astype(">u8").tobytes()], pa.binary())], names=["places", "found", "keys"])
 
     return released(run)
 
@@ -255,8 +284,8 @@ def _sum(least: int):
             if size >= max(RANGE, len(key)):  # what has been merged is merged again only when as much is new
                 (key, count), new, size = merged(), [], 0
         key, count = merged()
-        for lo in range(0, len(key), RANGE):
-            fine = np.flatnonzero(count[lo : lo + RANGE] >= least) + lo
+        for lo in range(0, len(key), PASSED):
+            fine = np.flatnonzero(count[lo : lo + PASSED] >= least) + lo
             if len(fine):
                 yield pa.RecordBatch.from_arrays([packed(key[fine]), pa.array(count[fine])], names=["key", "f"])
 
@@ -286,14 +315,15 @@ def frequent_ngrams(ids: DataFrame, n: int, least: int, bitmap: tuple[int, bytes
     """key, f: the n-grams of ids with at least `least` occurrences, stored."""
     spark = ids.sparkSession
     held = spark.sparkContext.broadcast(bitmap)
-    rows = [r["at"] for r in ids.select("at").orderBy(F.xxhash64("at"), "at").limit(SAMPLED_ROWS).collect()]
-    sample = ids.filter(F.col("at").isin(rows)).select("ids").mapInArrow(_sample(n, held), "places long, found long, keys binary").collect() if rows else []
+    row = F.xxhash64("at", "part")
+    rows = [r["row"] for r in ids.select(row.alias("row")).orderBy("row").limit(SAMPLED_ROWS).collect()]
+    sample = ids.filter(row.isin(rows)).select("n", "ids").mapInArrow(_sample(n, held), "places long, found long, keys binary").collect() if rows else []
     places, found = (sum(r[c] for r in sample) for c in ("places", "found"))
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(min(MOST_RANGES, max(spark.sparkContext.defaultParallelism, total * found // max(1, places) // RANGE)))
     keys = np.sort(np.frombuffer(b"".join(bytes(r["keys"]) for r in sample), "S16"))
     cuts = np.unique(keys[np.linspace(0, len(keys) - 1, parts + 1).astype(int)[1:-1]]) if len(keys) else keys
-    counted = ids.select("ids").mapInArrow(_count(n, held, cuts.tobytes()), "part int, key binary, f long")
+    counted = ids.select("n", "ids").mapInArrow(_count(n, held, cuts.tobytes()), "part int, key binary, f long")
     summed = counted.repartitionById(len(cuts) + 1, "part").select("key", "f").mapInArrow(_sum(least), "key binary, f long")
     return work.save(summed, f"ngrams-{n}")
 
@@ -331,7 +361,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lon
         texts = work.save(texts, "texts")
         rare = texts.mapInArrow(_unknown(held), "at long, lang string, word string").join(words.select("lang", "word", "id"), ["lang", "word"])
         texts = texts.join(rare.groupBy("at").agg(F.collect_list(F.struct("word", "id")).alias("more")), "at", "left")
-    ids = work.save(texts.mapInArrow(_encode(held), "at long, n long, ids binary"), "ids")
+    ids = work.save(texts.mapInArrow(_encode(held), "at long, part int, n long, ids binary"), "ids")
 
     found, bitmap = [], None
     for n in range(2, longest + 1):

@@ -3,12 +3,14 @@
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corvex.llm import phrases as P
 from corvex.llm.phrases import LEAST_BITS, bit_of, bitmap_of, packed, phrases, radix_order, run_lengths, tokens, unpacked
 
 SCHEMA = "doc_id long, text string, lang string, key string, id string, n string, score string"
@@ -96,3 +98,28 @@ def test_bitmap_holds_every_key(spark):
     bits, raw = bitmap_of(spark.createDataFrame(pa.table({"key": packed(key)}).to_pandas()), len(key))
     bit, table = bit_of(key, bits), np.frombuffer(raw, np.uint8)
     assert bits == LEAST_BITS and all(table[b >> 3] >> (b & 7) & 1 for b in bit.tolist()) and int(np.unpackbits(table).sum()) == len(set(bit.tolist()))
+
+
+def test_rows_and_batches_are_small_and_lose_no_ngram(monkeypatch):
+    """What one row, one Parquet page of 100 rows or one batch holds has a bound, however long the texts are."""
+    monkeypatch.setattr(P, "PASSED", 1000)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    held = SimpleNamespace(value=pa.table({"lang": ["en"] * 300, "word": [w.encode() for w in words], "id": range(1, 301)}))
+    texts = [" ".join(rng.choice([*words, "rare", "."]) for _ in range(n)) for n in (50_000, 3, 4096, 0, 8191, 4095, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(["en"] * len(texts)), pa.array(texts)], names=["at", "lang", "text"])
+    rows = [r for b in P._encode(held)([batch]) for r in b.to_pylist()]
+    assert max(len(r["ids"]) for r in rows) <= 4 * (P.ROW_IDS + P.LONGEST - 1) and len({(r["at"], r["part"]) for r in rows}) == len(rows) > 10
+    numbers = {w: i for i, w in enumerate(words, 1)}
+    ids = [numbers.get(t, 0) for text in texts for t in [*text.split(), "."]]
+    assert sum(r["n"] for r in rows) == len(ids)
+    some = [pa.RecordBatch.from_pylist(rows[i : i + 7], pa.schema({"n": pa.int64(), "ids": pa.binary()})) for i in range(0, len(rows), 7)]
+    for n in (2, 3, 4):
+        out = list(P._count(n, SimpleNamespace(value=None), b"")([b.slice(0) for b in some]))
+        assert max(b.num_rows for b in out) <= 1000
+        got = Counter()
+        for b in out:
+            for key, f in zip(unpacked(b.column("key")).tolist(), b.column("f").to_pylist()):
+                got[tuple(key)] += f
+        grams = np.array([ids[i : i + n] + [0] * (4 - n) for i in range(len(ids) - n + 1) if all(ids[i : i + n])], np.uint64)
+        assert got == Counter(map(tuple, (grams[:, ::2] << np.uint64(32) | grams[:, 1::2]).tolist()))
