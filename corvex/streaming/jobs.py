@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,11 +19,49 @@ from .ingest import stream_of
 #: A job may end, and later reports of one that has ended change nothing.
 TERMINAL = ("completed", "failed", "cached", "lost")
 SHAPE = "job_id long, status string, progress double, reports long, at timestamp"
+#: What the operator returns: a time is its milliseconds there.
+CHANGE = SHAPE.replace("at timestamp", "at long")
+#: Reports that a task holds to put together those of one job.
+PACKED = 1 << 18
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _values(column: pa.ChunkedArray) -> list:
+    """A column of numbers as a list with None for null."""
+    values = column.fill_null(0).to_numpy().tolist()
+    return [None if null else x for null, x in zip(column.is_null().to_numpy().tolist(), values)] if column.null_count else values
+
+
+def _packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(batches).sort_by([("job_id", "ascending"), ("order", "ascending")])
+    told = rows["status"].combine_chunks().dictionary_encode()
+    words = [*told.dictionary.to_pylist(), None]
+    status = list(map(words.__getitem__, told.indices.fill_null(len(words) - 1).to_numpy().tolist()))
+    columns = [_values(rows["order"]), _values(rows["ms"]), status, _values(rows["progress"])]
+    job, null = rows["job_id"].fill_null(0).to_numpy(), rows["job_id"].is_null().to_numpy()
+    start = np.flatnonzero(np.concatenate([[True], (job[1:] != job[:-1]) | (null[1:] != null[:-1])]))
+    none = np.iinfo(np.int64).min
+    newest = np.maximum.reduceat(rows["ts"].cast(pa.int64()).fill_null(none).to_numpy(), start)
+    spans = zip(start.tolist(), [*start[1:].tolist(), len(job)])
+    reports = [pickle.dumps([c[a:b] for c in columns]) for a, b in spans]
+    newest = pa.array(newest, mask=newest == none).cast(rows.schema.field("ts").type)
+    return pa.RecordBatch.from_arrays([pa.array(job[start], mask=null[start]), newest, pa.array(reports, pa.binary())], names=["job_id", "ts", "reports"])
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each job among some PACKED reports: job_id, ts (the newest), reports (in order: order, ms, status, progress)."""
+    held, size = [], 0
+    for batch in batches:
+        held, size = [*held, batch], size + batch.num_rows
+        if size >= PACKED:
+            yield _packed(held)
+            held, size = [], 0
+    if size:
+        yield _packed(held)
+
+
 class JobStates(StatefulProcessor):
-    """Folds a job's reports (order, ts, status, progress) in order and tells each change of its row.
+    """Folds a job's reports (order, ms, status, progress), packed, in order and tells each change of its row.
 
     Reports are known by their order number: one that is not above the last is late or told twice and changes
     nothing. A null status or progress keeps the one before. A job that has not ended and reports nothing for
@@ -34,34 +75,35 @@ class JobStates(StatefulProcessor):
         self.handle = handle
         self.job = handle.getValueState("job", "last long, status string, progress double, reports long, at long, timer long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last, status, progress, reports, at, timer = self.job.get() if self.job.exists() else (-1, None, None, 0, 0, 0)
-        new = pd.concat(list(rows)).sort_values("order", kind="stable")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        last, status, progress, reports, at, timer = self.job.get() or (-1, None, None, 0, 0, 0)
         before = reports
-        for r in new.itertuples():
-            if r.order <= last or (status in self.terminal and status != "lost"):
+        told = [x for r in rows for x in zip(*pickle.loads(r["reports"]))]
+        for order, ms, new, share in sorted(told, key=itemgetter(0)):
+            if order <= last or (status in self.terminal and status != "lost"):
                 continue
-            last, reports, at = int(r.order), reports + 1, max(at, int(r.ts.timestamp() * 1000))
-            status = "running" if status == "lost" and pd.isna(r.status) else status if pd.isna(r.status) else r.status
-            progress = progress if pd.isna(r.progress) else float(r.progress)
+            last, reports, at = order, reports + 1, at if ms is None else max(at, ms)
+            status = new if new is not None else "running" if status == "lost" else status
+            progress = progress if share is None else share
         if reports == before:
             return
-        if timer:
-            self.handle.deleteTimer(timer)
-        timer = 0 if status in self.terminal else at + 1000 * self.silence
-        if timer:
-            self.handle.registerTimer(timer)
-        self.job.update((last, status, progress, reports, at, timer))
+        due = 0 if status in self.terminal or not at else at + 1000 * self.silence
+        if timer != due:  # each call of the state is a message to the JVM and back
+            if timer:
+                self.handle.deleteTimer(timer)
+            if due:
+                self.handle.registerTimer(due)
+        self.job.update((last, status, progress, reports, at, due))
         yield self.row(key, status, progress, reports, at)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         last, status, progress, reports, at, timer = self.job.get()
         if status not in self.terminal and timer == expiredTimerInfo.getExpiryTimeInMs():
             self.job.update((last, "lost", progress, reports, at, 0))
             yield self.row(key, "lost", progress, reports, timer)
 
-    def row(self, key, status, progress, reports, at) -> pd.DataFrame:
-        return pd.DataFrame({"job_id": [key[0]], "status": [status], "progress": [progress], "reports": [reports], "at": [pd.Timestamp(at, unit="ms")]}).astype({"progress": "float64"})
+    def row(self, key, status, progress, reports, at) -> Row:
+        return Row(job_id=key[0], status=status, progress=progress, reports=reports, at=at or None)
 
     def close(self) -> None:
         pass
@@ -71,12 +113,16 @@ def job_changes(reports: DataFrame, silence: int, late: str = "1 hour", terminal
     """A stream of reports (job_id, order, ts, status, progress) as a stream of the changes of jobs' rows.
 
     late: how far behind the newest report one may be; time stands at the newest less that, and timers run by it.
+    The operator takes rows to Python one by one, so a job's reports of a batch are put together before
+    it; one that is too late still counts if it comes with one of its job that is not. Without order none counts.
     """
     spark = reports.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != PROVIDER:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # the only one that has timers; for good, as the stream starts later
-    rows = reports.select("job_id", "order", "ts", "status", "progress").withWatermark("ts", late)
-    return rows.groupBy("job_id").transformWithStateInPandas(JobStates(silence, terminal), outputStructType=SHAPE, outputMode="Update", timeMode="EventTime")
+    rows = reports.filter(F.col("order").isNotNull()).select(F.col("job_id").cast("long"), F.col("order").cast("long"), "ts", F.unix_millis("ts").alias("ms"), F.col("status").cast("string"), F.col("progress").cast("double"))
+    rows = rows.repartition("job_id").mapInArrow(packed, "job_id long, ts timestamp, reports binary")
+    changes = rows.withWatermark("ts", late).groupBy("job_id").transformWithState(JobStates(silence, terminal), outputStructType=CHANGE, outputMode="Update", timeMode="EventTime")
+    return changes.withColumn("at", F.timestamp_millis("at"))
 
 
 def follow_jobs(reports: DataFrame, path: str, checkpoint: str, silence: int, late: str = "1 hour", terminal: tuple[str, ...] = TERMINAL):

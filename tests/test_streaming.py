@@ -1,13 +1,16 @@
 """Keyed state of the streams: pages that land again, reports that come late or twice, jobs that fall silent, restarts."""
 
 import datetime
+import pickle
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corvex.operators import chunking as C
 from corvex.operators import html as H
 from corvex.functions import urls as U
 from corvex.streaming.ingest import first_landed, index_pages, stream_index
+from corvex.streaming import jobs as J
 from corvex.streaming.jobs import current_jobs, follow_jobs
 
 
@@ -68,3 +71,26 @@ def test_jobs_end_are_lost_and_ignore_what_was_told_before(spark, tmp_path):
     assert got[1] == ("completed", 0.5, 3)
     assert got[2] == ("failed", 0.7, 4)
     assert got[3] == ("lost", 0.2, 1) and got[4] == ("running", 0.9, 2)
+
+
+def test_the_state_operator_gets_a_row_for_each_job(monkeypatch):
+    at = lambda i: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(seconds=i)
+    rows = [(None if i % 4 == 3 else i % 4, 1000 - i, None if i % 4 == 2 else at(i), i, "running" if i % 5 else None, i / 8 if i % 3 else None) for i in range(1000)]
+    shape = pa.schema({"job_id": pa.int64(), "order": pa.int64(), "ts": pa.timestamp("us", "UTC"), "ms": pa.int64(), "status": pa.string(), "progress": pa.float64()})
+    batches = [pa.RecordBatch.from_pylist([dict(zip(shape.names, r)) for r in rows[i : i + 30]], shape) for i in range(0, 1000, 30)]
+    (out,) = J.packed(iter(batches))
+    got = {r["job_id"]: r for r in out.to_pylist()}
+    assert out.num_rows == len(got) == 4 and {k: r["ts"] for k, r in got.items()} == {0: at(996), 1: at(997), 2: None, None: at(999)}
+    for job, r in got.items():
+        assert list(zip(*pickle.loads(r["reports"]))) == sorted((x[1], *x[3:]) for x in rows if x[0] == job)
+    monkeypatch.setattr(J, "PACKED", 100)
+    assert sum(b.num_rows for b in J.packed(iter(batches))) == 4 * 9 and not list(J.packed(iter([])))
+
+
+def test_jobs_with_reports_that_lack_time_or_order(spark, tmp_path):
+    t0, shape = datetime.datetime(2024, 1, 1), "job_id long, order long, ts timestamp, status string, progress double"
+    rows = [(1, 1, None, "running", 0.5), (1, 2, t0, None, None), (2, 1, None, None, 0.25), (3, None, t0, "failed", 1.0), (None, 1, t0, "", 0.0)]
+    spark.createDataFrame(rows, shape).repartition(3).write.parquet(str(tmp_path / "in"))
+    follow_jobs(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "log"), 3600).awaitTermination()
+    got = {tuple(r) for r in current_jobs(spark, str(tmp_path / "out")).collect()}
+    assert got == {(1, "running", 0.5, 2, t0), (2, None, 0.25, 1, None), (None, "", 0.0, 1, t0)}
