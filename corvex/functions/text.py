@@ -46,7 +46,7 @@ def tokens(c: Column) -> Column:
     broken = F.regexp_replace(F.coalesce(c, F.lit("")), "([a-z])([A-Z])", "$1 $2")
     raw = F.split(F.lower(broken), r"[^\p{L}\p{N}_\-]+")
     parts = F.flatten(F.transform(raw, lambda t: F.when(F.contains(t, F.lit("-")), F.array_append(F.split(t, "-"), t)).otherwise(F.array(t))))
-    bare = F.transform(parts, lambda t: F.btrim(t, F.lit("-")))
+    bare = F.when(F.contains(c, F.lit("-")), F.transform(parts, lambda t: F.btrim(t, F.lit("-")))).otherwise(raw)  # most texts have none
     return F.filter(bare, lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
 
 

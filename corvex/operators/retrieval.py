@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from .. import plugins
 from ..functions.text import preview, strip, tokens, word_count
 from ..sources.storage import shared_folder, small_batches, stored
-from .keyword_index import KEY, MAX_QUESTIONS, KeywordIndex, build_index, in_batches, keyword_search, load_index, postings_of  # noqa: F401
+from .keyword_index import CELLS, KEY, MAX_QUESTIONS, Best, KeywordIndex, build_index, in_batches, keyword_search, load_index, postings_of  # noqa: F401
 from .relational import keep_first, top
 
 DENSE_K, RRF_K, CANDIDATES, TOP_N, MERGED_WORDS = 25, 60, 40, 6, 600
@@ -29,11 +29,15 @@ def store_vectors(corpus: DataFrame, embed: plugins.Embedder | None = None, path
     embed = embed or plugins.HashingEmbedder()
     small_batches(corpus.sparkSession)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in parts:
-            yield b[KEY].assign(vector=list(embed([list(t) for t in b.t]).astype("float32")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            t = b.column("t")
+            v = (embed.of_lists(t, known) if hasattr(embed, "of_lists") else embed(t.to_pylist())).astype("float32")
+            ends = np.arange(len(t) + 1, dtype=np.int32) * v.shape[1]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEY), pa.ListArray.from_arrays(pa.array(ends), pa.array(v.ravel()))], names=[*KEY, "vector"])
 
-    rows = corpus.select(*KEY, "t").mapInPandas(run, "doc_id long, page_number long, vector array<float>")
+    rows = corpus.select(*KEY, "t").mapInArrow(run, "doc_id long, page_number long, vector array<float>")
     return stored(rows, path or shared_folder(corpus.sparkSession, "vectors"))
 
 
@@ -43,29 +47,11 @@ def build_both(chunks: DataFrame) -> tuple[KeywordIndex, DataFrame]:
     return index, store_vectors(index.corpus)
 
 
-def in_blocks(parts: Iterator[pd.DataFrame], width: int, cells: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """Rows in blocks that make at most so many cells with width columns."""
-    step = max(1, cells // max(1, width))
-    for b in parts:
-        for at in range(0, len(b), step):
-            yield b.iloc[at : at + step]
-
-
-def best_rows(scores: np.ndarray, doc: np.ndarray, page: np.ndarray, k: int, above: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of scores the places of its k best above a bound, by score, document and page."""
-    for i, row in enumerate(scores):
-        at = np.flatnonzero(row > above)
-        if len(at) > 4 * k:  # ties at the k-th score stay in
-            at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
-        if len(at):
-            yield i, at[np.lexsort((page[at], doc[at], -row[at]))[:k]]
-
-
 def dense_search(vectors: DataFrame, questions: DataFrame, k: int = DENSE_K, embed: plugins.Embedder | None = None) -> DataFrame:
     """The k nearest stored vectors (key, vector) of each question by cosine, above 0: qid, qno, key, sim, rank.
 
     Every task multiplies blocks of its vectors with those of all questions of a batch, and passes
-    on k candidates a question. A last step takes the best.
+    on its k best of each question (more if some are equal). A last step takes the best.
     """
     embed = embed or plugins.HashingEmbedder()
     spark = vectors.sparkSession
@@ -76,17 +62,19 @@ def dense_search(vectors: DataFrame, questions: DataFrame, k: int = DENSE_K, emb
         q = embed([list(t) for t in asked.t])
         held = spark.sparkContext.broadcast((asked.qid.to_numpy(), asked.qno.to_numpy(), q, np.linalg.norm(q, axis=1)))
 
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, qno, q, norms = held.value
-            for b in in_blocks(parts, len(qid)):
-                v = np.stack(b.vector.to_numpy()).astype(np.float64)
-                both = norms[:, None] * np.linalg.norm(v, axis=1)[None, :]
-                sim = np.round(np.divide(q @ v.T, both, out=np.zeros_like(both), where=both > 0), 6)
-                doc, page = b.doc_id.to_numpy(), b.page_number.to_numpy()
-                for i, at in best_rows(sim, doc, page, k, 0.0):
-                    yield pd.DataFrame({"qid": qid[i], "qno": qno[i], "doc_id": doc[at], "page_number": page[at], "sim": sim[i, at]})
-
-        near = vectors.select(*KEY, "vector").mapInPandas(run, "qid long, qno int, doc_id long, page_number long, sim double")
+            best, step = Best(len(qid), k, 0.0), max(1, CELLS // max(1, len(qid)))
+            for whole in batches if len(qid) else ():
+                for lo in range(0, whole.num_rows, step):
+                    b = whole.slice(lo, step)
+                    v = b.column("vector").flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
+                    both = norms[:, None] * np.linalg.norm(v, axis=1)[None, :]
+                    sim = np.round(np.divide(q @ v.T, both, out=np.zeros_like(both), where=both > 0), 6)
+                    best.add(sim, b.column("doc_id").to_numpy(), b.column("page_number").to_numpy(), 0.0)
+            yield from best.rows("sim", qid=pa.array(qid), qno=pa.array(qno))
+
+        near = vectors.select(*KEY, "vector").mapInArrow(run, "qid long, qno int, doc_id long, page_number long, sim double")
         return top(near, ["qid", "qno"], [F.desc("sim"), *KEY], k)
 
     return in_batches(search, questions)

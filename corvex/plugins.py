@@ -5,10 +5,13 @@ A plugin is a function on columns or texts; another model is another function of
 
 from __future__ import annotations
 
+from hashlib import md5
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,16 +34,29 @@ class HashingEmbedder:
     dims = DIMS
 
     def __call__(self, tokens):
-        import hashlib
-
         out, known = np.zeros((len(tokens), self.dims)), {}
         for i, row in enumerate(tokens):
             for t in row:
                 if t not in known:
-                    known[t] = int.from_bytes(hashlib.md5(t.encode()).digest()[:2], "big") % self.dims
+                    known[t] = int.from_bytes(md5(t.encode()).digest()[:2], "big") % self.dims
                 out[i, known[t]] += 1
         return out
 
+    def of_lists(self, tokens: pa.ListArray, known: dict[str, int]) -> np.ndarray:
+        """The same vectors of an Arrow array of token lists. known: places of tokens, which is added to and emptied at 100,000."""
+        words, place = tokens.flatten().dictionary_encode(), []
+        for t in words.dictionary.to_pylist():
+            at = known.get(t)
+            if at is None:
+                if len(known) >= 100_000:
+                    known.clear()
+                at = known[t] = int.from_bytes(md5(t.encode()).digest()[:2], "big") % self.dims
+            place.append(at)
+        place = np.array(place, np.int64)
+        row = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+        cells = row * self.dims + place[words.indices.to_numpy()]
+        return np.bincount(cells, minlength=len(tokens) * self.dims).reshape(len(tokens), self.dims).astype(np.float64)
+
 
 class Scorer(Protocol):
     """Questions and candidate texts, row by row, to relevance scores; it may fail."""

@@ -2,11 +2,14 @@
 
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corvex.operators import changes as G
 from corvex.operators import keyword_index as K
 from corvex.plans import retrieval_queries as Q
+from corvex.plugins import HashingEmbedder
 from corvex.sources.storage import exists
 
 
@@ -37,6 +40,40 @@ def test_chunks_of_one_key_are_one(spark):
     assert sorted((r.token, r.tf) for r in K.build_index(d).postings.collect()) == [("same", 2), ("words", 2)]
 
 
+def test_many_tokens_are_searched_chunk_by_chunk(spark, monkeypatch):
+    d = spark.createDataFrame([(i, 1, " ".join(f"w{(i * k) % 37}" for k in range(1, 4 + i % 9)) + " often-said" * (i % 2)) for i in range(300)], "doc_id long, page_number long, content string").repartition(5)
+    q = spark.createDataFrame([(f"q{i}", j, f"w{i} w{j + 3} w{i} often unknown") for i in range(30) for j in range(2)] + [("none", 0, "unknown"), (None, 1, "w5 said")], "qid string, qno int, text string")
+    want = sorted(map(str, K.keyword_search(K.build_index(d), q, 7).collect()))
+    for name, value in (("NAMED_TOKENS", 3), ("CELLS", 2000), ("TOKENS", 60), ("PASSED", 50)):
+        monkeypatch.setattr(K, name, value)
+    index = K.build_index(d, complete=False)
+    assert sorted(map(str, K.keyword_search(index, q, 7).collect())) == want and len(want) == 61 * 7
+    assert not exists(spark, f"{index.path}/blocks") and exists(spark, f"{index.path}/weights")
+    unknown = q.filter("qid = 'none'").withColumn("text", F.lit("un known to it"))
+    assert K.keyword_search(index, unknown).isEmpty()
+    twice = d.unionByName(d.limit(1))
+    index = K.build_index(twice, complete=False)  # chunks of one key are one in blocks alone
+    assert K.keyword_search(index, q, 7).count() == 61 * 7 and exists(spark, f"{index.path}/blocks")
+
+
+def test_best_chunks_are_kept_block_by_block_with_ties():
+    rng = np.random.default_rng(1)
+    scores = np.round(rng.random((6, 400)), 1)
+    doc, page = rng.permutation(400), np.ones(400, np.int64)
+    best = K.Best(6, 5, 0.0)
+    for lo in range(0, 400, 90):
+        best.add(scores[:, lo : lo + 90], doc[lo : lo + 90], page[lo : lo + 90], 0.0)
+    got = pa.Table.from_batches(best.rows("s", no=pa.array(range(6)))).to_pylist()
+    for i in range(6):
+        mine = sorted((-r["s"], r["doc_id"]) for r in got if r["no"] == i)
+        assert mine[:5] == sorted(zip(-scores[i], doc))[:5] and len(mine) <= 10
+
+
+def test_vectors_of_arrow_lists():
+    embed, lists = HashingEmbedder(), [["ab", "c", "ab"], [], ["x"], ["c", "d"]]
+    assert (embed.of_lists(pa.array(lists), {}) == embed(lists)).all() and (embed.of_lists(pa.array(lists).slice(1, 2), {}) == embed(lists[1:3])).all()
+
+
 def test_pools_and_lists_make_only_their_own_index(spark, tiny):
     Q.INDEXES.clear()
     Q.VECTORS.clear()
