@@ -3,7 +3,7 @@
 Words that are frequent in a language get dense ids, and everything else breaks a piece, so a text is
 a list of ids with zeros between its runs. An n-gram is a key of n ids in 16 bytes. Tasks sort and
 run-length count the keys of some million places before anything is shuffled; keys are then dealt
-out by ranges, drawn from a sample of places, and sorted by radix and run-length counted in their
+out, as lists, by ranges, drawn from a sample of places, and sorted by radix and run-length counted in their
 range. Longer n-grams are counted only where both n-grams within, one word shorter, can be frequent:
 a bitmap of those, of bounded size, is looked up, and what it lets through wrongly is counted
 exactly as well and falls to the same threshold.
@@ -11,10 +11,9 @@ exactly as well and falls to the same threshold.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,7 +26,7 @@ from .kernels import fixed_binary, mix64, released, slices, text_buffers
 LONGEST, LEAST, COVERED, TOP = 4, 30, 80, 2000
 #: Words whose ids a task holds at once, at some 150 bytes each; a larger dictionary is applied in blocks.
 MAX_WORDS = 300_000
-#: Distinct words that a task counts before it passes on their counts.
+#: A task passes on its counts of words when it has twice as many distinct ones.
 COUNTED = 200_000
 #: Places whose n-grams are counted together, and keys of a range, some.
 PLACES, RANGE = 1 << 20, 1 << 19
@@ -59,28 +58,61 @@ def _texts(batch):
             yield d, data[offsets[d] : offsets[d + 1]].tobytes()
 
 
+def word_array(texts: list[bytes]) -> pa.DictionaryArray:
+    """The tokens() of texts one after another, with MARK behind each text."""
+    raw = b"".join(x for t in texts for x in (t, MARK)).translate(TABLE).replace(MARK, b" \xff ")
+    data = np.frombuffer(raw, np.uint8)
+    inner = (data != 32) & (data != 9)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inner, [False]])))
+    ends = np.concatenate([[0], np.cumsum(edge[1::2] - edge[::2])])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[inner])])
+    return words.dictionary_encode()
+
+
+def _by_language(batch):
+    """For each slice of a batch's texts: the first one's number, and numbers and bytes of the texts of each language."""
+    langs = batch.column("lang").to_pylist()
+    data, offsets = text_buffers(batch.column("text"))
+    for i, j in slices(offsets):
+        found: dict[str, list] = {}
+        for d in range(i, j):
+            found.setdefault(langs[d], []).append((d, data[offsets[d] : offsets[d + 1]].tobytes()))
+        yield i, found
+
+
 def _count_words(batches):
-    counts: dict[str, Counter] = {}
+    held: dict[str, list] = {}
+    size = 0
+
+    def merge():
+        for lang, parts in held.items():
+            words = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
+            f = np.bincount(words.indices.to_numpy(), np.concatenate([f for _, f in parts]), len(words.dictionary))  # exact below 2**53
+            held[lang] = [(words.dictionary, f.astype(np.int64))]
+        return sum(len(w) for [(w, _)] in held.values())
 
     def out():
-        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].decode() for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "f"])
+        for lang, [(words, f)] in held.items():
+            words, f = words.filter(there := pc.not_equal(words, pa.scalar(MARK, pa.large_binary()))), f[there.to_numpy(zero_copy_only=False)]
+            for lo in range(0, len(f), PASSED):
+                some = words[lo : lo + PASSED].cast(pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, pa.array(f[lo : lo + PASSED])], names=["lang", "word", "f"])
+        held.clear()
 
-    held = 0
     for batch in batches:
-        langs = batch.column("lang").to_pylist()
-        for d, raw in _texts(batch):
-            c = counts.setdefault(langs[d], Counter())
-            held -= len(c)
-            c.update(tokens(raw))
-            c.pop(MARK, None)
-            held += len(c)
-            if held > COUNTED:
-                yield out()
-                held = 0
-    if counts:
-        yield out()
+        for _, found in _by_language(batch):
+            for lang, texts in found.items():
+                words = word_array([raw for _, raw in texts])
+                held.setdefault(lang, []).append((words.dictionary, np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))))
+                size += len(words.dictionary)
+            if size >= 5 * COUNTED:
+                size = merge()
+                if size >= 2 * COUNTED:
+                    yield from out()
+                    size = 0
+    if held:
+        merge()
+        yield from out()
 
 
 class Ids(dict):
@@ -120,18 +152,22 @@ def _encode(held):
     def run(batches):
         by_lang, none = _by_lang(held), Ids()
         for batch in batches:
-            at, langs = batch.column("at").to_pylist(), batch.column("lang").to_pylist()
+            at = batch.column("at").to_pylist()
             more = batch.column("more") if "more" in batch.schema.names else None
-            data, offsets = text_buffers(batch.column("text"))
-            for i, j in slices(offsets):
+            for i, by in _by_language(batch):
                 parts = []
-                for d in range(i, j):
-                    found, known = tokens(data[offsets[d] : offsets[d + 1]].tobytes()), by_lang.get(langs[d], none)
-                    ids = np.fromiter(map(known.__getitem__, found), np.uint32, len(found))
-                    if more is not None and more[d].is_valid:
-                        rare = Ids({x["word"].encode(): x["id"] for x in more[d].as_py()})
-                        ids = np.maximum(ids, np.fromiter(map(rare.__getitem__, found), np.uint32, len(found)))
-                    parts += [ids, np.zeros(1, np.uint32)]
+                for lang, texts in by.items():
+                    known, plain = by_lang.get(lang, none), []
+                    for d, raw in texts:
+                        if more is None or not more[d].is_valid:
+                            plain.append(raw)
+                            continue
+                        found, rare = tokens(raw), Ids({x["word"].encode(): x["id"] for x in more[d].as_py()})
+                        ids = np.fromiter(map(known.__getitem__, found), np.uint32, len(found))
+                        parts += [np.maximum(ids, np.fromiter(map(rare.__getitem__, found), np.uint32, len(found))), np.zeros(1, np.uint32)]
+                    if plain:
+                        words = word_array(plain)
+                        parts.append(np.fromiter(map(known.__getitem__, words.dictionary.to_pylist()), np.uint32, len(words.dictionary))[words.indices.to_numpy()])
                 ids = np.concatenate(parts)
                 cut = range(0, len(ids), ROW_IDS)
                 rows = [ids[lo : lo + ROW_IDS + LONGEST - 1].tobytes() for lo in cut]
@@ -173,6 +209,9 @@ def run_lengths(key: np.ndarray, count: np.ndarray | None = None) -> tuple[np.nd
     """Distinct keys in order with the sums of their counts."""
     if not len(key):
         return key, np.zeros(0, np.int64)
+    if count is None and not key[:, 1].any():
+        first, sums = np.unique(key[:, 0], return_counts=True)
+        return np.stack([first, np.zeros(len(first), np.uint64)], 1), sums.astype(np.int64)
     order = radix_order(key)
     key = key[order]
     start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
@@ -255,6 +294,20 @@ def _count(n: int, held, cuts: bytes):
     return released(run)
 
 
+def _listed(count):
+    """What count() gives, with one row for each batch's n-grams of a range, as the JVM takes longer over a row than over its bytes."""
+
+    def run(batches):
+        for batch in count(batches):
+            part = batch.column("part").to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            ends, key = np.append(start, len(part)), unpacked(batch.column("key")).astype(">u8")
+            cut = lambda x, width: pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((width * ends).astype(np.int32)), pa.py_buffer(x.tobytes())])  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(part[start]), cut(key, 16), cut(batch.column("f").to_numpy(), 8)], names=["part", "keys", "counts"])
+
+    return released(run)
+
+
 def _sample(n: int, held):
     """Of each row of ids: its places, its n-grams, and some of their keys, evenly spread."""
 
@@ -279,8 +332,8 @@ def _sum(least: int):
             return run_lengths(np.concatenate([key, *(k for k, _ in new)]), np.concatenate([count, *(c for _, c in new)]))
 
         for batch in batches:
-            new.append((unpacked(batch.column("key")), batch.column("f").to_numpy()))
-            size += batch.num_rows
+            new.append((np.frombuffer(b"".join(batch.column("keys").to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64), np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int64)))
+            size += len(new[-1][1])
             if size >= max(RANGE, len(key)):  # what has been merged is merged again only when as much is new
                 (key, count), new, size = merged(), [], 0
         key, count = merged()
@@ -323,8 +376,8 @@ def frequent_ngrams(ids: DataFrame, n: int, least: int, bitmap: tuple[int, bytes
     parts = int(min(MOST_RANGES, max(spark.sparkContext.defaultParallelism, total * found // max(1, places) // RANGE)))
     keys = np.sort(np.frombuffer(b"".join(bytes(r["keys"]) for r in sample), "S16"))
     cuts = np.unique(keys[np.linspace(0, len(keys) - 1, parts + 1).astype(int)[1:-1]]) if len(keys) else keys
-    counted = ids.select("n", "ids").mapInArrow(_count(n, held, cuts.tobytes()), "part int, key binary, f long")
-    summed = counted.repartitionById(len(cuts) + 1, "part").select("key", "f").mapInArrow(_sum(least), "key binary, f long")
+    counted = ids.select("n", "ids").mapInArrow(_listed(_count(n, held, cuts.tobytes())), "part int, keys binary, counts binary")
+    summed = counted.repartitionById(len(cuts) + 1, "part").select("keys", "counts").mapInArrow(_sum(least), "key binary, f long")
     return work.save(summed, f"ngrams-{n}")
 
 

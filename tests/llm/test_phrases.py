@@ -123,3 +123,23 @@ def test_rows_and_batches_are_small_and_lose_no_ngram(monkeypatch):
                 got[tuple(key)] += f
         grams = np.array([ids[i : i + n] + [0] * (4 - n) for i in range(len(ids) - n + 1) if all(ids[i : i + n])], np.uint64)
         assert got == Counter(map(tuple, (grams[:, ::2] << np.uint64(32) | grams[:, 1::2]).tolist()))
+
+
+def test_words_of_texts_are_counted_and_passed_on_as_lists(monkeypatch):
+    monkeypatch.setattr(P, "COUNTED", 5)
+    texts = ["Aa b\tB. é-é aa", "", " ;; ", "b\x0bb\u00a0c ÀA"] * 3
+    want = Counter((lang, w.decode()) for lang in ("en", "fr") for t in texts for w in P.tokens(t.encode()) if w != P.MARK)
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts) + ["fr"] * len(texts)), pa.array(texts * 2)], names=["lang", "text"])
+    got = Counter()
+    for b in P._count_words([batch, batch.slice(0, 0)]):
+        for r in b.to_pylist():
+            got[r["lang"], r["word"]] += r["f"]
+    assert got == want
+    assert P.word_array([t.encode() for t in texts]).to_pylist() == [w for t in texts for w in [*P.tokens(t.encode()), P.MARK]]
+    ids = np.arange(1, 5001, dtype=np.uint32)
+    rows = pa.RecordBatch.from_arrays([pa.array([5000]), pa.array([ids.tobytes()], pa.binary())], names=["n", "ids"])
+    count = P._count(2, SimpleNamespace(value=None), P.packed(P.key_of(ids, np.array([1000, 3000]), 2)).buffers()[2].to_pybytes())
+    lists = [r for b in P._listed(count)([rows]) for r in b.to_pylist()]
+    assert [r["part"] for r in lists] == [0, 1, 2] and sum(len(r["keys"]) for r in lists) == 16 * 4999 == 2 * sum(len(r["counts"]) for r in lists)
+    summed = list(P._sum(1)([pa.RecordBatch.from_pylist(lists * 2, pa.schema({"part": pa.int32(), "keys": pa.binary(), "counts": pa.binary()})).select(["keys", "counts"])]))
+    assert sum(b.num_rows for b in summed) == 4999 and all(set(b.column("f").to_pylist()) == {2} for b in summed)
